@@ -1,0 +1 @@
+"""Streaming of the parcel feature engine."""
