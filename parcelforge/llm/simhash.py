@@ -10,6 +10,10 @@ its three segments; as then 48 bits are equal, at most 2^16 different fingerprin
 
 Buckets give a spanning forest of their links, not the pairs; components come from alternating star contraction.
 
+For documents that are less alike, ``similar_documents`` takes longer fingerprints of the same kind, whose segments are narrow
+enough that two documents of the wanted similarity agree on some segment with high probability; its buckets are named by the
+same table, and links are verified over the first ``CHECKED`` bits.
+
 Defined results: a text without words (null, empty, blank) has fingerprint zero and is linked like any other. Repeated rows
 each give a row. A null id takes its component from equal fingerprints and never names one (null if nothing else is there).
 """
@@ -18,6 +22,7 @@ from __future__ import annotations
 
 import functools
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -138,17 +143,7 @@ def _links(bucket: np.ndarray, fp: np.ndarray, limit: int) -> np.ndarray:
             a, b = a[near], b[near]
         true = np.bitwise_count(fp[a] ^ fp[b]) <= limit
         a, b = a[true], b[true]
-        while len(a):
-            la, lb = label[a], label[b]
-            if (la == lb).all():
-                break
-            low = np.minimum(la, lb)
-            np.minimum.at(label, la, low)
-            np.minimum.at(label, lb, low)
-            label[a] = np.minimum(label[a], low)
-            label[b] = np.minimum(label[b], low)
-            while not np.array_equal(label, up := label[label]):
-                label = up
+        label = _join_up(label, a, b)
     return label
 
 
@@ -239,3 +234,128 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", t
 
 def hex_fingerprint(fp: str = "fp"):
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
+
+
+#: Longer fingerprints: number of segments, bits of each, and the leading bits by which links are verified.
+BANDS, BAND_BITS, CHECKED = 40, 16, 256
+#: Rows of one bucket that are compared with each other at once; of what went before, one of each group found is kept.
+AT_ONCE = 4096
+_WORDS = BANDS * BAND_BITS // 64
+_MIX = np.random.default_rng(5).integers(0, 1 << 63, _WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def long_fingerprint(text: str, shingle: int) -> np.ndarray | None:
+    """``BANDS * BAND_BITS`` bits as 64-bit numbers; None for a text with no words."""
+    words = text.encode().lower().split()
+    if not words:
+        return None
+    joined = map(b" ".join, zip(*(words[i:] for i in range(shingle)))) if len(words) >= shingle else [b" ".join(words)]
+    hashes = np.array([xxhash.xxh64_intdigest(s, 42) for s in joined], np.uint64)
+    counts = np.zeros(_WORDS * 64, np.int64)
+    for i in range(0, len(hashes), 1 << 13):
+        h = hashes[i : i + (1 << 13), None] * _MIX
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(0xC2B2AE3D27D4EB4F)
+        h ^= h >> np.uint64(29)
+        counts += np.unpackbits(h.view(np.uint8), axis=1).sum(0, dtype=np.int64)
+    return np.packbits(2 * counts > len(hashes)).view(np.uint64)
+
+
+def bits_apart(similarity: float, bits: int = CHECKED) -> int:
+    """How many of ``bits`` differ, as expected, between documents whose shingle sets have this Jaccard similarity."""
+    return math.floor(bits * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+
+
+def _wide_rows(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        prints = [long_fingerprint(t.as_py() or "", shingle) for t in batch["text"]]
+        at = [i for i, f in enumerate(prints) if f is not None]
+        yield pa.RecordBatch.from_arrays([batch["id"].take(pa.array(at, pa.int64())), pa.array([prints[i].tobytes() for i in at], pa.binary())], ["id", "fp"])
+
+
+_CHECK = [f"w{i}" for i in range(CHECKED // 64)]
+
+
+def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, fp) to (bucket, id, the words that are verified): a row for each segment, named by its pivot distances."""
+    table = _table(tuple(range(BAND_BITS)))[1].astype(np.uint64)
+    name = (table * np.random.default_rng(64).integers(1, 1 << 63, REFERENCES, dtype=np.uint64)).sum(1, dtype=np.uint64)
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        fp = np.frombuffer(b"".join(batch["fp"].to_pylist()), np.uint64).reshape(batch.num_rows, _WORDS)
+        parts = fp.view(np.uint16).reshape(batch.num_rows, -1)
+        words = [pa.array(fp[:, i].view(np.int64)) for i in range(len(_CHECK))]
+        for band in range(BANDS):
+            h = (name[parts[:, band]] ^ np.uint64(band + 1)) * np.uint64(0x9E3779B97F4A7C15)
+            yield pa.RecordBatch.from_arrays([pa.array((h ^ (h >> np.uint64(31))).view(np.int64)), batch["id"], *words], ["bucket", "id", *_CHECK])
+
+
+def _join_up(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``label`` after the links a-b: each row's label is the first row of its group."""
+    while len(a):
+        la, lb = label[a], label[b]
+        if (la == lb).all():
+            break
+        low = np.minimum(la, lb)
+        np.minimum.at(label, la, low)
+        np.minimum.at(label, lb, low)
+        label[a] = np.minimum(label[a], low)
+        label[b] = np.minimum(label[b], low)
+        while not np.array_equal(label, up := label[label]):
+            label = up
+    return label
+
+
+def _near_in_buckets(limit: int):
+    """Rows ordered by bucket to links (id, other) that make up each bucket's groups."""
+
+    def groups(rows: list[np.ndarray]) -> np.ndarray:
+        bucket, words = rows[0], [w.view(np.uint64) for w in rows[2:]]
+        label, left, lag = np.arange(len(bucket)), np.arange(len(bucket)), 0
+        while len(left):
+            lag += 1
+            left = left[left + lag < len(bucket)]
+            left = left[bucket[left] == bucket[left + lag]]
+            a = left
+            apart = np.zeros(len(a), np.int64)
+            for w in words:  # what has differed so far is a lower bound
+                apart = apart + np.bitwise_count(w[a] ^ w[a + lag])
+                a, apart = a[apart <= limit], apart[apart <= limit]
+            label = _join_up(label, a, a + lag)
+        return label
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] | None = None
+        for batch in itertools.chain(batches, [None]):
+            if batch is not None:
+                if not batch.num_rows:
+                    continue
+                new = [batch[c].to_numpy(zero_copy_only=False) for c in ("bucket", "id", *_CHECK)]
+            for i in range(0, len(new[0]) if batch is not None else 1, AT_ONCE):
+                rows = held if batch is None else [x[i : i + AT_ONCE] for x in new] if held is None else [np.concatenate(x) for x in zip(held, (y[i : i + AT_ONCE] for y in new))]
+                if rows is None:
+                    return
+                label = groups(rows)
+                ids = rows[1]
+                at = np.flatnonzero(ids[label] != ids)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(ids[label[at]])], ["id", "other"])
+                last = np.flatnonzero((rows[0] == rows[0][-1]) & (label == np.arange(len(label))))
+                held = [x[last] for x in rows]
+
+    return run
+
+
+def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """``(id, component)`` of documents that are linked with others: ``component`` is the smallest id that links lead to.
+
+    Two documents are linked if their long fingerprints differ no more than documents of this Jaccard similarity of shingle
+    sets are expected to. Documents without words, and null ids, are linked with nothing.
+    """
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text")).where("id is not null")
+    prints = X.materialize(rows.mapInArrow(lambda b: _wide_rows(b, shingle), "id long, fp binary"))
+    classes = X.materialize(prints.groupBy("fp").agg(F.min("id").alias("first")))
+    copies = prints.join(classes, "fp").where("id <> first").select("id", F.col("first").alias("other"))
+    schema = "bucket long, id long, " + ", ".join(f"{w} long" for w in _CHECK)
+    dealt = classes.select(F.col("first").alias("id"), "fp").mapInArrow(_bands, schema).repartition(X.partitions(docs.sparkSession), "bucket").sortWithinPartitions("bucket")
+    return components(dealt.mapInArrow(_near_in_buckets(bits_apart(similarity)), "id long, other long").distinct().unionAll(copies))
