@@ -28,6 +28,10 @@ from pyspark.sql.types import BinaryType, StructField, StructType
 from . import exchange as X
 
 
+#: Bytes of text in a block: its words, positions and ids are all in one worker's memory.
+BLOCK_BYTES = 4 << 20
+
+
 @functools.lru_cache(4)
 def encoding(path: str, pattern: str) -> tiktoken.Encoding:
     with open(path, "rb") as f:
@@ -75,9 +79,12 @@ def _by_shard(words: list[bytes], shards: int) -> tuple[np.ndarray, np.ndarray]:
     return np.argsort(shard, kind="stable"), np.searchsorted(np.sort(shard), np.arange(shards + 1))
 
 
-def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", block_bytes: int = X.BLOCK_BYTES) -> DataFrame:
-    """``docs`` without ``text``, plus ``ids``: the token ids as little-endian unsigned 32-bit integers."""
-    kept = [c for c in docs.columns if c not in (text, "ids")]
+def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", block_bytes: int = BLOCK_BYTES, decoded: bool = False) -> DataFrame:
+    """``docs`` without ``text``, plus ``ids``: the token ids as little-endian unsigned 32-bit integers.
+
+    With ``decoded`` the ids are decoded where they were put together, as ``decode`` does it, without a second worker.
+    """
+    kept = [c for c in docs.columns if c not in (text, "ids", "decoded")]
     rows = docs.select(*kept, F.coalesce(F.col(text), F.lit("")).alias("ids"))
     shards = 2 * X.partitions(docs.sparkSession)
 
@@ -117,10 +124,10 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", block_b
         for block, codes in asked:
             yield block, X.squeeze((lengths[codes].astype(np.uint32), X.ragged(flat, starts[codes], lengths[codes])))
 
-    out = [*kept, "ids"]
-    schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString() if c != 'ids' else 'binary'}" for c in out)
+    schema = ", ".join([*(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in kept), "ids binary", *(["decoded binary"] if decoded else [])])
 
     def finish(row: dict, answers: dict[int, bytes]) -> pa.Table:
+        encoding.cache_clear()  # the worker may have been a shard's before
         words = _unpack_words(X.expand(row["words"]))
         order, first = _by_shard(words, shards)
         lengths, flat = np.zeros(len(words), np.int64), [np.zeros(0, np.uint32)]
@@ -137,13 +144,23 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", block_b
         ids = X.ragged(np.concatenate(flat), starts[codes], lengths[codes]).astype("<u4")
         ends = X.offsets(lengths[codes])[X.offsets(counts)] * 4
         raw = memoryview(ids.tobytes())
-        table = X.thaw(row["rest"])
-        return table.append_column("ids", pa.array([raw[a:b] for a, b in zip(ends.tolist(), ends[1:].tolist())], pa.binary()))
+        each = [raw[a:b] for a, b in zip(ends.tolist(), ends[1:].tolist())]
+        table = X.thaw(row["rest"]).append_column("ids", pa.array(each, pa.binary()))
+        return table.append_column("decoded", _decoded(each, path)) if decoded else table
 
-    blocks = X.to_blocks(rows, "ids", pack, "rest binary, seq binary, words binary", block_bytes)
+    blocks = X.to_blocks(rows, "ids", pack, block_bytes)
     return X.settle(blocks, X.answer(X.ask(blocks, questions), reply), finish, schema)
 
 
+def _decoded(ids: list, path: str) -> pa.Array:
+    flat, starts, lengths = token_bytes(path)
+    out = []
+    for raw in ids:
+        i = np.frombuffer(raw or b"", "<u4")
+        out.append(None if raw is None else X.ragged(flat, starts[i], lengths[i]).tobytes())
+    return pa.array(out, pa.binary())
+
+
 def decode(df: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     """``df`` plus ``decoded``: the bytes of ``ids``, by the token-byte table. Null ids give null."""
     kept = [c for c in df.columns if c != "decoded"]
@@ -151,18 +168,16 @@ def decode(df: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     schema = to_arrow_schema(rows.schema).append(pa.field("decoded", pa.binary()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flat, starts, lengths = token_bytes(path)
         for batch in batches:
-            out = []
-            for raw in batch.column(ids).to_pylist():
-                i = np.frombuffer(raw or b"", "<u4")
-                out.append(None if raw is None else X.ragged(flat, starts[i], lengths[i]).tobytes())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], schema=schema)
+            for first in range(0, batch.num_rows, 256):
+                some = batch.slice(first, 256)
+                yield pa.RecordBatch.from_arrays([*some.columns, _decoded(some.column(ids).to_pylist(), path)], schema=schema)
+            X.let_go()
 
     return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("decoded", BinaryType())]))
 
 
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """Encode, decode, and digest both: one row a document."""
-    both = decode(encode(docs.select("doc_id", "text"), path, pattern), path)
+    both = encode(docs.select("doc_id", "text"), path, pattern, decoded=True)
     return both.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -13,6 +13,7 @@ come from the partition and the position within it; a lost executor's blocks are
 from __future__ import annotations
 
 import atexit
+import ctypes
 import functools
 import pickle
 import tempfile
@@ -33,6 +34,16 @@ BLOCK_BYTES = 8 << 20
 ROW_BYTES = 64
 
 
+#: Bytes that an Arrow batch between the JVM and a Python worker may hold; the default is sized for short rows.
+BATCH_BYTES = 2 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound this session's Arrow batches by bytes and the scan's batches by rows, so that long texts do not pile up in the JVM."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", 512)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -88,6 +99,15 @@ def thaw(data: bytes) -> pa.Table:
     return pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(data)).read_all()
 
 
+def let_go() -> None:
+    """Hand freed memory back to the system: Python workers outlive their blocks, and an executor has several."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library than glibc
+        pass
+
+
 def whole_blocks(batches: Iterator[pa.RecordBatch], text: str, block_bytes: int) -> Iterator[pa.Table]:
     """Tables of whole rows with about ``block_bytes`` of text each, in the order of the input."""
     held: list[pa.RecordBatch] = []
@@ -109,20 +129,51 @@ def whole_blocks(batches: Iterator[pa.RecordBatch], text: str, block_bytes: int)
         yield pa.Table.from_batches(held)
 
 
-def to_blocks(df: DataFrame, text: str, pack: Callable[[pa.Table], dict], schema: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """One row a block: ``block`` and the binary columns of ``schema`` that ``pack`` makes from the block's rows.
+#: A block travels in pieces: large rows would each be a large object to the JVM.
+PIECE_BYTES = 256 << 10
+BLOCK = "block long, part int, parts int, data binary"
+_BLOCK = pa.schema([("block", pa.int64()), ("part", pa.int32()), ("parts", pa.int32()), ("data", pa.binary())])
+
 
-    The result is hash-partitioned by ``block``; hand it on whole to keep the exchange reusable.
+def to_blocks(df: DataFrame, text: str, pack: Callable[[pa.Table], dict], block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The dicts of ``bytes`` that ``pack`` makes, one a block, in pieces and hash-partitioned by block.
+
+    Hand the result on whole to keep the exchange reusable.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = TaskContext.get().partitionId() << 32
         for i, table in enumerate(whole_blocks(batches, text, block_bytes)):
-            row = {"block": first + i} | pack(table)
-            yield pa.RecordBatch.from_pylist([row], pa.schema([("block", pa.int64()), *((k, pa.binary()) for k in row if k != "block")]))
+            data = pickle.dumps(pack(table), 5)
+            pieces = [data[a : a + PIECE_BYTES] for a in range(0, len(data), PIECE_BYTES)]
+            n = len(pieces)
+            del table, data
+            yield pa.RecordBatch.from_arrays([pa.array([first + i] * n), pa.array(range(n), pa.int32()), pa.array([n] * n, pa.int32()), pa.array(pieces, pa.binary())], schema=_BLOCK)
+            del pieces
+            let_go()
+
+    return df.mapInArrow(run, BLOCK).repartition(partitions(df.sparkSession), "block")
+
+
+def whole(pieces: list[tuple[int, bytes]], block: int) -> dict:
+    return pickle.loads(b"".join(data for _, data in sorted(pieces))) | {"block": block}
+
+
+def each_block(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """The dicts of the blocks in a partition, as their last pieces arrive."""
+    pending: dict[int, list[tuple[int, bytes]]] = {}
+    for batch in batches:
+        for block, part, parts, data in zip(*(batch[c].to_pylist() for c in ("block", "part", "parts", "data"))):
+            pending.setdefault(block, []).append((part, data))
+            if len(pending[block]) == parts:
+                yield whole(pending.pop(block), block)
 
-    spread = df.mapInArrow(run, f"block long, {schema}")
-    return spread.repartition(partitions(df.sparkSession), "block")
+
+def of_group(table: pa.Table) -> dict | None:
+    """The dict of the one block whose pieces are the table's rows."""
+    if not table.num_rows:
+        return None
+    return whole(list(zip(table["part"].to_pylist(), table["data"].to_pylist())), table["block"][0].as_py())
 
 
 PAYLOAD = "shard int, block long, payload binary"
@@ -135,35 +186,45 @@ def payload_rows(rows: list[tuple[int, int, bytes]]) -> pa.Table:
 
 
 def ask(blocks: DataFrame, questions: Callable[[dict], Iterator[tuple[int, bytes]]]) -> DataFrame:
-    """Payload rows ``(shard, block, payload)`` that ``questions`` makes from each block's row."""
+    """Payload rows ``(shard, block, payload)`` that ``questions`` makes from each block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                yield from payload_rows([(s, row["block"], p) for s, p in questions(row)]).to_batches()
+        for row in each_block(batches):
+            yield from payload_rows([(s, row["block"], p) for s, p in questions(row)]).to_batches()
+            let_go()
 
     return blocks.mapInArrow(run, PAYLOAD)
 
 
 def answer(asked: DataFrame, reply: Callable[[list[tuple[int, bytes]]], Iterator[tuple[int, bytes]]]) -> DataFrame:
-    """``reply`` gets all of a shard's ``(block, payload)``, ordered by block, and gives ``(block, payload)`` back."""
+    """``reply`` gets all of a shard's ``(block, payload)``, ordered by block, and gives ``(block, payload)`` back.
 
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        shard = key[0].as_py()
-        got = sorted(zip(table["block"].to_pylist(), table["payload"].to_pylist()), key=lambda x: x[0])
-        return payload_rows([(shard, b, p) for b, p in reply(got)])
+    A task holds the packed payloads of its few shards, unsorted: the JVM need not keep and sort them as well.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[tuple[int, bytes]]] = {}
+        for batch in batches:
+            for shard, block, payload in zip(*(batch[c].to_pylist() for c in ("shard", "block", "payload"))):
+                held.setdefault(shard, []).append((block, payload))
+        for shard in sorted(held):
+            yield from payload_rows([(shard, b, p) for b, p in reply(sorted(held.pop(shard), key=lambda x: x[0]))]).to_batches()
+            let_go()
 
-    return asked.groupBy("shard").applyInArrow(run, PAYLOAD)
+    return asked.repartition(partitions(asked.sparkSession), "shard").mapInArrow(run, PAYLOAD)
 
 
 def settle(blocks: DataFrame, answers: DataFrame, finish: Callable[[dict, dict[int, bytes]], pa.Table], schema: str) -> DataFrame:
-    """``finish`` gets each block's row with its answers by shard, and gives the rows that come of it."""
+    """``finish`` gets each block with its answers by shard, and gives the rows that come of it."""
     empty = _empty(blocks.sparkSession, schema)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows:
+        row = of_group(left)
+        if row is None:
             return empty
-        return finish(left.to_pylist()[0], dict(zip(right["shard"].to_pylist(), right["payload"].to_pylist())))
+        out = finish(row, dict(zip(right["shard"].to_pylist(), right["payload"].to_pylist())))
+        let_go()
+        return out
 
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema)
 
@@ -175,11 +236,16 @@ def _empty(spark: SparkSession, schema: str) -> pa.Table:
     return to_arrow_schema(StructType.fromDDL(schema)).empty_table()
 
 
-def ragged(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """The runs ``values[starts[i]:starts[i] + lengths[i]]``, one after the other."""
+def places(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The numbers ``starts[i]`` to ``starts[i] + lengths[i] - 1``, run after run."""
     ends = np.cumsum(lengths)
     total = int(ends[-1]) if len(ends) else 0
-    return values[np.repeat(starts - (ends - lengths), lengths) + np.arange(total)]
+    return np.repeat(starts - (ends - lengths), lengths) + np.arange(total)
+
+
+def ragged(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The runs ``values[starts[i]:starts[i] + lengths[i]]``, one after the other."""
+    return values[places(starts, lengths)]
 
 
 def offsets(lengths: np.ndarray) -> np.ndarray:

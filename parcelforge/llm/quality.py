@@ -210,7 +210,7 @@ def perplexities(docs: DataFrame, model: dict, carry: list[str], text: str = "te
         value = np.exp(total / _STEP / np.maximum(n, 1))
         return table.select(kept).append_column("perplexity", pa.array(value, mask=n == 0)).append_column("n_bytes", pa.array(n, pa.int64()))
 
-    blocks = X.to_blocks(rows, "t", lambda t: {"rows": X.freeze(t)}, "rows binary", BLOCK_BYTES)
+    blocks = X.to_blocks(rows, "t", lambda t: {"rows": X.freeze(t)}, BLOCK_BYTES)
     schema = ", ".join([*(f"{n} {rows.schema[n].dataType.simpleString()}" for n in kept), "perplexity double", "n_bytes long"])
     answers = X.answer(X.ask(blocks, questions).unionAll(model["table"]), reply)
     done = X.settle(blocks, answers, finish, schema)

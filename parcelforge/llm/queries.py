@@ -12,6 +12,7 @@ from . import bpe, decontaminate, exchange, language, multiindex, quality, shard
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    exchange.small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -327,7 +327,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
         sizes = np.diff(np.append(0, block.ends))
         return pa.table([block.table["id"], block.table["rest"], pa.array(kept, pa.binary()), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.list_(pa.int64()))], names=["id", "rest", *made])
 
-    blocks = X.to_blocks(rows, "text", lambda t: {"rows": X.freeze(t)}, "rows binary", block_bytes)
+    blocks = X.to_blocks(rows, "text", lambda t: {"rows": X.freeze(t)}, block_bytes)
     masks = X.answer(X.ask(blocks, questions), shared)
     least = X.answer(X.settle(blocks, masks, stretches, X.PAYLOAD), classes)
     schema = f"id long, rest {rows.schema['rest'].dataType.simpleString()}, kept binary, n_bytes long, n_removed long, spans array<bigint>"

@@ -65,23 +65,24 @@ def count_tokens(docs: DataFrame, path: str, cache: str, text: str = "text", lim
         return {"digests": b"".join(table["digest"].to_pylist()), "texts": X.freeze(table)}
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for block, joined in zip(batch["block"].to_pylist(), batch["digests"].to_pylist()):
-                each = [joined[i : i + 32] for i in range(0, len(joined), 32)]
-                yield pa.RecordBatch.from_arrays([pa.array(each, pa.binary()), pa.array([block] * len(each), pa.int64())], ["digest", "block"])
+        for row in X.each_block(batches):
+            each = [row["digests"][i : i + 32] for i in range(0, len(row["digests"]), 32)]
+            yield pa.RecordBatch.from_arrays([pa.array(each, pa.binary()), pa.array([row["block"]] * len(each), pa.int64())], ["digest", "block"])
 
     counted = pa.schema([("digest", pa.binary()), ("tokenizer", pa.string()), ("n_tokens", pa.int64())])
 
     def encode(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
+        row = X.of_group(left)
+        if row is None or not right.num_rows:
             return counted.empty_table()
         wanted = set(right["digest"].to_pylist())
-        table = X.thaw(left["texts"][0].as_py())
+        table = X.thaw(row["texts"])
         table = table.filter(pa.array([d in wanted for d in table["digest"].to_pylist()]))
         n = [x for chunk in table["content"].chunks for x in _counter(path)(chunk.to_pylist())]
+        X.let_go()
         return pa.table([table["digest"].to_pylist(), [version] * len(n), n], schema=counted)
 
-    blocks = X.to_blocks(docs.select(content.alias("content"), digest.alias("digest")), "content", pack, "digests binary, texts binary", block_bytes)
+    blocks = X.to_blocks(docs.select(content.alias("content"), digest.alias("digest")), "content", pack, block_bytes)
     hits = _cached(spark, cache).where(F.col("tokenizer") == version)
     misses = blocks.mapInArrow(digests, "digest binary, block long").join(hits, "digest", "left_anti").groupBy("digest").agg(F.min("block").alias("block"))
     fresh = blocks.groupBy("block").cogroup(misses.groupBy("block")).applyInArrow(encode, CACHE)
