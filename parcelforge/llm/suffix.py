@@ -65,21 +65,20 @@ def _names(data: np.ndarray, length: int) -> np.ndarray:
 def _runs(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Stretches of windows with one name in one document: where they start, how many windows they have, their names."""
     starts, counts, names = [], [], []
-    last = ends - length  # of the windows of each document
     for a in range(0, len(data) - length + 1, _CHUNK):
         b = min(a + _CHUNK, len(data) - length + 1)
         name = _names(data[a : b + length - 1], length)
-        at = np.arange(a, b)
-        valid = at <= last[np.searchsorted(ends, at, side="right")]
         cut = np.ones(b - a, bool)
-        cut[1:] = (name[1:] != name[:-1]) | (valid[1:] != valid[:-1])
-        cut |= np.isin(at, ends, assume_unique=False)
+        cut[1:] = name[1:] != name[:-1]
+        cut[ends[np.searchsorted(ends, a) : np.searchsorted(ends, b)] - a] = True
         first = np.flatnonzero(cut)
-        size = np.diff(np.append(first, b - a))
-        first, size = first[valid[first]], size[valid[first]]
-        starts.append(at[first])
-        counts.append(size)
-        names.append(name[first])
+        at = first + a
+        doc = np.searchsorted(ends, at, side="right")
+        size = np.minimum(np.diff(np.append(at, b)), ends[doc] - length + 1 - at)  # windows do not leave their document
+        some = size > 0
+        starts.append(at[some])
+        counts.append(size[some])
+        names.append(name[first[some]])
     empty = np.zeros(0, np.int64)
     return (np.concatenate(starts or [empty]), np.concatenate(counts or [empty]), np.concatenate(names or [empty.astype(np.uint64)]))
 
@@ -163,7 +162,7 @@ def _least_ids(strings: list[bytes], ids: np.ndarray, length: int) -> np.ndarray
         order = suffix_array(text, length)
         new = common_prefixes(text, order, length)[order] < length
         place = np.full(len(text), -1, np.int64)  # of the window among all windows
-        place[X.ragged(np.arange(len(text)), X.offsets(lengths)[:-1], windows[a:b])] = np.arange(begin[a], begin[b])
+        place[X.places(X.offsets(lengths)[:-1], windows[a:b])] = np.arange(begin[a], begin[b])
         own = np.repeat(ids[a:b], windows[a:b])
         classes = np.cumsum(new)
         at = place[order]
@@ -310,7 +309,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
                 least = np.minimum(least, X.expand(answers[s + shards * (1 + c)]))
             n = block.counts[runs]
             smaller = X.ragged(least, X.offsets(windows)[:-1][of], n) < np.repeat(own[runs], n)
-            at = X.ragged(np.arange(len(block.data)), block.starts[runs], n)[smaller]
+            at = X.places(block.starts[runs], n)[smaller]
             np.add.at(gone, at, 1)
             np.add.at(gone, at + length, -1)
         cover = np.cumsum(gone[:-1]) > 0
