@@ -93,7 +93,7 @@ def _names(fp: np.ndarray, segments: list[list[int]]) -> list[np.ndarray]:
     odd = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
     names = []
     for k, three in enumerate(_THREES):
-        h = np.full(len(fp), np.uint64(k + 1) * odd[0])
+        h = np.full(len(fp), k + 1, np.uint64) * odd[0]
         for s in three:
             h = (h ^ mixed[s]) * odd[1]
             h ^= h >> np.uint64(29)
@@ -198,7 +198,7 @@ def _match(hot: int | None, limit: int):
 
 
 def components(links: DataFrame) -> DataFrame:
-    """``(id, component)`` for every id in ``links(id, other)``: the smallest id that links lead to.
+    """``(id, component)`` for the ids in ``links(id, other)`` that lead to a smaller one: the smallest of them.
 
     Alternating star contraction (large star, small star) until nothing changes; each round is written to the shared folder.
     """
@@ -217,18 +217,22 @@ def components(links: DataFrame) -> DataFrame:
         state = now
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """``id_col``, ``fp`` and ``component_id`` for every row of ``docs``."""
-    prints = X.materialize(fingerprints(docs, shingle, id_col, text))
-    classes = X.materialize(prints.groupBy("fp").agg(F.min(id_col).alias("id")))
-    spark, n = docs.sparkSession, X.partitions(docs.sparkSession)
+def link(classes: DataFrame) -> DataFrame:
+    """``(id, component)`` for the ids of distinct fingerprints ``(fp, id)`` whose links lead to a smaller id."""
+    n = X.partitions(classes.sparkSession)
     schema = "kind int, bucket long, three int, fp long, id long, other long"
     rows = classes.where("id is not null").mapInArrow(_buckets, "bucket long, three int, fp long, id long")
     first = X.materialize(rows.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_match(HOT, MAX_DISTANCE), schema))
     finer = first.where("kind = 1").select("bucket", "three", "fp", "id").mapInArrow(_finer, "bucket long, three int, fp long, id long")
     second = finer.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_match(None, MAX_DISTANCE), schema)
-    found = components(first.where("kind = 0").unionAll(second).select("id", "other"))
-    named = classes.join(found, "id", "left").select("fp", F.coalesce("component", "id").alias("component_id"))
+    return components(first.where("kind = 0").unionAll(second).select("id", "other"))
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """``id_col``, ``fp`` and ``component_id`` for every row of ``docs``."""
+    prints = X.materialize(fingerprints(docs, shingle, id_col, text))
+    classes = X.materialize(prints.groupBy("fp").agg(F.min(id_col).alias("id")))
+    named = classes.join(link(classes), "id", "left").select("fp", F.coalesce("component", "id").alias("component_id"))
     return prints.join(named, "fp").select(id_col, "fp", "component_id")
 
 
@@ -347,7 +351,7 @@ def _near_in_buckets(limit: int):
 
 
 def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(id, component)`` of documents that are linked with others: ``component`` is the smallest id that links lead to.
+    """``(id, component)`` of documents whose links lead to a smaller id: ``component`` is the smallest of these.
 
     Two documents are linked if their long fingerprints differ no more than documents of this Jaccard similarity of shingle
     sets are expected to. Documents without words, and null ids, are linked with nothing.
