@@ -13,3 +13,12 @@ def fence(df: DataFrame) -> DataFrame:
     stage's generated code and ends that.
     """
     return df.select(F.inline(F.array(F.struct(*df.columns))))
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """``df`` over at least as many partitions as there are cores, dealt by ``key``.
+
+    Only inputs of fewer splits than cores are shuffled: a small file whose rows take long to compute would keep one core busy.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df

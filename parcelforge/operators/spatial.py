@@ -83,7 +83,16 @@ def adjacency(m: DataFrame, tolerance: float = TOLERANCE, size: float = 1000.0)
     centroid lies inside the other field.
     """
     found = pairs(m, m, tolerance, size, half=True)
-    near = fence(found.select("a", "b", G.edges(F.col("a.polygons")).alias("ea"), G.edges(F.col("b.polygons")).alias("eb")))
+
+    def facing(own: str, other: str) -> Column:
+        """Edges that come within the tolerance of the other field's box: no others can touch it."""
+        box = F.col(other).box
+        return F.filter(G.edges(F.col(own).polygons), lambda s: (
+            (F.least(s.a.x, s.b.x) - tolerance <= box.maxx) & (F.greatest(s.a.x, s.b.x) + tolerance >= box.minx)
+            & (F.least(s.a.y, s.b.y) - tolerance <= box.maxy) & (F.greatest(s.a.y, s.b.y) + tolerance >= box.miny)
+        ))
+
+    near = fence(found.select("a", "b", facing("a", "b").alias("ea"), facing("b", "a").alias("eb")))
     near = near.where(G.edge_distance(F.col("ea"), F.col("eb")) <= tolerance)
     inside = (G.point_polygon_distance(F.col("a.center"), F.col("b.polygons")) == 0) | (G.point_polygon_distance(F.col("b.center"), F.col("a.polygons")) == 0)
     return near.select(

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parcelforge.functions import geometry as G
+from parcelforge.functions.fence import spread
 
 YEARS = list(range(1995, 2002))
 YIELDS = [f"yield_{y}" for y in YEARS]
@@ -33,7 +34,7 @@ def parcels(spark: SparkSession, sf_dir: str) -> DataFrame:
     for i, corners in enumerate(SHAPES):
         shape = shape.when(k % 4 == i, G.ring([(east + x, north + y) for x, y in corners]))
     names = lambda table, at: F.element_at(F.array(*map(F.lit, table)), (at + 1).cast("int"))
-    return read(spark, sf_dir, "part").select(
+    return spread(read(spark, sf_dir, "part"), "p_partkey").select(
         k.alias("field_id"), F.col("p_type").alias("crop_type"), names(SOIL, k % 9).alias("soil_type"), names(IRRIGATION, k % 6).alias("irrigation_type"),
         (F.col("p_size") * 1.5).alias("area_ha"), ((k % 17) / 10).alias("slope_pct"), F.array(F.array(shape)).alias("polygons"),
     )
