@@ -24,7 +24,8 @@ from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 K1, B = 1.2, 0.75
@@ -166,49 +167,47 @@ def _index(items: tuple[tuple[int, str], ...]) -> Index:
     return Index(list(items))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """``id_col``, ``item_id``, ``score``, ``question_overlap`` and ``answer_overlap`` of every item found in a document."""
-    spark = docs.sparkSession
+def _indexes(spark: SparkSession, benchmark: DataFrame, item_col: str, item_text: str) -> list[Broadcast]:
+    """The distinct items with a text, at most about ``MAX_INDEX_BYTES`` in each part; one part for any ordinary benchmark."""
     items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text).alias("text")).where("length(text) > 0")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    indexes = 1 + size // MAX_INDEX_BYTES
+    n = 1 + size // MAX_INDEX_BYTES
+    parts = (items.where(F.pmod(F.xxhash64("text"), F.lit(n)) == i).collect() for i in range(n))
+    return [spark.sparkContext.broadcast(tuple(sorted({(r["item"], r["text"]) for r in rows}, key=lambda x: (x[0] is None, x)))) for rows in parts]
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """``id_col``, ``item_id``, ``score``, ``question_overlap`` and ``answer_overlap`` of every item found in a document."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).where("length(text) > 0")
     kind = rows.schema["id"].dataType.simpleString()
-    out = None
-    for n in range(indexes):
-        some = items.where(F.pmod(F.xxhash64("text"), F.lit(indexes)) == n).collect()
-        shared = spark.sparkContext.broadcast(tuple(sorted({(r["item"], r["text"]) for r in some}, key=lambda x: (x[0] is None, x))))
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = _index(shared.value)
+    def find(items: Broadcast) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            index = _index(items.value)
             for batch in batches:
                 found = [(i, m) for i, t in enumerate(batch["text"]) for m in index.matches(t.as_py())]
                 ids = batch["id"].take(pa.array([i for i, _ in found], pa.int64()))
                 item, score, question, answer = zip(*(m for _, m in found)) if found else ((),) * 4
                 yield pa.RecordBatch.from_arrays([ids, pa.array(item, pa.int64()), *(pa.array(x, pa.float64()) for x in (score, question, answer))], ["id", "item_id", "score", "question_overlap", "answer_overlap"])
 
-        part = rows.mapInArrow(run, f"id {kind}, item_id long, score double, question_overlap double, answer_overlap double")
-        out = part if out is None else out.unionAll(part)
-    return out.withColumnRenamed("id", id_col)
+        return rows.mapInArrow(run, f"id {kind}, item_id long, score double, question_overlap double, answer_overlap double")
+
+    parts = [find(items) for items in _indexes(docs.sparkSession, benchmark, item_col, item_text)]
+    return functools.reduce(DataFrame.unionAll, parts).withColumnRenamed("id", id_col)
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows of ``docs`` in whose text no item is found."""
-    spark, columns = docs.sparkSession, docs.columns
+    columns = docs.columns
     names = [f"c{i}" for i in range(len(columns))]
     at = names[columns.index(text)]
-    items = benchmark.select(F.col("item_id").cast("long").alias("item"), F.col("text")).where("length(text) > 0")
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    indexes = 1 + size // MAX_INDEX_BYTES
-    rows = docs.toDF(*names)
-    for n in range(indexes):
-        some = items.where(F.pmod(F.xxhash64("text"), F.lit(indexes)) == n).collect()
-        shared = spark.sparkContext.broadcast(tuple(sorted({(r["item"], r["text"]) for r in some}, key=lambda x: (x[0] is None, x))))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = _index(shared.value)
+
+    def without(rows: DataFrame, items: Broadcast) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            index = _index(items.value)
             for batch in batches:
                 yield batch.filter(pa.array([not t.is_valid or not index.matches(t.as_py()) for t in batch[at]], pa.bool_()))
 
-        rows = rows.mapInArrow(run, rows.schema)
-    return rows.toDF(*columns)
+        return rows.mapInArrow(run, rows.schema)
+
+    return functools.reduce(without, _indexes(docs.sparkSession, benchmark, item_col, item_text), docs.toDF(*names)).toDF(*columns)
