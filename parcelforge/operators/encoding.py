@@ -78,8 +78,26 @@ def standardise(df: DataFrame, columns: list[str]) -> DataFrame:
     """Mean 0 and population deviation 1; a column that is constant up to rounding becomes 0."""
     fit = df.agg(*(f(c).alias(f"_{n}_{c}") for c in columns for n, f in (("avg", F.avg), ("std", F.stddev_pop))))
 
-    def scaled(c: str) -> Column:
-        mean, std = F.col(f"_avg_{c}"), F.col(f"_std_{c}")
-        return F.when(std > 1e-12 * F.greatest(F.abs(mean), F.lit(1.0)), F.try_divide(F.col(c) - mean, std)).otherwise(F.when(F.col(c).isNotNull(), 0.0))
+    return df.crossJoin(F.broadcast(fit)).withColumns({c: _scaled(c) for c in columns}).select(*df.columns)
 
-    return df.crossJoin(F.broadcast(fit)).withColumns({c: scaled(c) for c in columns}).select(*df.columns)
+
+def _scaled(c: str) -> Column:
+    mean, std = F.col(f"_avg_{c}"), F.col(f"_std_{c}")
+    return F.when(std > 1e-12 * F.greatest(F.abs(mean), F.lit(1.0)), F.try_divide(F.col(c) - mean, std)).otherwise(F.when(F.col(c).isNotNull(), 0.0))
+
+
+def impute_and_standardise(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``standardise`` after ``impute_median``, both fitted by one aggregate: the filled values shift its mean and deviation."""
+    fit = df.agg(F.count("*").alias("_n"), *(f(c).alias(f"_{n}_{c}") for c in columns for n, f in (("k", F.count), ("m", F.median), ("a", F.avg), ("v", F.var_pop))))
+    fit = fit.withColumns({f"_m_{c}": F.coalesce(F.col(f"_m_{c}"), F.lit(0.0)) for c in columns})
+    fit = fit.withColumns({f"_avg_{c}": F.try_divide(F.col(f"_k_{c}") * F.coalesce(f"_a_{c}", F.lit(0.0)) + (F.col("_n") - F.col(f"_k_{c}")) * F.col(f"_m_{c}"), F.col("_n")) for c in columns})
+
+    def deviation(c: str) -> Column:
+        k, mean = F.col(f"_k_{c}"), F.col(f"_avg_{c}")
+        there = F.coalesce(k * (F.col(f"_v_{c}") + (F.col(f"_a_{c}") - mean) * (F.col(f"_a_{c}") - mean)), F.lit(0.0))
+        filled = (F.col("_n") - k) * (F.col(f"_m_{c}") - mean) * (F.col(f"_m_{c}") - mean)
+        return F.sqrt(F.try_divide(there + filled, F.col("_n")))
+
+    fit = fit.select(*(f"{n}_{c}" for c in columns for n in ("_m", "_avg")), *(deviation(c).alias(f"_std_{c}") for c in columns))
+    filled = {c: F.coalesce(F.col(c), F.col(f"_m_{c}")) for c in columns}
+    return df.crossJoin(F.broadcast(fit)).withColumns(filled).withColumns({c: _scaled(c) for c in columns}).select(*df.columns)

@@ -13,7 +13,7 @@ from . import encoding, stats
 
 def prepare(df: DataFrame, features: list[str]) -> DataFrame:
     """Nulls imputed by medians, then standardised."""
-    return encoding.standardise(encoding.impute_median(df, features), features)
+    return encoding.impute_and_standardise(df, features)
 
 
 def fit(df: DataFrame, features: list[str], label: str, trees: int = 100, depth: int = 5, seed: int = 42):

@@ -1,7 +1,7 @@
 """Neighbourhood and adjacency by grid joins: an equi-join on cells, then the exact predicate. No theta join, no driver loop.
 
-The left side of a join has one cell a row; the right side is copied to every cell that can hold a partner, so a pair meets
-once. Dense cells are skewed join keys, which adaptive execution splits.
+Rows are copied to the cells that they cover or can reach, and every pair is taken in one cell only. Dense cells are skewed
+join keys, which adaptive execution splits.
 """
 
 from __future__ import annotations
@@ -21,27 +21,25 @@ def measured(fields: DataFrame, key: str, carry: list[str]) -> DataFrame:
     return fence(fields.select(F.col(key).alias("id"), *carry, p, G.centroid(p).alias("center"), G.bbox(p).alias("box"), (G.area(p) / 10000).alias("geometry_ha")))
 
 
-def _cells(low: Column, high: Column, size: float) -> Column:
-    return F.sequence(F.floor(low / size), F.floor(high / size))
-
-
 def pairs(left: DataFrame, right: DataFrame, reach: float, size: float, half: bool = False) -> DataFrame:
     """Pairs whose boxes, the left one grown by ``reach``, meet: structs ``a`` and ``b``.
 
-    A left row is in the cell of its box's lower corner; a right row in all cells from which its box can be reached, which
-    ``size`` (at least the largest box side) bounds. ``half`` keeps pairs with ``a.id < b.id`` only.
+    Either row is in all cells of side ``size`` that its box covers, and a pair is taken in the cell that holds the lower corner
+    of what both boxes cover: once, however large the boxes are. ``half`` keeps pairs with ``a.id < b.id`` only.
     """
-    a = left.select(F.floor((F.col("box.minx") - reach) / size).alias("cx"), F.floor((F.col("box.miny") - reach) / size).alias("cy"), F.struct("*").alias("a"))
-    grown = size + 2 * reach  # from a left box's grown corner to its far side, at most
-    rows = _cells(F.col("box.miny") - grown, F.col("box.maxy"), size)
-    b = right.select(F.explode(_cells(F.col("box.minx") - grown, F.col("box.maxx"), size)).alias("cx"), rows.alias("rows"), F.struct("*").alias("b"))
-    b = b.select("cx", F.explode("rows").alias("cy"), "b")
+
+    def celled(rows: DataFrame, name: str, grow: float) -> DataFrame:
+        cells = lambda low, high: F.sequence(F.floor((F.col(f"box.{low}") - grow) / size), F.floor((F.col(f"box.{high}") + grow) / size))
+        wide = rows.select(F.explode(cells("minx", "maxx")).alias("cx"), cells("miny", "maxy").alias("rows"), F.struct("*").alias(name))
+        return wide.select("cx", F.explode("rows").alias("cy"), name)
+
     meets = (
         (F.col("a.box.minx") - reach <= F.col("b.box.maxx")) & (F.col("a.box.maxx") + reach >= F.col("b.box.minx"))
         & (F.col("a.box.miny") - reach <= F.col("b.box.maxy")) & (F.col("a.box.maxy") + reach >= F.col("b.box.miny"))
     )
+    here = (F.col("cx") == F.floor(F.greatest(F.col("a.box.minx") - reach, F.col("b.box.minx")) / size)) & (F.col("cy") == F.floor(F.greatest(F.col("a.box.miny") - reach, F.col("b.box.miny")) / size))
     order = F.col("a.id") < F.col("b.id") if half else F.col("a.id") != F.col("b.id")
-    return a.join(b, ["cx", "cy"]).where(meets & order).select("a", "b")
+    return celled(left, "a", reach).join(celled(right, "b", 0.0), ["cx", "cy"]).where(here & meets & order).select("a", "b")
 
 
 def neighbours(m: DataFrame, radius: float = RADIUS) -> DataFrame:

@@ -21,12 +21,13 @@ FEATURES = [*_GEOM, *_ATTR, *_TS]
 
 
 def full_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Geometry, attribute and series features and the crop of each field: all row-local, joined by the field's id once."""
-    shapes = geometry_features(views.parcels(spark, sf_dir), ["field_id"]).select("field_id", *(F.col(c).cast("double").alias(n) for n, c in _GEOM.items()))
-    fields = views.fields(spark, sf_dir)
-    attributes = ratios(fields).select("field_id", "crop_type", *(F.col(c).alias(n) for n, c in _ATTR.items()))
-    series = T.features(fields, views.YIELDS, ["field_id"]).select("field_id", *(F.col(c).cast("double").alias(n) for n, c in _TS.items()))
-    return shapes.join(attributes, "field_id", "left").join(series, "field_id", "left").select("field_id", "crop_type", *FEATURES)
+    """Geometry, attribute and series features and the crop of each field: row-local but for one join, with the yields."""
+    own = ["field_id", "crop_type", "soil_type", "irrigation_type", "slope_pct"]
+    shapes = geometry_features(views.parcels(spark, sf_dir).withColumnRenamed("area_ha", "stated_ha"), [*own, "stated_ha"])
+    fields = shapes.select(*own, F.col("stated_ha").alias("area_ha"), *(F.col(c).cast("double").alias(n) for n, c in _GEOM.items())).join(views.yields(spark, sf_dir), "field_id", "left")
+    keep = ["field_id", "crop_type", *_GEOM, *_ATTR]
+    both = ratios(fields).select("field_id", "crop_type", *_GEOM, *(F.col(c).alias(n) for n, c in _ATTR.items()), *views.YIELDS)
+    return T.features(both, views.YIELDS, keep).select(*keep, *(F.col(c).cast("double").alias(n) for n, c in _TS.items()))
 
 
 _FULL = f"""{ts_sql(list(_TS.values()))}, {views.FIELDS}, {views.G_SQL[len(views.P) + 2:].replace(', e AS (', ', ee AS (').replace('FROM e GROUP', 'FROM ee GROUP').replace('m AS (SELECT shape', 'mm AS (SELECT shape').replace('JOIN m USING', 'JOIN mm USING')},

@@ -93,7 +93,7 @@ def test_grid_join_is_the_theta_join(spark):
     box = {r["id"]: r["box"] for r in m.collect()}
     reach = 100.0
     want = {(i, j) for i, a in box.items() for j, b in box.items() if i != j and a.minx - reach <= b.maxx and a.maxx + reach >= b.minx and a.miny - reach <= b.maxy and a.maxy + reach >= b.miny}
-    for size in (100.0, 250.0):
+    for size in (30.0, 100.0, 250.0):  # smaller than most boxes, too
         found = S.pairs(m, m, reach, size)
         got = [(r[0], r[1]) for r in found.select("a.id", "b.id").collect()]
         assert len(got) == len(set(got)) and set(got) == want

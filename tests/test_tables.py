@@ -96,6 +96,10 @@ def test_scaling_of_constants_and_nulls(spark):
     assert [r["b"] for r in E.impute_median(df, ["b", "c"]).orderBy("k").collect()] == [2, 1, 4, 2]
     z = E.standardise(df, ["a", "b"]).orderBy("k").collect()
     assert [r["a"] for r in z] == [0] * 4 and z[0]["b"] is None and z[2]["b"] == pytest.approx(1.336306, abs=1e-6)
+    one, two = E.impute_and_standardise(df, ["a", "b", "c"]), E.standardise(E.impute_median(df, ["a", "b", "c"]), ["a", "b", "c"])
+    for got, want in zip(one.orderBy("k").collect(), two.orderBy("k").collect()):
+        assert tuple(got) == pytest.approx(tuple(want)) and None not in tuple(got)
+    assert E.impute_and_standardise(df.limit(0), ["a", "b"]).collect() == []
 
 
 def test_geojson_and_csv(spark, tmp_path):
