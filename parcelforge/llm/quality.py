@@ -8,6 +8,9 @@ probabilities, and blocks sum them by document. A document is rejected if its pe
 quantile of the perplexities of the trusted documents of that language, times a margin. Short texts are given the benefit of
 the doubt: the limit is widened by a standard error, which falls with the root of the text's length.
 
+A text that says one word over and over is predicted well, however poor it is: its perplexity cannot reject it. So the share
+of its words that repeat the word before is held to a quantile of the trusted documents of its language in the same way.
+
 Defined results: null and empty texts have no perplexity and are rejected. A null language, and one without
 trusted documents, has the limit of all trusted documents; with no trusted text at all nothing but empty texts is rejected.
 Repeated rows each give a row; a document that is labelled twice is trusted if any label says so.
@@ -15,12 +18,13 @@ Repeated rows each give a row; a document that is labelled twice is trusted if a
 
 from __future__ import annotations
 
+import operator
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import exchange as X
@@ -31,6 +35,8 @@ QUANTILE = 0.99
 MARGIN = 1.15
 #: Natural logarithms that the limit is widened by, over the root of the number of bytes.
 DOUBT = 2.0
+#: What the share of repeated words may exceed its quantile by, besides the doubt.
+REPEATS_ROOM = 0.25
 MAX_LANGUAGES = 200
 #: Ids of trusted documents that are broadcast (16 bytes each); more are joined by a shuffle.
 MAX_BROADCAST_IDS = 4_000_000
@@ -172,11 +178,17 @@ def probabilities(asked: np.ndarray, model: tuple[np.ndarray, np.ndarray] | None
     return p
 
 
+def repeats(text: bytes) -> float:
+    """The share of the words (by white space) that are the same as the word before."""
+    words = text.split()
+    return sum(map(operator.eq, words, words[1:])) / max(1, len(words))
+
+
 def perplexities(docs: DataFrame, model: dict, carry: list[str], text: str = "text") -> DataFrame:
-    """The columns ``carry`` of every row, its ``perplexity`` by byte (null without text) and ``n_bytes``."""
+    """The columns ``carry`` of every row, its ``perplexity`` by byte (null without text), ``n_bytes`` and ``repeats``."""
     p2, discounts, shards = model["p2"], model["discounts"], model["shards"]
     if not model["trained"]:
-        return docs.select(*carry, F.when(F.length(text) > 0, F.lit(256.0)).alias("perplexity"), F.octet_length(F.coalesce(F.col(text), F.lit(""))).cast("long").alias("n_bytes"))
+        return docs.select(*carry, F.when(F.length(text) > 0, F.lit(256.0)).alias("perplexity"), F.octet_length(F.coalesce(F.col(text), F.lit(""))).cast("long").alias("n_bytes"), F.lit(0.0).alias("repeats"))
     names = {c: f"c{i}" for i, c in enumerate(carry) if c != text}
     rows = docs.select(F.col(text).cast("binary").alias("t"), *(F.col(c).alias(n) for c, n in names.items()))
     kept = [*names.values(), *(["t"] if text in carry else [])]
@@ -208,13 +220,14 @@ def perplexities(docs: DataFrame, model: dict, carry: list[str], text: str = "te
             total += np.bincount(doc, weights=nats[np.searchsorted(codes, each)][inverse], minlength=len(texts))
         n = np.array([len(t) for t in texts])
         value = np.exp(total / _STEP / np.maximum(n, 1))
-        return table.select(kept).append_column("perplexity", pa.array(value, mask=n == 0)).append_column("n_bytes", pa.array(n, pa.int64()))
+        made = {"perplexity": pa.array(value, mask=n == 0), "n_bytes": pa.array(n, pa.int64()), "repeats": pa.array(map(repeats, texts), pa.float64())}
+        return pa.table([*table.select(kept).columns, *made.values()], names=[*kept, *made])
 
     blocks = X.to_blocks(rows, "t", lambda t: {"rows": X.freeze(t)}, BLOCK_BYTES)
-    schema = ", ".join([*(f"{n} {rows.schema[n].dataType.simpleString()}" for n in kept), "perplexity double", "n_bytes long"])
+    schema = ", ".join([*(f"{n} {rows.schema[n].dataType.simpleString()}" for n in kept), "perplexity double", "n_bytes long", "repeats double"])
     answers = X.answer(X.ask(blocks, questions).unionAll(model["table"]), reply)
     done = X.settle(blocks, answers, finish, schema)
-    return done.select(*(F.col("t").cast("string").alias(c) if c == text else F.col(names[c]).alias(c) for c in carry), "perplexity", "n_bytes")
+    return done.select(*(F.col("t").cast("string").alias(c) if c == text else F.col(names[c]).alias(c) for c in carry), "perplexity", "n_bytes", "repeats")
 
 
 def trusted_ids(labels: DataFrame, id_col: str = "doc_id", label: str = "quality") -> DataFrame:
@@ -222,18 +235,24 @@ def trusted_ids(labels: DataFrame, id_col: str = "doc_id", label: str = "quality
 
 
 def classify(docs: DataFrame, labels: DataFrame, carry: list[str], id_col: str = "doc_id", text: str = "text", lang: str = "lang", quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
-    """The columns ``carry`` (``id_col`` and ``lang`` among them), ``perplexity``, ``n_bytes``, ``perplexity_limit`` and ``keep``."""
+    """The columns ``carry`` (``id_col`` and ``lang`` among them), ``perplexity``, ``n_bytes``, ``repeats``, ``perplexity_limit``, ``repeats_limit`` and ``keep``."""
     ids = trusted_ids(labels, id_col)
     few = ids.count() <= MAX_BROADCAST_IDS
     trusted = docs.join(F.broadcast(ids) if few else ids, F.col(id_col) == F.col("_trusted"), "left_semi")
     scored = X.materialize(perplexities(docs, train(trusted, text), carry, text))
     known = scored.join(ids, F.col(id_col) == F.col("_trusted"), "left_semi").where("perplexity is not null")
-    limit = F.percentile_approx("perplexity", quantile, 10_000) * margin
-    by_lang = known.groupBy(lang).agg(limit.alias("limit"), F.count("*").alias("n")).where(F.col(lang).isNotNull()).orderBy(F.desc("n"), lang).limit(MAX_LANGUAGES).collect()
-    rest = known.agg(limit).first()[0]
-    bound = F.lit(float("inf") if rest is None else rest)
-    if by_lang:
-        table = F.create_map(*(F.lit(x) for r in by_lang for x in (r[lang], r["limit"])))
-        bound = F.coalesce(F.try_element_at(table, F.coalesce(F.col(lang), F.lit(""))), bound)
-    bound = bound * F.exp(DOUBT / F.sqrt(F.greatest("n_bytes", F.lit(1))))
-    return scored.withColumn("perplexity_limit", bound).withColumn("keep", F.coalesce(F.col("perplexity") <= F.col("perplexity_limit"), F.lit(False)))
+    limits = [F.percentile_approx("perplexity", quantile, 10_000) * margin, F.percentile_approx("repeats", quantile, 10_000) + REPEATS_ROOM]
+    limits = [x.alias(n) for x, n in zip(limits, ("p", "r"))]
+    by_lang = known.groupBy(lang).agg(*limits, F.count("*").alias("n")).where(F.col(lang).isNotNull()).orderBy(F.desc("n"), lang).limit(MAX_LANGUAGES).collect()
+    rest = known.agg(*limits).first()
+
+    def bound(name: str) -> Column:
+        other = F.lit(float("inf") if rest[name] is None else rest[name])
+        if not by_lang:
+            return other
+        table = F.create_map(*(F.lit(x) for r in by_lang for x in (r[lang], r[name])))
+        return F.coalesce(F.try_element_at(table, F.coalesce(F.col(lang), F.lit(""))), other)
+
+    doubt = DOUBT / F.sqrt(F.greatest("n_bytes", F.lit(1)))
+    scored = scored.withColumns({"perplexity_limit": bound("p") * F.exp(doubt), "repeats_limit": bound("r") + doubt})
+    return scored.withColumn("keep", F.coalesce((F.col("perplexity") <= F.col("perplexity_limit")) & (F.col("repeats") <= F.col("repeats_limit")), F.lit(False)))

@@ -340,7 +340,9 @@ def test_quality(spark, awkward):
     rows = {r["doc_id"]: r for r in Q.queries()["op1_quality"](spark, "/root/testdata/sf0.01").collect()}
     labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
     kept = [[rows[i]["keep"] for i, q in labels.items() if q == k and i in rows] for k in (0, 1)]
-    assert np.mean(kept[1]) >= 0.98 and np.mean(kept[0]) <= 0.3
+    assert np.mean(kept[1]) >= 0.98 and np.mean(kept[0]) <= 0.03
+    assert [quality.repeats(t) for t in (b"", b"a", b"a a  a b", b"a b a b")] == [0, 0, 0.5, 0]
+    assert max(r["repeats"] for i, r in rows.items() if labels.get(i) == 1 and r["n_bytes"] > 100) < 0.25
     labels = spark.createDataFrame([(4, 1), (1, 1), (1, 0), (None, 1), (3, None)], "doc_id long, quality int")
     got = quality.classify(awkward, labels, awkward.columns)
     assert got.count() == awkward.count() and {r["keep"] for r in got.where("doc_id in (2, 3)").collect()} == {False}
