@@ -242,8 +242,8 @@ def hex_fingerprint(fp: str = "fp"):
 
 #: Longer fingerprints: number of segments, bits of each, and the leading bits by which links are verified.
 BANDS, BAND_BITS, CHECKED = 40, 16, 256
-#: Rows of one bucket that are compared with each other at once; of what went before, one of each group found is kept.
-AT_ONCE = 4096
+#: Rows of whole buckets that are compared at once; all pairs of a bucket over ``WIDE`` are met row by row, but for those linked already.
+AT_ONCE, WIDE = 4096, 256
 _WORDS = BANDS * BAND_BITS // 64
 _MIX = np.random.default_rng(5).integers(0, 1 << 63, _WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -311,11 +311,28 @@ def _join_up(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
+def _one_by_one(label: np.ndarray, near) -> np.ndarray:
+    """``label`` after all links of one bucket: ``near(row, others)`` says which others a row is linked with.
+
+    Every pair is met but those with equal labels by then, so a group whose rows are all near its first costs one round.
+    """
+    for row in range(len(label) - 1):
+        others = np.flatnonzero(label[row + 1 :] != label[row]) + row + 1
+        others = others[near(row, others)] if len(others) else others
+        if len(others):
+            met = np.zeros(len(label), bool)
+            met[label[others]] = met[label[row]] = True
+            label[met[label]] = np.flatnonzero(met)[0]
+        if not row or len(others):
+            if (label == label[0]).all():
+                break
+    return label
+
+
 def _near_in_buckets(limit: int):
     """Rows ordered by bucket to links (id, other) that make up each bucket's groups."""
 
-    def groups(rows: list[np.ndarray]) -> np.ndarray:
-        bucket, words = rows[0], [w.view(np.uint64) for w in rows[2:]]
+    def in_step(bucket: np.ndarray, words: list[np.ndarray]) -> np.ndarray:
         label, left, lag = np.arange(len(bucket)), np.arange(len(bucket)), 0
         while len(left):
             lag += 1
@@ -329,23 +346,35 @@ def _near_in_buckets(limit: int):
             label = _join_up(label, a, a + lag)
         return label
 
+    def links(rows: list[np.ndarray]) -> pa.RecordBatch:
+        """Of whole buckets."""
+        bucket, ids, words = rows[0], rows[1], [w.view(np.uint64) for w in rows[2:]]
+        cuts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True])))
+        sizes = np.diff(cuts)
+        label, small = np.arange(len(bucket)), np.flatnonzero(np.repeat(sizes <= WIDE, sizes))
+        label[small] = small[in_step(bucket[small], [w[small] for w in words])]
+        for at, size in zip(cuts[:-1][sizes > WIDE], sizes[sizes > WIDE]):
+            own = [w[at : at + size] for w in words]
+            label[at : at + size] = at + _one_by_one(np.arange(size), lambda row, others, own=own: sum(np.bitwise_count(w[others] ^ w[row]).astype(np.int64) for w in own) <= limit)
+        at = np.flatnonzero(ids[label] != ids)
+        return pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(ids[label[at]])], ["id", "other"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] | None = None
-        for batch in itertools.chain(batches, [None]):
-            if batch is not None:
-                if not batch.num_rows:
+        held: list[list[np.ndarray]] = []  # the rows so far of the running bucket
+        for batch in batches:
+            new = [batch[c].to_numpy(zero_copy_only=False) for c in ("bucket", "id", *_CHECK)]
+            for i in range(0, batch.num_rows, AT_ONCE):
+                rows = [x[i : i + AT_ONCE] for x in new]
+                if held and held[0][0][0] == rows[0][-1]:
+                    held.append(rows)
                     continue
-                new = [batch[c].to_numpy(zero_copy_only=False) for c in ("bucket", "id", *_CHECK)]
-            for i in range(0, len(new[0]) if batch is not None else 1, AT_ONCE):
-                rows = held if batch is None else [x[i : i + AT_ONCE] for x in new] if held is None else [np.concatenate(x) for x in zip(held, (y[i : i + AT_ONCE] for y in new))]
-                if rows is None:
-                    return
-                label = groups(rows)
-                ids = rows[1]
-                at = np.flatnonzero(ids[label] != ids)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(ids[label[at]])], ["id", "other"])
-                last = np.flatnonzero((rows[0] == rows[0][-1]) & (label == np.arange(len(label))))
-                held = [x[last] for x in rows]
+                rows = [np.concatenate(x) for x in zip(*held, rows)]
+                last = int(np.searchsorted(rows[0], rows[0][-1]))
+                if last:
+                    yield links([x[:last] for x in rows])
+                held = [[x[last:] for x in rows]]
+        if held:
+            yield links([np.concatenate(x) for x in zip(*held)])
 
     return run
 

@@ -7,6 +7,7 @@ import random
 import duckdb
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import sentencepiece
 import tiktoken  # noqa: F401
@@ -394,3 +395,29 @@ def test_contract_columns(spark, texts):
     ids = np.array(bpe.encoding(RANKS, P.PATTERN).encode_ordinary(texts[3]), "<u4")
     assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == (len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(texts[3].encode()).hexdigest())
     assert all(len(r["fingerprint"]) == 16 for r in q["op6_simhash"](spark, SF).collect())
+
+
+@pytest.mark.parametrize("rows_at_once", [4096, 5])
+def test_buckets_link_all_rows(rows_at_once, monkeypatch):
+    """A row that is near a member of a group, but not its first row, is linked wherever a slice or a batch ends."""
+    monkeypatch.setattr(simhash, "AT_ONCE", rows_at_once)
+    rng = random.Random(13)
+    chain, fp = [], rng.getrandbits(256)
+    for i in range(40):
+        fp ^= sum(1 << b for b in rng.sample(range(256), 30))
+        chain.append(fp)
+    words = np.array([[f >> 64 * w & (2**64 - 1) for w in range(4)] for f in chain], np.uint64).view(np.int64)
+    rows = [np.full(40, 7, np.int64), np.arange(40), *words.T]
+    for wide in (256, 8):
+        monkeypatch.setattr(simhash, "WIDE", wide, raising=False)
+        batches = [pa.RecordBatch.from_arrays([pa.array(x[i : i + 9]) for x in rows], ["bucket", "id", *simhash._CHECK]) for i in range(0, 40, 9)]
+        links = [x for b in simhash._near_in_buckets(38)(iter(batches)) for x in zip(b["id"].to_pylist(), b["other"].to_pylist())]
+        assert brute_links(40, links) == [0] * 40
+
+
+def brute_links(n, links):
+    label = list(range(n))
+    for _ in range(n):
+        for a, b in links:
+            label[a] = label[b] = min(label[a], label[b])
+    return label
