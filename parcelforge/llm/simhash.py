@@ -248,13 +248,17 @@ _WORDS = BANDS * BAND_BITS // 64
 _MIX = np.random.default_rng(5).integers(0, 1 << 63, _WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def long_fingerprint(text: str, shingle: int) -> np.ndarray | None:
-    """``BANDS * BAND_BITS`` bits as 64-bit numbers; None for a text with no words."""
+def shingle_set(text: str, shingle: int) -> np.ndarray | None:
+    """The hashes of the distinct shingles, in order; a text of fewer words is one shingle; None for a text with no words."""
     words = text.encode().lower().split()
     if not words:
         return None
     joined = map(b" ".join, zip(*(words[i:] for i in range(shingle)))) if len(words) >= shingle else [b" ".join(words)]
-    hashes = np.array([xxhash.xxh64_intdigest(s, 42) for s in joined], np.uint64)
+    return np.unique(np.array([xxhash.xxh64_intdigest(s, 42) for s in joined], np.uint64))
+
+
+def long_fingerprint(hashes: np.ndarray) -> np.ndarray:
+    """``BANDS * BAND_BITS`` bits as 64-bit numbers, of a set of shingles: a repeated line counts once."""
     counts = np.zeros(_WORDS * 64, np.int64)
     for i in range(0, len(hashes), 1 << 13):
         h = hashes[i : i + (1 << 13), None] * _MIX
@@ -272,7 +276,7 @@ def bits_apart(similarity: float, bits: int = CHECKED) -> int:
 
 def _wide_rows(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        prints = [long_fingerprint(t.as_py() or "", shingle) for t in batch["text"]]
+        prints = [None if (s := shingle_set(t.as_py() or "", shingle)) is None else long_fingerprint(s) for t in batch["text"]]
         at = [i for i, f in enumerate(prints) if f is not None]
         yield pa.RecordBatch.from_arrays([batch["id"].take(pa.array(at, pa.int64())), pa.array([prints[i].tobytes() for i in at], pa.binary())], ["id", "fp"])
 

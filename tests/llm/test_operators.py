@@ -397,6 +397,16 @@ def test_contract_columns(spark, texts):
     assert all(len(r["fingerprint"]) == 16 for r in q["op6_simhash"](spark, SF).collect())
 
 
+def test_similar_documents_count_a_repeated_line_once(spark):
+    rng = random.Random(12)
+    line = "all rights reserved by the owner of this"
+    rows = [(i, " ".join([f"w{rng.getrandbits(40)}" for _ in range(99)] + [line] * 20)) for i in range(30)]
+    text = " ".join(f"w{rng.getrandbits(40)}" for _ in range(99))
+    rows += [(100, f"{text} {line}"), (101, f"{text} " + " ".join([line] * 20))]  # alike but for how often the line is there
+    found = {r["id"]: r["component"] for r in simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {101: 100}
+
+
 @pytest.mark.parametrize("rows_at_once", [4096, 5])
 def test_buckets_link_all_rows(rows_at_once, monkeypatch):
     """A row that is near a member of a group, but not its first row, is linked wherever a slice or a batch ends."""
