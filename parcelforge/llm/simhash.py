@@ -12,7 +12,7 @@ Buckets give a spanning forest of their links, not the pairs; components come fr
 
 For documents that are less alike, ``similar_documents`` takes longer fingerprints of the same kind, whose segments are narrow
 enough that two documents of the wanted similarity agree on some segment with high probability; its buckets are named by the
-same table, and links are verified over the first ``CHECKED`` bits.
+same table. Links by the first ``CHECKED`` bits are candidates only: they are verified by the Jaccard similarity of the shingle sets.
 
 Defined results: a text without words (null, empty, blank) has fingerprint zero and is linked like any other. Repeated rows
 each give a row. A null id takes its component from equal fingerprints and never names one (null if nothing else is there).
@@ -240,10 +240,16 @@ def hex_fingerprint(fp: str = "fp"):
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
-#: Longer fingerprints: number of segments, bits of each, and the leading bits by which links are verified.
+#: Longer fingerprints: number of segments, bits of each, and the leading bits by which rows of a bucket are compared.
 BANDS, BAND_BITS, CHECKED = 40, 16, 256
+#: How often the bits are dealt into segments (the first time as they stand), and the standard deviations by which pairs of the
+#: wanted similarity may exceed the expected distance.
+DEALS, MARGIN = 3, 5
 #: Rows of whole buckets that are compared at once; all pairs of a bucket over ``WIDE`` are met row by row, but for those linked already.
 AT_ONCE, WIDE = 4096, 256
+#: Documents in a cell, within which links are verified by the shingles; larger groups of candidates are cut into several.
+CELL = 512
+_ORDERS = [np.arange(BANDS * BAND_BITS), *(np.random.default_rng(7 + i).permutation(BANDS * BAND_BITS) for i in range(DEALS - 1))]
 _WORDS = BANDS * BAND_BITS // 64
 _MIX = np.random.default_rng(5).integers(0, 1 << 63, _WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -270,15 +276,22 @@ def long_fingerprint(hashes: np.ndarray) -> np.ndarray:
 
 
 def bits_apart(similarity: float, bits: int = CHECKED) -> int:
-    """How many of ``bits`` differ, as expected, between documents whose shingle sets have this Jaccard similarity."""
-    return math.floor(bits * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+    """How many of ``bits`` differ at most, but for ``MARGIN`` deviations, between documents whose shingle sets have this Jaccard similarity."""
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return math.ceil(bits * share + MARGIN * math.sqrt(bits * share * (1 - share)))
 
 
 def _wide_rows(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
+    """(id, text) to (id, key, fp): the key is equal for equal sets of shingles only."""
     for batch in batches:
-        prints = [None if (s := shingle_set(t.as_py() or "", shingle)) is None else long_fingerprint(s) for t in batch["text"]]
-        at = [i for i, f in enumerate(prints) if f is not None]
-        yield pa.RecordBatch.from_arrays([batch["id"].take(pa.array(at, pa.int64())), pa.array([prints[i].tobytes() for i in at], pa.binary())], ["id", "fp"])
+        ids, keys, prints = [], [], []
+        for i, t in zip(batch["id"].to_pylist(), batch["text"]):
+            if (hashes := shingle_set(t.as_py() or "", shingle)) is not None:
+                ids.append(i)
+                keys.append(xxhash.xxh3_128_digest(hashes.tobytes()))
+                prints.append(long_fingerprint(hashes).tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.binary()), pa.array(prints, pa.binary())], ["id", "key", "fp"])
+    X.let_go()
 
 
 _CHECK = [f"w{i}" for i in range(CHECKED // 64)]
@@ -292,11 +305,14 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not batch.num_rows:
             continue
         fp = np.frombuffer(b"".join(batch["fp"].to_pylist()), np.uint64).reshape(batch.num_rows, _WORDS)
-        parts = fp.view(np.uint16).reshape(batch.num_rows, -1)
+        bits = np.unpackbits(fp.view(np.uint8), axis=1)
         words = [pa.array(fp[:, i].view(np.int64)) for i in range(len(_CHECK))]
-        for band in range(BANDS):
-            h = (name[parts[:, band]] ^ np.uint64(band + 1)) * np.uint64(0x9E3779B97F4A7C15)
-            yield pa.RecordBatch.from_arrays([pa.array((h ^ (h >> np.uint64(31))).view(np.int64)), batch["id"], *words], ["bucket", "id", *_CHECK])
+        for deal, order in enumerate(_ORDERS):
+            parts = np.ascontiguousarray(np.packbits(bits[:, order], axis=1)).view(np.uint16)
+            for band in range(BANDS):
+                h = (name[parts[:, band]] ^ np.uint64(deal * BANDS + band + 1)) * np.uint64(0x9E3779B97F4A7C15)
+                yield pa.RecordBatch.from_arrays([pa.array((h ^ (h >> np.uint64(31))).view(np.int64)), batch["id"], *words], ["bucket", "id", *_CHECK])
+    X.let_go()
 
 
 def _join_up(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -379,20 +395,100 @@ def _near_in_buckets(limit: int):
                 held = [[x[last:] for x in rows]]
         if held:
             yield links([np.concatenate(x) for x in zip(*held)])
+        X.let_go()
 
     return run
 
 
+def _alike_in_cells(similarity: float, shingle: int):
+    """Rows (cell, id, label, text) ordered by cell to links (id, other): rows of a label are linked already, others by their Jaccard similarity."""
+
+    def links(ids: list[int], labels: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
+        sizes = np.array([len(x) for x in sets])
+
+        def near(row: int, others: np.ndarray) -> np.ndarray:
+            fit = np.minimum(sizes[others], sizes[row]) / np.maximum(sizes[others], sizes[row]) >= similarity
+            some = others[fit]
+            if len(some):
+                flat, own = np.concatenate([sets[i] for i in some]), sets[row]
+                hits = own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat
+                both = np.add.reduceat(hits.astype(np.int64), np.cumsum(sizes[some]) - sizes[some])
+                fit[fit] = both / (sizes[row] + sizes[some] - both) >= similarity
+            return fit
+
+        own, (_, first, place) = np.array(ids), np.unique(np.array(labels), return_index=True, return_inverse=True)
+        label = _one_by_one(first[place], near)
+        at = np.flatnonzero(own[label] != own)
+        return pa.RecordBatch.from_arrays([pa.array(own[at]), pa.array(own[label[at]])], ["id", "other"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, ([], [], [])
+        for batch in batches:
+            for cell, i, label, text in zip(batch["cell"].to_pylist(), batch["id"].to_pylist(), batch["label"].to_pylist(), batch["text"]):
+                if cell != now and held[0]:
+                    yield links(*held)
+                    held = ([], [], [])
+                now = cell
+                if (hashes := shingle_set(text.as_py() or "", shingle)) is not None:
+                    for x, y in zip(held, (i, label, hashes)):
+                        x.append(y)
+        if held[0]:
+            yield links(*held)
+        X.let_go()
+
+    return run
+
+
+#: Ids that are broadcast to pick the texts of candidates; more are joined by a shuffle.
+_BROADCAST = 4_000_000
+
+
+def _verified(rows: DataFrame, loose: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """``(id, other)``: links of the wanted similarity that make up the groups within each component of ``loose``.
+
+    A component of over ``CELL`` documents is cut into cells that all get its first document. If that leaves several groups, each
+    document outside the largest one meets all documents in cells of a second round.
+    """
+    n = X.partitions(rows.sparkSession)
+
+    def check(dealt: DataFrame) -> DataFrame:
+        dealt = X.materialize(dealt)
+        picked = rows.join(F.broadcast(dealt) if dealt.count() <= _BROADCAST else dealt, "id").select("cell", "id", "label", "text")
+        ordered = picked.repartition(n, "cell").sortWithinPartitions("cell")
+        return X.materialize(ordered.mapInArrow(_alike_in_cells(similarity, shingle), "id long, other long").distinct())
+
+    members = X.materialize(loose.unionAll(loose.select(F.col("component").alias("id"), "component").distinct()))
+    large = X.materialize(members.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") > CELL))
+    part = members.join(F.broadcast(large), "component", "left").withColumn("cells", F.ceil(F.coalesce("n", F.lit(1)) / CELL))
+    own = F.array(F.pmod(F.xxhash64("id"), "cells"))
+    first = check(part.select("id", F.col("id").alias("label"), "component", F.explode(F.when(F.col("id") == F.col("component"), F.sequence(F.lit(0).cast("long"), F.col("cells") - 1)).otherwise(own)).alias("x")).select("id", "label", F.xxhash64("component", "x").alias("cell")))
+    if not large.limit(1).count():
+        return first
+    found = components(first).withColumnRenamed("component", "label")
+    named = X.materialize(members.join(F.broadcast(large), "component").join(found, "id", "left").select("id", "component", F.coalesce("label", "id").alias("label")))
+    groups = named.groupBy("component", "label").agg(F.count("*").alias("n")).groupBy("component").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("n"))
+    several = X.materialize(groups.where("n > most").select("component", "main", F.ceil(F.col("most") / CELL).alias("k"), F.ceil((F.col("n") - F.col("most")) / CELL).alias("m")))
+    if not several.limit(1).count():
+        return first
+    # Blocks: k of the main group, then m of the others. A cell is two blocks, the second one of others.
+    meet = named.join(F.broadcast(several), "component").withColumn("h", F.xxhash64("id"))
+    cells = F.expr("""CASE WHEN label = main THEN transform(sequence(0L, m - 1), y -> struct(pmod(h, k) AS x, y AS y))
+        ELSE concat(transform(sequence(0L, k + pmod(h, m)), x -> struct(x AS x, pmod(h, m) AS y)), transform(sequence(0L, m - 1), y -> struct(k + pmod(h, m) AS x, y AS y))) END""")
+    again = meet.select("id", "label", "component", F.explode(F.array_distinct(cells)).alias("c")).select("id", "label", "component", "c.*")
+    return first.unionAll(check(again.select("id", "label", F.xxhash64("component", "x", "y").alias("cell"))))
+
+
 def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """``(id, component)`` of documents whose links lead to a smaller id: ``component`` is the smallest of these.
 
-    Two documents are linked if their long fingerprints differ no more than documents of this Jaccard similarity of shingle
-    sets are expected to. Documents without words, and null ids, are linked with nothing.
+    Two documents are linked if their shingle sets have this Jaccard similarity. Candidates are found by long fingerprints, which may
+    miss a few pairs that are hardly similar enough, and verified by their shingles. Documents without words, and null ids, are linked with nothing.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text")).where("id is not null")
-    prints = X.materialize(rows.mapInArrow(lambda b: _wide_rows(b, shingle), "id long, fp binary"))
-    classes = X.materialize(prints.groupBy("fp").agg(F.min("id").alias("first")))
-    copies = prints.join(classes, "fp").where("id <> first").select("id", F.col("first").alias("other"))
+    prints = X.materialize(rows.mapInArrow(lambda b: _wide_rows(b, shingle), "id long, key binary, fp binary"))
+    classes = X.materialize(prints.groupBy("key", "fp").agg(F.min("id").alias("first")))
+    copies = prints.join(classes, ["key", "fp"]).where("id <> first").select("id", F.col("first").alias("other"))
     schema = "bucket long, id long, " + ", ".join(f"{w} long" for w in _CHECK)
     dealt = classes.select(F.col("first").alias("id"), "fp").mapInArrow(_bands, schema).repartition(X.partitions(docs.sparkSession), "bucket").sortWithinPartitions("bucket")
-    return components(dealt.mapInArrow(_near_in_buckets(bits_apart(similarity)), "id long, other long").distinct().unionAll(copies))
+    loose = components(dealt.mapInArrow(_near_in_buckets(bits_apart(similarity)), "id long, other long").distinct())
+    return components(_verified(rows, loose, similarity, shingle).unionAll(copies))

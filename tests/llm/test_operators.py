@@ -397,6 +397,26 @@ def test_contract_columns(spark, texts):
     assert all(len(r["fingerprint"]) == 16 for r in q["op6_simhash"](spark, SF).collect())
 
 
+def shared(rng, n, common):
+    """Two texts of ``n`` distinct five-word shingles each, of which ``common`` are the same."""
+    draw = lambda k: [f"w{rng.getrandbits(40)}" for _ in range(k)]
+    same = draw(common + 4)
+    return " ".join(same + draw(n - common)), " ".join(same + draw(n - common))
+
+
+def test_similar_documents_at_the_limit(spark):
+    """Pairs just above and just below the similarity, of several lengths."""
+    rng = random.Random(11)
+    rows, want = [], set()
+    for k in range(400):
+        n = (9, 45, 180, 360)[k % 4]
+        common = n * 8 // 9 if k < 240 else n * 8 // 9 - max(1, n // 60)  # Jaccard 0.8, or less
+        rows += zip((2 * k, 2 * k + 1), shared(rng, n, common))
+        want |= {(2 * k + 1, 2 * k)} if k < 240 else set()
+    found = {(r["id"], r["component"]) for r in simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found <= want and len(found) >= 0.99 * len(want)
+
+
 def test_similar_documents_count_a_repeated_line_once(spark):
     rng = random.Random(12)
     line = "all rights reserved by the owner of this"
@@ -431,3 +451,19 @@ def brute_links(n, links):
         for a, b in links:
             label[a] = label[b] = min(label[a], label[b])
     return label
+
+
+@pytest.mark.parametrize("cell", [512, 4])
+def test_similar_documents_are_verified_in_cells(spark, cell, monkeypatch):
+    """Groups that hang together by chains only, of more documents than a cell holds."""
+    monkeypatch.setattr(simhash, "CELL", cell, raising=False)
+    rng = random.Random(14)
+    words, rows = [f"w{rng.getrandbits(40)}" for _ in range(400)], []
+    for i in range(40):
+        words = words[18:] + [f"w{rng.getrandbits(40)}" for _ in range(18 if i % 8 else 70)]  # neighbours at 0.9, but each eighth is farther off
+        words = words[-400:]
+        rows.append((i, " ".join(words)))
+    sets = [{tuple(w[k : k + 5]) for w in [t.split()] for k in range(len(w) - 4)} for _, t in rows]
+    links = [(a, b) for a, b in itertools.combinations(range(40), 2) if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8]
+    found = {r["id"]: r["component"] for r in simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [found.get(i, i) for i in range(40)] == brute_links(40, links) and 1 < len(set(brute_links(40, links))) < 10
