@@ -86,12 +86,8 @@ def normalize_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.normalise_sum(views.parcels(spark, sf_dir).select("field_id", "area_ha"), "area_ha")
 
 
-_SOME = ["geom_area_ha", "geom_compactness", "attr_mean_yield", "attr_slope_pct", "ts_cv", "ts_slope"]
-
-
 def _fitted(spark: SparkSession, sf_dir: str):
-    rows = full_matrix(spark, sf_dir).where("crop_type IS NOT NULL").select("field_id", "crop_type", *_SOME)
-    return forest.fit(rows, _SOME, "crop_type", trees=20)
+    return forest.fit(full_matrix(spark, sf_dir).where("crop_type IS NOT NULL"), FEATURES, "crop_type")
 
 
 @register("rf_predict", "field_id:i crop_type:s predicted:s probability:d")
@@ -101,5 +97,5 @@ def rf_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("importances", "feature:s importance:d bar:s")
 def importances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    top = forest.importances(spark, _fitted(spark, sf_dir)[0], _SOME).orderBy(F.desc("importance"), "feature").limit(15)
+    top = forest.importances(spark, _fitted(spark, sf_dir)[0], FEATURES).orderBy(F.desc("importance"), "feature").limit(15)
     return top.withColumn("bar", F.expr("repeat('#', int(importance * 50))"))

@@ -127,3 +127,12 @@ def test_forest(spark):
     assert stats.fold_count(rows, "crop") == 5
     folds = stats.stratified_folds(rows, "crop", "k", 5).groupBy("crop", "fold").count().collect()
     assert {r["count"] for r in folds} == {6, 12}
+
+
+def test_registered_forest_is_whole(spark):
+    from parcelforge.plans import model_queries as M
+
+    model, rows, _ = M._fitted(spark, SF)
+    assert (model.getNumTrees, model.numFeatures, rows.count()) == (100, len(M.FEATURES), M.full_matrix(spark, SF).where("crop_type IS NOT NULL").count())
+    top = registry.queries()["importances"](spark, SF).collect()
+    assert len(top) == 15 and {r["feature"] for r in top} <= set(M.FEATURES)
