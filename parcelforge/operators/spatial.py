@@ -133,3 +133,9 @@ def matrix(both: DataFrame, ids: list) -> DataFrame:
     """The adjacency matrix of the given fields that have a shared boundary with any of them: rows and columns by id."""
     inside = both.where(F.col("src").isin(ids) & F.col("dst").isin(ids) & (F.col("shared_length_m") > 0))
     return inside.groupBy("src").pivot("dst", ids).agg(F.first("shared_length_m")).na.fill(0.0)
+
+
+def sparse_matrix(both: DataFrame) -> DataFrame:
+    """The cells over zero of the adjacency matrix of all fields, with the sum of their row; an edge has both its directions, so other rows and columns are empty."""
+    cells = both.where("shared_length_m > 0")
+    return cells.join(cells.groupBy("src").agg(F.sum("shared_length_m").alias("row_sum_m")), "src").select("src", "dst", "shared_length_m", "row_sum_m")

@@ -132,6 +132,14 @@ def adjacency_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.matrix(S.symmetric(_edges(spark, sf_dir)), _IDS).withColumnsRenamed({str(i): f"f{i}" for i in _IDS})
 
 
+_WHOLE = f"{_ADJ}, rs AS (SELECT src, sum(shared_length_m) AS row_sum_m FROM sy GROUP BY src HAVING sum(shared_length_m) > 0)"
+
+
+@register("adjacency_matrix_all", "src:i dst:i shared_length_m:d row_sum_m:d", f"{_WHOLE} --SELECT sy.src, sy.dst, shared_length_m, row_sum_m FROM sy JOIN rs ON rs.src = sy.src WHERE sy.dst IN (SELECT src FROM rs) AND shared_length_m > 0")
+def adjacency_matrix_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.sparse_matrix(S.symmetric(_edges(spark, sf_dir)))
+
+
 _CHOSEN = [1, 2, 3, 4, 5]
 _DM = f"{_G}, ch AS (SELECT * FROM g WHERE field_id BETWEEN 1 AND 5), pw AS (SELECT a.field_id AS src, b.field_id AS dst, sqrt((a.centroid_x - b.centroid_x) ** 2 + (a.centroid_y - b.centroid_y) ** 2) AS d FROM ch a CROSS JOIN ch b)"
 

@@ -136,3 +136,9 @@ def test_registered_forest_is_whole(spark):
     assert (model.getNumTrees, model.numFeatures, rows.count()) == (100, len(M.FEATURES), M.full_matrix(spark, SF).where("crop_type IS NOT NULL").count())
     top = registry.queries()["importances"](spark, SF).collect()
     assert len(top) == 15 and {r["feature"] for r in top} <= set(M.FEATURES)
+
+
+def test_adjacency_matrix_has_all_fields(spark):
+    found = registry.queries()["adjacency_matrix_all"](spark, SF).collect()
+    edges = [r for r in registry.queries()["adjacency_symmetric"](spark, SF).collect() if r["shared_length_m"] > 0]
+    assert {(r["src"], r["dst"]) for r in found} == {(r["src"], r["dst"]) for r in edges} and len({r["src"] for r in found}) > 8
