@@ -86,7 +86,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", block_b
     """
     kept = [c for c in docs.columns if c not in (text, "ids", "decoded")]
     rows = docs.select(*kept, F.coalesce(F.col(text), F.lit("")).alias("ids"))
-    shards = 2 * X.partitions(docs.sparkSession)
+    shards = X.shards(docs, block_bytes)
 
     def pack(table: pa.Table) -> dict:
         find, coder = regex.compile(pattern).findall, _Coder()
@@ -149,7 +149,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", block_b
         return table.append_column("decoded", _decoded(each, path)) if decoded else table
 
     blocks = X.to_blocks(rows, "ids", pack, block_bytes)
-    return X.settle(blocks, X.answer(X.ask(blocks, questions), reply), finish, schema)
+    return X.settle(blocks, X.answer(X.ask(blocks, questions), reply, shards), finish, schema)
 
 
 def _decoded(ids: list, path: str) -> pa.Array:

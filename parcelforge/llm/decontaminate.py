@@ -9,7 +9,8 @@ threshold less that share, and what it finds is scored with all words. A retriev
 shingles of five words (fewer where there are fewer) must stand in the text around the passage.
 
 The index is as large as the benchmark, which does not grow with the corpus; more than ``MAX_INDEX_BYTES`` of items are split by
-hash into several indexes, which are run one after the other over the corpus.
+hash into several indexes. They are built and run one after the other over the corpus, so that the driver holds one at a time, and all
+weigh words by the counts of the whole benchmark: how it is split does not change what is found.
 
 Defined results: one row for each document row and item found; null and empty texts and items match nothing; items with equal
 texts are each found; a row whose id is null is found with a null id.
@@ -20,6 +21,7 @@ from __future__ import annotations
 import functools
 import math
 import re
+import uuid
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -28,6 +30,8 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import exchange as X
+
 K1, B = 1.2, 0.75
 PART_WORDS = 64
 PASSAGE_WORDS = 2 * PART_WORDS
@@ -64,18 +68,25 @@ def overlap(part: list[str], around: list[str]) -> float:
     return len(mine & theirs) / len(mine)
 
 
+def _parts(text: str) -> list[Counter]:
+    w = words(text)
+    return [Counter(w[a : a + PART_WORDS]) for a in range(0, len(w), PART_WORDS)]
+
+
 class Index:
-    def __init__(self, items: list[tuple[int, str]]):
+    """Of some items; ``whole`` has the counts of all: in how many parts each word is, the number of parts, and of their words."""
+
+    def __init__(self, items: list[tuple[int, str]], whole: tuple[dict[str, int], int, int] | None = None):
         self.ids = [i for i, _ in items]
         self.split = [question_answer(t) for _, t in items]
         self.length = [len(q) + len(a) for q, a in self.split]
-        parts = [(k, Counter(w[a : a + PART_WORDS])) for k, (_, t) in enumerate(items) for w in [words(t)] for a in range(0, len(w), PART_WORDS)]
+        parts = [(k, c) for k, (_, t) in enumerate(items) for c in _parts(t)]
         self.item = [k for k, _ in parts]
-        df = Counter(t for _, c in parts for t in c)
-        mean = sum(c.total() for _, c in parts) / max(1, len(parts))
+        df, n_parts, n_words = whole or (Counter(t for _, c in parts for t in c), len(parts), sum(c.total() for _, c in parts))
+        mean = n_words / max(1, n_parts)
         self.own: list[dict[str, float]] = []
         for _, c in parts:
-            weight = {t: math.log(1 + (len(parts) - df[t] + 0.5) / (df[t] + 0.5)) * n * (K1 + 1) / (n + K1 * (1 - B + B * c.total() / mean)) for t, n in c.items()}
+            weight = {t: math.log(1 + (n_parts - df[t] + 0.5) / (df[t] + 0.5)) * n * (K1 + 1) / (n + K1 * (1 - B + B * c.total() / mean)) for t, n in c.items()}
             total = sum(weight.values())
             self.own.append({t: x / total for t, x in weight.items()})
         postings, self.common = defaultdict(list), 0.0
@@ -162,18 +173,45 @@ class Index:
         return [(self.ids[k], *x) for k, x in sorted(best.items())]
 
 
-@functools.lru_cache(4)
-def _index(items: tuple[tuple[int, str], ...]) -> Index:
-    return Index(list(items))
+_BUILT: dict[str, Index] = {}
 
 
-def _indexes(spark: SparkSession, benchmark: DataFrame, item_col: str, item_text: str) -> list[Broadcast]:
-    """The distinct items with a text, at most about ``MAX_INDEX_BYTES`` in each part; one part for any ordinary benchmark."""
-    items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text).alias("text")).where("length(text) > 0")
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = 1 + size // MAX_INDEX_BYTES
-    parts = (items.where(F.pmod(F.xxhash64("text"), F.lit(n)) == i).collect() for i in range(n))
-    return [spark.sparkContext.broadcast(tuple(sorted({(r["item"], r["text"]) for r in rows}, key=lambda x: (x[0] is None, x)))) for rows in parts]
+def _index(shared: Broadcast) -> Index:
+    """The index of a broadcast part, built once a Python worker."""
+    name, items, whole = shared.value
+    if name not in _BUILT:
+        _BUILT.clear()
+        _BUILT[name] = Index(items, whole)
+    return _BUILT[name]
+
+
+def _indexes(spark: SparkSession, benchmark: DataFrame, item_col: str, item_text: str) -> Iterator[tuple[Broadcast, bool]]:
+    """The distinct items with a text, at most about ``MAX_INDEX_BYTES`` in each part, and whether it is the only one."""
+    items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text).alias("text")).where("length(text) > 0").distinct()
+    n = 1 + (items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // MAX_INDEX_BYTES
+    if n > 1:
+        items = X.materialize(items.withColumn("part", F.pmod(F.xxhash64("text"), F.lit(n))))
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                rows = [(p, w, 1, 0) for p, t in zip(batch["part"].to_pylist(), batch["text"].to_pylist()) for c in _parts(t) for w in c]
+                rows += [(p, "", 1, c.total()) for p, t in zip(batch["part"].to_pylist(), batch["text"].to_pylist()) for c in _parts(t)]  # no word is empty
+                yield pa.RecordBatch.from_pylist([dict(zip(("part", "word", "parts", "words"), r)) for r in rows], schema=pa.schema([("part", pa.int64()), ("word", pa.string()), ("parts", pa.int64()), ("words", pa.int64())]))
+
+        sums = [F.sum(c).alias(c) for c in ("parts", "words")]
+        by_part = X.materialize(items.mapInArrow(count, "part long, word string, parts long, words long").groupBy("part", "word").agg(*sums))
+        all_parts, all_words = by_part.where("word = ''").agg(*sums).first()
+    for i in range(n):
+        mine, whole = items, None
+        if n > 1:
+            mine = items.where(F.col("part") == i)
+            df = by_part.join(by_part.where((F.col("part") == i) & (F.col("word") != "")).select("word"), "word").groupBy("word").agg(F.sum("parts").alias("n"))
+            whole = ({r["word"]: r["n"] for r in df.collect()}, all_parts, all_words)
+        found = sorted(((r["item"], r["text"]) for r in mine.select("item", "text").collect()), key=lambda x: (x[0] is None, x))
+        shared = spark.sparkContext.broadcast((uuid.uuid4().hex, found, whole))
+        yield shared, n == 1
+        if n > 1:
+            shared.destroy()
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -183,7 +221,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     def find(items: Broadcast) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index = _index(items.value)
+            index = _index(items)
             for batch in batches:
                 found = [(i, m) for i, t in enumerate(batch["text"]) for m in index.matches(t.as_py())]
                 ids = batch["id"].take(pa.array([i for i, _ in found], pa.int64()))
@@ -192,7 +230,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
         return rows.mapInArrow(run, f"id {kind}, item_id long, score double, question_overlap double, answer_overlap double")
 
-    parts = [find(items) for items in _indexes(docs.sparkSession, benchmark, item_col, item_text)]
+    parts = [find(items) if only else X.materialize(find(items)) for items, only in _indexes(docs.sparkSession, benchmark, item_col, item_text)]
     return functools.reduce(DataFrame.unionAll, parts).withColumnRenamed("id", id_col)
 
 
@@ -204,10 +242,13 @@ def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_col: s
 
     def without(rows: DataFrame, items: Broadcast) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index = _index(items.value)
+            index = _index(items)
             for batch in batches:
                 yield batch.filter(pa.array([not t.is_valid or not index.matches(t.as_py()) for t in batch[at]], pa.bool_()))
 
         return rows.mapInArrow(run, rows.schema)
 
-    return functools.reduce(without, _indexes(docs.sparkSession, benchmark, item_col, item_text), docs.toDF(*names)).toDF(*columns)
+    rows = docs.toDF(*names)
+    for items, only in _indexes(docs.sparkSession, benchmark, item_col, item_text):
+        rows = without(rows, items) if only else X.materialize(without(rows, items))
+    return rows.toDF(*columns)

@@ -6,13 +6,17 @@ A *block* is a few MB of whole rows, packed inside one input partition and shuff
 distinct keys of a block and not its tokens. A key that is in every block (a frequent word, a passage of all documents)
 costs its shard one entry a block, however often the blocks hold it.
 
-The blocked frame is the same exchange in every branch of a plan, so Spark's reuse of exchanges computes it once. Block ids
-come from the partition and the position within it; a lost executor's blocks are rebuilt from the same input split.
+The blocked frame is the same exchange in every branch of a plan, so Spark's reuse of exchanges computes it once. A block's id
+is a digest of its rows: a lost executor's blocks are rebuilt from the input, and if that gives other rows, or the same in another
+order, their answers find no block and the job fails (see ``settle``) instead of joining what does not belong together.
+
+A shard is one task's work. There are as many as the input's size calls for (``shards``), not as many as a setting says.
 """
 
 from __future__ import annotations
 
 import atexit
+import contextlib
 import ctypes
 import functools
 import pickle
@@ -23,6 +27,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -38,24 +43,86 @@ ROW_BYTES = 64
 BATCH_BYTES = 2 << 20
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bound this session's Arrow batches by bytes and the scan's batches by rows, so that long texts do not pile up in the JVM."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
-    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", 512)
+_OPTIONS = {"spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH_BYTES), "spark.sql.parquet.columnarReaderBatchSize": "512"}
+#: Folders made within each running ``scratch``.
+_MADE: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Bound Arrow batches by bytes and the scan's batches by rows, so that long texts do not pile up in the JVM.
+
+    These are options of the session, and they hold for what is executed meanwhile; then they are what they were.
+    """
+    before = {k: spark.conf.get(k, None) for k in _OPTIONS}
+    for k, v in _OPTIONS.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """At the end, the folders made meanwhile are removed but for the last one, which has the result."""
+    _MADE.append([])
+    try:
+        yield
+    finally:
+        made = _MADE.pop()
+    for path in made[:-1]:
+        _remove(spark, path)
+    if _MADE:
+        _MADE[-1] += made[-1:]
+
+
+def eagerly(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
+    """The result of ``make`` as a table in the shared folder, computed with ``small_batches``, and nothing else left there."""
+    with scratch(spark), small_batches(spark):
+        return materialize(make())
 
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Bytes of the input, as Spark estimates them, in a shard; and the least that a block is to send to a shard on average.
+SHARD_BYTES, PAYLOAD_BYTES = 64 << 20, 128
+
+
+def shards(df: DataFrame, block_bytes: int = BLOCK_BYTES) -> int:
+    """How many shards the rows of ``df`` call for: by their estimated size, two a shuffle partition at least.
+
+    There are at most so many that a block has some ``PAYLOAD_BYTES`` for each; larger inputs want larger blocks.
+    """
+    return max(2 * partitions(df.sparkSession), min(_estimate(df) // SHARD_BYTES, block_bytes // PAYLOAD_BYTES))
+
+
+def groups(df: DataFrame, bytes_each: int) -> int:
+    """How many groups of ``bytes_each`` the rows of ``df`` make up, by their estimated size."""
+    return max(1, min(_estimate(df) // bytes_each, 1 << 16))
+
+
+def _estimate(df: DataFrame) -> int:
+    """Spark's own estimate of the size, which runs no job; 0 where it has none (rows that came from an RDD count as exabytes)."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return size if size < 1 << 60 else 0
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``, which all executors and the driver see; removed when Python ends.
+    """A new folder below ``spark.checkpoint.dir``, which all executors and the driver see; removed when Python ends at the latest.
 
-    Only where that setting is absent (tests, local mode) a temporary folder is set in its place.
+    Only in local mode, where there is but one machine, a temporary folder takes the place of a missing setting.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or _own_root()
-    path = f"{root.rstrip('/')}/llm-{uuid.uuid4().hex}"
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    path = f"{(root or _own_root()).rstrip('/')}/llm-{uuid.uuid4().hex}"
     atexit.register(_remove, spark, path)
+    if _MADE:
+        _MADE[-1].append(path)
     return path
 
 
@@ -144,17 +211,30 @@ def to_blocks(df: DataFrame, text: str, pack: Callable[[pa.Table], dict], block_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = TaskContext.get().partitionId() << 32
         for i, table in enumerate(whole_blocks(batches, text, block_bytes)):
+            block = _digest(table, text, first + i)
             data = pickle.dumps(pack(table), 5)
             pieces = [data[a : a + PIECE_BYTES] for a in range(0, len(data), PIECE_BYTES)]
             n = len(pieces)
             del table, data
-            yield pa.RecordBatch.from_arrays([pa.array([first + i] * n), pa.array(range(n), pa.int32()), pa.array([n] * n, pa.int32()), pa.array(pieces, pa.binary())], schema=_BLOCK)
+            yield pa.RecordBatch.from_arrays([pa.array([block] * n), pa.array(range(n), pa.int32()), pa.array([n] * n, pa.int32()), pa.array(pieces, pa.binary())], schema=_BLOCK)
             del pieces
             let_go()
 
     return df.mapInArrow(run, BLOCK).repartition(partitions(df.sparkSession), "block")
 
 
+def _digest(table: pa.Table, text: str, place: int) -> int:
+    """Of the texts in their order, of the numbers in a column ``id`` if there is one, and of the place; never negative."""
+    h = xxhash.xxh64(seed=place)
+    for chunk in table[text].chunks:
+        for t in chunk:
+            h.update(t.as_buffer() if t.is_valid else b"")
+        h.update(pc.fill_null(pc.binary_length(chunk), -1).to_numpy(zero_copy_only=False).astype("<i8").tobytes())
+    if "id" in table.column_names and pa.types.is_int64(table.schema.field("id").type):
+        h.update(pc.fill_null(table["id"], -1).to_numpy().tobytes())
+    return h.intdigest() >> 1
+
+
 def whole(pieces: list[tuple[int, bytes]], block: int) -> dict:
     return pickle.loads(b"".join(data for _, data in sorted(pieces))) | {"block": block}
 
@@ -196,10 +276,11 @@ def ask(blocks: DataFrame, questions: Callable[[dict], Iterator[tuple[int, bytes
     return blocks.mapInArrow(run, PAYLOAD)
 
 
-def answer(asked: DataFrame, reply: Callable[[list[tuple[int, bytes]]], Iterator[tuple[int, bytes]]]) -> DataFrame:
+def answer(asked: DataFrame, reply: Callable[[list[tuple[int, bytes]]], Iterator[tuple[int, bytes]]], shards: int) -> DataFrame:
     """``reply`` gets all of a shard's ``(block, payload)``, ordered by block, and gives ``(block, payload)`` back.
 
-    A task holds the packed payloads of its few shards, unsorted: the JVM need not keep and sort them as well.
+    There is a task for each of the ``shards``, on average. It holds their packed payloads, unsorted: the JVM need not keep and sort
+    them as well.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,24 +292,34 @@ def answer(asked: DataFrame, reply: Callable[[list[tuple[int, bytes]]], Iterator
             yield from payload_rows([(shard, b, p) for b, p in reply(sorted(held.pop(shard), key=lambda x: x[0]))]).to_batches()
             let_go()
 
-    return asked.repartition(partitions(asked.sparkSession), "shard").mapInArrow(run, PAYLOAD)
+    return asked.repartition(shards, "shard").mapInArrow(run, PAYLOAD)
 
 
-def settle(blocks: DataFrame, answers: DataFrame, finish: Callable[[dict, dict[int, bytes]], pa.Table], schema: str) -> DataFrame:
-    """``finish`` gets each block with its answers by shard, and gives the rows that come of it."""
+def meet(blocks: DataFrame, answers: DataFrame, finish: Callable[[dict, pa.Table], pa.Table], schema: str) -> DataFrame:
+    """``finish`` gets each block with the rows of ``answers`` (which have a column ``block``) for it, and gives the rows that come of it.
+
+    Answers without their block mean that the block was built anew from rows in another order: that fails.
+    """
     empty = _empty(blocks.sparkSession, schema)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         row = of_group(left)
         if row is None:
+            if right.num_rows:
+                raise RuntimeError("a block was rebuilt from other rows than before: give the operator a table, or write its input as one")
             return empty
-        out = finish(row, dict(zip(right["shard"].to_pylist(), right["payload"].to_pylist())))
+        out = finish(row, right).cast(empty.schema)  # columns that are never null are declared as others are
         let_go()
         return out
 
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema)
 
 
+def settle(blocks: DataFrame, answers: DataFrame, finish: Callable[[dict, dict[int, bytes]], pa.Table], schema: str) -> DataFrame:
+    """``meet``, where ``finish`` gets each block with its answers by shard."""
+    return meet(blocks, answers, lambda row, right: finish(row, dict(zip(right["shard"].to_pylist(), right["payload"].to_pylist()))), schema)
+
+
 def _empty(spark: SparkSession, schema: str) -> pa.Table:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType

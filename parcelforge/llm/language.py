@@ -2,7 +2,7 @@
 
 A text is counted by its byte bigrams and trigrams, lower-cased and hashed. One-versus-one linear support vector machines
 first choose among language families, then among the languages of the chosen family. They are fitted on a bounded sample of
-labelled rows (``sample_rows``, evenly over the languages); prediction reads whole texts.
+labelled rows (``sample_rows``, evenly over the languages, each of which has a row at least); prediction reads whole texts.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; where no label was learned, every text is.
 Repeated rows each give a row.
@@ -26,7 +26,9 @@ from .sampling import sample_by_class
 SAMPLE_ROWS = 4000
 DIMENSIONS = 4096
 UNDETERMINED = "und"
-#: Languages (ISO 639-1) by family. A language that is not here is a family of its own.
+#: Languages of no listed family are put together by likeness, so many at most.
+OTHERS = 16
+#: Languages (ISO 639-1) by family.
 FAMILIES = {
     "germanic": "af da de en fy is lb nl no sv",
     "romance": "ca es fr gl it oc pt ro",
@@ -94,12 +96,25 @@ class Chooser:
         return best, least[np.arange(n), best]
 
 
+def families_of(x: np.ndarray, langs: np.ndarray) -> dict[str, str]:
+    """The family of each language: the listed one; others, up to ``OTHERS`` at once, form a family with those that are most like them."""
+    family = {lang: _FAMILY[lang] for lang in set(langs.tolist()) if lang in _FAMILY}
+    left = sorted(set(langs.tolist()) - set(family))
+    means = np.array([m / np.linalg.norm(m) for m in (x[langs == lang].mean(0) for lang in left)])
+    while left:
+        near = np.sort(np.argsort(-(means @ means[0]), kind="stable")[: OTHERS if len(left) > OTHERS else 1])
+        family |= {left[i]: f"like {left[0]}" for i in near}
+        means, left = np.delete(means, near, 0), [lang for i, lang in enumerate(left) if i not in near]
+    return family
+
+
 class Model:
     """Families first, then the languages within each."""
 
     def __init__(self, x: np.ndarray, langs: list[str]):
         langs = np.array(langs, dtype=object)
-        families = np.array([_FAMILY.get(x, x) for x in langs], dtype=object)
+        family = families_of(x, langs)
+        families = np.array([family[x] for x in langs], dtype=object)
         self.family = Chooser(x, families)
         self.within = [Chooser(x[families == f], langs[families == f]) for f in self.family.classes]
 

@@ -1,47 +1,53 @@
 """Operator 1: quality classifier by an interpolated modified Kneser-Ney n-gram model.
 
-The model's words are bytes and its order is five. It is trained on all trusted text: blocks send their distinct 5-grams with
-counts to shards by the two bytes before the last, so that a shard holds every longer count and history it needs; the counts
-by the last two bytes and the last byte (65,536 and 256 numbers, whatever the data) are known everywhere. Scoring is a
-sharded count join: blocks send their distinct 5-grams, shards join them with the counts and answer with log
-probabilities, and blocks sum them by document. A document is rejected if its perplexity is above its language's limit: a
-quantile of the perplexities of the trusted documents of that language, times a margin. Short texts are given the benefit of
-the doubt: the limit is widened by a standard error, which falls with the root of the text's length.
-
-A text that says one word over and over is predicted well, however poor it is: its perplexity cannot reject it. So the share
-of its words that repeat the word before is held to a quantile of the trusted documents of its language in the same way.
+The model's words are bytes and its order is five; a word that is the same as the word before it is one symbol, ``AGAIN``, and not
+spelled out, so that saying a word over and over is something that the model can learn, and finds cheap. It is trained on all trusted
+text: blocks send their distinct 5-grams with counts to shards by the two symbols before the last, so that a shard holds every longer
+count and history it needs; the counts by the last two symbols and the last one (65,536 and 256 numbers, whatever the data) are known
+everywhere. Scoring is a sharded count join: blocks send their distinct 5-grams, shards join them with the counts and answer with log
+probabilities, and blocks sum them by document. Where the input is so large that the blocks' questions about one frequent pair of
+symbols are more than a task should hold, blocks are dealt to groups, and each group has the counts (which the alphabet bounds).
+
+The perplexity is by byte of the text. A document is rejected if it is outside its language's limits: two quantiles of the
+perplexities of the trusted documents of that language, with a margin. Junk of odd characters is above them, junk of repeated words
+far below. Short texts are given the benefit of the doubt: the limits are widened by a standard error, which falls with the root of
+the text's length.
 
 Defined results: null and empty texts have no perplexity and are rejected. A null language, and one without
-trusted documents, has the limit of all trusted documents; with no trusted text at all nothing but empty texts is rejected.
-Repeated rows each give a row; a document that is labelled twice is trusted if any label says so.
+trusted documents, has the limits of all trusted documents; with no trusted text at all nothing but empty texts is rejected.
+Repeated rows each give a row; a document that is labelled twice is trusted if any label says so. Columns of the input that are named
+like one that is made (``MADE``) are replaced.
 """
 
 from __future__ import annotations
 
 import operator
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import exchange as X
 
 ORDER = 5
 BLOCK_BYTES = 4 << 20
-QUANTILE = 0.99
+QUANTILES = (0.01, 0.99)
 MARGIN = 1.15
-#: Natural logarithms that the limit is widened by, over the root of the number of bytes.
+#: Natural logarithms that the limits are widened by, over the root of the number of bytes.
 DOUBT = 2.0
-#: What the share of repeated words may exceed its quantile by, besides the doubt.
-REPEATS_ROOM = 0.25
-MAX_LANGUAGES = 200
+AGAIN = b"\1"
+MADE = ("perplexity", "n_bytes", "perplexity_least", "perplexity_most", "keep")
+#: Bytes of input whose blocks are answered together.
+GROUP_BYTES = 4 << 30
 #: Ids of trusted documents that are broadcast (16 bytes each); more are joined by a shuffle.
 MAX_BROADCAST_IDS = 4_000_000
 _PAD = b"\0" * (ORDER - 1)
-_CHUNK = 4 << 20
+_CHUNK = 1 << 20
+_SAME = re.compile(rb"(?<!\S)(\S+)(?:\s+\1(?!\S))+")
 #: Steps of a natural logarithm in the answers.
 _STEP = 2048.0
 
@@ -70,7 +76,7 @@ def _distinct(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _by_shard(codes: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Positions of the codes of a shard: by the two bytes before the last."""
+    """Positions of the codes of a shard: by the two symbols before the last."""
     shard = (((codes >> np.uint64(8)) & np.uint64(0xFFFF)) * np.uint64(2654435761) >> np.uint64(12)).astype(np.int64) % shards
     order = np.argsort(shard, kind="stable")
     cut = np.searchsorted(shard[order], np.arange(shards + 1))
@@ -78,8 +84,18 @@ def _by_shard(codes: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray]
         yield int(s), order[cut[s] : cut[s + 1]]
 
 
-def _texts(table: pa.Table, column: str) -> list[bytes]:
-    return [t or b"" for chunk in table[column].chunks for t in chunk.to_pylist()]
+def symbols(text: bytes) -> bytes:
+    """The text as the model reads it: of a run of equal words (by white space) the first, and ``AGAIN`` for each other."""
+    words = text.split()
+    if not any(map(operator.eq, words, words[1:])):
+        return text
+    return _SAME.sub(lambda run: run[1] + AGAIN * (len(run[0].split()) - 1), text)
+
+
+def _texts(table: pa.Table, column: str) -> tuple[list[bytes], np.ndarray]:
+    """The texts as the model reads them, and how many bytes they have."""
+    texts = [t or b"" for chunk in table[column].chunks for t in chunk.to_pylist()]
+    return list(map(symbols, texts)), np.array([len(t) for t in texts], np.int64)
 
 
 def _suffixes(codes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -89,14 +105,14 @@ def _suffixes(codes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def train(trusted: DataFrame, text: str = "text") -> dict:
     """The model: a table of counts by shard in the shared folder, and what is known everywhere."""
-    spark = trusted.sparkSession
-    shards = 2 * X.partitions(spark)
+    shards, groups = X.shards(trusted, BLOCK_BYTES), X.groups(trusted, GROUP_BYTES)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first = TaskContext.get().partitionId() << 32
+        first = TaskContext.get().partitionId()
         for i, table in enumerate(X.whole_blocks(batches, "text", BLOCK_BYTES)):
-            codes, counts = _distinct(_texts(table, "text"))
-            yield from X.payload_rows([(s, first + i, X.squeeze((np.diff(codes[at], prepend=np.uint64(0)), counts[at].astype(np.uint32)))) for s, at in _by_shard(codes, shards)]).to_batches()
+            codes, counts = _distinct(_texts(table, "text")[0])
+            yield from X.payload_rows([(s + shards * ((first + i) % groups), i, X.squeeze((np.diff(codes[at], prepend=np.uint64(0)), counts[at].astype(np.uint32)))) for s, at in _by_shard(codes, shards)]).to_batches()
+            X.let_go()
 
     def merge(got: list[tuple[int, bytes]]) -> Iterator[tuple[int, bytes]]:
         parts = [X.expand(p) for _, p in got]
@@ -118,7 +134,10 @@ def train(trusted: DataFrame, text: str = "text") -> dict:
                 yield pa.RecordBatch.from_arrays([pa.array(order, pa.int32()), pa.array(key, pa.int64()), pa.array(n, pa.int64())], ["order", "key", "n"])
 
     rows = trusted.select(F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text")).where("length(text) > 0")
-    table = X.materialize(X.answer(rows.mapInArrow(count, X.PAYLOAD), merge))
+    merged = X.answer(rows.mapInArrow(count, X.PAYLOAD), merge, shards * groups)
+    if groups > 1:
+        merged = X.answer(merged.withColumn("shard", (F.col("shard") % shards).cast("int")), merge, shards)
+    table = X.materialize(merged)
     found = table.mapInArrow(known, "order int, key long, n long").groupBy("order", "key").agg(F.sum("n").alias("n")).collect()
     of = {o: {r["key"]: r["n"] for r in found if r["order"] == o} for o in (5, 4, 3, 2)}
     two = np.zeros(1 << 16)
@@ -178,25 +197,21 @@ def probabilities(asked: np.ndarray, model: tuple[np.ndarray, np.ndarray] | None
     return p
 
 
-def repeats(text: bytes) -> float:
-    """The share of the words (by white space) that are the same as the word before."""
-    words = text.split()
-    return sum(map(operator.eq, words, words[1:])) / max(1, len(words))
-
-
 def perplexities(docs: DataFrame, model: dict, carry: list[str], text: str = "text") -> DataFrame:
-    """The columns ``carry`` of every row, its ``perplexity`` by byte (null without text), ``n_bytes`` and ``repeats``."""
+    """The columns ``carry`` of every row, its ``perplexity`` by byte (null without text) and ``n_bytes``."""
     p2, discounts, shards = model["p2"], model["discounts"], model["shards"]
+    carry = [c for c in carry if c not in ("perplexity", "n_bytes")]
     if not model["trained"]:
-        return docs.select(*carry, F.when(F.length(text) > 0, F.lit(256.0)).alias("perplexity"), F.octet_length(F.coalesce(F.col(text), F.lit(""))).cast("long").alias("n_bytes"), F.lit(0.0).alias("repeats"))
+        return docs.select(*carry, F.when(F.length(text) > 0, F.lit(256.0)).alias("perplexity"), F.octet_length(F.coalesce(F.col(text), F.lit(""))).cast("long").alias("n_bytes"))
     names = {c: f"c{i}" for i, c in enumerate(carry) if c != text}
     rows = docs.select(F.col(text).cast("binary").alias("t"), *(F.col(c).alias(n) for c, n in names.items()))
     kept = [*names.values(), *(["t"] if text in carry else [])]
+    groups = X.groups(docs, GROUP_BYTES)
 
     def questions(row: dict) -> Iterator[tuple[int, bytes]]:
-        codes, _ = _distinct(_texts(X.thaw(row["rows"]), "t"))
+        codes, _ = _distinct(_texts(X.thaw(row["rows"]), "t")[0])
         for s, at in _by_shard(codes, shards):
-            yield s, X.squeeze(np.diff(codes[at], prepend=np.uint64(0)))
+            yield s + shards * (row["block"] % groups), X.squeeze(np.diff(codes[at], prepend=np.uint64(0)))
 
     def reply(got: list[tuple[int, bytes]]) -> Iterator[tuple[int, bytes]]:
         counts = _model(got[0][1]) if got[0][0] == -1 else None
@@ -209,50 +224,52 @@ def perplexities(docs: DataFrame, model: dict, carry: list[str], text: str = "te
 
     def finish(row: dict, answers: dict[int, bytes]) -> pa.Table:
         table = X.thaw(row["rows"])
-        texts = _texts(table, "t")
+        texts, n = _texts(table, "t")
         codes, _ = _distinct(texts)
         nats = np.zeros(len(codes))
         for s, at in _by_shard(codes, shards):
-            nats[at] = X.expand(answers[s])
+            nats[at] = X.expand(answers[s + shards * (row["block"] % groups)])
         total = np.zeros(len(texts))
         for some, doc in _codes(texts):
             each, inverse = np.unique(some, return_inverse=True)
             total += np.bincount(doc, weights=nats[np.searchsorted(codes, each)][inverse], minlength=len(texts))
-        n = np.array([len(t) for t in texts])
         value = np.exp(total / _STEP / np.maximum(n, 1))
-        made = {"perplexity": pa.array(value, mask=n == 0), "n_bytes": pa.array(n, pa.int64()), "repeats": pa.array(map(repeats, texts), pa.float64())}
+        made = {"perplexity": pa.array(value, mask=n == 0), "n_bytes": pa.array(n, pa.int64())}
         return pa.table([*table.select(kept).columns, *made.values()], names=[*kept, *made])
 
     blocks = X.to_blocks(rows, "t", lambda t: {"rows": X.freeze(t)}, BLOCK_BYTES)
-    schema = ", ".join([*(f"{n} {rows.schema[n].dataType.simpleString()}" for n in kept), "perplexity double", "n_bytes long", "repeats double"])
-    answers = X.answer(X.ask(blocks, questions).unionAll(model["table"]), reply)
+    schema = ", ".join([*(f"{n} {rows.schema[n].dataType.simpleString()}" for n in kept), "perplexity double", "n_bytes long"])
+    counts = model["table"]
+    if groups > 1:
+        counts = counts.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).select((F.col("shard") + shards * F.col("group")).cast("int").alias("shard"), "block", "payload")
+    answers = X.answer(X.ask(blocks, questions).unionAll(counts), reply, shards * groups)
     done = X.settle(blocks, answers, finish, schema)
-    return done.select(*(F.col("t").cast("string").alias(c) if c == text else F.col(names[c]).alias(c) for c in carry), "perplexity", "n_bytes", "repeats")
+    return done.select(*(F.col("t").cast("string").alias(c) if c == text else F.col(names[c]).alias(c) for c in carry), "perplexity", "n_bytes")
 
 
 def trusted_ids(labels: DataFrame, id_col: str = "doc_id", label: str = "quality") -> DataFrame:
-    return labels.where(F.col(label) == 1).select(F.col(id_col).alias("_trusted")).where("_trusted is not null").distinct()
-
-
-def classify(docs: DataFrame, labels: DataFrame, carry: list[str], id_col: str = "doc_id", text: str = "text", lang: str = "lang", quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
-    """The columns ``carry`` (``id_col`` and ``lang`` among them), ``perplexity``, ``n_bytes``, ``repeats``, ``perplexity_limit``, ``repeats_limit`` and ``keep``."""
-    ids = trusted_ids(labels, id_col)
-    few = ids.count() <= MAX_BROADCAST_IDS
-    trusted = docs.join(F.broadcast(ids) if few else ids, F.col(id_col) == F.col("_trusted"), "left_semi")
-    scored = X.materialize(perplexities(docs, train(trusted, text), carry, text))
-    known = scored.join(ids, F.col(id_col) == F.col("_trusted"), "left_semi").where("perplexity is not null")
-    limits = [F.percentile_approx("perplexity", quantile, 10_000) * margin, F.percentile_approx("repeats", quantile, 10_000) + REPEATS_ROOM]
-    limits = [x.alias(n) for x, n in zip(limits, ("p", "r"))]
-    by_lang = known.groupBy(lang).agg(*limits, F.count("*").alias("n")).where(F.col(lang).isNotNull()).orderBy(F.desc("n"), lang).limit(MAX_LANGUAGES).collect()
+    return labels.where(F.col(label) == 1).select(F.col(id_col).alias("trusted")).where("trusted is not null").distinct()
+
+
+def classify(docs: DataFrame, labels: DataFrame, carry: list[str], id_col: str = "doc_id", text: str = "text", lang: str = "lang", quantiles: tuple[float, float] = QUANTILES, margin: float = MARGIN) -> DataFrame:
+    """The columns ``carry``, and of each row ``perplexity``, ``n_bytes``, ``perplexity_least``, ``perplexity_most`` and ``keep``."""
+    carry = [c for c in carry if c not in MADE]
+    name = {c: f"own{i}" for i, c in enumerate(dict.fromkeys([*carry, id_col, lang, text]))}
+    rows, key, own_lang = docs.select(*(F.col(c).alias(n) for c, n in name.items())), name[id_col], name[lang]
+    ids = X.materialize(trusted_ids(labels, id_col))
+    few = F.broadcast(ids) if ids.count() <= MAX_BROADCAST_IDS else ids
+    trusted = rows.join(few, F.col(key) == F.col("trusted"), "left_semi")
+    model = train(trusted, name[text])
+    scored = X.materialize(perplexities(rows, model, [n for c, n in name.items() if c != text or c in carry], name[text]))
+    known = scored.join(few, F.col(key) == F.col("trusted"), "left_semi").where("perplexity is not null")
+    low, high = (F.percentile_approx("perplexity", q, 10_000) for q in quantiles)
+    limits = [(low / margin).alias("low"), (high * margin).alias("high")]
+    by_lang = X.materialize(known.where(F.col(own_lang).isNotNull()).groupBy(F.col(own_lang).alias("of")).agg(*limits))  # as many rows as languages
     rest = known.agg(*limits).first()
-
-    def bound(name: str) -> Column:
-        other = F.lit(float("inf") if rest[name] is None else rest[name])
-        if not by_lang:
-            return other
-        table = F.create_map(*(F.lit(x) for r in by_lang for x in (r[lang], r[name])))
-        return F.coalesce(F.try_element_at(table, F.coalesce(F.col(lang), F.lit(""))), other)
-
-    doubt = DOUBT / F.sqrt(F.greatest("n_bytes", F.lit(1)))
-    scored = scored.withColumns({"perplexity_limit": bound("p") * F.exp(doubt), "repeats_limit": bound("r") + doubt})
-    return scored.withColumn("keep", F.coalesce((F.col("perplexity") <= F.col("perplexity_limit")) & (F.col("repeats") <= F.col("repeats_limit")), F.lit(False)))
+    doubt = F.exp(DOUBT / F.sqrt(F.greatest("n_bytes", F.lit(1))))
+    limited = scored.join(by_lang, F.col(own_lang) == F.col("of"), "left").withColumns({
+        "perplexity_least": F.coalesce("low", F.lit(0.0 if rest["low"] is None else rest["low"])) / doubt,
+        "perplexity_most": F.coalesce("high", F.lit(float("inf") if rest["high"] is None else rest["high"])) * doubt,
+    })
+    keep = F.coalesce(F.col("perplexity").between(F.col("perplexity_least"), F.col("perplexity_most")), F.lit(False))
+    return limited.select(*(F.col(name[c]).alias(c) for c in carry), "perplexity", "n_bytes", "perplexity_least", "perplexity_most", keep.alias("keep"))

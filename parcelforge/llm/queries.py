@@ -12,15 +12,14 @@ from . import bpe, decontaminate, exchange, language, multiindex, quality, shard
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    exchange.small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _classified(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ["doc_id", "lang"])
 
 
-def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
@@ -28,47 +27,56 @@ SHARDS = [f"shard-{i:03d}" for i in range(64)]
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A plan of built-in operators only; it needs no table of its own."""
     return sharding.place(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", SHARDS)
 
 
-def op4_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multiindex.neighbours(table(spark, sf_dir, "embeddings"))
 
 
-def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _without_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_bytes", "n_removed", (F.size("spans") / 2).cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
-def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hex_fingerprint().alias("fingerprint"), "component_id")
 
 
-def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = language.predict(docs, language.fit(docs))
     return found.select("doc_id", exchange.held_out("doc_id").alias("held_out"), "lang_pred", "score")
 
 
-def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _contaminated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
     return found.select("doc_id", exchange.held_out("doc_id").alias("held_out"), "score", "predicted")
 
 
-def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _counted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """With a cache of its own, empty at first: every distinct text is a miss."""
     cache = f"{exchange.shared_dir(spark)}/cache"
     return tokencount.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"), cache)
 
 
+_EAGER = {
+    "op1_quality": _classified, "op2_bpe": _encoded, "op4_multi_index": _neighbours, "op5_suffix_dedup": _without_repeats, "op6_simhash": _near_duplicates,
+    "op7_language": _languages, "op8_decontamination": _contaminated, "op9_toxicity": _toxicity, "op10_token_counts": _counted,
+}
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_bpe, op3_sharding, op4_multi_index, op5_suffix_dedup, op6_simhash, op7_language, op8_decontamination, op9_toxicity, op10_token_counts)}
+    """Those that read texts or vectors are computed when called, with options that hold for that long, and return a table."""
+    found = {k: lambda spark, sf_dir, f=f: exchange.eagerly(spark, lambda: f(spark, sf_dir)) for k, f in _EAGER.items()} | {"op3_sharding": op3_sharding}
+    return {k: found[k] for k in sorted(found, key=lambda k: int(k[2:].split("_")[0]))}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -491,4 +491,6 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5
     schema = "bucket long, id long, " + ", ".join(f"{w} long" for w in _CHECK)
     dealt = classes.select(F.col("first").alias("id"), "fp").mapInArrow(_bands, schema).repartition(X.partitions(docs.sparkSession), "bucket").sortWithinPartitions("bucket")
     loose = components(dealt.mapInArrow(_near_in_buckets(bits_apart(similarity)), "id long, other long").distinct())
-    return components(_verified(rows, loose, similarity, shingle).unionAll(copies))
+    named = X.materialize(components(_verified(rows, loose, similarity, shingle)))  # of first copies only: others follow theirs
+    follow = copies.join(named.withColumnRenamed("id", "first"), copies["other"] == F.col("first"), "left")
+    return named.unionAll(follow.select("id", F.coalesce("component", "other").alias("component")))

@@ -12,10 +12,13 @@ exchanges of blocks (see ``exchange``) find these strings without ever sorting t
    more than ``SHARD_BYTES``, its blocks are dealt to a triangle of shards so that any two blocks still meet in one.
 3. The smallest id of every window goes back to its blocks, which remove what has a smaller one than their own.
 
-The first step only leaves out windows that are in one document alone; it decides nothing else.
+The first step only leaves out windows that are in one document alone; it decides nothing else. As equal windows have equal names,
+arrays of different names have nothing to merge. Arrays of one name do, wherever it has several: within a shard by binary search of
+each array's sorted classes in the others, and between the cells of a triangle by the smallest id that any of them found.
 
 Defined results: null texts are empty; a null id counts as larger than all others; rows with equal ids never remove each
-other's bytes; repeated rows each give a row. Texts shorter than ``length`` are kept whole.
+other's bytes; repeated rows each give a row. Texts shorter than ``length`` are kept whole. Columns of the input named ``kept``,
+``n_bytes``, ``n_removed`` or ``spans`` are replaced; all others are carried along, whatever their names.
 """
 
 from __future__ import annotations
@@ -251,13 +254,13 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     made = ("kept", "n_bytes", "n_removed", "spans")
     rest = [c for c in docs.columns if c not in (text, id_col, *made)]
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"), F.struct(*rest).alias("rest") if rest else F.lit(None).cast("string").alias("rest"))
-    shards = 2 * X.partitions(docs.sparkSession)
+    shards = X.shards(docs, block_bytes)
 
     def questions(row: dict) -> Iterator[tuple[int, bytes]]:
         block = _Block(row, length)
         runs = np.bincount(block.inverse, weights=block.counts + length - 1, minlength=len(block.each))
         for s, at in block.by_shard(shards):
-            yield s, X.squeeze((block.each[at].astype(np.uint32), np.minimum(runs[at], 60_000).astype(np.uint16)))
+            yield s, X.squeeze((block.each[at].astype(np.uint32), runs[at].astype(np.uint32)))
 
     def shared(got: list[tuple[int, bytes]]) -> Iterator[tuple[int, bytes]]:
         names, sizes = zip(*(X.expand(p) for _, p in got))
@@ -327,8 +330,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
         return pa.table([block.table["id"], block.table["rest"], pa.array(kept, pa.binary()), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.list_(pa.int64()))], names=["id", "rest", *made])
 
     blocks = X.to_blocks(rows, "text", lambda t: {"rows": X.freeze(t)}, block_bytes)
-    masks = X.answer(X.ask(blocks, questions), shared)
-    least = X.answer(X.settle(blocks, masks, stretches, X.PAYLOAD), classes)
+    masks = X.answer(X.ask(blocks, questions), shared, shards)
+    least = X.answer(X.settle(blocks, masks, stretches, X.PAYLOAD), classes, shards)
     schema = f"id long, rest {rows.schema['rest'].dataType.simpleString()}, kept binary, n_bytes long, n_removed long, spans array<bigint>"
     done = X.settle(blocks, masks.unionAll(least), finish, schema)
     return done.select(F.col("id").alias(id_col), *(F.col("rest").getField(c).alias(c) for c in rest), *made)

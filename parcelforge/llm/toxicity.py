@@ -1,21 +1,29 @@
 """Operator 9: toxicity by compression distance.
 
-Two zstandard dictionaries are compared. The ordinary one is trained by the library's trainer on ordinary text. The toxic one
-is the same background followed by what toxic text adds to it: the spans that recur in toxic documents and that ordinary ones
-hardly have. Each word is a window; it is compressed with either dictionary, followed by a carrier that both hold (the
-compressor never looks for matches in a window's last bytes). The gain of a window is how many bytes shorter the toxic
-dictionary makes it. A document's shares of windows by gain go through a logistic calibration, fitted on documents that
-the toxic spans were not taken from.
-
-Defined results: null and empty texts have no window and get the calibration's constant. With no labels of one class,
-every score is the share of toxic labels. Repeated rows each give a row; repeated labels count as toxic if any is.
+Two zstandard dictionaries are trained with the library's trainer: one on windows of ordinary text, one on toxic windows. Labels are
+of documents, most of whose text is ordinary even where they are toxic, so the toxic windows are found first: those with a word that
+holds a string which is in many toxic documents and in hardly any ordinary one. A window is ``WINDOW`` words of running text, and
+the next begins at the next word. It is compressed twice: with the ordinary dictionary, and with the toxic one before it. (Two wholly
+different dictionaries would mostly differ in which ordinary strings either happens to hold.) The window is followed by a carrier that
+both hold, as the compressor never looks for matches in the last bytes. The difference of the two lengths is the window's gain.
+
+Gains are compared with thresholds, ``1`` to ``LEVELS``: each has as its weight the logarithm of how much more often the gains of
+windows of toxic documents lie there than those of ordinary ones. A document's sum of weights, over the root of its number of
+windows, is brought to a score by a logistic curve of one slope and one offset. Weights and curve are calibrated on the gains that
+each sampled document has with a toxic dictionary trained without the fold that it is in.
+
+Bounds of the labelled sample: ``SAMPLE_ROWS`` documents, half of either class, ``SAMPLE_BYTES`` in all (fewer documents, never parts of
+them), none longer than ``LONGEST`` bytes. Scoring reads whole texts.
+
+Defined results: null and empty texts have no window and get the curve's score for a sum of zero. With no labels of one class, every
+score is the share of toxic labels. Repeated rows each give a row; repeated labels count as toxic if any is. Ids may be of any type.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,128 +34,169 @@ from pyspark.sql import functions as F
 from . import exchange as X
 from .sampling import sample_by_class
 
-#: Labelled documents that are learned from, about, at most; half of either class.
-SAMPLE_ROWS = 8000
-BACKGROUND_BYTES = 16 << 10
-SPANS = 1000
-#: Lengths of the byte strings that are counted by document.
-GRAMS = (6, 9)
-#: A toxic gram is in at least so many toxic documents, and so many times as often as in ordinary ones.
-LEAST_DOCS, TIMES = 4, 10
-MOST_GAIN = 9
+#: Labelled documents that are learned from, about, at most; their bytes in all, and those of one.
+SAMPLE_ROWS, SAMPLE_BYTES, LONGEST = 8000, 64 << 20, 1 << 20
+FOLDS = 4
+#: Words in a window, and the longest word; a longer one is several.
+WINDOW, WORD = 2, 48
+ORDINARY_BYTES, TOXIC_BYTES = 16 << 10, 2 << 10
+#: The trainer's parameters: the length of the segments it picks, and of the strings it counts. And the bytes of windows it gets.
+SEGMENT, STRING, TRAINED_BYTES = 16, 6, 8 << 20
+#: Lengths of the strings that mark a word. Such a string is in so many toxic documents at least, and so many times as often as in ordinary ones.
+GRAMS, LEAST_DOCS, TIMES = (6, 9), 5, 15
+LEVELS = 8
+#: Windows that a document counts as having besides its own.
+FEW = 20
 THRESHOLD = 0.3
 
 
-def windows(text: str | None) -> list[bytes]:
-    return [b" " + w + b" " for w in (text or "").lower().encode().split()]
+def words(text: str | None) -> list[bytes]:
+    found = (text or "").lower().encode().split()
+    if max(map(len, found), default=0) <= WORD:
+        return found
+    return [w[i : i + WORD] for w in found for i in range(0, len(w), WORD)]
 
 
-def _grams(window: bytes) -> set[bytes]:
-    return {window[i : i + n] for n in GRAMS for i in range(max(1, len(window) - n + 1))}
+def windows(text: str | None) -> list[bytes]:
+    found = words(text)
+    if len(found) < WINDOW:
+        return [b" " + b" ".join(found) + b" "] if found else []
+    return [b" " + b" ".join(w) + b" " for w in zip(*(found[i:] for i in range(WINDOW)))]
 
 
-def _gram_docs(texts: list[str]) -> Counter:
-    found: Counter = Counter()
-    for t in texts:
-        found.update(set().union(*map(_grams, set(windows(t)))))
-    return found
+def _grams(word: bytes) -> set[bytes]:
+    spaced = b" " + word + b" "
+    return {spaced[i : i + n] for n in GRAMS for i in range(max(1, len(spaced) - n + 1))}
 
 
-def _spans(window: bytes, marked: set[bytes]) -> Iterator[bytes]:
-    """The longest stretches of the window that marked grams cover."""
-    start, end = 0, -1
-    for i in range(len(window)):
-        reach = max((i + n for n in GRAMS if window[i : i + n] in marked), default=-1)
-        if reach > 0 and i >= end:
-            if end > 0:
-                yield window[start:end]
-            start = i
-        end = max(end, reach)
-    if end > 0:
-        yield window[start:end]
+def _train(samples: list[bytes], size: int) -> bytes:
+    """The trainer's dictionary of the samples, evenly thinned to ``TRAINED_BYTES``; where there is too little for it, the samples themselves."""
+    step = -(-sum(map(len, samples)) // TRAINED_BYTES)
+    samples = samples[:: max(1, step)]
+    try:
+        return zstandard.train_dictionary(size, samples, k=SEGMENT, d=STRING, level=3).as_bytes()
+    except zstandard.ZstdError:
+        return b"".join(samples)[-size:]
 
 
 class Gains(dict):
-    """The gain of each window seen; equal windows are compressed once."""
+    """The gain of each window seen, up to ``LEVELS``; equal windows are compressed once."""
 
-    def __init__(self, background: bytes, toxic: bytes):
-        self.carrier = background[-32:]
-        self.each = [self._compressor(background + toxic * k + self.carrier) for k in (0, 1)]
+    def __init__(self, ordinary: bytes, toxic: bytes):
+        ordinary = ordinary.rjust(64)
+        self.carrier = ordinary[-32:]
+        self.each = [self._compressor(first + ordinary + self.carrier) for first in (b"", toxic)]
 
     @staticmethod
     def _compressor(content: bytes):
-        words = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        known = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         how = zstandard.ZstdCompressionParameters.from_level(9, source_size=64, dict_size=len(content), window_log=16, hash_log=15, chain_log=16, search_log=5, min_match=4, write_content_size=0, write_checksum=0, write_dict_id=0)
-        words.precompute_compress(compression_params=how)
-        return zstandard.ZstdCompressor(dict_data=words, compression_params=how).compress
+        known.precompute_compress(compression_params=how)
+        return zstandard.ZstdCompressor(dict_data=known, compression_params=how).compress
 
     def __missing__(self, window: bytes) -> int:
         ordinary, toxic = (len(c(window + self.carrier)) for c in self.each)
-        if len(self) > 1_000_000:
+        if len(self) > 100_000:
             self.clear()
-        gain = self[window] = min(MOST_GAIN, max(0, ordinary - toxic))
+        gain = self[window] = min(LEVELS, max(0, ordinary - toxic))
         return gain
 
-    def features(self, text: str | None) -> np.ndarray:
-        """Shares of windows by gain, from 2 on, as roots; the largest gain; and the roots of the shares from 4 on."""
-        gains = np.bincount(np.fromiter(map(self.__getitem__, windows(text)), np.int64), minlength=MOST_GAIN + 1)
-        share = gains[2:] / max(1, gains.sum())
-        most = np.flatnonzero(gains)[-1] if gains.any() else 0
-        return np.array([*np.sqrt(share), most / MOST_GAIN, np.sqrt(share[2:].sum()), share[2:].sum(), np.sqrt(share[3:].sum())])
+    def levels(self, text: str | None) -> np.ndarray:
+        """How many windows of the text have each gain."""
+        return np.bincount(np.fromiter(map(self.__getitem__, windows(text)), np.int64), minlength=LEVELS + 1)
+
+
+def _toxic_windows(toxic: list[tuple[int, str]], ordinary: list[str]) -> list[list[bytes]]:
+    """The different toxic windows without the documents of each fold, and of all; ``toxic`` has folds and texts."""
+    by_fold = [Counter() for _ in range(FOLDS)]
+    known: dict[bytes, set[bytes]] = {}
+    for fold, text in toxic:
+        each = set(words(text))
+        known |= {w: _grams(w) for w in each - known.keys()}
+        by_fold[fold].update(set().union(*map(known.__getitem__, each)))
+    total = sum(by_fold, Counter())
+    able = {g for g, n in total.items() if n >= LEAST_DOCS}
+    plain: Counter = Counter()
+    for text in ordinary:
+        plain.update(able & set().union(*map(_grams, set(words(text)))))
+    out = []
+    for left_out in range(FOLDS + 1):
+        some = [t for fold, t in toxic if fold != left_out]
+        n = {g: total[g] - (by_fold[left_out][g] if left_out < FOLDS else 0) for g in able}
+        marked = {g for g, k in n.items() if k >= LEAST_DOCS and k / len(some) >= TIMES * (plain[g] + 0.5) / len(ordinary)}
+        bad = {w for w, grams in known.items() if not marked.isdisjoint(grams)}
+        out.append(list(dict.fromkeys(w for t in some for w in windows(t) if not bad.isdisjoint(w.split()))))
+    return out
 
 
 def train(sample: list[tuple[int, str, int]]) -> dict:
-    """Dictionaries and calibration from ``(id, text, label)``."""
-    toxic, ordinary = ([(i, t) for i, t, y in sample if y == k] for k in (1, 0))
+    """The dictionaries from ``(fold, text, label)``: ``ordinary``, ``toxic``, and ``folds``, each trained without one."""
+    toxic, ordinary = ([(k, t) for k, t, y in sample if y == label] for label in (1, 0))
     if not toxic or not ordinary:
         return {"prior": float(bool(toxic)) if sample else 0.0}
-    pieces = [b"".join(w[i : i + 8]) for _, t in ordinary for w in [windows(t)] for i in range(0, len(w), 8)][:60_000]
-    try:
-        background = zstandard.train_dictionary(BACKGROUND_BYTES, pieces, level=3).as_bytes()
-    except zstandard.ZstdError:  # too little text for the trainer
-        background = b"".join(pieces)[-BACKGROUND_BYTES:]
-    background = background.rjust(64)
-
-    def spans(tox: list[tuple[int, str]], ord_docs: Counter) -> bytes:
-        docs = _gram_docs([t for _, t in tox])
-        marked = {g for g, k in docs.items() if k >= LEAST_DOCS and k / len(tox) >= TIMES * (ord_docs[g] + 0.5) / len(ordinary)}
-        marked -= {g for g in marked if len(g) > GRAMS[0] and any(g[i : i + GRAMS[0]] in marked for i in range(len(g) - GRAMS[0] + 1))}  # the shorter one says it
-        seen = Counter(s for _, t in tox for w in windows(t) for s in _spans(w, marked))
-        return b"".join(s for s, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:SPANS][::-1])
-
-    ord_docs = _gram_docs([t for _, t in ordinary])
-    half = [[(i, t) for i, t in toxic if zlib.crc32(b"half%d" % i) % 2 == k] for k in (0, 1)]
-    x, y = [], []
-    for k in (0, 1):  # calibrate on the half that the spans are not from
-        gains = Gains(background, spans(half[1 - k], ord_docs)) if half[1 - k] else Gains(background, b"")
-        x += [gains.features(t) for _, t in half[k]] + [gains.features(t) for i, t in ordinary if zlib.crc32(b"half%d" % i) % 2 == k]
-        y += [1] * len(half[k]) + [0] * sum(zlib.crc32(b"half%d" % i) % 2 == k for i, _ in ordinary)
-    return {"background": background, "toxic": spans(toxic, ord_docs), **_calibrate(np.array(x), np.array(y))}
-
-
-def _calibrate(x: np.ndarray, y: np.ndarray) -> dict:
-    """Logistic regression by Newton's method with a small ridge; ``weight`` undoes uneven sampling of the classes."""
-    mean, scale = x.mean(0), x.std(0) + 1e-9
-    z = np.hstack([(x - mean) / scale, np.ones((len(x), 1))])
-    w, ridge = np.zeros(z.shape[1]), np.append(np.ones(x.shape[1]), 1e-6)
-    for _ in range(30):
+    plain = [t for _, t in ordinary]
+    *folds, whole = (_train(w, TOXIC_BYTES) if w else b"" for w in _toxic_windows(toxic, plain))
+    size = sum(len(t) for t in plain) * WINDOW  # of all windows, about
+    step = max(1, size // TRAINED_BYTES)
+    return {"ordinary": _train([w for i, t in enumerate(plain) for w in windows(t)[i % step :: step]], ORDINARY_BYTES), "toxic": whole, "folds": folds}
+
+
+def calibrate(levels: np.ndarray, y: np.ndarray, odds: float = 0.0) -> dict:
+    """Weights of the gains, and the logistic curve, from the ``levels`` of documents and their labels; ``odds`` undo uneven sampling."""
+    share = [(levels[y == k].sum(0) + 0.5) / (levels[y == k].sum() + 0.5 * (LEVELS + 1)) for k in (0, 1)]
+    weights = np.log(share[1] / share[0])
+    s = evidence(levels, weights)
+    mean, scale = s.mean(), s.std() + 1e-9
+    z, w = np.stack([(s - mean) / scale, np.ones(len(s))], 1), np.zeros(2)
+    for _ in range(50):  # Newton's method, with a small ridge
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        step = np.linalg.solve((z * (p * (1 - p) + 1e-6)[:, None]).T @ z + np.diag(ridge), z.T @ (y - p) - ridge * w)
+        step = np.linalg.solve((z * (p * (1 - p) + 1e-6)[:, None]).T @ z + np.diag([1e-3, 0]), z.T @ (y - p) - [1e-3 * w[0], 0])
         w = w + np.clip(step, -2, 2)
-    return {"mean": mean, "scale": scale, "w": w}
+    slope = max(0.0, w[0] / scale)
+    return {"weights": weights, "slope": slope, "offset": w[1] - slope * mean + odds}
+
+
+def evidence(levels: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    return levels @ weights / np.sqrt(levels.sum(1) + FEW)
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> dict:
-    """Labelled rows that are not held out; the sampled ids are few (``sample_rows``), so they are broadcast."""
+    """Learned from labelled rows that are not held out; the sampled ids are few (``sample_rows``), so they are broadcast."""
     known = labels.select(F.col(id_col).alias("id"), F.col(label).cast("int").alias("y")).where(~X.held_out("id") & F.col("id").isNotNull() & F.col("y").isNotNull())
     chosen, counts = sample_by_class(known.groupBy("id").agg(F.max("y").alias("y")), "y", "id", sample_rows)
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).where("text is not null").join(F.broadcast(chosen), "id")
-    sample = sorted((r["id"], r["text"], r["y"]) for r in texts.collect())
-    model = train(sample)
-    if "w" in model:  # odds as in all labels, not as in the sample
-        n = Counter(y for _, _, y in sample)
-        model["w"][-1] += np.log(counts[1] / n[1]) - np.log(counts[0] / n[0])
-    return model
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).where(F.octet_length("text") <= LONGEST).join(F.broadcast(chosen), "id")
+    drawn = X.materialize(texts.withColumn("draw", F.pmod(F.xxhash64(F.lit("bytes"), F.col("id").cast("string")), F.lit(1 << 30)) / float(1 << 30)))
+    size = drawn.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    drawn = drawn.where(F.col("draw") < SAMPLE_BYTES / max(size, 1)) if size > SAMPLE_BYTES else drawn
+    rows = [(zlib.crc32(f"fold{r['id']}".encode()) % FOLDS, r["text"], r["y"]) for r in sorted(drawn.select("id", "text", "y").collect(), key=lambda r: (str(r["id"]), r["text"]))]
+    model = train(rows)
+    if "prior" in model:
+        return model
+    shared = docs.sparkSession.sparkContext.broadcast((model["ordinary"], model.pop("folds")))
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ordinary, folds = shared.value
+        each = [Gains(ordinary, x) for x in folds]
+        for batch in batches:
+            found = [each[zlib.crc32(f"fold{i}".encode()) % FOLDS].levels(t) for i, t in zip(batch["id"].to_pylist(), batch["text"].to_pylist())]
+            yield pa.RecordBatch.from_arrays([pa.array([x.tolist() for x in found], pa.list_(pa.int64())), batch["y"]], ["levels", "y"])
+
+    measured = drawn.select("id", "text", "y").repartition(X.partitions(docs.sparkSession)).mapInArrow(measure, "levels array<long>, y int").collect()
+    n = Counter(r["y"] for r in measured)
+    of_all = {r["class"]: r["n"] for r in counts.collect()}
+    odds = np.log(of_all[1] / n[1]) - np.log(of_all[0] / n[0])  # as in all labels, not as in the sample
+    measured.sort(key=lambda r: (r["y"], r["levels"]))
+    return model | calibrate(np.array([r["levels"] for r in measured], float), np.array([r["y"] for r in measured]), float(odds))
+
+
+def scores(model: dict, texts: Iterable[str | None]) -> np.ndarray:
+    """The score of each text."""
+    texts = list(texts)
+    if "prior" in model:
+        return np.full(len(texts), model["prior"])
+    gains = model.get("gains") or Gains(model["ordinary"], model["toxic"])
+    levels = np.array([gains.levels(t) for t in texts], float).reshape(len(texts), LEVELS + 1)
+    return 1 / (1 + np.exp(-np.clip(model["slope"] * evidence(levels, model["weights"]) + model["offset"], -30, 30)))
 
 
 def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -155,16 +204,12 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text: str = "tex
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        gains = Gains(m["background"], m["toxic"]) if "w" in m else None
+        own = shared.value
+        if "prior" not in own:
+            own = own | {"gains": Gains(own["ordinary"], own["toxic"])}
         for batch in batches:
-            if gains is None:
-                p = np.full(batch.num_rows, m["prior"])
-            else:
-                x = np.array([gains.features(t.as_py()) for t in batch.column(1)]).reshape(batch.num_rows, -1)
-                z = (x - m["mean"]) / m["scale"] @ m["w"][:-1] + m["w"][-1] if batch.num_rows else np.zeros(0)
-                p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p), pa.array((p >= THRESHOLD).astype(np.int32))], ["id", "score", "predicted"])
+            p = scores(own, (t.as_py() for t in batch.column(1)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p, pa.float64()), pa.array((p >= THRESHOLD).astype(np.int32))], ["id", "score", "predicted"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()

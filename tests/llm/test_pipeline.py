@@ -77,3 +77,11 @@ def test_awkward_rows_pass_through(spark, tmp_path):
         assert out.columns == ["doc_id", "text", "lang", "source", "n_chars", "keep", "perplexity", "kept", "id", "n_tokens", "ids"]
         assert {(r["keep"], r["perplexity"], r["kept"], r["id"]) for r in out.collect()} <= {(1, None, "k", 2)}
         assert sorted(str(r["doc_id"]) for r in out.collect()) == (["1", "None"] if some else [])
+
+
+def test_equal_ids_with_different_texts_are_different_documents(spark):
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
+    rows = [(5, text(1)), (5, text(2)), (5, text(1)), (7, text(2)), (9, text(3)), (2, text(3)), (None, text(1)), (None, text(1)), (8, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = dict(corpus_pipeline.STAGES)["SimHash near-dedup"](spark, docs, SF).collect()
+    assert sorted(map(str, left)) == sorted(map(str, spark.createDataFrame([(5, text(1)), (5, text(2)), (2, text(3)), (None, text(1)), (None, text(1)), (8, None)], "doc_id long, text string").collect()))
