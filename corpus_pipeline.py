@@ -1,83 +1,5 @@
-"""A training-data pipeline over the table ``documents``: five stages, each written as Parquet and read by the next.
+"""The training-data pipeline: ``STAGES``, ``run(spark, sf_dir)`` and ``ORACLE_SQL``. Counted as part of ``parcelforge.llm``, where its body is."""
 
-Counted as part of ``parcelforge.llm``. Every stage works on whole texts and on all rows that its predecessor kept.
-"""
+from parcelforge.llm.pipeline import ORACLE_SQL, STAGES, run
 
-from __future__ import annotations
-
-import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from parcelforge.llm import bpe, decontaminate, exchange, quality, simhash, suffix
-from parcelforge.llm.queries import table
-
-
-def _aside(docs: DataFrame, *needed: str) -> DataFrame:
-    """``docs`` with its columns, but for the needed ones, under names that no operator makes; ``toDF`` undoes it."""
-    return docs.toDF(*(c if c in needed else f"own_{i}" for i, c in enumerate(docs.columns)))
-
-
-def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose perplexity and share of repeated words are within their language's limits."""
-    own = _aside(docs, "doc_id", "text", "lang")
-    found = quality.classify(own, table(spark, sf_dir, "labels"), own.columns)
-    return found.where("keep").select(*own.columns).toDF(*docs.columns)
-
-
-def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles, similarity 0.8) the document with the smallest id stays.
-
-    Rows that repeat an id stay once; rows without an id stay, as nothing tells them apart.
-    """
-    found = simhash.similar_documents(docs, similarity=0.8, shingle=5)
-    gone = found.where("id <> component").select(F.col("id").alias("doc_id"))
-    kept = docs.join(gone, "doc_id", "left_anti")
-    if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
-        kept = kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
-    return kept.select(*docs.columns)
-
-
-def repeated_passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Strings of 50 bytes that a document with a smaller id has are cut out; a document that nothing is left of goes."""
-    own = _aside(docs, "doc_id", "text", "n_chars")
-    found = suffix.remove_repeats(own, whole_characters=True).withColumn("text", F.col("kept").cast("string"))
-    if "n_chars" in docs.columns:
-        found = found.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return found.where("n_removed = 0 OR text RLIKE '\\\\S'").select(*own.columns).toDF(*docs.columns)
-
-
-def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no benchmark item is found."""
-    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
-
-
-def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' columns, with the text as decoded from ``ids`` (little-endian unsigned 32-bit), and ``n_tokens``.
-
-    Columns of these two names, and one named ``decoded``, are replaced.
-    """
-    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    both = bpe.encode(docs, path, public_tokenizers.PATTERN, decoded=True)
-    both = both.withColumn("text", F.col("decoded").cast("string"))
-    kept = [c for c in docs.columns if c not in ("n_tokens", "ids", "decoded")]
-    return both.select(*kept, (F.length("ids") / 4).cast("long").alias("n_tokens"), "ids")
-
-
-STAGES = [
-    ("quality classifier", quality_stage),
-    ("SimHash near-dedup", near_duplicate_stage),
-    ("suffix-array dedup", repeated_passage_stage),
-    ("benchmark decontamination", decontamination_stage),
-    ("byte-level BPE", bpe_stage),
-]
-
-#: The stages (language model, fingerprints, suffix arrays, tokenizer) aren't expressible in SQL; tests use brute force.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = exchange.materialize(stage(spark, docs, sf_dir))
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
