@@ -15,10 +15,19 @@ def fence(df: DataFrame) -> DataFrame:
     return df.select(F.inline(F.array(F.struct(*df.columns))))
 
 
+def estimate(df: DataFrame) -> int:
+    """Spark's own estimate of the size in bytes, which runs no job; 0 where it has none (rows that came from an RDD count as exabytes)."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return size if size < 1 << 60 else 0
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
     """``df`` over at least as many partitions as there are cores, dealt by ``key``.
 
-    Only inputs of fewer splits than cores are shuffled: a small file whose rows take long to compute would keep one core busy.
+    Only inputs that are read in fewer splits than there are cores are shuffled: a small file whose rows take long to compute would
+    keep one core busy.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    return df.repartition(cores, key) if estimate(df) < cores * split else df

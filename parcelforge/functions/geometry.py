@@ -133,11 +133,26 @@ def point_segment_distance(p: Column, s: Column) -> Column:
     return F.hypot(p.x - s.a.x - t * dx, p.y - s.a.y - t * dy)
 
 
+def _inside(e: Column, p: Column) -> Column:
+    """Whether a ray from the point meets an odd number of the edges."""
+    crossed = F.filter(e, lambda s: ((s.a.y > p.y) != (s.b.y > p.y)) & (p.x < s.a.x + F.try_divide((p.y - s.a.y) * (s.b.x - s.a.x), s.b.y - s.a.y)))
+    return F.size(crossed) % 2 == 1
+
+
+def contains(polygons: Column, p: Column) -> Column:
+    """Whether the point is inside (holes are outside); on the boundary, either."""
+    return _inside(edges(polygons), p)
+
+
+def strictly_contains(polygons: Column, p: Column, least: float = 1e-6) -> Column:
+    """Whether the point is inside and at least so far from the boundary."""
+    return contains(polygons, p) & F.forall(edges(polygons), lambda s: point_segment_distance(p, s) > least)
+
+
 def point_polygon_distance(p: Column, polygons: Column) -> Column:
     """0 inside (holes are outside), else the distance to the nearest edge."""
     e = edges(polygons)
-    crossed = F.filter(e, lambda s: ((s.a.y > p.y) != (s.b.y > p.y)) & (p.x < s.a.x + F.try_divide((p.y - s.a.y) * (s.b.x - s.a.x), s.b.y - s.a.y)))
-    return F.when(F.size(crossed) % 2 == 1, 0.0).otherwise(F.array_min(F.transform(e, lambda s: point_segment_distance(p, s))))
+    return F.when(_inside(e, p), 0.0).otherwise(F.array_min(F.transform(e, lambda s: point_segment_distance(p, s))))
 
 
 def shared_length(a: Column, b: Column, tolerance: float) -> Column:
@@ -159,15 +174,23 @@ def shared_length(a: Column, b: Column, tolerance: float) -> Column:
     return _sum(a, lambda s: _sum(b, lambda t: overlap(s, t)))
 
 
-def edge_distance(a: Column, b: Column) -> Column:
-    """Least distance between the edges of two geometries; 0 where they cross."""
-
+def _cross_each_other(s: Column, t: Column) -> Column:
     def turn(p: Column, q: Column, c: Column) -> Column:
         return F.signum((q.x - p.x) * (c.y - p.y) - (q.y - p.y) * (c.x - p.x))
 
+    return (turn(s.a, s.b, t.a) * turn(s.a, s.b, t.b) < 0) & (turn(t.a, t.b, s.a) * turn(t.a, t.b, s.b) < 0)
+
+
+def edges_cross(a: Column, b: Column) -> Column:
+    """Whether an edge of one goes through an edge of the other."""
+    return F.exists(a, lambda s: F.exists(b, lambda t: _cross_each_other(s, t)))
+
+
+def edge_distance(a: Column, b: Column) -> Column:
+    """Least distance between the edges of two geometries; 0 where they cross, null without edges."""
+
     def one(s: Column, t: Column) -> Column:
-        cross = (turn(s.a, s.b, t.a) * turn(s.a, s.b, t.b) < 0) & (turn(t.a, t.b, s.a) * turn(t.a, t.b, s.b) < 0)
         near = F.least(point_segment_distance(s.a, t), point_segment_distance(s.b, t), point_segment_distance(t.a, s), point_segment_distance(t.b, s))
-        return F.when(cross, 0.0).otherwise(near)
+        return F.when(_cross_each_other(s, t), 0.0).otherwise(near)
 
     return F.array_min(F.flatten(F.transform(a, lambda s: F.transform(b, lambda t: one(s, t)))))

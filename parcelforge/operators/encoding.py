@@ -7,6 +7,8 @@ import itertools
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import stats
+
 #: Efficiency by irrigation type, drainage by soil type; others have the default.
 IRRIGATION = {"drip": 1.0, "sprinkler": 0.8, "center_pivot": 0.75, "furrow": 0.5, "flood": 0.3}
 DRAINAGE = {"sandy": 0.9, "loamy_sand": 0.75, "sandy_loam": 0.65, "loam": 0.5, "silty_loam": 0.4, "silty_clay": 0.25, "clay_loam": 0.2, "clay": 0.1}
@@ -42,9 +44,16 @@ def row_mean(columns: list[str]) -> Column:
     return F.try_divide(F.aggregate(there, F.lit(0.0), lambda acc, x: acc + x), F.size(there))
 
 
+#: Columns that a category may become.
+MOST_CATEGORIES = 2000
+
+
 def categories(df: DataFrame, column: str) -> list[str]:
-    """The sorted distinct values: as many as there will be columns or codes."""
-    return [r[0] for r in df.select(column).where(F.col(column).isNotNull()).distinct().orderBy(column).collect()]
+    """The sorted distinct values: as many as there will be columns. More than ``MOST_CATEGORIES`` are refused."""
+    found = [r[0] for r in df.select(column).where(F.col(column).isNotNull()).distinct().limit(MOST_CATEGORIES + 1).collect()]
+    if len(found) > MOST_CATEGORIES:
+        raise ValueError(f"{column} has more than {MOST_CATEGORIES} different values: too many for a column each")
+    return sorted(found)
 
 
 def label_codes(df: DataFrame, column: str, unknown: str | None = "unknown") -> DataFrame:
@@ -70,7 +79,7 @@ def min_max(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def impute_median(df: DataFrame, columns: list[str]) -> DataFrame:
     """Exact medians for nulls; a column without values becomes 0."""
-    fit = df.agg(*(F.median(c).alias(f"_m_{c}") for c in columns))
+    fit = df.agg(*(m.alias(f"_m_{c}") for c, m in stats.medians(df, columns).items()))
     return df.crossJoin(F.broadcast(fit)).withColumns({c: F.coalesce(F.col(c), F.col(f"_m_{c}"), F.lit(0.0)) for c in columns}).select(*df.columns)
 
 
@@ -88,7 +97,7 @@ def _scaled(c: str) -> Column:
 
 def impute_and_standardise(df: DataFrame, columns: list[str]) -> DataFrame:
     """``standardise`` after ``impute_median``, both fitted by one aggregate: the filled values shift its mean and deviation."""
-    fit = df.agg(F.count("*").alias("_n"), *(f(c).alias(f"_{n}_{c}") for c in columns for n, f in (("k", F.count), ("m", F.median), ("a", F.avg), ("v", F.var_pop))))
+    fit = df.agg(F.count("*").alias("_n"), *(f(c).alias(f"_{n}_{c}") for c in columns for n, f in (("k", F.count), ("a", F.avg), ("v", F.var_pop))), *(m.alias(f"_m_{c}") for c, m in stats.medians(df, columns).items()))
     fit = fit.withColumns({f"_m_{c}": F.coalesce(F.col(f"_m_{c}"), F.lit(0.0)) for c in columns})
     fit = fit.withColumns({f"_avg_{c}": F.try_divide(F.col(f"_k_{c}") * F.coalesce(f"_a_{c}", F.lit(0.0)) + (F.col("_n") - F.col(f"_k_{c}")) * F.col(f"_m_{c}"), F.col("_n")) for c in columns})
 

@@ -75,10 +75,10 @@ def neighbour_stats(m: DataFrame, radius: float = RADIUS) -> DataFrame:
 
 
 def adjacency(m: DataFrame, tolerance: float = TOLERANCE, size: float = 1000.0) -> DataFrame:
-    """Each adjacent pair once (``src < dst``): their boundaries are at most ``tolerance`` apart.
+    """Each adjacent pair once (``src < dst``): at most ``tolerance`` apart, as one that lies inside the other is, too.
 
-    ``shared_length_m`` is the overlap of edges that run along each other (0 for a corner contact); ``overlaps`` says that one
-    centroid lies inside the other field.
+    ``shared_length_m`` is the overlap of edges that run along each other (0 for a corner contact, or none); ``overlaps`` says that
+    the fields have area in common: their edges cross, a corner of one lies inside the other, or they are equal.
     """
     found = pairs(m, m, tolerance, size, half=True)
 
@@ -90,12 +90,20 @@ def adjacency(m: DataFrame, tolerance: float = TOLERANCE, size: float = 1000.0)
             & (F.least(s.a.y, s.b.y) - tolerance <= box.maxy) & (F.greatest(s.a.y, s.b.y) + tolerance >= box.miny)
         ))
 
+    def holds(own: str, other: str) -> Column:
+        """A polygon whose edges are all farther off lies inside if its first corner does."""
+        return F.exists(F.col(other).polygons, lambda p: G.contains(F.col(own).polygons, p[0][0]))
+
     near = fence(found.select("a", "b", facing("a", "b").alias("ea"), facing("b", "a").alias("eb")))
-    near = near.where(G.edge_distance(F.col("ea"), F.col("eb")) <= tolerance)
-    inside = (G.point_polygon_distance(F.col("a.center"), F.col("b.polygons")) == 0) | (G.point_polygon_distance(F.col("b.center"), F.col("a.polygons")) == 0)
+    near = near.where((F.coalesce(G.edge_distance(F.col("ea"), F.col("eb")), F.lit(float("inf"))) <= tolerance) | holds("a", "b") | holds("b", "a"))
+
+    def reaches_into(own: str, other: str) -> Column:
+        return F.exists(F.flatten(F.col(other).polygons), lambda r: F.exists(r, lambda c: G.strictly_contains(F.col(own).polygons, c)))
+
+    overlaps = F.coalesce(G.edges_cross(F.col("ea"), F.col("eb")), F.lit(False)) | (F.col("a.polygons") == F.col("b.polygons")) | reaches_into("a", "b") | reaches_into("b", "a")
     return near.select(
         F.col("a.id").alias("src"), F.col("b.id").alias("dst"), G.shared_length(F.col("ea"), F.col("eb"), tolerance).alias("shared_length_m"),
-        inside.alias("overlaps"), F.col("a.crop_type").alias("src_crop"), F.col("b.crop_type").alias("dst_crop"),
+        overlaps.alias("overlaps"), F.col("a.crop_type").alias("src_crop"), F.col("b.crop_type").alias("dst_crop"),
     )
 
 
@@ -129,13 +137,10 @@ def network(topology_: DataFrame) -> DataFrame:
     )
 
 
-def matrix(both: DataFrame, ids: list) -> DataFrame:
-    """The adjacency matrix of the given fields that have a shared boundary with any of them: rows and columns by id."""
-    inside = both.where(F.col("src").isin(ids) & F.col("dst").isin(ids) & (F.col("shared_length_m") > 0))
-    return inside.groupBy("src").pivot("dst", ids).agg(F.first("shared_length_m")).na.fill(0.0)
+def matrix(both: DataFrame) -> DataFrame:
+    """The adjacency matrix in sparse form: its cells over zero, of all fields, with the sum of their row.
 
-
-def sparse_matrix(both: DataFrame) -> DataFrame:
-    """The cells over zero of the adjacency matrix of all fields, with the sum of their row; an edge has both its directions, so other rows and columns are empty."""
+    Rows and columns without a shared boundary have no cell: as an edge has both its directions, both axes are masked alike.
+    """
     cells = both.where("shared_length_m > 0")
     return cells.join(cells.groupBy("src").agg(F.sum("shared_length_m").alias("row_sum_m")), "src").select("src", "dst", "shared_length_m", "row_sum_m")

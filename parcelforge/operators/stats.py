@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from parcelforge.functions.fence import estimate
+
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:
     return df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n"))
@@ -18,9 +22,60 @@ def class_counts(df: DataFrame, column: str, classes: list[str]) -> DataFrame:
     return table.join(counts, column, "left").select(F.col("position").cast("long").alias("position"), column, F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
+#: Bytes of a table whose exact percentiles may keep each distinct value in one buffer; and the values of a column that may.
+IN_ONE_BUFFER, VALUES = 1 << 30, 1_000_000
+#: Accuracy of the sketch that brackets a percentile: ranks are right to one part in so many.
+ACCURACY = 10_000
+
+
+def percentiles(df: DataFrame, columns: list[str], shares: list[float]) -> dict[str, Column]:
+    """By column an expression, for an aggregate over ``df``, of the array of its exact percentiles (interpolated; null for no values).
+
+    Small tables are summed up by Spark's exact aggregate, in the same pass as whatever else is asked. Of large ones, that would keep
+    each distinct value in one task: there the percentiles are worked out beforehand, and the expressions are literals. Each is
+    bracketed by a mergeable sketch, and the values in its bracket are bracketed again, until they are few enough for the exact one.
+    """
+    if estimate(df) <= IN_ONE_BUFFER:
+        return {c: F.percentile(c, F.array(*map(F.lit, shares))) for c in columns}
+    counts = df.agg(*(F.count(c).alias(c) for c in columns)).first()
+    wanted = [(c, q) for c in columns if counts[c] for q in shares]
+    rank = {k: k[1] * (counts[k[0]] - 1) for k in wanted}
+    bracket = {k: (-math.inf, math.inf) for k in wanted}
+    below, inside = dict.fromkeys(wanted, 0), {k: counts[k[0]] for k in wanted}
+
+    def values(k: tuple[str, float]) -> Column:
+        low, high = bracket[k]
+        return F.when(F.col(k[0]).cast("double").between(low, high), F.col(k[0]).cast("double"))
+
+    def each(keys: list, make) -> dict:
+        row = df.agg(*(make(k).alias(str(i)) for i, k in enumerate(keys))).first()
+        return {k: row[str(i)] for i, k in enumerate(keys)}
+
+    fixed: set[tuple[str, float]] = set()  # brackets that do not shrink: nearly all their values are those at the ends
+    while many := [k for k in wanted if inside[k] > VALUES and bracket[k][0] < bracket[k][1] and k not in fixed]:
+        def sketch(k: tuple[str, float]) -> Column:
+            at = (rank[k] - below[k]) / (inside[k] - 1)
+            room = 2 / ACCURACY + 2 / inside[k]
+            return F.percentile_approx(values(k), [max(0.0, at - room), min(1.0, at + room)], ACCURACY)
+
+        sketched = {k: tuple(v) for k, v in each(many, sketch).items()}
+        fixed |= {k for k, v in sketched.items() if v == bracket[k]}
+        bracket |= sketched
+        found = each(many, lambda k: F.struct(F.count_if(F.col(k[0]).cast("double") < bracket[k][0]), F.count(values(k))))
+        below |= {k: v[0] for k, v in found.items()}
+        inside |= {k: v[1] for k, v in found.items()}
+    exact = each(wanted, lambda k: F.percentile(values(k), min(1.0, max(0.0, (rank[k] - below[k]) / max(1, inside[k] - 1))))) if wanted else {}
+    return {c: F.array(*(F.lit(exact.get((c, q))).cast("double") for q in shares)) if counts[c] else F.lit(None).cast("array<double>") for c in columns}
+
+
+def medians(df: DataFrame, columns: list[str]) -> dict[str, Column]:
+    return {c: x[0] for c, x in percentiles(df, columns, [0.5]).items()}
+
+
 def describe(df: DataFrame, columns: list[str]) -> DataFrame:
     """One row a column: count, mean, sample deviation, minimum, exact quartiles, maximum."""
-    one = df.agg(*(F.struct(F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).cast("double").alias("min"), F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.max(c).cast("double").alias("max")).alias(c) for c in columns))
+    quartiles = percentiles(df, columns, [0.25, 0.5, 0.75])
+    one = df.agg(*(F.struct(F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).cast("double").alias("min"), quartiles[c].alias("q"), F.max(c).cast("double").alias("max")).alias(c) for c in columns))
     rows = one.select(F.explode(F.array(*(F.struct(F.lit(c).alias("name"), F.col(c).alias("s")) for c in columns))).alias("r"))
     return rows.select("r.name", "r.s.n", "r.s.mean", "r.s.std", "r.s.min", F.col("r.s.q")[0].alias("p25"), F.col("r.s.q")[1].alias("p50"), F.col("r.s.q")[2].alias("p75"), "r.s.max")
 
@@ -52,10 +107,31 @@ def fold_count(df: DataFrame, label: str, most: int = 5) -> int:
     return min(most, least or 0)
 
 
-def stratified_folds(df: DataFrame, label: str, key: str, folds: int, seed: int = 42) -> DataFrame:
-    """Rows of each class dealt in turn, in the order of a seeded hash of their key."""
-    shuffled = F.md5(F.concat_ws(":", F.lit(seed), F.col(key)))
-    return df.withColumn("fold", ((F.row_number().over(W.partitionBy(label).orderBy(shuffled, key)) - 1) % folds).cast("long"))
+def stratified_folds(df: DataFrame, label: str, key: str, most: int = 5, seed: int = 42) -> DataFrame:
+    """Rows of each class dealt in turn to as many folds as ``fold_count``, in the order of a seeded hash of their key.
+
+    A row's place is the number of rows in smaller ranges of the hash, from counts, plus its place in its own range: no class is
+    ranked in one task.
+    """
+    own = [c for c in df.columns if c != "fold"]
+    rows = df.select(*own, F.md5(F.concat_ws(":", F.lit(seed), F.col(key))).alias("_hash")).withColumn("_range", F.substring("_hash", 1, 3))
+    counts = rows.groupBy(F.col(label).alias("_class"), F.col("_range").alias("_of")).agg(F.count("*").alias("_n"))
+    before = W.partitionBy("_class").orderBy("_of").rowsBetween(W.unboundedPreceding, -1)  # 4096 ranges of a class, at most
+    starts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).select("_class", "_of", "_before")
+    folds = value_counts(df, label).agg(F.greatest(F.lit(1), F.least(F.lit(most), F.min("n"))).alias("_folds"))
+    placed = rows.join(starts, F.col(label).eqNullSafe(F.col("_class")) & (F.col("_range") == F.col("_of"))).crossJoin(F.broadcast(folds))
+    place = F.col("_before") + F.row_number().over(W.partitionBy(label, "_range").orderBy("_hash", key)) - 1
+    return placed.withColumn("fold", (place % F.col("_folds")).cast("long")).select(*own, "fold")
+
+
+def split(df: DataFrame, key: str, share: float, seed: int = 42) -> DataFrame:
+    """``df`` with ``test``, true for about this share of the rows: by a seeded hash of their key, so the same on every run."""
+    return df.withColumn("test", uniform(F.col(key), seed) < share)
+
+
+def uniform(key: Column, seed: int = 42) -> Column:
+    """A number from 0 to 1 (not reached) that depends on the key and the seed only: 52 bits of an MD5."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), key.cast("string"))), 1, 13), 16, 10).cast("double") / float(1 << 52)
 
 
 def confusion(df: DataFrame, label: str, prediction: str) -> DataFrame:

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from parcelforge.operators import encoding as E
 from parcelforge.operators import stats
+from parcelforge.operators import timeseries as T
 
 from . import views
-from .geometry_queries import geometry_features
+from .geometry_queries import FEATURES, geometry_features
 from .registry import register
 
 _P = views.P
@@ -82,10 +83,10 @@ def size_class_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.class_counts(size_class(spark, sf_dir).select("size_class"), "size_class", list(E.SIZE_CLASSES))
 
 
-_DESCRIBED = ["area_ha", "perimeter_km", "compactness"]
+_DESCRIBED = [c.split(":")[0] for c in FEATURES.split() if c != "n_vertices:i"] + ["n_vertices"]
 
 
-@register("describe_features", "name:s n:i mean:d std:d min:d p25:d p50:d p75:d max:d", f"{views.G_SQL} --" + " UNION ALL ".join(f"SELECT '{c}' AS name, count({c}) AS n, avg({c}) AS mean, stddev_samp({c}) AS std, min({c}) AS min, quantile_cont({c}, 0.25) AS p25, quantile_cont({c}, 0.5) AS p50, quantile_cont({c}, 0.75) AS p75, max({c}) AS max FROM g" for c in _DESCRIBED))
+@register("describe_features", "name:s n:i mean:d std:d min:d p25:d p50:d p75:d max:d", f"{views.G_SQL} --" + " UNION ALL ".join(f"SELECT '{c}' AS name, count({c}) AS n, avg({c}) AS mean, stddev_samp({c}::DOUBLE) AS std, min({c}) AS min, quantile_cont({c}::DOUBLE, 0.25) AS p25, quantile_cont({c}::DOUBLE, 0.5) AS p50, quantile_cont({c}::DOUBLE, 0.75) AS p75, max({c}) AS max FROM g" for c in _DESCRIBED))
 def describe_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.describe(geometry_features(views.parcels(spark, sf_dir), ["field_id"]).select(*_DESCRIBED), _DESCRIBED)
 
@@ -132,11 +133,27 @@ def minmax_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.min_max(ratios(views.fields(spark, sf_dir)).select("field_id", *_SCALED), _SCALED)
 
 
-@register("attribute_matrix", "field_id:i " + " ".join(f"{c}:d" for c in [*_SCALED, "area_size_code"]) + " " + " ".join(f"soil__{s}:i" for s in _SOILS), f"{_R} --SELECT field_id, {', '.join(map(_min_max, [*_SCALED, 'area_size_code']))}, " + ", ".join(f"(soil_type = '{s}')::INT AS soil__{s}" for s in _SOILS) + " FROM r")
+_CROPS = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
+_YOY = [f"yoy_change_{y}" for y in views.YEARS[1:]]
+_NUMBERS = [*_SCALED, "area_size_code", "crop_type_encoded", *_YOY]
+_CODED = f"""{_R}, q AS (SELECT r.*, dense_rank() OVER (ORDER BY coalesce(lower(crop_type), 'unknown')) - 1 AS crop_type_encoded, {', '.join(f'yield_{y} - yield_{x} AS yoy_change_{y}' for x, y in zip(views.YEARS, views.YEARS[1:]))} FROM r)"""
+
+
+@register("one_hot_crop", "field_id:i " + " ".join(f"crop__{c}:i" for c in _CROPS), f"{_P} --SELECT field_id, " + ", ".join(f"(crop_type = '{c}')::INT AS crop__{c}" for c in _CROPS) + " FROM p")
+def one_hot_crop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = views.parcels(spark, sf_dir).select("field_id", "crop_type")
+    return E.one_hot(rows, "crop_type", "crop", E.categories(rows, "crop_type"))
+
+
+@register("attribute_matrix", "field_id:i " + " ".join(f"{c}:d" for c in _NUMBERS) + " " + " ".join(f"crop__{c}:i" for c in _CROPS) + " " + " ".join(f"soil__{s}:i" for s in _SOILS), f"{_CODED} --SELECT field_id, {', '.join(map(_min_max, _NUMBERS))}, " + ", ".join([*(f"(crop_type = '{c}')::INT AS crop__{c}" for c in _CROPS), *(f"(soil_type = '{s}')::INT AS soil__{s}" for s in _SOILS)]) + " FROM q")
 def attribute_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    numbers = [*_SCALED, "area_size_code"]
-    rows = ratios(views.fields(spark, sf_dir)).select("field_id", "soil_type", *(F.col(c).cast("double").alias(c) for c in numbers))
-    return E.one_hot(E.min_max(rows, numbers), "soil_type", "soil", E.categories(rows, "soil_type"))
+    """Scaled numbers, the crop's code and the yearly changes among them, then an indicator for each crop and each soil."""
+    parcels = views.parcels(spark, sf_dir)
+    rows = ratios(views.fields(spark, sf_dir)).withColumn("label", F.coalesce(F.lower("crop_type"), F.lit("unknown")))
+    rows = rows.join(E.label_codes(parcels, "crop_type").withColumnRenamed("code", "crop_type_encoded"), "label")
+    rows = T.yearly_change(rows, views.YIELDS, ["field_id", "crop_type", "soil_type", *_SCALED, "area_size_code", "crop_type_encoded"])
+    scaled = E.min_max(rows.select("field_id", "crop_type", "soil_type", *(F.col(c).cast("double").alias(c) for c in _NUMBERS)), _NUMBERS)
+    return E.one_hot(E.one_hot(scaled, "crop_type", "crop", E.categories(parcels, "crop_type")), "soil_type", "soil", E.categories(parcels, "soil_type"))
 
 
 _IMPUTED = ["yield_1995", "yield_1998", "mean_yield"]

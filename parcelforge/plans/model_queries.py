@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from parcelforge.operators import encoding as E
 from parcelforge.operators import forest, stats
 from parcelforge.operators import timeseries as T
 
@@ -31,8 +32,8 @@ def full_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _FULL = f"""{ts_sql(list(_TS.values()))}, {views.FIELDS}, {views.G_SQL[len(views.P) + 2:].replace(', e AS (', ', ee AS (').replace('FROM e GROUP', 'FROM ee GROUP').replace('m AS (SELECT shape', 'mm AS (SELECT shape').replace('JOIN m USING', 'JOIN mm USING')},
- r AS (SELECT field_id, crop_type, list_avg({_LIST}) AS mean_yield, slope_pct, area_ha, {_score('irrigation_type', {'drip': 1.0, 'sprinkler': 0.8, 'center_pivot': 0.75, 'furrow': 0.5, 'flood': 0.3})} AS irrigation_efficiency_score,
- {_score('soil_type', {'sandy': 0.9, 'loamy_sand': 0.75, 'sandy_loam': 0.65, 'loam': 0.5, 'silty_loam': 0.4, 'silty_clay': 0.25, 'clay_loam': 0.2, 'clay': 0.1})} AS soil_drainage_score FROM f),
+ r AS (SELECT field_id, crop_type, list_avg({_LIST}) AS mean_yield, slope_pct, area_ha, {_score('irrigation_type', E.IRRIGATION)} AS irrigation_efficiency_score,
+ {_score('soil_type', E.DRAINAGE)} AS soil_drainage_score FROM f),
  full_ AS (SELECT g.field_id, r.crop_type, {', '.join(f'g.{c}::DOUBLE AS {n}' for n, c in _GEOM.items())}, {', '.join(f'r.{c} AS {n}' for n, c in _ATTR.items())}, {', '.join(f'tf.{c}::DOUBLE AS {n}' for n, c in _TS.items())}
  FROM g LEFT JOIN r USING (field_id) LEFT JOIN tf USING (field_id))"""
 
@@ -55,9 +56,22 @@ def min_class_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.value_counts(views.parcels(spark, sf_dir), "crop_type").agg(least.alias("least"), F.least(F.lit(5), least).alias("folds"))
 
 
-@register("stratified_folds", "field_id:i fold:i", f"{views.P} --SELECT field_id, (row_number() OVER (PARTITION BY crop_type ORDER BY md5('42:' || field_id), field_id) - 1) % 5 AS fold FROM p")
+@register("stratified_folds", "field_id:i fold:i", f"{views.P} --SELECT field_id, (row_number() OVER (PARTITION BY crop_type ORDER BY md5('42:' || field_id), field_id) - 1) % (SELECT greatest(1, least(5, min(n))) FROM (SELECT count(*) AS n FROM p GROUP BY crop_type)) AS fold FROM p")
 def stratified_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.stratified_folds(views.parcels(spark, sf_dir).select("field_id", "crop_type"), "crop_type", "field_id", 5)
+    return stats.stratified_folds(views.parcels(spark, sf_dir).select("field_id", "crop_type"), "crop_type", "field_id")
+
+
+_UNIFORM = "('0x' || substr(md5('42:' || p_partkey), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE"
+
+
+@register("train_test_split", "field_id:i test:i", f"SELECT p_partkey AS field_id, {_UNIFORM} < 0.2::DOUBLE AS test FROM part")
+def train_test_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.split(views.parcels(spark, sf_dir).select("field_id"), "field_id", 0.2)
+
+
+@register("uniform_numbers", "field_id:i u:d12", f"SELECT p_partkey AS field_id, {_UNIFORM} AS u FROM part")
+def uniform_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.parcels(spark, sf_dir).select("field_id", stats.uniform(F.col("field_id")).alias("u"))
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,6 +104,26 @@ def _fitted(spark: SparkSession, sf_dir: str):
     return forest.fit(full_matrix(spark, sf_dir).where("crop_type IS NOT NULL"), FEATURES, "crop_type")
 
 
+@register("cv_scores", "fold:i support:i accuracy:d mean:d deviation:d skipped:i")
+def cv_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest.cross_validate(full_matrix(spark, sf_dir).where("crop_type IS NOT NULL"), FEATURES, "crop_type", "field_id")
+
+
+def _predicted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """In sample, as lower-cased labels."""
+    return rf_predict(spark, sf_dir).select(F.lower("crop_type").alias("label"), "predicted")
+
+
+@register("rf_report", "class:s precision:d recall:d f1:d support:i")
+def rf_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.report(_predicted(spark, sf_dir), "label", "predicted")
+
+
+@register("rf_accuracy", "accuracy:d support:i")
+def rf_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.accuracy(_predicted(spark, sf_dir), "label", "predicted")
+
+
 @register("rf_predict", "field_id:i crop_type:s predicted:s probability:d")
 def rf_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forest.predict(*_fitted(spark, sf_dir), ["field_id", "crop_type"])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from parcelforge.functions import geometry as G
 from parcelforge.operators import spatial as S
+from parcelforge.operators import stats
 
 from . import views
 from .geometry_queries import DISTANCE
@@ -41,16 +42,30 @@ _ASIDE = "abs((t.{e}x - s.ax) * (s.by_ - s.ay) - (t.{f} - s.ay) * (s.bx - s.ax))
 _A1, _A2 = _ALONG.format(e="a", f="ay"), _ALONG.format(e="b", f="by_")
 _TURN = "sign(({q}.bx - {q}.ax) * ({p} - {q}.ay) - ({q}.by_ - {q}.ay) * ({o} - {q}.ax))"
 _CROSS = "({}) * ({}) < 0 AND ({}) * ({}) < 0".format(*(_TURN.format(q=q, o=f"{o}.{e}x", p=f"{o}.{f}") for q, o in (("s", "t"), ("t", "s")) for e, f in (("a", "ay"), ("b", "by_"))))
-_ADJ = f"""{_G}, {views.V}, {views.SEG}, half AS (SELECT a.field_id AS src, b.field_id AS dst, a.crop_type AS src_crop, b.crop_type AS dst_crop FROM g a JOIN g b ON a.field_id < b.field_id AND {_MEET.format(r=0.5)}),
- sp AS (SELECT src, dst, src_crop, dst_crop, CASE WHEN {_CROSS} THEN 0 ELSE least({_pd('s.ax', 's.ay', 't')}, {_pd('s.bx', 's.by_', 't')}, {_pd('t.ax', 't.ay', 's')}, {_pd('t.bx', 't.by_', 's')}) END AS dist,
+#: Pairs of fields (g) and what their edges (seg) have in common; ``{near}`` says which of them are adjacent.
+_PAIRS = """half AS (SELECT a.field_id AS src, b.field_id AS dst, a.crop_type AS src_crop, b.crop_type AS dst_crop FROM g a JOIN g b ON a.field_id < b.field_id AND """ + _MEET.format(r=0.5) + f"""),
+ sp AS (SELECT src, dst, src_crop, dst_crop, {_CROSS} AS crosses, CASE WHEN {_CROSS} THEN 0 ELSE least({_pd('s.ax', 's.ay', 't')}, {_pd('s.bx', 's.by_', 't')}, {_pd('t.ax', 't.ay', 's')}, {_pd('t.bx', 't.by_', 's')}) END AS dist,
  CASE WHEN {_ASIDE.format(e='a', f='ay')} <= 0.5 AND {_ASIDE.format(e='b', f='by_')} <= 0.5 THEN greatest(0, least({_LEN}, greatest({_A1}, {_A2})) - greatest(0, least({_A1}, {_A2}))) ELSE 0 END AS shared
- FROM half JOIN seg s ON s.field_id = src JOIN seg t ON t.field_id = dst),
+ FROM half JOIN seg s ON s.field_id = src JOIN seg t ON t.field_id = dst)"""
+_ADJ = f"""{_G}, {views.V}, {views.SEG}, {_PAIRS},
  ed AS (SELECT src, dst, src_crop, dst_crop, sum(shared) AS shared_length_m FROM sp GROUP BY ALL HAVING min(dist) <= 0.5),
  sy AS (SELECT * FROM ed UNION ALL SELECT dst, src, dst_crop, src_crop, shared_length_m FROM ed),
  tp AS (SELECT g.field_id AS id, count(src) AS n_adjacent_fields, coalesce(sum(shared_length_m), 0) AS total_shared_length_m, coalesce(avg(shared_length_m), 0) AS mean_shared_length_m, coalesce(max(shared_length_m), 0) AS max_shared_length_m,
  (count(src) = 0)::INT AS is_isolated, count(src) AS adjacency_degree, count(*) FILTER (src_crop = dst_crop) AS shared_crop_count, count(*) FILTER (src_crop <> dst_crop) AS different_crop_count FROM g LEFT JOIN sy ON sy.src = g.field_id GROUP BY g.field_id)"""
 
 
+def _points_in(points: str, own: str, other: str) -> str:
+    """Pairs, with each point of ``other``: whether it is inside ``own``, and how far from its edges."""
+    parity = "sum(((s.ay > c.y) <> (s.by_ > c.y) AND c.x < s.ax + (c.y - s.ay) * (s.bx - s.ax) / nullif(s.by_ - s.ay, 0))::INT) % 2 = 1"
+    return f"SELECT src, dst, {parity} AS inside, min({_pd('c.x', 'c.y', 's')}) AS off FROM half JOIN {points} c ON c.field_id = {other} JOIN seg s ON s.field_id = {own} GROUP BY src, dst, c.x, c.y"
+
+
+_MIXED = f"""{views.MIXED_SQL}, {_PAIRS}, pin AS ({_points_in('fc', 'src', 'dst')} UNION ALL {_points_in('fc', 'dst', 'src')}),
+ cin AS ({_points_in('(SELECT DISTINCT field_id, x, y FROM v)', 'src', 'dst')} UNION ALL {_points_in('(SELECT DISTINCT field_id, x, y FROM v)', 'dst', 'src')}),
+ ed AS (SELECT src, dst, src_crop, dst_crop, sum(shared) AS shared_length_m, bool_or(crosses) OR (src, dst) IN (SELECT (src, dst) FROM cin WHERE inside AND off > 1e-6) AS overlap FROM sp GROUP BY src, dst, src_crop, dst_crop
+ HAVING min(dist) <= 0.5 OR (src, dst) IN (SELECT (src, dst) FROM pin WHERE inside))"""
+
+
 @register("candidate_pairs", "src:i dst:i", f"{_CAND} --SELECT src, dst FROM cand")
 def candidate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = measured(spark, sf_dir).select("id", "box")
@@ -124,20 +139,21 @@ def network_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.network(_topology(spark, sf_dir))
 
 
-_IDS = [1, 2, 3, 4, 51, 52, 53, 54]
-
-
-@register("adjacency_matrix", "src:i " + " ".join(f"f{i}:d" for i in _IDS), f"{_ADJ} --SELECT src, " + ", ".join(f"coalesce(max(shared_length_m) FILTER (dst = {i}), 0) AS f{i}" for i in _IDS) + f" FROM sy WHERE src IN {tuple(_IDS)} AND dst IN {tuple(_IDS)} AND shared_length_m > 0 GROUP BY src")
+@register("adjacency_matrix", "src:i dst:i shared_length_m:d row_sum_m:d", f"{_ADJ}, rs AS (SELECT src, sum(shared_length_m) AS row_sum_m FROM sy GROUP BY src HAVING sum(shared_length_m) > 0) --SELECT sy.src, sy.dst, shared_length_m, row_sum_m FROM sy JOIN rs ON rs.src = sy.src WHERE sy.dst IN (SELECT src FROM rs) AND shared_length_m > 0")
 def adjacency_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.matrix(S.symmetric(_edges(spark, sf_dir)), _IDS).withColumnsRenamed({str(i): f"f{i}" for i in _IDS})
+    return S.matrix(S.symmetric(_edges(spark, sf_dir)))
 
 
-_WHOLE = f"{_ADJ}, rs AS (SELECT src, sum(shared_length_m) AS row_sum_m FROM sy GROUP BY src HAVING sum(shared_length_m) > 0)"
+@register("most_connected", "name:s field_id:i", f"{_ADJ} --SELECT 'most_connected' AS name, id AS field_id FROM tp ORDER BY n_adjacent_fields DESC, id LIMIT 1")
+def most_connected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _topology(spark, sf_dir).select(F.col("id").alias("field_id"), "n_adjacent_fields")
+    return stats.notable(found, "field_id", {"most_connected": ("n_adjacent_fields", True)})
 
 
-@register("adjacency_matrix_all", "src:i dst:i shared_length_m:d row_sum_m:d", f"{_WHOLE} --SELECT sy.src, sy.dst, shared_length_m, row_sum_m FROM sy JOIN rs ON rs.src = sy.src WHERE sy.dst IN (SELECT src FROM rs) AND shared_length_m > 0")
-def adjacency_matrix_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.sparse_matrix(S.symmetric(_edges(spark, sf_dir)))
+@register("adjacency_mixed", "src:i dst:i shared_length_m:d overlap:i src_crop:s dst_crop:s", f"{_MIXED} --SELECT * FROM ed")
+def adjacency_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields with holes, of several polygons, inside each other and overlapping."""
+    return S.adjacency(S.measured(views.mixed_parcels(spark, sf_dir), "field_id", ["crop_type"])).withColumnRenamed("overlaps", "overlap")
 
 
 _CHOSEN = [1, 2, 3, 4, 5]

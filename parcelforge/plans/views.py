@@ -40,6 +40,30 @@ def parcels(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Six fields on each site, in metres from its origin, as polygons of rings: one with a hole, one inside it, one inside the hole, one
+#: that overlaps it, one of two polygons that are beside it and 0.3 m off, and one in a corner of the hole.
+MIXED = [
+    [[[(0, 0), (1000, 0), (1000, 1000), (0, 1000)], [(600, 600), (800, 600), (800, 800), (600, 800)]]],
+    [[[(100, 100), (200, 100), (200, 200), (100, 200)]]],
+    [[[(680, 680), (720, 680), (720, 720), (680, 720)]]],
+    [[[(970, 990), (1100, 990), (1100, 1100), (970, 1100)]]],
+    [[[(-100, 0), (0, 0), (0, 100), (-100, 100)]], [[(-100.3, 400), (-0.3, 400), (-0.3, 500), (-100.3, 500)]]],
+    [[[(600, 600), (640, 600), (640, 640), (600, 640)]]],
+]
+SITE = 3000
+
+
+def mixed_parcels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A field of every part: ``MIXED`` by ``field_id % 6``, on a site of its six."""
+    k = F.col("p_partkey")
+    site = F.floor(k / len(MIXED))
+    east, north = EAST + (site % COLUMNS) * SITE, F.floor(site / COLUMNS) * SITE
+    shape = F.when(F.lit(False), None)
+    for i, polygons in enumerate(MIXED):
+        shape = shape.when(k % len(MIXED) == i, F.array(*(F.array(*(G.ring([(east + x, north + y) for x, y in ring]) for ring in p)) for p in polygons)))
+    return spread(read(spark, sf_dir, "part"), "p_partkey").select(k.alias("field_id"), F.col("p_type").alias("crop_type"), shape.alias("polygons"))
+
+
 def yields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One column a year: one pass with partial aggregation, no pivot job."""
     year, items = F.year("l_shipdate"), read(spark, sf_dir, "lineitem")
@@ -75,3 +99,9 @@ g AS (SELECT field_id, crop_type, area / 10000 AS area_ha, perimeter / 1000 AS p
  hull_area / 10000 AS convex_hull_area_ha, hull_perimeter / 1000 AS convex_hull_perimeter_km, area / hull_area AS solidity, hull_perimeter / perimeter AS convexity, n AS n_vertices, (x1 - x0) * (y1 - y0) / 10000 AS bbox_area_ha,
  area / ((x1 - x0) * (y1 - y0)) AS bbox_fill_ratio, x1 - x0 AS bbox_width_m, y1 - y0 AS bbox_height_m, ox + mx AS centroid_x, oy + my AS centroid_y, perimeter / sqrt(area) AS edge_density,
  ox + x0 AS minx, ox + x1 AS maxx, oy + y0 AS miny, oy + y1 AS maxy FROM p JOIN m USING (shape) JOIN bb USING (shape) JOIN h USING (shape))"""
+#: The same for ``mixed_parcels``: corners of all rings (v), edges (seg), boxes (g), and the first corner of each polygon (fc).
+MIXED_SQL = f"""corner(shape, part, ring, i, dx, dy) AS (VALUES {", ".join(f"({s}, {p}, {r}, {i}, {x}::DOUBLE, {y}::DOUBLE)" for s, polygons in enumerate(MIXED) for p, rings in enumerate(polygons) for r, c in enumerate(rings) for i, (x, y) in enumerate([*c, c[0]]))}),
+v AS (SELECT p_partkey AS field_id, p_type AS crop_type, part, ring, i, {EAST} + ((p_partkey // {len(MIXED)}) % {COLUMNS}) * {SITE} + dx AS x, ((p_partkey // {len(MIXED)}) // {COLUMNS}) * {SITE} + dy AS y FROM part JOIN corner ON p_partkey % {len(MIXED)} = shape),
+seg AS (SELECT a.field_id, a.crop_type, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by_ FROM v a JOIN v b ON a.field_id = b.field_id AND a.part = b.part AND a.ring = b.ring AND b.i = a.i + 1),
+g AS (SELECT field_id, crop_type, min(x) AS minx, max(x) AS maxx, min(y) AS miny, max(y) AS maxy FROM v GROUP BY ALL),
+fc AS (SELECT field_id, part, x, y FROM v WHERE ring = 0 AND i = 0)"""

@@ -84,6 +84,22 @@ def test_adjacency(spark):
     assert (rows[1]["n_adjacent_fields"], rows[1]["shared_crop_count"], rows[1]["different_crop_count"], rows[5]["is_isolated"]) == (2, 1, 1, 1)
 
 
+def test_adjacency_of_fields_inside_each_other(spark):
+    inner = lambda a, b, c, d: [(a, b), (c, b), (c, d), (a, d)]
+    big, hole = inner(0, 0, 100, 100), inner(60, 60, 90, 90)
+    shapes = [
+        (1, "a", [[big, hole]]), (2, "a", [[inner(40, 40, 55, 55)]]), (3, "b", [[inner(70, 70, 80, 80)]]), (4, "b", [[inner(70, 90, 140, 110)]]), (5, "b", [[inner(200, 0, 210, 10)], [inner(10, 10, 20, 20)]]),
+        (6, "a", [[inner(60, 60, 65, 65)]]), (7, "c", [[inner(300, 300, 310, 310)]]), (8, "c", [[inner(300, 300, 310, 310)]]), (9, "c", [[inner(310, 300, 320, 310)]]),
+    ]
+    m = S.measured(table(spark, shapes), "field_id", ["crop_type"])
+    found = {(r["src"], r["dst"]): (r["overlaps"], r["shared_length_m"]) for r in S.adjacency(m).collect()}
+    length = pytest.approx
+    assert found == {
+        (1, 2): (True, 0), (1, 4): (True, length(20)), (1, 5): (True, 0), (1, 6): (False, length(10)),  # inside; overlapping, along the hole; one of two inside; in a corner of the hole
+        (7, 8): (True, length(40)), (7, 9): (False, length(10)), (8, 9): (False, length(10)),  # equal; beside
+    }
+
+
 def test_grid_join_is_the_theta_join(spark):
     import random
 

@@ -29,7 +29,7 @@ def test_query_matches_oracle(spark, oracle, name):
     rows = df.select(sorted(df.columns)).collect()
     sql = registry.oracle_sql().get(name)
     if sql is None:
-        assert name in ("rf_predict", "importances") and rows
+        assert name in ("rf_predict", "importances", "rf_report", "rf_accuracy", "cv_scores") and rows
         return
     rel = oracle.execute(sql)
     names = [c[0] for c in rel.description]
@@ -125,10 +125,54 @@ def test_forest(spark):
     done = forest.predict(model, prepared, names, ["k", "crop"])
     assert stats.accuracy(done, "crop", "predicted").first()["accuracy"] > 0.95 and model.getNumTrees == 10
     assert stats.fold_count(rows, "crop") == 5
-    folds = stats.stratified_folds(rows, "crop", "k", 5).groupBy("crop", "fold").count().collect()
+    folds = stats.stratified_folds(rows, "crop", "k").groupBy("crop", "fold").count().collect()
     assert {r["count"] for r in folds} == {6, 12}
 
 
+def test_cross_validation(spark):
+    rows = spark.createDataFrame([(i, "a" if i % 3 else "b", float(i % 3 == 0) + i / 1000, float(i)) for i in range(90)], "k long, crop string, x double, y double")
+    found = forest.cross_validate(rows, ["x", "y"], "crop", "k", most=3, trees=10).collect()
+    assert [r["fold"] for r in found] == [0, 1, 2] and {r["support"] for r in found} == {30} and not any(r["skipped"] for r in found)
+    each = [r["accuracy"] for r in found]
+    assert min(each) > 0.9 and found[0]["mean"] == pytest.approx(sum(each) / 3) and found[0]["deviation"] == pytest.approx((sum((x - sum(each) / 3) ** 2 for x in each) / 3) ** 0.5)
+    few = rows.where("crop = 'a' OR k = 0")
+    assert [tuple(r) for r in forest.cross_validate(few, ["x", "y"], "crop", "k").collect()] == [(None, 0, 0.0, 0.0, 0.0, True)]
+
+
+def test_folds_are_even_in_every_class(spark):
+    rows = spark.createDataFrame([(i, "abc"[(i % 10) // 4]) for i in range(2003)] + [(5000 + i, None) for i in range(7)], "k long, c string")
+    folds = stats.stratified_folds(rows, "c", "k").collect()
+    assert len(folds) == 2010
+    for c in ("a", "b", "c", None):
+        n = [sum(r["c"] == c and r["fold"] == f for r in folds) for f in range(5)]
+        assert max(n) - min(n) <= 1
+
+
+def test_percentiles_of_large_tables_are_exact(spark, monkeypatch):
+    """Bracketed again and again, until few values are left, as by the exact aggregate: of ties, nulls, heavy tails and empty columns."""
+    import random
+
+    import numpy as np
+
+    rng = random.Random(8)
+    values = [(rng.paretovariate(0.3), float(rng.randint(0, 3)), None if rng.random() < 0.5 else rng.gauss(0, 1), None, i) for i in range(5000)]
+    df = spark.createDataFrame(values, "a double, b double, c double, d double, e long")
+    shares = [0.0, 0.25, 0.5, 0.777, 1.0]
+    monkeypatch.setattr(stats, "VALUES", 20)
+    monkeypatch.setattr(stats, "ACCURACY", 40)
+    monkeypatch.setattr(stats, "IN_ONE_BUFFER", -1)
+    got = df.agg(*(x.alias(c) for c, x in stats.percentiles(df, df.columns, shares).items())).first()
+    for i, c in enumerate("abcde"):
+        have = [float(v[i]) for v in values if v[i] is not None]
+        assert got[c] == (pytest.approx(np.quantile(have, shares).tolist(), rel=1e-12) if have else None)
+    assert [r["b"] for r in E.impute_median(spark.createDataFrame([(5.0,), (None,), (1.0,), (2.0,)], "b double"), ["b"]).orderBy("b").collect()] == [1, 2, 2, 5]
+
+
+def test_categories_are_bounded(spark):
+    with pytest.raises(ValueError, match="too many"):
+        E.categories(spark.range(E.MOST_CATEGORIES + 1).selectExpr("CAST(id AS string) AS s"), "s")
+
+
 def test_registered_forest_is_whole(spark):
     from parcelforge.plans import model_queries as M
 
@@ -139,6 +183,6 @@ def test_registered_forest_is_whole(spark):
 
 
 def test_adjacency_matrix_has_all_fields(spark):
-    found = registry.queries()["adjacency_matrix_all"](spark, SF).collect()
+    found = registry.queries()["adjacency_matrix"](spark, SF).collect()
     edges = [r for r in registry.queries()["adjacency_symmetric"](spark, SF).collect() if r["shared_length_m"] > 0]
     assert {(r["src"], r["dst"]) for r in found} == {(r["src"], r["dst"]) for r in edges} and len({r["src"] for r in found}) > 8
