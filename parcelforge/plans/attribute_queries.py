@@ -39,9 +39,9 @@ def row_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.fields(spark, sf_dir).select("field_id", E.row_mean(views.YIELDS).alias("mean_yield"))
 
 
-def ratios(fields: DataFrame) -> DataFrame:
+def ratios(fields: DataFrame, yields: list[str] = views.YIELDS) -> DataFrame:
     """Derived attributes beside the columns of ``fields``."""
-    mean, area = E.row_mean(views.YIELDS), F.col("area_ha")
+    mean, area = E.row_mean(yields), F.col("area_ha")
     return fields.withColumns({
         "mean_yield": mean, "yield_efficiency": F.try_divide(mean, area), "slope_area_ratio": F.col("slope_pct") / (area + 1),
         "irrigation_efficiency_score": E.lookup(F.col("irrigation_type"), E.IRRIGATION), "soil_drainage_score": E.lookup(F.col("soil_type"), E.DRAINAGE), "area_size_code": E.size_code(area),
@@ -147,13 +147,22 @@ def one_hot_crop(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("attribute_matrix", "field_id:i " + " ".join(f"{c}:d" for c in _NUMBERS) + " " + " ".join(f"crop__{c}:i" for c in _CROPS) + " " + " ".join(f"soil__{s}:i" for s in _SOILS), f"{_CODED} --SELECT field_id, {', '.join(map(_min_max, _NUMBERS))}, " + ", ".join([*(f"(crop_type = '{c}')::INT AS crop__{c}" for c in _CROPS), *(f"(soil_type = '{s}')::INT AS soil__{s}" for s in _SOILS)]) + " FROM q")
 def attribute_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scaled numbers, the crop's code and the yearly changes among them, then an indicator for each crop and each soil."""
-    parcels = views.parcels(spark, sf_dir)
-    rows = ratios(views.fields(spark, sf_dir)).withColumn("label", F.coalesce(F.lower("crop_type"), F.lit("unknown")))
-    rows = rows.join(E.label_codes(parcels, "crop_type").withColumnRenamed("code", "crop_type_encoded"), "label")
-    rows = T.yearly_change(rows, views.YIELDS, ["field_id", "crop_type", "soil_type", *_SCALED, "area_size_code", "crop_type_encoded"])
-    scaled = E.min_max(rows.select("field_id", "crop_type", "soil_type", *(F.col(c).cast("double").alias(c) for c in _NUMBERS)), _NUMBERS)
-    return E.one_hot(E.one_hot(scaled, "crop_type", "crop", E.categories(parcels, "crop_type")), "soil_type", "soil", E.categories(parcels, "soil_type"))
+    return attribute_features(views.fields(spark, sf_dir), views.parcels(spark, sf_dir), views.YIELDS)
+
+
+def attribute_features(fields: DataFrame, categories: DataFrame, yields: list[str]) -> DataFrame:
+    """Scaled numbers, the crop's code and the yearly changes among them, then an indicator for each crop and each soil.
+
+    ``categories`` has the crops and soils that there are: ``fields``, or what they were read from.
+    """
+    changes = [f"yoy_change_{y.rsplit('_', 1)[1]}" for y in yields[1:]]
+    numbers = [*_SCALED, "area_size_code", "crop_type_encoded", *changes]
+    rows = ratios(fields, yields).withColumn("label", F.coalesce(F.lower("crop_type"), F.lit("unknown")))
+    rows = rows.join(E.label_codes(categories, "crop_type").withColumnRenamed("code", "crop_type_encoded"), "label")
+    rows = T.yearly_change(rows, yields, ["field_id", "crop_type", "soil_type", *_SCALED, "area_size_code", "crop_type_encoded"])
+    scaled = E.min_max(rows.select("field_id", "crop_type", "soil_type", *(F.col(c).cast("double").alias(c) for c in numbers)), numbers)
+    crops = E.one_hot(scaled, "crop_type", "crop", E.categories(categories, "crop_type"))
+    return E.one_hot(crops, "soil_type", "soil", E.categories(categories, "soil_type")).drop("crop_type", "soil_type")
 
 
 _IMPUTED = ["yield_1995", "yield_1998", "mean_yield"]

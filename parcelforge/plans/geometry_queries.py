@@ -112,3 +112,21 @@ def dist_point_polygon(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("dist_centroids", "field_id:i dist:d", f"{_NEXT} --SELECT field_id, sqrt((px - qx) * (px - qx) + (py - qy) * (py - qy)) AS dist FROM pr")
 def dist_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _with_next(spark, sf_dir).select("field_id", F.hypot(F.col("c.x") - F.col("oc.x"), F.col("c.y") - F.col("oc.y")).alias("dist"))
+
+
+_BOXES = f"""{_LONLAT}, c AS (SELECT field_id, i, lon + dx AS lon, lat + dy AS lat FROM q, (VALUES (0, 0.0::DOUBLE, 0.0::DOUBLE), (1, 0.004, 0.0), (2, 0.004, 0.003), (3, 0.0, 0.003), (4, 0.0, 0.0)) k(i, dx, dy)),
+t0 AS (SELECT *, sin(radians(lat)) AS s, radians(lon - {crs.central_meridian(11)}) AS lam FROM c), t1 AS (SELECT *, sinh(atanh(s) - {_E} * atanh({_E} * s)) AS t FROM t0),
+t2 AS (SELECT *, atan2(t, cos(lam)) AS xi, atanh(sin(lam) / sqrt(1 + t * t)) AS eta FROM t1),
+u AS (SELECT field_id, i, {crs.FALSE_EASTING} + {crs.SCALE * crs.RADIUS!r} * (eta{_series(crs.ALPHA, 'xi', 'eta', 'cos', 'sinh', '+')}) AS x, {crs.SCALE * crs.RADIUS!r} * (xi{_series(crs.ALPHA, 'xi', 'eta', 'sin', 'cosh', '+')}) AS y FROM t2)
+--SELECT a.field_id, abs(sum((a.x - o.x) * (b.y - o.y) - (b.x - o.x) * (a.y - o.y))) / 20000 AS area_ha, sum(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))) / 1000 AS perimeter_km
+FROM u a JOIN u b ON a.field_id = b.field_id AND b.i = a.i + 1 JOIN u o ON o.field_id = a.field_id AND o.i = 0 GROUP BY a.field_id"""
+
+
+@register("utm_polygons", "field_id:i area_ha:d4 perimeter_km:d", _BOXES)
+def utm_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes in longitude and latitude, projected as geometries and measured in metres."""
+    k = F.col("p_partkey")
+    lon, lat = _point(k)
+    box = G.ring([(lon + dx, lat + dy) for dx, dy in ((0.0, 0.0), (0.004, 0.0), (0.004, 0.003), (0.0, 0.003))])
+    planar = fence(views.read(spark, sf_dir, "part").select(k.alias("field_id"), crs.project(F.array(F.array(box))).alias("polygons")))
+    return geometry_features(planar, ["field_id"])

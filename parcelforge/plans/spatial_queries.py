@@ -100,7 +100,11 @@ _CONTEXT = "id:i dist_to_nearest_m:d n_neighbors_500m:i neighbor_mean_area_ha:d
 
 @register("context_features", _CONTEXT, f"{_NEAREST}, {_STATS[len(_G) + 2:]} --SELECT ns.*, dist_to_nearest_m, edge_density FROM ns JOIN nn USING (id) JOIN g ON g.field_id = id")
 def context_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = measured(spark, sf_dir)
+    return context(measured(spark, sf_dir))
+
+
+def context(m: DataFrame) -> DataFrame:
+    """Distance to the nearest field, neighbours within the radius, and edge density, of measured fields."""
     p = F.col("polygons")
     density = m.select("id", F.when(G.area(p) > 0, F.try_divide(G.length(p), F.sqrt(G.area(p)))).otherwise(0.0).alias("edge_density"))
     return S.nearest(m).join(S.neighbour_stats(m), "id").join(density, "id")

@@ -16,13 +16,18 @@ PROPERTIES = (
 SRID = 4326
 
 
-def read_geojson(spark: SparkSession, path: str, properties: str = PROPERTIES, srid: int = SRID) -> DataFrame:
+def read_geojson(spark: SparkSession, path: str, properties: str = PROPERTIES, srid: int = SRID, lines: bool = False) -> DataFrame:
     """One row a feature: the properties in the order of their schema, ``geometry_type`` and ``polygons``.
 
-    Polygon and MultiPolygon are both read as arrays of polygons. The column's metadata holds the coordinate system.
+    Polygon and MultiPolygon are both read as arrays of polygons. The column's metadata holds the coordinate system. A feature
+    collection is one document, which one task reads; ``lines`` reads a feature a line, which are split like any text.
     """
-    features = f"features ARRAY<STRUCT<properties: STRUCT<{_colons(properties)}>, geometry: STRUCT<type: STRING, coordinates: STRING>>>"
-    rows = spark.read.option("multiLine", True).schema(features).json(path).select(F.explode("features").alias("f"))
+    feature = f"STRUCT<properties: STRUCT<{_colons(properties)}>, geometry: STRUCT<type: STRING, coordinates: STRING>>"
+    if lines:
+        rows = spark.read.schema(feature.removeprefix("STRUCT<").removesuffix(">").replace("properties: ", "properties ", 1).replace(", geometry: ", ", geometry ", 1)).json(path)
+        rows = rows.select(F.struct("properties", "geometry").alias("f"))
+    else:
+        rows = spark.read.option("multiLine", True).schema(f"features ARRAY<{feature}>").json(path).select(F.explode("features").alias("f"))
     text, kind = F.col("f.geometry.coordinates"), F.col("f.geometry.type")
     one, many = F.from_json(text, _POINTS), F.from_json(text, f"ARRAY<{_POINTS}>")
     points = F.when(kind == "MultiPolygon", many).when(kind == "Polygon", F.array(one))
@@ -59,6 +64,11 @@ def schema_report(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame([(c, t, n) for c, t in df.dtypes], "column string, type string, rows long")
 
 
+def show(df: DataFrame, rows: int = 20) -> None:
+    """The first rows, whole, on the console."""
+    df.show(rows, truncate=False)
+
+
 def write_csv(df: DataFrame, path: str, single_file: bool = False) -> None:
     """With a header; nulls are empty, lists are written as ``[a, b]``."""
     flat = df.select(*(F.concat(F.lit("["), F.array_join(c, ", "), F.lit("]")).alias(c) if t.startswith("array") else F.col(c) for c, t in df.dtypes))

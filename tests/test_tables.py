@@ -8,7 +8,7 @@ import __spark_entry__ as entry
 from parcelforge.operators import encoding as E
 from parcelforge.operators import forest, stats
 from parcelforge.operators import timeseries as T
-from parcelforge.plans import registry
+from parcelforge.plans import files, registry
 from parcelforge.sources import fields as src
 
 SF = "/root/testdata/sf0.001"
@@ -117,6 +117,37 @@ def test_geojson_and_csv(spark, tmp_path):
     assert text.split() == ["k,years,v", "a,[2023],"]
 
 
+#: Fields of known features, as boxes in longitude and latitude.
+BOXES = {"F001": (-115.52, 33.05, -115.516, 33.054), "F003": (-115.518, 33.04, -115.514, 33.045), "F008": (-115.522, 33.035, -115.516, 33.04), "F014": (-115.545, 33.044, -115.5395, 33.051)}
+
+
+@pytest.mark.parametrize("lines", [False, True])
+def test_from_geojson_to_csv(spark, tmp_path, lines):
+    crops = {"F001": "alfalfa", "F003": "wheat", "F008": "cotton", "F014": "corn"}
+    yields = {"F001": [18.8, 19.0, 17.8, 20.3, 19.2]}
+    made = []
+    for i, (a, b, c, d) in BOXES.items():
+        y = yields.get(i, [1.0, 2.0, 3.0, None, 5.0])
+        made.append({"type": "Feature", "properties": {"field_id": i, "crop_type": crops[i], "soil_type": "clay", "irrigation_type": "drip", "area_ha": 10.0 * len(made) + 5, "slope_pct": 1.0, **{f"yield_{2021 + k}": v for k, v in enumerate(y)}}, "geometry": {"type": "Polygon", "coordinates": [[[a, b], [c, b], [c, d], [a, d], [a, b]]]}})
+    path = tmp_path / "f.geojson"
+    path.write_text("\n".join(map(json.dumps, made)) if lines else json.dumps({"type": "FeatureCollection", "features": made}, indent=1))
+    files.export(spark, str(path), str(tmp_path / "out"), lines=lines)
+    read = {n: {r["field_id"]: r for r in spark.read.option("header", True).option("inferSchema", True).csv(str(tmp_path / "out" / n)).collect()} for n in ("geometry_features", "attribute_features", "spatial_context_features", "topology_features", "time_series_features")}
+    near = lambda x, tolerance=1e-4: pytest.approx(x, rel=tolerance)
+    g = read["geometry_features"]
+    assert tuple(g["F001"])[1:] == (16.568, 1.6342, 0.779631, near(1.1818), 16.568, 1.0, 1.0, 4, 17.0424, 0.972164, 379.75, 448.77, -115.518, 33.052)
+    assert (g["F014"]["area_ha"], g["F014"]["compactness"], g["F014"]["bbox_width_m"], g["F008"]["area_ha"], g["F003"]["area_ha"]) == (39.8681, 0.75285, 524.35, 31.07, 20.7122)
+    t = read["topology_features"]
+    assert (t["F003"]["n_adjacent_fields"], t["F008"]["total_shared_length_m"], t["F001"]["is_isolated"], t["F003"]["different_crop_count"]) == (1, near(186.79), 1, 1)
+    c = read["spatial_context_features"]
+    assert (c["F008"]["edge_density"], c["F014"]["edge_density"], c["F001"]["dominant_neighbor_crop"], c["F003"]["fragmentation_index"]) == (4.000057, 4.085552, "isolated", 1.0)
+    y = read["time_series_features"]
+    assert (y["F001"]["mean_yield"], y["F001"]["best_year"], y["F001"]["anomaly_years"], y["F003"]["mean_yoy_change"]) == (19.02, 2024, "[]", near(4 / 3))
+    a = read["attribute_features"]
+    assert list(a["F001"].asDict())[:8] == ["field_id", "area_ha", "slope_pct", "mean_yield", "yield_efficiency", "slope_area_ratio", "irrigation_efficiency_score", "area_size_code"] and "yoy_change_2025" in a["F001"].asDict()
+    assert (a["F001"]["area_ha"], a["F014"]["area_ha"], a["F001"]["crop__alfalfa"], a["F001"]["crop__corn"], a["F001"]["soil__clay"]) == (0.0, 1.0, 1, 0, 1)
+
+
 def test_forest(spark):
     rows = spark.createDataFrame([(i, "a" if i % 3 else "b", float(i % 3 == 0) + i / 1000, float(i)) for i in range(90)], "k long, crop string, x double, y double")
     model, prepared, names = forest.fit(rows, ["x", "y"], "crop", trees=10)
