@@ -24,7 +24,7 @@ def _steps(r: Column) -> Column:
 
 def segments(r: Column) -> Column:
     """The ring's edges: ``array<struct<a, b>>``."""
-    return F.transform(_steps(r), lambda i: F.struct(F.element_at(r, i).alias("a"), F.element_at(r, i + 1).alias("b")))
+    return F.transform(_steps(r), lambda i: F.named_struct(F.lit("a"), F.element_at(r, i), F.lit("b"), F.element_at(r, i + 1)))
 
 
 def _sum(a: Column, f) -> Column:
@@ -155,42 +155,31 @@ def point_polygon_distance(p: Column, polygons: Column) -> Column:
     return F.when(_inside(e, p), 0.0).otherwise(F.array_min(F.transform(e, lambda s: point_segment_distance(p, s))))
 
 
-def shared_length(a: Column, b: Column, tolerance: float) -> Column:
-    """Total overlap of the edges ``a`` with edges of ``b`` that run along them within the tolerance."""
+def overlap_length(s: Column, t: Column, tolerance: float) -> Column:
+    """How long the edge ``t`` runs along the edge ``s``, within the tolerance."""
+    size = F.hypot(s.b.x - s.a.x, s.b.y - s.a.y)
+    ux, uy = F.try_divide(s.b.x - s.a.x, size), F.try_divide(s.b.y - s.a.y, size)
 
-    def overlap(s: Column, t: Column) -> Column:
-        size = F.hypot(s.b.x - s.a.x, s.b.y - s.a.y)
-        ux, uy = F.try_divide(s.b.x - s.a.x, size), F.try_divide(s.b.y - s.a.y, size)
+    def along(p: Column) -> Column:
+        return (p.x - s.a.x) * ux + (p.y - s.a.y) * uy
 
-        def along(p: Column) -> Column:
-            return (p.x - s.a.x) * ux + (p.y - s.a.y) * uy
+    def aside(p: Column) -> Column:
+        return F.abs((p.x - s.a.x) * uy - (p.y - s.a.y) * ux)
 
-        def aside(p: Column) -> Column:
-            return F.abs((p.x - s.a.x) * uy - (p.y - s.a.y) * ux)
+    both = F.least(size, F.greatest(along(t.a), along(t.b))) - F.greatest(F.lit(0.0), F.least(along(t.a), along(t.b)))
+    return F.when((aside(t.a) <= tolerance) & (aside(t.b) <= tolerance), F.greatest(both, F.lit(0.0))).otherwise(0.0)
 
-        both = F.least(size, F.greatest(along(t.a), along(t.b))) - F.greatest(F.lit(0.0), F.least(along(t.a), along(t.b)))
-        return F.when((aside(t.a) <= tolerance) & (aside(t.b) <= tolerance), F.greatest(both, F.lit(0.0))).otherwise(0.0)
 
-    return _sum(a, lambda s: _sum(b, lambda t: overlap(s, t)))
+def segments_cross(s: Column, t: Column) -> Column:
+    """Whether one edge goes through the other."""
 
-
-def _cross_each_other(s: Column, t: Column) -> Column:
     def turn(p: Column, q: Column, c: Column) -> Column:
         return F.signum((q.x - p.x) * (c.y - p.y) - (q.y - p.y) * (c.x - p.x))
 
     return (turn(s.a, s.b, t.a) * turn(s.a, s.b, t.b) < 0) & (turn(t.a, t.b, s.a) * turn(t.a, t.b, s.b) < 0)
 
 
-def edges_cross(a: Column, b: Column) -> Column:
-    """Whether an edge of one goes through an edge of the other."""
-    return F.exists(a, lambda s: F.exists(b, lambda t: _cross_each_other(s, t)))
-
-
-def edge_distance(a: Column, b: Column) -> Column:
-    """Least distance between the edges of two geometries; 0 where they cross, null without edges."""
-
-    def one(s: Column, t: Column) -> Column:
-        near = F.least(point_segment_distance(s.a, t), point_segment_distance(s.b, t), point_segment_distance(t.a, s), point_segment_distance(t.b, s))
-        return F.when(_cross_each_other(s, t), 0.0).otherwise(near)
-
-    return F.array_min(F.flatten(F.transform(a, lambda s: F.transform(b, lambda t: one(s, t)))))
+def segment_distance(s: Column, t: Column) -> Column:
+    """Least distance between two edges; 0 where they cross, null without one of them."""
+    near = F.least(point_segment_distance(s.a, t), point_segment_distance(s.b, t), point_segment_distance(t.a, s), point_segment_distance(t.b, s))
+    return F.when(s.isNotNull() & t.isNotNull(), F.when(segments_cross(s, t), 0.0).otherwise(near))

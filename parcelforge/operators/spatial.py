@@ -22,13 +22,15 @@ def measured(fields: DataFrame, key: str, carry: list[str]) -> DataFrame:
 
 
 def pairs(left: DataFrame, right: DataFrame, reach: float, size: float, half: bool = False) -> DataFrame:
-    """Pairs whose boxes, the left one grown by ``reach``, meet: structs ``a`` and ``b``.
+    """Pairs whose boxes are at most ``reach`` apart in either axis: structs ``a`` and ``b``.
 
-    Either row is in all cells of side ``size`` that its box covers, and a pair is taken in the cell that holds the lower corner
-    of what both boxes cover: once, however large the boxes are. ``half`` keeps pairs with ``a.id < b.id`` only.
+    Either row is in all cells of side ``size`` that its box, grown by half of ``reach``, covers, and a pair is taken in the cell that
+    holds the lower corner of what both boxes cover: once, however large the boxes are. Both sides are dealt alike, so that a table
+    joined with itself is dealt once. ``half`` keeps pairs with ``a.id < b.id`` only.
     """
+    grow = reach / 2
 
-    def celled(rows: DataFrame, name: str, grow: float) -> DataFrame:
+    def celled(rows: DataFrame, name: str) -> DataFrame:
         cells = lambda low, high: F.sequence(F.floor((F.col(f"box.{low}") - grow) / size), F.floor((F.col(f"box.{high}") + grow) / size))
         wide = rows.select(F.explode(cells("minx", "maxx")).alias("cx"), cells("miny", "maxy").alias("rows"), F.struct("*").alias(name))
         return wide.select("cx", F.explode("rows").alias("cy"), name)
@@ -37,9 +39,9 @@ def pairs(left: DataFrame, right: DataFrame, reach: float, size: float, half: bo
         (F.col("a.box.minx") - reach <= F.col("b.box.maxx")) & (F.col("a.box.maxx") + reach >= F.col("b.box.minx"))
         & (F.col("a.box.miny") - reach <= F.col("b.box.maxy")) & (F.col("a.box.maxy") + reach >= F.col("b.box.miny"))
     )
-    here = (F.col("cx") == F.floor(F.greatest(F.col("a.box.minx") - reach, F.col("b.box.minx")) / size)) & (F.col("cy") == F.floor(F.greatest(F.col("a.box.miny") - reach, F.col("b.box.miny")) / size))
+    here = (F.col("cx") == F.floor(F.greatest(F.col("a.box.minx") - grow, F.col("b.box.minx") - grow) / size)) & (F.col("cy") == F.floor(F.greatest(F.col("a.box.miny") - grow, F.col("b.box.miny") - grow) / size))
     order = F.col("a.id") < F.col("b.id") if half else F.col("a.id") != F.col("b.id")
-    return celled(left, "a", reach).join(celled(right, "b", 0.0), ["cx", "cy"]).where(here & meets & order).select("a", "b")
+    return celled(left, "a").join(celled(right, "b"), ["cx", "cy"]).where(here & meets & order).select("a", "b")
 
 
 def neighbours(m: DataFrame, radius: float = RADIUS) -> DataFrame:
@@ -53,11 +55,26 @@ def neighbours(m: DataFrame, radius: float = RADIUS) -> DataFrame:
     return a.join(b, ["cx", "cy"]).where((apart <= radius) & (F.col("a.id") != F.col("b.id"))).select("a", "b", apart.alias("distance_m"))
 
 
+#: Where a field nearer than this is found, no field farther off need be looked at.
+CLOSE = 200.0
+
+
 def nearest(m: DataFrame, radius: float = RADIUS, size: float = 1000.0) -> DataFrame:
-    """``id`` and the least distance from the centroid to another field in the box of reach; 0.0 where there is none."""
-    found = pairs(m, m, 2 * radius, size).select(F.col("a.id").alias("id"), G.point_polygon_distance(F.col("a.center"), F.col("b.polygons")).alias("d"))
-    least = found.groupBy("id").agg(F.min("d").alias("dist_to_nearest_m"))
-    return m.select("id").join(least, "id", "left").select("id", F.coalesce("dist_to_nearest_m", F.lit(0.0)).alias("dist_to_nearest_m"))
+    """``id`` and the least distance from the centroid to another field in the box of reach; 0.0 where there is none.
+
+    First among the fields whose boxes are close to the centroid; what has no field that near meets all within reach.
+    """
+
+    def least(of: DataFrame, reach: float) -> DataFrame:
+        found = pairs(of, m, reach, size).select(F.col("a.id").alias("id"), G.point_polygon_distance(F.col("a.center"), F.col("b.polygons")).alias("d"))
+        return found.groupBy("id").agg(F.min("d").alias("d"))
+
+    at = F.col("center")
+    point = m.select("id", "center", F.struct(at.x.alias("minx"), at.y.alias("miny"), at.x.alias("maxx"), at.y.alias("maxy")).alias("box"))
+    near = least(point, CLOSE).where(F.col("d") <= CLOSE)
+    rest = m.select("id", "center", "box").join(near.select("id"), "id", "left_anti")
+    found = near.unionAll(least(rest, 2 * radius))
+    return m.select("id").join(found, "id", "left").select("id", F.coalesce("d", F.lit(0.0)).alias("dist_to_nearest_m"))
 
 
 def neighbour_stats(m: DataFrame, radius: float = RADIUS) -> DataFrame:
@@ -90,27 +107,36 @@ def adjacency(m: DataFrame, tolerance: float = TOLERANCE, size: float = 1000.0)
             & (F.least(s.a.y, s.b.y) - tolerance <= box.maxy) & (F.greatest(s.a.y, s.b.y) + tolerance >= box.miny)
         ))
 
+    def common(low: str, high: str) -> Column:
+        return F.least(F.col("a.box")[high], F.col("b.box")[high]) - F.greatest(F.col("a.box")[low], F.col("b.box")[low]) > 0
+
     def holds(own: str, other: str) -> Column:
         """A polygon whose edges are all farther off lies inside if its first corner does."""
         return F.exists(F.col(other).polygons, lambda p: G.contains(F.col(own).polygons, p[0][0]))
 
-    near = fence(found.select("a", "b", facing("a", "b").alias("ea"), facing("b", "a").alias("eb")))
-    near = near.where((F.coalesce(G.edge_distance(F.col("ea"), F.col("eb")), F.lit(float("inf"))) <= tolerance) | holds("a", "b") | holds("b", "a"))
-
     def reaches_into(own: str, other: str) -> Column:
         return F.exists(F.flatten(F.col(other).polygons), lambda r: F.exists(r, lambda c: G.strictly_contains(F.col(own).polygons, c)))
 
-    overlaps = F.coalesce(G.edges_cross(F.col("ea"), F.col("eb")), F.lit(False)) | (F.col("a.polygons") == F.col("b.polygons")) | reaches_into("a", "b") | reaches_into("b", "a")
-    return near.select(
-        F.col("a.id").alias("src"), F.col("b.id").alias("dst"), G.shared_length(F.col("ea"), F.col("eb"), tolerance).alias("shared_length_m"),
-        overlaps.alias("overlaps"), F.col("a.crop_type").alias("src_crop"), F.col("b.crop_type").alias("dst_crop"),
+    both = common("minx", "maxx") & common("miny", "maxy")  # else neither can be inside the other
+    each = found.select(
+        F.col("a.id").alias("src"), F.col("b.id").alias("dst"), F.col("a.crop_type").alias("src_crop"), F.col("b.crop_type").alias("dst_crop"),
+        F.when(both, holds("a", "b") | holds("b", "a")).otherwise(False).alias("inside"),
+        F.when(both, (F.col("a.polygons") == F.col("b.polygons")) | reaches_into("a", "b") | reaches_into("b", "a")).otherwise(False).alias("reaches"),
+        facing("b", "a").alias("eb"), F.explode_outer(facing("a", "b")).alias("s"),
     )
+    kept = ["src", "dst", "src_crop", "dst_crop"]
+    each = each.select(*kept, "inside", "reaches", "s", F.explode_outer("eb").alias("t"))
+    s, t = F.col("s"), F.col("t")
+    measured_ = each.select(*kept, "inside", "reaches", G.segment_distance(s, t).alias("d"), G.overlap_length(s, t, tolerance).alias("along"), G.segments_cross(s, t).alias("cross"))
+    edges = measured_.groupBy(*kept).agg(F.min("d").alias("d"), F.max("inside").alias("inside"), F.coalesce(F.sum("along"), F.lit(0.0)).alias("shared_length_m"), (F.max("reaches") | F.coalesce(F.max("cross"), F.lit(False))).alias("overlaps"))
+    return edges.where((F.col("d") <= tolerance) | F.col("inside")).select("src", "dst", "shared_length_m", "overlaps", "src_crop", "dst_crop")
 
 
 def symmetric(edges: DataFrame) -> DataFrame:
-    """Both directions of each pair."""
-    back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "shared_length_m", "overlaps", F.col("dst_crop").alias("src_crop"), F.col("src_crop").alias("dst_crop"))
-    return edges.unionAll(back)
+    """Both directions of each pair, in one pass."""
+    there = F.struct("src", "dst", "shared_length_m", "overlaps", "src_crop", "dst_crop")
+    back = F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"), "shared_length_m", "overlaps", F.col("dst_crop").alias("src_crop"), F.col("src_crop").alias("dst_crop"))
+    return edges.select(F.inline(F.array(there, back)))
 
 
 def topology(m: DataFrame, both: DataFrame) -> DataFrame:
