@@ -102,29 +102,40 @@ def centroid(polygons: Column) -> Column:
 
 
 def hull_edges(points: Column) -> Column:
-    """Edges of the convex hull: ordered pairs that have every other point on their left, or between them.
+    """Edges of the convex hull, with every other point on their left, or between their ends.
 
-    Cubic in the number of corners of one geometry; meant for up to some sixty.
+    Of each point the edge that would follow it is found in one pass over the others, and kept if it is one: quadratic in the number
+    of corners of one geometry.
     """
     distinct = F.array_distinct(points)
 
-    def is_edge(p: Column, q: Column) -> Column:
-        def left(c: Column) -> Column:
-            turn = (q.x - p.x) * (c.y - p.y) - (q.y - p.y) * (c.x - p.x)
-            slack = 1e-9 * (F.abs(q.x - p.x) + F.abs(q.y - p.y)) * (F.abs(c.x - p.x) + F.abs(c.y - p.y))
-            return (turn > slack) | ((F.abs(turn) <= slack) & ((c.x - p.x) * (c.x - q.x) + (c.y - p.y) * (c.y - q.y) <= 0))
+    def turn(p: Column, q: Column, c: Column) -> Column:
+        """Positive for a point to the left of p-q, 0 for one that is on its line but for rounding."""
+        cross = (q.x - p.x) * (c.y - p.y) - (q.y - p.y) * (c.x - p.x)
+        slack = 1e-9 * (F.abs(q.x - p.x) + F.abs(q.y - p.y)) * (F.abs(c.x - p.x) + F.abs(c.y - p.y))
+        return F.when(F.abs(cross) > slack, cross).otherwise(0.0)
+
+    def farther(p: Column, q: Column, c: Column) -> Column:
+        return F.abs(c.x - p.x) + F.abs(c.y - p.y) > F.abs(q.x - p.x) + F.abs(q.y - p.y)
+
+    def following(p: Column) -> Column:
+        others = F.filter(distinct, lambda c: c != p)
+        return F.aggregate(others, F.try_element_at(others, F.lit(1)), lambda q, c: F.when((turn(p, q, c) < 0) | ((turn(p, q, c) == 0) & farther(p, q, c)), c).otherwise(q))
 
-        return (p != q) & F.forall(distinct, left)
+    def is_edge(s: Column) -> Column:
+        between = lambda c: (c.x - s.a.x) * (c.x - s.b.x) + (c.y - s.a.y) * (c.y - s.b.y) <= 0
+        return s.b.isNotNull() & F.forall(distinct, lambda c: (turn(s.a, s.b, c) > 0) | ((turn(s.a, s.b, c) == 0) & between(c)))
 
-    return F.flatten(F.transform(distinct, lambda p: F.transform(F.filter(distinct, lambda q: is_edge(p, q)), lambda q: F.struct(p.alias("a"), q.alias("b")))))
+    return F.filter(F.transform(distinct, lambda p: F.named_struct(F.lit("a"), p, F.lit("b"), following(p))), is_edge)
 
 
-def hull_area(points: Column) -> Column:
-    return _sum(hull_edges(points), lambda s: _cross(s, points[0])) / 2
+def edges_area(edges_: Column) -> Column:
+    """Of the area within edges that run around it, seen from the first corner."""
+    return _sum(edges_, lambda s: _cross(s, edges_[0].a)) / 2
 
 
-def hull_length(points: Column) -> Column:
-    return _sum(hull_edges(points), lambda s: F.sqrt((s.b.x - s.a.x) * (s.b.x - s.a.x) + (s.b.y - s.a.y) * (s.b.y - s.a.y)))
+def edges_length(edges_: Column) -> Column:
+    return _sum(edges_, lambda s: F.sqrt((s.b.x - s.a.x) * (s.b.x - s.a.x) + (s.b.y - s.a.y) * (s.b.y - s.a.y)))
 
 
 def point_segment_distance(p: Column, s: Column) -> Column:

@@ -18,17 +18,22 @@ FEATURES = (
 )
 
 
-def geometry_features(fields: DataFrame, keep: list[str]) -> DataFrame:
-    """All measures of ``polygons``; those that are not selected are not computed."""
+def geometry_features(fields: DataFrame, keep: list[str], hull: bool = True) -> DataFrame:
+    """All measures of ``polygons``; of the hull, which costs most, only if asked."""
     p = F.col("polygons")
-    base = fence(fields.select(*keep, p, G.area(p).alias("_a"), G.length(p).alias("_l"), G.bbox(p).alias("_b"), G.exterior(p).alias("_x")))
-    a, l, b, x = (F.col(c) for c in ("_a", "_l", "_b", "_x"))
-    w, h = b.maxx - b.minx, b.maxy - b.miny
-    center, hull, hull_length = G.centroid(p), G.hull_area(x), G.hull_length(x)
+    around = [G.hull_edges(G.exterior(p)).alias("_h")] if hull else []
+    base = fence(fields.select(*keep, p, G.area(p).alias("_a"), G.length(p).alias("_l"), G.bbox(p).alias("_b"), G.vertex_count(p).alias("_n"), *around))
+    a, l, b, h = (F.col(c) for c in ("_a", "_l", "_b", "_h"))
+    width, height = b.maxx - b.minx, b.maxy - b.miny
+    center = G.centroid(p)
+    of_hull = []
+    if hull:
+        base = fence(base.withColumns({"_ha": F.coalesce(G.edges_area(h), F.lit(0.0)), "_hl": G.edges_length(h)}).drop("_h"))
+        ha, hl = F.col("_ha"), F.col("_hl")
+        of_hull = [(ha / 10000).alias("convex_hull_area_ha"), (hl / 1000).alias("convex_hull_perimeter_km"), G.ratio(a, ha, 0.0).alias("solidity"), G.ratio(hl, l, 0.0).alias("convexity")]
     return base.select(
-        *keep, (a / 10000).alias("area_ha"), (l / 1000).alias("perimeter_km"), G.compactness(a, l).alias("compactness"), G.elongation(w, h).alias("elongation"),
-        (hull / 10000).alias("convex_hull_area_ha"), (hull_length / 1000).alias("convex_hull_perimeter_km"), G.ratio(a, hull, 0.0).alias("solidity"), G.ratio(hull_length, l, 0.0).alias("convexity"),
-        F.size(x).alias("n_vertices"), (w * h / 10000).alias("bbox_area_ha"), G.ratio(a, w * h, 0.0).alias("bbox_fill_ratio"), w.alias("bbox_width_m"), h.alias("bbox_height_m"),
+        *keep, (a / 10000).alias("area_ha"), (l / 1000).alias("perimeter_km"), G.compactness(a, l).alias("compactness"), G.elongation(width, height).alias("elongation"), *of_hull,
+        F.col("_n").alias("n_vertices"), (width * height / 10000).alias("bbox_area_ha"), G.ratio(a, width * height, 0.0).alias("bbox_fill_ratio"), width.alias("bbox_width_m"), height.alias("bbox_height_m"),
         center.x.alias("centroid_x"), center.y.alias("centroid_y"), F.when(a > 0, F.try_divide(l, F.sqrt(a))).otherwise(0.0).alias("edge_density"),
         b.minx.alias("minx"), b.miny.alias("miny"), b.maxx.alias("maxx"), b.maxy.alias("maxy"),
     )
@@ -38,12 +43,17 @@ def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return geometry_features(views.parcels(spark, sf_dir), ["field_id"])
 
 
+def _without_hull(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return geometry_features(views.parcels(spark, sf_dir), ["field_id"], hull=False)
+
+
+_HULL = {"convex_hull_area_ha", "convex_hull_perimeter_km", "solidity", "convexity"}
 for _name, _columns in {
     "geom_features": FEATURES, "geom_area": "area_ha:d", "geom_perimeter": "perimeter_km:d", "geom_compactness": "compactness:d", "geom_elongation": "elongation:d",
     "geom_bbox": "minx:d miny:d maxx:d maxy:d bbox_width_m:d bbox_height_m:d bbox_area_ha:d", "geom_bbox_fill": "bbox_fill_ratio:d", "geom_hull": "convex_hull_area_ha:d convex_hull_perimeter_km:d",
     "geom_solidity": "solidity:d", "geom_convexity": "convexity:d", "geom_vertices": "n_vertices:i", "geom_centroid": "centroid_x:d centroid_y:d", "geom_edge_density": "edge_density:d",
 }.items():
-    register(_name, f"field_id:i {_columns}", f"{views.G_SQL} --SELECT * FROM g")(_features)
+    register(_name, f"field_id:i {_columns}", f"{views.G_SQL} --SELECT * FROM g")(_features if _HULL & {c.split(":")[0] for c in _columns.split()} else _without_hull)
 
 
 def _series(coefficients: tuple[float, ...], xi: str, eta: str, trig: str, hyper: str, sign: str) -> str:
@@ -129,4 +139,4 @@ def utm_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
     lon, lat = _point(k)
     box = G.ring([(lon + dx, lat + dy) for dx, dy in ((0.0, 0.0), (0.004, 0.0), (0.004, 0.003), (0.0, 0.003))])
     planar = fence(views.read(spark, sf_dir, "part").select(k.alias("field_id"), crs.project(F.array(F.array(box))).alias("polygons")))
-    return geometry_features(planar, ["field_id"])
+    return geometry_features(planar, ["field_id"], hull=False)
