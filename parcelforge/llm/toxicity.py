@@ -5,7 +5,9 @@ of documents, most of whose text is ordinary even where they are toxic, so the t
 holds a string which is in many toxic documents and in hardly any ordinary one. A window is ``WINDOW`` words of running text, and
 the next begins at the next word. It is compressed twice: with the ordinary dictionary, and with the toxic one before it. (Two wholly
 different dictionaries would mostly differ in which ordinary strings either happens to hold.) The window is followed by a carrier that
-both hold, as the compressor never looks for matches in the last bytes. The difference of the two lengths is the window's gain.
+both hold, as the compressor never looks for matches in the last bytes. The difference of the two lengths is the window's gain. Only
+windows in which a string begins that the toxic dictionary has and the ordinary one lacks (``STRING_ONLY`` bytes) are compressed: in
+others the toxic dictionary has nothing to add, and their gain is zero.
 
 Gains are compared with thresholds, ``1`` to ``LEVELS``: each has as its weight the logarithm of how much more often the gains of
 windows of toxic documents lie there than those of ordinary ones. A document's sum of weights, over the root of its number of
@@ -35,7 +37,7 @@ from . import exchange as X
 from .sampling import sample_by_class
 
 #: Labelled documents that are learned from, about, at most; their bytes in all, and those of one.
-SAMPLE_ROWS, SAMPLE_BYTES, LONGEST = 8000, 64 << 20, 1 << 20
+SAMPLE_ROWS, SAMPLE_BYTES, LONGEST = 4000, 64 << 20, 1 << 20
 FOLDS = 4
 #: Words in a window, and the longest word; a longer one is several.
 WINDOW, WORD = 2, 48
@@ -45,6 +47,7 @@ SEGMENT, STRING, TRAINED_BYTES = 16, 6, 8 << 20
 #: Lengths of the strings that mark a word. Such a string is in so many toxic documents at least, and so many times as often as in ordinary ones.
 GRAMS, LEAST_DOCS, TIMES = (6, 9), 5, 15
 LEVELS = 8
+STRING_ONLY = 7
 #: Windows that a document counts as having besides its own.
 FEW = 20
 THRESHOLD = 0.3
@@ -86,6 +89,8 @@ class Gains(dict):
         ordinary = ordinary.rjust(64)
         self.carrier = ordinary[-32:]
         self.each = [self._compressor(first + ordinary + self.carrier) for first in (b"", toxic)]
+        have, lack = ({x[i : i + STRING_ONLY] for i in range(len(x) - STRING_ONLY + 1)} for x in (toxic, ordinary))
+        self.strings = np.array(sorted(int.from_bytes(x, "big") for x in have - lack), np.uint64)
 
     @staticmethod
     def _compressor(content: bytes):
@@ -103,19 +108,35 @@ class Gains(dict):
 
     def levels(self, text: str | None) -> np.ndarray:
         """How many windows of the text have each gain."""
-        return np.bincount(np.fromiter(map(self.__getitem__, windows(text)), np.int64), minlength=LEVELS + 1)
+        found = words(text)
+        n = len(found) - WINDOW + 1 if len(found) >= WINDOW else min(1, len(found))
+        out = np.zeros(LEVELS + 1, np.int64)
+        if n and len(self.strings):
+            data = b" " + b" ".join(found) + b" "
+            codes = np.ndarray(len(data) - 1, ">u8", data + bytes(7), strides=(1,)).astype(np.uint64) >> np.uint64(64 - 8 * STRING_ONLY)
+            hits = np.flatnonzero(self.strings[np.minimum(np.searchsorted(self.strings, codes), len(self.strings) - 1)] == codes)
+            starts = X.offsets(np.fromiter(map(len, found), np.int64, len(found)) + 1)[:-1]  # each word's space
+            last = np.searchsorted(starts, hits, side="right") - 1
+            some = np.unique((last[:, None] - np.arange(WINDOW)).ravel())
+            for i in some[(some >= 0) & (some < n)].tolist():
+                out[self[b" " + b" ".join(found[i : i + WINDOW]) + b" "]] += 1
+        out[0] += n - out.sum()
+        return out
 
 
 def _toxic_windows(toxic: list[tuple[int, str]], ordinary: list[str]) -> list[list[bytes]]:
     """The different toxic windows without the documents of each fold, and of all; ``toxic`` has folds and texts."""
-    by_fold = [Counter() for _ in range(FOLDS)]
+    total: Counter = Counter()
+    for _, text in toxic:
+        total.update(set().union(*map(_grams, set(words(text)))))
+    able = {g for g, n in total.items() if n >= LEAST_DOCS}
+    total = Counter({g: total[g] for g in able})
     known: dict[bytes, set[bytes]] = {}
+    by_fold = [Counter() for _ in range(FOLDS)]
     for fold, text in toxic:
         each = set(words(text))
-        known |= {w: _grams(w) for w in each - known.keys()}
-        by_fold[fold].update(set().union(*map(known.__getitem__, each)))
-    total = sum(by_fold, Counter())
-    able = {g for g, n in total.items() if n >= LEAST_DOCS}
+        known |= {w: some for w in each - known.keys() if (some := _grams(w) & able)}
+        by_fold[fold].update(set().union(*(known[w] for w in each if w in known)))
     plain: Counter = Counter()
     for text in ordinary:
         plain.update(able & set().union(*map(_grams, set(words(text)))))
