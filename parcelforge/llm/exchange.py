@@ -48,15 +48,17 @@ _OPTIONS = {"spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH_BYTES), "spa
 _MADE: list[list[str]] = []
 
 
+def use_small_batches(spark: SparkSession) -> None:
+    """Bound this session's Arrow batches by bytes and the scan's batches by rows, so that long texts do not pile up in the JVM."""
+    for k, v in _OPTIONS.items():
+        spark.conf.set(k, v)
+
+
 @contextlib.contextmanager
 def small_batches(spark: SparkSession) -> Iterator[None]:
-    """Bound Arrow batches by bytes and the scan's batches by rows, so that long texts do not pile up in the JVM.
-
-    These are options of the session, and they hold for what is executed meanwhile; then they are what they were.
-    """
+    """``use_small_batches`` for what is executed meanwhile; then the options are what they were."""
     before = {k: spark.conf.get(k, None) for k in _OPTIONS}
-    for k, v in _OPTIONS.items():
-        spark.conf.set(k, v)
+    use_small_batches(spark)
     try:
         yield
     finally:

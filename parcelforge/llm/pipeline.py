@@ -70,8 +70,11 @@ def _bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _stage(make):
+    """The result is not written here but by the caller, whose session keeps the options for long texts; ``run`` puts them back."""
+
     def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        return X.eagerly(spark, lambda: make(spark, docs, sf_dir))
+        X.use_small_batches(spark)
+        return make(spark, docs, sf_dir)
 
     stage.__doc__ = make.__doc__
     return stage
@@ -90,8 +93,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    with X.scratch(spark):
+    with X.scratch(spark), X.small_batches(spark):
         docs = table(spark, sf_dir, "documents")
         for _, stage in STAGES:
-            docs = stage(spark, docs, sf_dir)
+            with X.scratch(spark):
+                docs = X.materialize(stage(spark, docs, sf_dir))
     return docs
