@@ -6,9 +6,14 @@ rows are reranked by the exact product in double precision. Centroids and that s
 (``SAMPLE_ROWS``): the share is what 97 in 100 of the true neighbours within the sample need. Every row is indexed.
 
 Cells are packed into buckets of about ``BUCKET_ROWS`` rows, large cells split; a bucket that many queries visit gets several
-copies. A bucket answers each query with its best only, so what is shuffled does not grow with the cells walked.
+copies. A bucket answers each query with its best only. There are as many centroids as give cells of ``CELL_ROWS`` rows, up to
+``MAX_CENTROIDS`` a half: the driver holds the number of rows of each cell, a million numbers at most.
 
-Defined results: vectors that are null, zero, of another size than most, or hold null or non-finite numbers take no part. Of
+The work is what the calibrated share asks for. Where neighbours lie close together the share is small; for vectors without any
+structure no index has a small one.
+
+Defined results: vectors that are null, zero, or hold null or non-finite numbers take no part. A shorter vector is as one that
+ends in zeros, so vectors of different sizes have the product of the numbers that both have. Of
 equal vectors the ``k + 1`` smallest ids are kept: no other can be among the ``k`` nearest. A row is never its own
 neighbour, nor are rows of the same id. Queries with no candidate have no rows.
 """
@@ -24,10 +29,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import exchange as X
+
 SAMPLE_ROWS = 20_000
 TARGET = 0.97
-CELL_ROWS, MAX_CENTROIDS = 64, 128
-BUCKET_ROWS = 8192
+CELL_ROWS, MAX_CENTROIDS = 64, 1024
+BUCKET_ROWS = 2048
 BUCKET_QUERIES = 20_000
 
 
@@ -116,30 +123,23 @@ def _packed(embedding: str):
 def neighbours(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """``query_id``, ``rank``, ``vec_id`` and ``score`` of the ``k`` nearest found for rows whose id is divisible by ``every``."""
     spark, out = vectors.sparkSession, "query_id long, vec_id long, score double"
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(embedding).alias("v")).mapInArrow(_packed(embedding), "id long, v binary, size int")
-    sizes = rows.groupBy("size").count().orderBy(F.desc("count"), "size").limit(1).collect()
-    if not sizes:
+    rows = X.materialize(vectors.select(F.col(id_col).cast("long").alias("id"), F.col(embedding).alias("v")).mapInArrow(_packed(embedding), "id long, v binary, size int"))
+    total, size = rows.agg(F.count("*"), F.max("size")).first()
+    if not total:
         return spark.createDataFrame([], out).select("query_id", F.lit(1).alias("rank"), "vec_id", "score")
-    rows = rows.where(F.col("size") == sizes[0]["size"]).drop("size")
-    total = sizes[0]["count"]
+    size = max(size, 2)  # either half has a number
+    rows = rows.select("id", F.when(F.col("size") == size, F.col("v")).otherwise(F.concat("v", F.unhex(F.repeat(F.lit("0" * 16), F.lit(size) - F.col("size"))))).alias("v"))
     drawn = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(min(1.0, SAMPLE_ROWS / total) * (1 << 30))).collect() or rows.limit(100).collect()
     sample = np.frombuffer(b"".join(r["v"] for r in sorted(drawn, key=lambda r: (r["id"], r["v"]))), "<f8").reshape(len(drawn), -1)
-    if sample.shape[1] == 1:
-        sample = np.hstack([sample, np.zeros_like(sample)])
     book = Codebook(sample, total, k)
-    wide = sizes[0]["size"] == 1
-
-    def matrix(column: pa.Array) -> np.ndarray:
-        x = _vectors(column)
-        return np.hstack([x, np.zeros_like(x)]) if wide else x
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                yield pa.RecordBatch.from_arrays([batch["id"], batch["v"], pa.array(book.cells(matrix(batch["v"])), pa.int64())], ["id", "v", "cell"])
+                yield pa.RecordBatch.from_arrays([batch["id"], batch["v"], pa.array(book.cells(_vectors(batch["v"])), pa.int64())], ["id", "v", "cell"])
 
     few = W.partitionBy("v").orderBy("id")
-    members = rows.distinct().withColumn("copy", F.row_number().over(few)).where(F.col("copy") <= k + 1).drop("copy").mapInArrow(cells, "id long, v binary, cell long")
+    members = X.materialize(rows.distinct().withColumn("copy", F.row_number().over(few)).where(F.col("copy") <= k + 1).drop("copy").mapInArrow(cells, "id long, v binary, cell long"))
     counts = np.zeros(book.size**2, np.int64)
     for r in members.groupBy("cell").count().collect():  # as many rows as there are pairs of centroids, at most
         counts[r["cell"]] = r["count"]
@@ -158,7 +158,7 @@ def neighbours(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "
             if not batch.num_rows:
                 continue
             ids, raw, buckets, met = [], [], [], []
-            for i, v, x in zip(batch["id"].to_pylist(), batch["v"].to_pylist(), matrix(batch["v"])):
+            for i, v, x in zip(batch["id"].to_pylist(), batch["v"].to_pylist(), _vectors(batch["v"])):
                 by_bucket: dict[int, list[int]] = {}
                 for c in book.walk(x, counts, want):
                     for b in range(int(first[c]), int(first[c] + parts[c])):
@@ -170,18 +170,14 @@ def neighbours(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "
                     met.append(np.array(some, "<i4").tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(raw, pa.binary()), pa.array(buckets, pa.int64()), pa.array(met, pa.binary())], ["id", "v", "bucket", "met"])
 
-    asked = rows.where(F.col("id") % every == 0).distinct().mapInArrow(visits, "id long, v binary, bucket long, met binary")
-    copies = {r["bucket"]: -(-r["count"] // BUCKET_QUERIES) for r in asked.groupBy("bucket").count().collect() if r["count"] > BUCKET_QUERIES}
+    asked = X.materialize(rows.where(F.col("id") % every == 0).distinct().mapInArrow(visits, "id long, v binary, bucket long, met binary"))
+    copies = X.materialize(asked.groupBy("bucket").agg(F.ceil(F.count("*") / BUCKET_QUERIES).alias("copies")))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cell, ids = batch["cell"].to_numpy(), batch["id"].to_numpy()
             at = first[cell] + (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % parts[cell]
-            n = np.array([copies.get(b, 1) for b in at.tolist()], np.int64)
-            which = np.repeat(np.arange(len(at)), n)
-            copy = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
-            some = batch.take(pa.array(which))
-            yield pa.RecordBatch.from_arrays([some["id"], some["v"], some["cell"], pa.array(at[which]), pa.array(copy, pa.int64())], ["id", "v", "cell", "bucket", "copy"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at)], ["id", "v", "cell", "bucket"])
 
     def rerank(left: pa.Table, right: pa.Table) -> pa.Table:
         queries, ranks, scores = [], [], []
@@ -208,9 +204,9 @@ def neighbours(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "
                     scores += exact[best].tolist()
         return pa.table([pa.array(queries, pa.int64()), pa.array(ranks, pa.int64()), pa.array(scores, pa.float64())], names=["query_id", "vec_id", "score"])
 
-    of = F.create_map(*(F.lit(y) for x in copies.items() for y in x)) if copies else None
-    spread = F.pmod(F.xxhash64("id"), F.coalesce(F.try_element_at(of, F.col("bucket")), F.lit(1)).cast("long")) if copies else F.lit(0).cast("long")
-    placed = members.mapInArrow(place, "id long, v binary, cell long, bucket long, copy long")
-    found = asked.withColumn("copy", spread).groupBy("bucket", "copy").cogroup(placed.groupBy("bucket", "copy")).applyInArrow(rerank, out)
+    placed = members.mapInArrow(place, "id long, v binary, cell long, bucket long").join(copies, "bucket")
+    placed = placed.select("id", "v", "cell", "bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("copy"))
+    asked = asked.join(copies, "bucket").select("id", "v", "bucket", "met", F.pmod(F.xxhash64("id"), "copies").alias("copy"))
+    found = asked.groupBy("bucket", "copy").cogroup(placed.groupBy("bucket", "copy")).applyInArrow(rerank, out)
     best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.distinct().withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
