@@ -35,7 +35,7 @@ from . import exchange as X
 
 #: Bits that linked fingerprints may differ in, at most: with six segments three must agree.
 MAX_DISTANCE = 3
-REFERENCES = 16
+REFERENCES = 64
 HOT = 1024
 _THREES = list(itertools.combinations(range(6), 3))
 
@@ -68,7 +68,7 @@ def _segments(bits: list[int]) -> list[list[int]]:
     return [bits[a:b] for a, b in zip(cuts, cuts[1:])]
 
 
-@functools.lru_cache(32)
+@functools.lru_cache(256)
 def _table(bits: tuple[int, ...]) -> tuple[list[int], np.ndarray]:
     """For a segment: its bits, and a row for each value it can have: the distances to the references' segments."""
     refs = np.random.default_rng(6).integers(0, 1 << 64, REFERENCES, dtype=np.uint64)
@@ -76,20 +76,28 @@ def _table(bits: tuple[int, ...]) -> tuple[list[int], np.ndarray]:
     return list(bits), np.bitwise_count(np.arange(1 << len(bits), dtype=np.uint64)[:, None] ^ part).astype(np.uint8)
 
 
-def _distances(fp: np.ndarray, segments: list[list[int]]) -> list[np.ndarray]:
-    """By segment, the pivot distances (rows by references) of the fingerprints."""
-    out = []
+def _values(fp: np.ndarray, bits: list[int]) -> np.ndarray:
+    return sum(((fp >> np.uint64(b)) & np.uint64(1)) << np.uint64(i) for i, b in enumerate(bits)).astype(np.int64)
+
+
+def _distances(fp: np.ndarray, segments: list[list[int]]) -> np.ndarray:
+    """The pivot distances (rows by references) of the fingerprints: the sum of their segments' distances."""
+    out = np.zeros((len(fp), REFERENCES), np.uint8)
     for seg in segments:
         bits, table = _table(tuple(seg))
-        value = sum(((fp >> np.uint64(b)) & np.uint64(1)) << np.uint64(i) for i, b in enumerate(bits))
-        out.append(table[value.astype(np.int64)])
+        out += table[_values(fp, bits)]
     return out
 
 
+@functools.lru_cache(256)
+def _mixed(bits: tuple[int, ...], place: int) -> np.ndarray:
+    """For a segment, a mix of the row of the pivot table for each value; equal rows have equal mixes."""
+    return (_table(bits)[1].astype(np.uint64) * np.random.default_rng(64 + place).integers(1, 1 << 63, REFERENCES, dtype=np.uint64)).sum(1, dtype=np.uint64)
+
+
 def _names(fp: np.ndarray, segments: list[list[int]]) -> list[np.ndarray]:
     """For every three segments, the bucket's name: a mix of the distances there."""
-    rng = np.random.default_rng(64)
-    mixed = [(d.astype(np.uint64) * rng.integers(1, 1 << 63, REFERENCES, dtype=np.uint64)).sum(1, dtype=np.uint64) for d in _distances(fp, segments)]
+    mixed = [_mixed(tuple(seg), i)[_values(fp, seg)] for i, seg in enumerate(segments)]
     odd = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
     names = []
     for k, three in enumerate(_THREES):
@@ -131,15 +139,15 @@ def _links(bucket: np.ndarray, fp: np.ndarray, limit: int) -> np.ndarray:
     n = len(fp)
     label = np.arange(n)
     fp = fp.view(np.uint64)
-    table = sum(d.astype(np.int16) for d in _distances(fp, _ALL))
+    table = _distances(fp, _ALL).astype(np.int16)
     longest = int(np.diff(np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True])))).max(initial=0))
     left = np.arange(n)
     for lag in range(1, longest):
         left = left[left + lag < n]
         left = left[bucket[left] == bucket[left + lag]]
         a, b = left, left + lag
-        for r in range(0, REFERENCES, 4):  # most pairs go at the first references
-            near = (np.abs(table[a, r : r + 4] - table[b, r : r + 4]) <= limit).all(1)
+        for r in range(0, REFERENCES, 8):  # most pairs go at the first references
+            near = (np.abs(table[a, r : r + 8] - table[b, r : r + 8]) <= limit).all(1)
             a, b = a[near], b[near]
         true = np.bitwise_count(fp[a] ^ fp[b]) <= limit
         a, b = a[true], b[true]
@@ -197,14 +205,42 @@ def _match(hot: int | None, limit: int):
     return run
 
 
+#: Links that one task brings down to a forest.
+LINKS = 200_000
+
+
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every ``LINKS`` links of a partition to as few that hang together alike: from each id to the smallest that they lead to."""
+
+    def reduced(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+        ids, place = np.unique(np.concatenate((u, v)), return_inverse=True)
+        label = _join_up(np.arange(len(ids)), place[: len(u)], place[len(u) :])
+        at = np.flatnonzero(label != np.arange(len(ids)))
+        return pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(ids[label[at]])], ["u", "v"])
+
+    held, n = [], 0
+    for batch in batches:
+        held.append((batch["u"].to_numpy(), batch["v"].to_numpy()))
+        n += batch.num_rows
+        if n > LINKS:
+            yield reduced(*(np.concatenate(x) for x in zip(*held)))
+            held, n = [], 0
+    if held:
+        yield reduced(*(np.concatenate(x) for x in zip(*held)))
+
+
 def components(links: DataFrame) -> DataFrame:
     """``(id, component)`` for the ids in ``links(id, other)`` that lead to a smaller one: the smallest of them.
 
-    Alternating star contraction (large star, small star) until nothing changes; each round is written to the shared folder.
+    Tasks of ``LINKS`` links each reduce them to forests, as a large group is linked many times over. What more than one task has
+    left goes through alternating star contraction (large star, small star) until nothing changes; each round is written to the
+    shared folder.
     """
     edges = X.materialize(links.select(F.greatest("id", "other").alias("u"), F.least("id", "other").alias("v")).where("u <> v").distinct())
+    tasks = -(-edges.count() // LINKS)
+    edges = X.materialize(edges.coalesce(max(1, tasks)).mapInArrow(_forest, "u long, v long"))
     state = None
-    while True:
+    while tasks > 1:
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -213,8 +249,9 @@ def components(links: DataFrame) -> DataFrame:
         edges = X.materialize(small)
         now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.countDistinct("u")).first()
         if now == state:
-            return edges.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("component"))
+            break
         state = now
+    return edges.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("component"))
 
 
 def link(classes: DataFrame) -> DataFrame:
@@ -222,9 +259,9 @@ def link(classes: DataFrame) -> DataFrame:
     n = X.partitions(classes.sparkSession)
     schema = "kind int, bucket long, three int, fp long, id long, other long"
     rows = classes.where("id is not null").mapInArrow(_buckets, "bucket long, three int, fp long, id long")
-    first = X.materialize(rows.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_match(HOT, MAX_DISTANCE), schema))
+    first = X.materialize(rows.repartition(n, "bucket").sortWithinPartitions("bucket", "id").mapInArrow(_match(HOT, MAX_DISTANCE), schema))
     finer = first.where("kind = 1").select("bucket", "three", "fp", "id").mapInArrow(_finer, "bucket long, three int, fp long, id long")
-    second = finer.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_match(None, MAX_DISTANCE), schema)
+    second = finer.repartition(n, "bucket").sortWithinPartitions("bucket", "id").mapInArrow(_match(None, MAX_DISTANCE), schema)
     return components(first.where("kind = 0").unionAll(second).select("id", "other"))
 
 
@@ -299,8 +336,7 @@ _CHECK = [f"w{i}" for i in range(CHECKED // 64)]
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, fp) to (bucket, id, the words that are verified): a row for each segment, named by its pivot distances."""
-    table = _table(tuple(range(BAND_BITS)))[1].astype(np.uint64)
-    name = (table * np.random.default_rng(64).integers(1, 1 << 63, REFERENCES, dtype=np.uint64)).sum(1, dtype=np.uint64)
+    name = _mixed(tuple(range(BAND_BITS)), 0)
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -454,7 +490,7 @@ def _verified(rows: DataFrame, loose: DataFrame, similarity: float, shingle: int
     def check(dealt: DataFrame) -> DataFrame:
         dealt = X.materialize(dealt)
         picked = rows.join(F.broadcast(dealt) if dealt.count() <= _BROADCAST else dealt, "id").select("cell", "id", "label", "text")
-        ordered = picked.repartition(n, "cell").sortWithinPartitions("cell")
+        ordered = picked.repartition(n, "cell").sortWithinPartitions("cell", "id")
         return X.materialize(ordered.mapInArrow(_alike_in_cells(similarity, shingle), "id long, other long").distinct())
 
     members = X.materialize(loose.unionAll(loose.select(F.col("component").alias("id"), "component").distinct()))
@@ -489,7 +525,9 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5
     classes = X.materialize(prints.groupBy("key", "fp").agg(F.min("id").alias("first")))
     copies = prints.join(classes, ["key", "fp"]).where("id <> first").select("id", F.col("first").alias("other"))
     schema = "bucket long, id long, " + ", ".join(f"{w} long" for w in _CHECK)
-    dealt = classes.select(F.col("first").alias("id"), "fp").mapInArrow(_bands, schema).repartition(X.partitions(docs.sparkSession), "bucket").sortWithinPartitions("bucket")
+    dealt = classes.select(F.col("first").alias("id"), "fp").mapInArrow(_bands, schema)
+    # by id, too: a group's links lead to its smallest id, which in all buckets of a large group is one of few
+    dealt = dealt.repartition(X.partitions(docs.sparkSession), "bucket").sortWithinPartitions("bucket", "id")
     loose = components(dealt.mapInArrow(_near_in_buckets(bits_apart(similarity)), "id long, other long").distinct())
     named = X.materialize(components(_verified(rows, loose, similarity, shingle)))  # of first copies only: others follow theirs
     follow = copies.join(named.withColumnRenamed("id", "first"), copies["other"] == F.col("first"), "left")

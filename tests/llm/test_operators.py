@@ -189,6 +189,21 @@ def test_simhash(spark, awkward, docs):
     assert simhash.near_duplicates(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("links", [200_000, 40])
+def test_components(spark, links, monkeypatch):
+    """Chains, stars and odd pairs, in one task and in many."""
+    monkeypatch.setattr(simhash, "LINKS", links)
+    rng = random.Random(31)
+    made = [(i, i + 1) for i in range(100, 160)] + [(200, 200 + i) for i in range(60)] + [(rng.randrange(1000, 1400), rng.randrange(1000, 1400)) for _ in range(180)] + [(7, 7), (-5, 160), (259, 1000)]
+    rng.shuffle(made)
+    found = {r["id"]: r["component"] for r in simhash.components(spark.createDataFrame(made, "id long, other long").repartition(7)).collect()}
+    label = {i: i for x in made for i in x}
+    for _ in label:
+        for a, b in made:
+            label[a] = label[b] = min(label[a], label[b])
+    assert found == {i: c for i, c in label.items() if i != c}
+
+
 @pytest.mark.parametrize("hot", [1024, 6])
 def test_simhash_links_are_complete(spark, hot, monkeypatch):
     """Clusters of fingerprints a few bits apart, in buckets of ordinary size and in hot ones."""
@@ -283,7 +298,7 @@ def test_toxicity_of_held_out_labels(spark, sf):
     found = rows.join(spark.read.parquet(f"/root/testdata/{sf}/labels.parquet"), "doc_id").where("held_out").select("predicted", "toxic").collect()
     hits = sum(r["predicted"] and r["toxic"] for r in found)
     recall, precision = hits / sum(r["toxic"] for r in found), hits / sum(r["predicted"] for r in found)
-    assert recall >= 0.78 and precision >= 0.8, (recall, precision)
+    assert recall >= 0.89 and precision >= 0.86, (recall, precision)
 
 
 def test_toxicity_is_compressed_lengths(spark, texts):
@@ -302,7 +317,14 @@ def test_toxicity_is_compressed_lengths(spark, texts):
     for text in [t for _, t, _ in docs[:5]] + ["you zmorkle and blixard", "One", "", None, "x" * 200]:
         w = [x[i : i + 48] for x in (text or "").lower().encode().split() for i in range(0, len(x), 48)]
         pairs = [b" " + a + b" " + b + b" " for a, b in zip(w, w[1:])] or [b" " + x + b" " for x in w]
-        gains = [min(8, max(0, length(own["ordinary"] + tail, p + tail) - length(own["toxic"] + own["ordinary"] + tail, p + tail))) for p in pairs]
+        line = b" " + b" ".join(w) + b" "
+        only = lambda x: x in own["toxic"] and x not in own["ordinary"]
+        gains, at = [], 0
+        for k, p in enumerate(pairs):
+            begins = [line[i : i + 7] for i in range(at, at + len(p) - 1)]
+            gain = length(own["ordinary"] + tail, p + tail) - length(own["toxic"] + own["ordinary"] + tail, p + tail)
+            gains.append(min(8, max(0, gain)) if any(len(x) == 7 and only(x) for x in begins) else 0)
+            at += len(w[k]) + 1
         s = sum(g / 4 - 0.5 for g in gains) / np.sqrt(len(pairs) + 20)
         assert toxicity.scores(own, [text])[0] == pytest.approx(1 / (1 + np.exp(1 - 2 * s)))
 
@@ -485,10 +507,31 @@ def test_nearest_neighbours(spark):
     assert np.mean(hits) >= 0.9
 
 
+@pytest.mark.parametrize("queries", [20_000, 50])
+def test_nearest_neighbours_in_clusters(spark, queries, monkeypatch):
+    """Where vectors lie in clusters, under a quarter of the rows is walked; buckets with many queries are copied."""
+    monkeypatch.setattr(multiindex, "BUCKET_QUERIES", queries)
+    rng = np.random.default_rng(17)
+    centres = rng.normal(size=(60, 16))
+    x = np.concatenate([c + 0.15 * rng.normal(size=(100, 16)) for c in centres])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    books = []
+    monkeypatch.setattr(multiindex, "Codebook", lambda *a, make=multiindex.Codebook: books.append(make(*a)) or books[-1])
+    got = multiindex.neighbours(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).collect()
+    assert books[0].share < 0.25
+    found = {}
+    for r in got:
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hits = [len(found[q] & set(np.argsort(-np.where(np.arange(len(x)) == q, -9, x @ x[q]))[:20].tolist())) / 20 for q in range(0, len(x), 20)]
+    assert np.mean(hits) >= 0.9
+
+
 def test_nearest_neighbours_of_awkward_vectors(spark):
-    rows = [(0, [1.0, 0.0]), (20, None), (40, [0.0, 0.0]), (60, [float("nan"), 1.0]), (80, [None, 1.0]), (None, [1.0, 1.0]), (100, [1.0, 0.0, 0.0])]
+    rows = [(0, [1.0, 0.0]), (20, None), (40, [0.0, 0.0]), (60, [float("nan"), 1.0]), (80, [None, 1.0]), (None, [1.0, 1.0]), (100, [0.0, 0.0, 0.5]), (7, [])]
     rows += [(i, [0.6, 0.8]) for i in range(1, 40) if i % 20] + [(0, [1.0, 0.0])]
     got = multiindex.neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).orderBy("query_id", "rank").collect()
+    assert [r["vec_id"] for r in got if r["query_id"] == 100 and r["score"] == 0] == [r["vec_id"] for r in got if r["query_id"] == 100]  # a longer vector: zeros elsewhere
+    got = [r for r in got if r["query_id"] != 100]
     assert [(r["query_id"], r["rank"], r["vec_id"]) for r in got] == [(0, k, i) for k, i in enumerate([i for i in range(1, 40) if i % 20][:20], 1)]
     assert multiindex.neighbours(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
     alone = multiindex.neighbours(spark.createDataFrame([(0, [1.0, 2.0])], "vec_id long, embedding array<float>"))
