@@ -12,6 +12,7 @@ from parcelforge.sources import fields as source
 
 from .attribute_queries import attribute_features
 from .geometry_queries import geometry_features
+from .model_queries import combined
 from .spatial_queries import context
 
 GEOMETRY = (
@@ -32,19 +33,21 @@ def _rounded(df: DataFrame, columns: str, *keep: str) -> DataFrame:
 
 
 def feature_tables(fields: DataFrame, zone: int = 11) -> dict[str, DataFrame]:
-    """``fields`` as ``read_geojson`` gives them; a table each of geometry, attributes, context, topology and yearly series."""
+    """``fields`` as ``read_geojson`` gives them; a table each of geometry, attributes, context, topology, yearly series, and the combined matrix."""
     fields = source.nan_to_null(fields)
     planar = fields.withColumn("polygons", crs.project(F.col("polygons"), zone))
     shapes = geometry_features(planar, ["field_id"])
     lon, lat = crs.from_utm(F.col("centroid_x"), F.col("centroid_y"), zone)
     measured = S.measured(planar, "field_id", ["crop_type"])
     yields = source.yield_columns(fields)
+    stated = planar.withColumnRenamed("area_ha", "stated_ha")
     named = lambda df: df.withColumnRenamed("id", "field_id")
     return {
         "geometry_features": _rounded(shapes.withColumns({"centroid_lon": lon, "centroid_lat": lat}), GEOMETRY, "field_id"),
         "attribute_features": attribute_features(source.attributes(fields), source.attributes(fields), yields),
         "spatial_context_features": _rounded(named(context(measured)), CONTEXT, "field_id"),
         "topology_features": _rounded(named(S.topology(measured, S.symmetric(S.adjacency(measured)))), TOPOLOGY, "field_id"),
+        "full_feature_matrix": combined(geometry_features(stated, ["field_id", "crop_type", "soil_type", "irrigation_type", "slope_pct", "stated_ha", *yields]), yields),
         "time_series_features": _rounded(T.features(source.attributes(fields), yields, ["field_id", "crop_type"]), SERIES, "field_id", "crop_type"),
     }
 

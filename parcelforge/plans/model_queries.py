@@ -21,14 +21,21 @@ _TS = {"ts_mean": "mean_yield", "ts_cv": "cv_yield", "ts_slope": "trend_slope",
 FEATURES = [*_GEOM, *_ATTR, *_TS]
 
 
+_OWN = ["field_id", "crop_type", "soil_type", "irrigation_type", "slope_pct"]
+
+
 def full_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Geometry, attribute and series features and the crop of each field: row-local but for one join, with the yields."""
-    own = ["field_id", "crop_type", "soil_type", "irrigation_type", "slope_pct"]
-    shapes = geometry_features(views.parcels(spark, sf_dir).withColumnRenamed("area_ha", "stated_ha"), [*own, "stated_ha"])
-    fields = shapes.select(*own, F.col("stated_ha").alias("area_ha"), *(F.col(c).cast("double").alias(n) for n, c in _GEOM.items())).join(views.yields(spark, sf_dir), "field_id", "left")
+    shapes = geometry_features(views.parcels(spark, sf_dir).withColumnRenamed("area_ha", "stated_ha"), [*_OWN, "stated_ha"])
+    return combined(shapes.join(views.yields(spark, sf_dir), "field_id", "left"), views.YIELDS)
+
+
+def combined(fields: DataFrame, yields: list[str]) -> DataFrame:
+    """The features of fields that have geometry features, attributes (their area as ``stated_ha``) and yields."""
+    rows = fields.select(*_OWN, F.col("stated_ha").alias("area_ha"), *(F.col(c).cast("double").alias(n) for n, c in _GEOM.items()), *yields)
     keep = ["field_id", "crop_type", *_GEOM, *_ATTR]
-    both = ratios(fields).select("field_id", "crop_type", *_GEOM, *(F.col(c).alias(n) for n, c in _ATTR.items()), *views.YIELDS)
-    return T.features(both, views.YIELDS, keep).select(*keep, *(F.col(c).cast("double").alias(n) for n, c in _TS.items()))
+    both = ratios(rows, yields).select("field_id", "crop_type", *_GEOM, *(F.col(c).alias(n) for n, c in _ATTR.items()), *yields)
+    return T.features(both, yields, keep).select(*keep, *(F.col(c).cast("double").alias(n) for n, c in _TS.items()))
 
 
 _FULL = f"""{ts_sql(list(_TS.values()))}, {views.FIELDS}, {views.G_SQL[len(views.P) + 2:].replace(', e AS (', ', ee AS (').replace('FROM e GROUP', 'FROM ee GROUP').replace('m AS (SELECT shape', 'mm AS (SELECT shape').replace('JOIN m USING', 'JOIN mm USING')},

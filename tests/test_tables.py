@@ -132,7 +132,7 @@ def test_from_geojson_to_csv(spark, tmp_path, lines):
     path = tmp_path / "f.geojson"
     path.write_text("\n".join(map(json.dumps, made)) if lines else json.dumps({"type": "FeatureCollection", "features": made}, indent=1))
     files.export(spark, str(path), str(tmp_path / "out"), lines=lines)
-    read = {n: {r["field_id"]: r for r in spark.read.option("header", True).option("inferSchema", True).csv(str(tmp_path / "out" / n)).collect()} for n in ("geometry_features", "attribute_features", "spatial_context_features", "topology_features", "time_series_features")}
+    read = {n: {r["field_id"]: r for r in spark.read.option("header", True).option("inferSchema", True).csv(str(tmp_path / "out" / n)).collect()} for n in ("geometry_features", "attribute_features", "spatial_context_features", "topology_features", "time_series_features", "full_feature_matrix")}
     near = lambda x, tolerance=1e-4: pytest.approx(x, rel=tolerance)
     g = read["geometry_features"]
     assert tuple(g["F001"])[1:] == (16.568, 1.6342, 0.779631, near(1.1818), 16.568, 1.0, 1.0, 4, 17.0424, 0.972164, 379.75, 448.77, -115.518, 33.052)
@@ -143,6 +143,8 @@ def test_from_geojson_to_csv(spark, tmp_path, lines):
     assert (c["F008"]["edge_density"], c["F014"]["edge_density"], c["F001"]["dominant_neighbor_crop"], c["F003"]["fragmentation_index"]) == (4.000057, 4.085552, "isolated", 1.0)
     y = read["time_series_features"]
     assert (y["F001"]["mean_yield"], y["F001"]["best_year"], y["F001"]["anomaly_years"], y["F003"]["mean_yoy_change"]) == (19.02, 2024, "[]", near(4 / 3))
+    whole = read["full_feature_matrix"]["F001"].asDict()
+    assert len(whole) == 25 and (whole["geom_area_ha"], whole["attr_area_ha"], whole["ts_mean"], whole["attr_irrigation"]) == (near(16.568), 5.0, near(19.02), 1.0)
     a = read["attribute_features"]
     assert list(a["F001"].asDict())[:8] == ["field_id", "area_ha", "slope_pct", "mean_yield", "yield_efficiency", "slope_area_ratio", "irrigation_efficiency_score", "area_size_code"] and "yoy_change_2025" in a["F001"].asDict()
     assert (a["F001"]["area_ha"], a["F014"]["area_ha"], a["F001"]["crop__alfalfa"], a["F001"]["crop__corn"], a["F001"]["soil__clay"]) == (0.0, 1.0, 1, 0, 1)
