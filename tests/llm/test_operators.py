@@ -99,6 +99,23 @@ def test_sharding(spark, awkward, docs):
     assert sharding.place(empty(spark), "doc_id", names).count() == 0
 
 
+@pytest.mark.parametrize("size", [101, 1009])
+def test_lookup_table_is_claimed_in_turns(size):
+    """The table by whole permutations and a plain game: each in turn takes the first free slot of its list."""
+    names = [f"s{i}" for i in range(7)]
+    lists = []
+    for n in names:
+        h = hashlib.md5(n.encode()).hexdigest()
+        first, step = int(h[:16], 16) % size, int(h[16:], 16) % (size - 1) + 1
+        lists.append([(first + k * step) % size for k in range(size)])
+        assert sorted(lists[-1]) == list(range(size))
+    owner: dict = {}
+    for turn in range(size):
+        slot = next(x for x in lists[turn % 7] if x not in owner)
+        owner[slot] = turn % 7
+    assert sharding.lookup_table(tuple(names), size) == tuple(owner[x] for x in range(size))
+
+
 def test_sharding_oracle(spark):
     got = Q.queries()["op3_sharding"](spark, SF).collect()
     con = duckdb.connect()
@@ -651,3 +668,25 @@ def test_shards_follow_the_size(spark, monkeypatch):
     monkeypatch.setattr(exchange, "SHARD_BYTES", 5000)
     assert 2 * exchange.partitions(spark) < exchange.shards(docs) <= exchange.shards(docs, 1 << 30)
     assert exchange.shards(docs, 128 * 20) == 20
+
+
+def test_similar_documents_by_similarity(spark):
+    """Of the supplied pairs, by Jaccard similarity, how many are linked: all from 0.8 up, or nearly; and no document is linked without one."""
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    sets, holders = {}, {}
+    for i, t in texts.items():
+        w = (t or "").lower().split()
+        sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} or ({tuple(w)} if w else set())
+        for x in sets[i]:
+            holders.setdefault(x, []).append(i)
+    common = {}
+    for ids in holders.values():
+        for p in itertools.combinations(sorted(ids), 2):
+            common[p] = common.get(p, 0) + 1
+    near = {(a, b): n / (len(sets[a]) + len(sets[b]) - n) for (a, b), n in common.items()}
+    component = {r["id"]: r["component"] for r in simhash.similar_documents(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    for low, high, least in ((0.8, 0.85, 0.97), (0.85, 0.9, 0.99), (0.9, 1.01, 1.0)):
+        found = [component.get(a, a) == component.get(b, b) for (a, b), j in near.items() if low <= j < high]
+        assert not found or np.mean(found) >= least, (low, np.mean(found), len(found))
+    linked = {x for p, j in near.items() if j >= 0.8 for x in p}
+    assert set(component) <= linked and len(linked) > 20
