@@ -15,6 +15,15 @@ def fence(df: DataFrame) -> DataFrame:
     return df.select(F.inline(F.array(F.struct(*df.columns))))
 
 
+def share(df: DataFrame, key: str) -> DataFrame:
+    """``df`` dealt by ``key``, for a plan that uses it in several places: all of them read the one exchange.
+
+    The fence keeps each place from asking for columns of its own, which would make as many exchanges; so what is costly to compute
+    is computed once, for one shuffle.
+    """
+    return fence(df.repartition(key))
+
+
 def estimate(df: DataFrame) -> int:
     """Spark's own estimate of the size in bytes, which runs no job; 0 where it has none (rows that came from an RDD count as exabytes)."""
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())

@@ -56,7 +56,7 @@ def neighbours(m: DataFrame, radius: float = RADIUS) -> DataFrame:
 
 
 #: Where a field nearer than this is found, no field farther off need be looked at.
-CLOSE = 200.0
+CLOSE = 400.0
 
 
 def nearest(m: DataFrame, radius: float = RADIUS, size: float = 1000.0) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from parcelforge.functions.fence import share
 from parcelforge.operators import encoding as E
 from parcelforge.operators import forest, stats
 from parcelforge.operators import timeseries as T
@@ -49,7 +50,7 @@ register("merge_features", "field_id:i crop_type:s " + " ".join(f"{c}:d" for c i
 
 @register("preproc_matrix", "field_id:i " + " ".join(f"{c}:d5" for c in FEATURES), f"{_FULL}, im AS (SELECT field_id, {', '.join(f'coalesce({c}, median({c}) OVER (), 0) AS {c}' for c in FEATURES)} FROM full_) --SELECT field_id, {', '.join(map(standard_sql, FEATURES))} FROM im")
 def preproc_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return forest.prepare(full_matrix(spark, sf_dir).drop("crop_type"), FEATURES)
+    return forest.prepare(share(full_matrix(spark, sf_dir).drop("crop_type"), "field_id"), FEATURES)  # fitted, and then applied
 
 
 @register("class_weights", "crop_type:s n:i weight:d", f"{views.P}, c AS (SELECT crop_type, count(*) AS n FROM p GROUP BY crop_type) --SELECT crop_type, n, (SELECT sum(n) FROM c)::DOUBLE / ((SELECT count(*) FROM c) * n) AS weight FROM c")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parcelforge.functions import geometry as G
+from parcelforge.functions.fence import share
 from parcelforge.operators import spatial as S
 from parcelforge.operators import stats
 
@@ -18,6 +19,11 @@ def measured(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.measured(views.parcels(spark, sf_dir), "field_id", ["crop_type"])
 
 
+def shared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``measured``, for plans that use it many times."""
+    return share(measured(spark, sf_dir), "id")
+
+
 _G = views.G_SQL
 _MEET = "a.minx - {r} <= b.maxx AND a.maxx + {r} >= b.minx AND a.miny - {r} <= b.maxy AND a.maxy + {r} >= b.miny"
 _CAND = f"{_G}, cand AS (SELECT a.field_id AS src, b.field_id AS dst, a.centroid_x AS px, a.centroid_y AS py FROM g a JOIN g b ON a.field_id <> b.field_id AND {_MEET.format(r=1000)})"
@@ -100,7 +106,7 @@ _CONTEXT = "id:i dist_to_nearest_m:d n_neighbors_500m:i neighbor_mean_area_ha:d
 
 @register("context_features", _CONTEXT, f"{_NEAREST}, {_STATS[len(_G) + 2:]} --SELECT ns.*, dist_to_nearest_m, edge_density FROM ns JOIN nn USING (id) JOIN g ON g.field_id = id")
 def context_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return context(measured(spark, sf_dir))
+    return context(shared(spark, sf_dir))
 
 
 def context(m: DataFrame) -> DataFrame:
@@ -126,7 +132,7 @@ register("adjacency_symmetric", "src:i dst:i shared_length_m:d", f"{_ADJ} --SELE
 
 
 def _topology(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = measured(spark, sf_dir)
+    m = shared(spark, sf_dir)
     return S.topology(m, S.symmetric(S.adjacency(m)))
 
 
