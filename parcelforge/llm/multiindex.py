@@ -34,7 +34,7 @@ from . import exchange as X
 SAMPLE_ROWS = 20_000
 TARGET = 0.97
 CELL_ROWS, MAX_CENTROIDS = 64, 1024
-BUCKET_ROWS = 2048
+BUCKET_ROWS = 8192
 BUCKET_QUERIES = 20_000
 
 
