@@ -92,16 +92,10 @@ def symbols(text: bytes) -> bytes:
     return _SAME.sub(lambda run: run[1] + AGAIN * (len(run[0].split()) - 1), text)
 
 
-def _read(table: pa.Table, column: str) -> pa.Table:
-    """The table with a column ``read``: the text as the model reads it where that is not the text itself, else null."""
-    texts = (t for chunk in table[column].chunks for t in chunk.to_pylist())
-    return table.append_column("read", pa.array((None if t is None or (r := symbols(t)) is t else r for t in texts), pa.binary()))
-
-
 def _texts(table: pa.Table, column: str) -> tuple[list[bytes], np.ndarray]:
-    """The texts of ``_read`` as the model reads them, and how many bytes they have."""
+    """The texts as the model reads them, and how many bytes they have."""
     texts = [t or b"" for chunk in table[column].chunks for t in chunk.to_pylist()]
-    return [t if r is None else r for t, r in zip(texts, table["read"].to_pylist())], np.array([len(t) for t in texts], np.int64)
+    return list(map(symbols, texts)), np.array([len(t) for t in texts], np.int64)
 
 
 def _suffixes(codes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -116,7 +110,7 @@ def train(trusted: DataFrame, text: str = "text") -> dict:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = TaskContext.get().partitionId()
         for i, table in enumerate(X.whole_blocks(batches, "text", BLOCK_BYTES)):
-            codes, counts = _distinct(_texts(_read(table, "text"), "text")[0])
+            codes, counts = _distinct(_texts(table, "text")[0])
             yield from X.payload_rows([(s + shards * ((first + i) % groups), i, X.squeeze((np.diff(codes[at], prepend=np.uint64(0)), counts[at].astype(np.uint32)))) for s, at in _by_shard(codes, shards)]).to_batches()
             X.let_go()
 
@@ -214,8 +208,20 @@ def perplexities(docs: DataFrame, model: dict, carry: list[str], text: str = "te
     kept = [*names.values(), *(["t"] if text in carry else [])]
     groups = X.groups(docs, GROUP_BYTES)
 
+    def pack(table: pa.Table) -> dict:
+        if "t" in kept:
+            return {"rows": X.freeze(table)}
+        texts, n = _texts(table, "t")  # the text itself goes no farther
+        return {"rows": X.freeze(table.drop_columns(["t"]).append_column("t", pa.array(texts, pa.binary()))), "n": X.squeeze(n)}
+
+    def unpack(row: dict) -> tuple[pa.Table, list[bytes], np.ndarray]:
+        table = X.thaw(row["rows"])
+        if "n" not in row:
+            return table, *_texts(table, "t")
+        return table, [t for chunk in table["t"].chunks for t in chunk.to_pylist()], X.expand(row["n"])
+
     def questions(row: dict) -> Iterator[tuple[int, bytes]]:
-        codes, _ = _distinct(_texts(X.thaw(row["rows"]), "t")[0])
+        codes, _ = _distinct(unpack(row)[1])
         for s, at in _by_shard(codes, shards):
             yield s + shards * (row["block"] % groups), X.squeeze(np.diff(codes[at], prepend=np.uint64(0)))
 
@@ -229,8 +235,7 @@ def perplexities(docs: DataFrame, model: dict, carry: list[str], text: str = "te
                 yield block, X.squeeze(nats[np.searchsorted(every, a)])
 
     def finish(row: dict, answers: dict[int, bytes]) -> pa.Table:
-        table = X.thaw(row["rows"])
-        texts, n = _texts(table, "t")
+        table, texts, n = unpack(row)
         codes, _ = _distinct(texts)
         nats = np.zeros(len(codes))
         for s, at in _by_shard(codes, shards):
@@ -243,7 +248,7 @@ def perplexities(docs: DataFrame, model: dict, carry: list[str], text: str = "te
         made = {"perplexity": pa.array(value, mask=n == 0), "n_bytes": pa.array(n, pa.int64())}
         return pa.table([*table.select(kept).columns, *made.values()], names=[*kept, *made])
 
-    blocks = X.to_blocks(rows, "t", lambda t: {"rows": X.freeze(_read(t, "t"))}, BLOCK_BYTES)
+    blocks = X.to_blocks(rows, "t", pack, BLOCK_BYTES)
     schema = ", ".join([*(f"{n} {rows.schema[n].dataType.simpleString()}" for n in kept), "perplexity double", "n_bytes long"])
     counts = model["table"]
     if groups > 1:
