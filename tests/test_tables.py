@@ -23,15 +23,11 @@ def oracle():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(registry.queries()))
+@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_query_matches_oracle(spark, oracle, name):
     df = registry.queries()[name](spark, SF)
     rows = df.select(sorted(df.columns)).collect()
-    sql = registry.oracle_sql().get(name)
-    if sql is None:
-        assert name in ("rf_predict", "importances", "rf_report", "rf_accuracy", "cv_scores") and rows
-        return
-    rel = oracle.execute(sql)
+    rel = oracle.execute(registry.oracle_sql()[name])
     names = [c[0] for c in rel.description]
     assert sorted(names) == sorted(df.columns)
     order = [names.index(c) for c in sorted(names)]
@@ -209,7 +205,12 @@ def test_categories_are_bounded(spark):
 def test_registered_forest_is_whole(spark):
     from parcelforge.plans import model_queries as M
 
-    model, rows, _ = M._fitted(spark, SF)
+    assert set(registry.queries()) - set(registry.oracle_sql()) == {"rf_predict", "importances", "rf_report", "rf_accuracy", "cv_scores"}
+    model, rows, names = M._fitted(spark, SF)
+    done = forest.predict(model, rows, names, ["field_id", "crop_type"]).selectExpr("lower(crop_type) AS label", "predicted", "probability").cache()
+    report = {r["class"]: r for r in stats.report(done, "label", "predicted").collect()}
+    assert set(report) == {*names, "macro avg", "weighted avg"} and report["weighted avg"]["support"] == rows.count() and 0.3 < report["weighted avg"]["recall"] <= 1
+    assert stats.accuracy(done, "label", "predicted").first()["accuracy"] == pytest.approx(report["weighted avg"]["recall"])
     assert (model.getNumTrees, model.numFeatures, rows.count()) == (100, len(M.FEATURES), M.full_matrix(spark, SF).where("crop_type IS NOT NULL").count())
     top = registry.queries()["importances"](spark, SF).collect()
     assert len(top) == 15 and {r["feature"] for r in top} <= set(M.FEATURES)
