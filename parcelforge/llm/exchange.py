@@ -33,6 +33,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from parcelforge.functions.fence import estimate
+
 #: Bytes of text in a block; a longer document is a block of its own.
 BLOCK_BYTES = 8 << 20
 #: What a row counts besides its text, so that a block of empty texts is bounded too.
@@ -99,18 +101,12 @@ def shards(df: DataFrame, block_bytes: int = BLOCK_BYTES) -> int:
 
     There are at most so many that a block has some ``PAYLOAD_BYTES`` for each; larger inputs want larger blocks.
     """
-    return max(2 * partitions(df.sparkSession), min(_estimate(df) // SHARD_BYTES, block_bytes // PAYLOAD_BYTES))
+    return max(2 * partitions(df.sparkSession), min(estimate(df) // SHARD_BYTES, block_bytes // PAYLOAD_BYTES))
 
 
 def groups(df: DataFrame, bytes_each: int) -> int:
     """How many groups of ``bytes_each`` the rows of ``df`` make up, by their estimated size."""
-    return max(1, min(_estimate(df) // bytes_each, 1 << 16))
-
-
-def _estimate(df: DataFrame) -> int:
-    """Spark's own estimate of the size, which runs no job; 0 where it has none (rows that came from an RDD count as exabytes)."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return size if size < 1 << 60 else 0
+    return max(1, min(estimate(df) // bytes_each, 1 << 16))
 
 
 def shared_dir(spark: SparkSession) -> str:
