@@ -37,7 +37,7 @@ from . import exchange as X
 from .sampling import sample_by_class
 
 #: Labelled documents that are learned from, about, at most; their bytes in all, and those of one.
-SAMPLE_ROWS, SAMPLE_BYTES, LONGEST = 4000, 64 << 20, 1 << 20
+SAMPLE_ROWS, SAMPLE_BYTES, LONGEST = 6000, 64 << 20, 1 << 20
 FOLDS = 4
 #: Words in a window, and the longest word; a longer one is several.
 WINDOW, WORD = 2, 48
