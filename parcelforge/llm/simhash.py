@@ -285,7 +285,7 @@ DEALS, MARGIN = 3, 5
 #: Rows of whole buckets that are compared at once; all pairs of a bucket over ``WIDE`` are met row by row, but for those linked already.
 AT_ONCE, WIDE = 4096, 256
 #: Documents in a cell, within which links are verified by the shingles; larger groups of candidates are cut into several.
-CELL = 256
+CELL = 192
 _ORDERS = [np.arange(BANDS * BAND_BITS), *(np.random.default_rng(7 + i).permutation(BANDS * BAND_BITS) for i in range(DEALS - 1))]
 _WORDS = BANDS * BAND_BITS // 64
 _MIX = np.random.default_rng(5).integers(0, 1 << 63, _WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
