@@ -88,6 +88,17 @@ def eagerly(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
         return materialize(make())
 
 
+def pick(df: DataFrame, **names: str) -> DataFrame:
+    """The columns ``names`` under the names they are given by; others are dropped.
+
+    Found by their exact names, or else in another case; other columns may have dots or backticks in their names, or differ in case only.
+    """
+    folded = [c.lower() for c in df.columns]
+    place = lambda c: df.columns.index(c) if c in df.columns else folded.index(c.lower())
+    own = df.toDF(*(f"own_{i}" for i in range(len(df.columns))))
+    return own.select(*(F.col(f"own_{place(c)}").alias(new) for new, c in names.items()))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, exchange, language, multiindex, quality, sharding, simhash, suffix, tokencount, toxicity
+from . import audit, balltree, bpe, decontaminate, exchange, language, mixing, multiindex, quality, sharding, simhash, suffix, tokencount, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,9 +67,25 @@ def _counted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"), cache)
 
 
+def _mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.mix(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+def _audited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    failed = audit.failures(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return audit.audit(failed, list(audit.FILTERS))
+
+
+def _hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return balltree.mine(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", label.alias("label")))
+
+
 _EAGER = {
     "op1_quality": _classified, "op2_bpe": _encoded, "op4_multi_index": _neighbours, "op5_suffix_dedup": _without_repeats, "op6_simhash": _near_duplicates,
     "op7_language": _languages, "op8_decontamination": _contaminated, "op9_toxicity": _toxicity, "op10_token_counts": _counted,
+    "op11_cube_mix": _mixed, "op12_filter_audit": _audited, "op13_hard_negatives": _hard_negatives,
 }
 
 
@@ -80,4 +96,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_sharding": sharding.oracle("documents", "doc_id", SHARDS)}
+    return {"op3_sharding": sharding.oracle("documents", "doc_id", SHARDS), "op12_filter_audit": audit.oracle("documents", "labels"), "op13_hard_negatives": balltree.oracle("embeddings")}
