@@ -77,6 +77,7 @@ def fly(sizes: Sequence[int], chances: list[float], rng: random.Random, most: in
         all_w = w.sum()
         t = s - (w * s).sum() / all_w
         spread = float((w * t * t).sum())
+        spread = spread if spread > 1e-12 * float((w * s * s).sum()) else 0  # equal sizes, but for rounding
         lever = w * (1 / all_w + (t * t / spread if spread else 0 * t))  # of 1: the two sums hold the document where it is
         first = int((lever < 1 - 1e-9).argmax())
         step = -w * (1 / all_w + (t[first] * t / spread if spread else 0 * t))
