@@ -166,19 +166,37 @@ def point_polygon_distance(p: Column, polygons: Column) -> Column:
     return F.when(_inside(e, p), 0.0).otherwise(F.array_min(F.transform(e, lambda s: point_segment_distance(p, s))))
 
 
-def overlap_length(s: Column, t: Column, tolerance: float) -> Column:
-    """How long the edge ``t`` runs along the edge ``s``, within the tolerance."""
-    size = F.hypot(s.b.x - s.a.x, s.b.y - s.a.y)
-    ux, uy = F.try_divide(s.b.x - s.a.x, size), F.try_divide(s.b.y - s.a.y, size)
+#: The sine of the largest angle between edges that run along each other.
+ALONG = 0.1
+
+
+def _runs_along(s: Column, t: Column, tolerance: float) -> Column:
+    """How much of ``t`` lies beside ``s``, between its ends and within the tolerance of its line."""
+    dx, dy = s.b.x - s.a.x, s.b.y - s.a.y
+    size = F.hypot(dx, dy)
+    along = lambda p: F.try_divide((p.x - s.a.x) * dx + (p.y - s.a.y) * dy, size)
+    aside = lambda p: F.try_divide((p.y - s.a.y) * dx - (p.x - s.a.x) * dy, size)
 
-    def along(p: Column) -> Column:
-        return (p.x - s.a.x) * ux + (p.y - s.a.y) * uy
+    def span(first: Column, last: Column, low: Column, high: Column) -> tuple[Column, Column]:
+        """Where on ``t``, from 0 to 1, a number that goes from ``first`` to ``last`` is within the limits."""
+        one, two = F.try_divide(low - first, last - first), F.try_divide(high - first, last - first)
+        still = F.when((first >= low) & (first <= high), 0.0).otherwise(2.0)
+        return F.coalesce(F.least(one, two), still), F.coalesce(F.greatest(one, two), F.lit(1.0))
 
-    def aside(p: Column) -> Column:
-        return F.abs((p.x - s.a.x) * uy - (p.y - s.a.y) * ux)
+    from_a, to_a = span(along(t.a), along(t.b), F.lit(0.0), size)
+    from_b, to_b = span(aside(t.a), aside(t.b), F.lit(-tolerance), F.lit(tolerance))
+    part = F.least(F.lit(1.0), to_a, to_b) - F.greatest(F.lit(0.0), from_a, from_b)
+    return F.greatest(part, F.lit(0.0)) * F.hypot(t.b.x - t.a.x, t.b.y - t.a.y)
 
-    both = F.least(size, F.greatest(along(t.a), along(t.b))) - F.greatest(F.lit(0.0), F.least(along(t.a), along(t.b)))
-    return F.when((aside(t.a) <= tolerance) & (aside(t.b) <= tolerance), F.greatest(both, F.lit(0.0))).otherwise(0.0)
+
+def overlap_length(s: Column, t: Column, tolerance: float) -> Column:
+    """How long two edges run along each other, within the tolerance: what either has beside the other, on average.
+
+    0 for edges at a larger angle than that of the sine ``ALONG``.
+    """
+    cross = (s.b.x - s.a.x) * (t.b.y - t.a.y) - (s.b.y - s.a.y) * (t.b.x - t.a.x)
+    level = F.abs(cross) <= ALONG * F.hypot(s.b.x - s.a.x, s.b.y - s.a.y) * F.hypot(t.b.x - t.a.x, t.b.y - t.a.y)
+    return F.when(level, (_runs_along(s, t, tolerance) + _runs_along(t, s, tolerance)) / 2).otherwise(0.0)
 
 
 def segments_cross(s: Column, t: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parcelforge.functions import geometry as G
+from parcelforge.functions import overlay as O
 from parcelforge.functions.fence import fence
 
 RADIUS, TOLERANCE = 500.0, 0.5
@@ -21,27 +22,52 @@ def measured(fields: DataFrame, key: str, carry: list[str]) -> DataFrame:
     return fence(fields.select(F.col(key).alias("id"), *carry, p, G.centroid(p).alias("center"), G.bbox(p).alias("box"), (G.area(p) / 10000).alias("geometry_ha")))
 
 
-def pairs(left: DataFrame, right: DataFrame, reach: float, size: float, half: bool = False) -> DataFrame:
-    """Pairs whose boxes are at most ``reach`` apart in either axis: structs ``a`` and ``b``.
+def _level(reach: float, size: float) -> Column:
+    """Of the cells that are as large as the row's box, grown by half of ``reach``."""
+    extent = F.greatest(F.col("box.maxx") - F.col("box.minx"), F.col("box.maxy") - F.col("box.miny")) + reach
+    return F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(extent, F.lit(size)) / size))).cast("int")
+
+
+def celled(rows: DataFrame, name: str, levels: Column, reach: float, size: float) -> DataFrame:
+    """The rows as structs ``name`` in each cell ``(level, cx, cy)``, once for either role of the left side, ``left``: that the pair's level is its own, or a smaller row's that is copied up."""
+    lower = F.exists("levels", lambda x: x < F.col("own"))
+    role = lambda level, left: F.struct(level.alias("level"), F.lit(left).alias("left"))
+    above = F.transform(F.filter("levels", lambda x: x > F.col("own")), lambda x: role(x, name == "b"))
+    own = F.array(role(F.col("own"), True)) if name == "a" else F.when(lower, F.array(role(F.col("own"), True), role(F.col("own"), False))).otherwise(F.array(role(F.col("own"), True)))
+    rows = rows.select(F.struct("*").alias(name), "box", _level(reach, size).alias("own"), levels.alias("levels")).select(name, "box", F.inline(F.concat(own, above)))
+    side, grow = size * F.pow(F.lit(2.0), F.col("level")), reach / 2
+    cells = lambda low, high: F.sequence(F.floor((F.col(f"box.{low}") - grow) / side), F.floor((F.col(f"box.{high}") + grow) / side))
+    wide = rows.select("level", "left", F.explode(cells("minx", "maxx")).alias("cx"), cells("miny", "maxy").alias("rows"), name)
+    return wide.select("level", "left", "cx", F.explode("rows").alias("cy"), name)
 
-    Either row is in all cells of side ``size`` that its box, grown by half of ``reach``, covers, and a pair is taken in the cell that
-    holds the lower corner of what both boxes cover: once, however large the boxes are. Both sides are dealt alike, so that a table
-    joined with itself is dealt once. ``half`` keeps pairs with ``a.id < b.id`` only.
-    """
-    grow = reach / 2
 
-    def celled(rows: DataFrame, name: str) -> DataFrame:
-        cells = lambda low, high: F.sequence(F.floor((F.col(f"box.{low}") - grow) / size), F.floor((F.col(f"box.{high}") + grow) / size))
-        wide = rows.select(F.explode(cells("minx", "maxx")).alias("cx"), cells("miny", "maxy").alias("rows"), F.struct("*").alias(name))
-        return wide.select("cx", F.explode("rows").alias("cy"), name)
+def pairs(left: DataFrame, right: DataFrame, reach: float, size: float, half: bool = False) -> DataFrame:
+    """Pairs whose boxes are at most ``reach`` apart in either axis: structs ``a`` and ``b`` of the columns of ``left`` and ``right``.
 
+    A grid of several levels: a row's own level is the least whose cells are as large as its box, grown by half of ``reach`` (cells of the
+    lowest level have side ``size``), so that it is in four cells at most, at its own level and at each larger one that there is. A pair meets at
+    the larger of its rows' levels, in the cell that holds the lower corner of what both boxes cover: once, and small rows never meet each
+    other in a large cell. Rows are copied to cells, so give narrow ones, and ``fetch`` the rest. ``half`` keeps pairs with ``a.id < b.id`` only.
+    """
+    level = _level(reach, size).alias("level")
+    levels = left.select(level).unionAll(right.select(level)).agg(F.collect_set("level")).scalar()  # a few numbers
     meets = (
         (F.col("a.box.minx") - reach <= F.col("b.box.maxx")) & (F.col("a.box.maxx") + reach >= F.col("b.box.minx"))
         & (F.col("a.box.miny") - reach <= F.col("b.box.maxy")) & (F.col("a.box.maxy") + reach >= F.col("b.box.miny"))
     )
-    here = (F.col("cx") == F.floor(F.greatest(F.col("a.box.minx") - grow, F.col("b.box.minx") - grow) / size)) & (F.col("cy") == F.floor(F.greatest(F.col("a.box.miny") - grow, F.col("b.box.miny") - grow) / size))
+    side = size * F.pow(F.lit(2.0), F.col("level"))
+    lower = lambda axis: F.floor((F.greatest(F.col(f"a.box.{axis}"), F.col(f"b.box.{axis}")) - reach / 2) / side)
+    here = (F.col("cx") == lower("minx")) & (F.col("cy") == lower("miny"))
     order = F.col("a.id") < F.col("b.id") if half else F.col("a.id") != F.col("b.id")
-    return celled(left, "a").join(celled(right, "b"), ["cx", "cy"]).where(here & meets & order).select("a", "b")
+    both = celled(left, "a", levels, reach, size).join(celled(right, "b", levels, reach, size), ["level", "left", "cx", "cy"])
+    return both.where(here & meets & order).select("a", "b")
+
+
+def fetch(found: DataFrame, rows: DataFrame, name: str) -> DataFrame:
+    """``found``, with the struct ``name`` replaced by the whole row of its id."""
+    whole = rows.select(F.col("id").alias("_id"), F.struct("*").alias("_row"))
+    kept = [c for c in found.columns if c != name]
+    return found.join(whole, F.col(f"{name}.id") == F.col("_id")).select(*kept, F.col("_row").alias(name))
 
 
 def neighbours(m: DataFrame, radius: float = RADIUS) -> DataFrame:
@@ -66,7 +92,8 @@ def nearest(m: DataFrame, radius: float = RADIUS, size: float = 1000.0) -> DataF
     """
 
     def least(of: DataFrame, reach: float) -> DataFrame:
-        found = pairs(of, m, reach, size).select(F.col("a.id").alias("id"), G.point_polygon_distance(F.col("a.center"), F.col("b.polygons")).alias("d"))
+        met = fetch(pairs(of, m.select("id", "box"), reach, size), m.select("id", "polygons"), "b")
+        found = met.select(F.col("a.id").alias("id"), G.point_polygon_distance(F.col("a.center"), F.col("b.polygons")).alias("d"))
         return found.groupBy("id").agg(F.min("d").alias("d"))
 
     at = F.col("center")
@@ -91,45 +118,99 @@ def neighbour_stats(m: DataFrame, radius: float = RADIUS) -> DataFrame:
     )
 
 
+def _facing(own: str, other: str, tolerance: float) -> Column:
+    """Edges that come within the tolerance of the other field's box: no others can touch it."""
+    box = F.col(other).box
+    return F.filter(F.col(own).edges, lambda s: (
+        (F.least(s.a.x, s.b.x) - tolerance <= box.maxx) & (F.greatest(s.a.x, s.b.x) + tolerance >= box.minx)
+        & (F.least(s.a.y, s.b.y) - tolerance <= box.maxy) & (F.greatest(s.a.y, s.b.y) + tolerance >= box.miny)
+    ))
+
+
+def _beside(own: str, other: str) -> Column:
+    """Edges that a ray to the right from within the other field's box may meet: what tells whether a point there is inside."""
+    box = F.col(other).box
+    return F.filter(F.col(own).edges, lambda s: (F.greatest(s.a.x, s.b.x) + 1 >= box.minx) & (F.least(s.a.y, s.b.y) - 1 <= box.maxy) & (F.greatest(s.a.y, s.b.y) + 1 >= box.miny))
+
+
+def overlaid(found: DataFrame, keep: list[str], needed: Column | None = None) -> DataFrame:
+    """``keep`` of each pair, and what its two regions have in common as a struct ``common``: ``area``, ``perimeter``, ``line`` (see ``overlay.measures``).
+
+    The pairs' rows have ``edges`` as of ``overlay.oriented_edges``, and their ``box``. Where ``needed`` is false, ``common`` is null.
+    """
+    needed = F.lit(True) if needed is None else needed
+    when = lambda c: F.when(needed, c)
+    origin = F.struct(F.col("a.box.minx").alias("x"), F.col("a.box.miny").alias("y"))
+    near = fence(found.select(
+        *keep, origin.alias("origin"), when(_facing("a", "b", 1e-3)).alias("ea"), when(_facing("b", "a", 1e-3)).alias("eb"), when(_beside("a", "b")).alias("wa"), when(_beside("b", "a")).alias("wb"),
+    ))
+    both = fence(near.select(*near.columns, F.concat("ea", "eb").alias("both")))
+    cut = fence(both.select(*keep, "origin", "wa", "wb", O.pieces(F.col("ea"), F.col("both")).alias("pa"), O.pieces(F.col("eb"), F.col("both")).alias("pb")))
+    seen = fence(cut.select(*keep, "origin", O.sided(F.col("pa"), F.col("wa"), F.col("wb")).alias("pa"), O.sided(F.col("pb"), F.col("wb"), F.col("wa")).alias("pb")))
+    return fence(seen.select(*keep, O.measures(F.col("pa"), F.col("pb"), F.col("origin")).alias("common")))
+
+
+def with_edges(m: DataFrame) -> DataFrame:
+    """``measured`` rows with their oriented edges in place of the polygons."""
+    return fence(m.select(*[c for c in m.columns if c != "polygons"], O.oriented_edges(F.col("polygons")).alias("edges")))
+
+
 def adjacency(m: DataFrame, tolerance: float = TOLERANCE, size: float = 1000.0) -> DataFrame:
     """Each adjacent pair once (``src < dst``): at most ``tolerance`` apart, as one that lies inside the other is, too.
 
-    ``shared_length_m`` is the overlap of edges that run along each other (0 for a corner contact, or none); ``overlaps`` says that
-    the fields have area in common: their edges cross, a corner of one lies inside the other, or they are equal.
+    ``shared_length_m`` is the overlap of edges that run along each other (0 for a corner contact, or none), whichever of the two comes
+    first; ``overlaps`` says that the fields have area in common.
     """
-    found = pairs(m, m, tolerance, size, half=True)
-
-    def facing(own: str, other: str) -> Column:
-        """Edges that come within the tolerance of the other field's box: no others can touch it."""
-        box = F.col(other).box
-        return F.filter(G.edges(F.col(own).polygons), lambda s: (
-            (F.least(s.a.x, s.b.x) - tolerance <= box.maxx) & (F.greatest(s.a.x, s.b.x) + tolerance >= box.minx)
-            & (F.least(s.a.y, s.b.y) - tolerance <= box.maxy) & (F.greatest(s.a.y, s.b.y) + tolerance >= box.miny)
-        ))
+    narrow, rows = m.select("id", "box"), with_edges(m.select("id", "box", "crop_type", "polygons"))
+    found = fetch(fetch(pairs(narrow, narrow, tolerance, size, half=True), rows, "a"), rows, "b")
 
     def common(low: str, high: str) -> Column:
         return F.least(F.col("a.box")[high], F.col("b.box")[high]) - F.greatest(F.col("a.box")[low], F.col("b.box")[low]) > 0
 
-    def holds(own: str, other: str) -> Column:
-        """A polygon whose edges are all farther off lies inside if its first corner does."""
-        return F.exists(F.col(other).polygons, lambda p: G.contains(F.col(own).polygons, p[0][0]))
-
-    def reaches_into(own: str, other: str) -> Column:
-        return F.exists(F.flatten(F.col(other).polygons), lambda r: F.exists(r, lambda c: G.strictly_contains(F.col(own).polygons, c)))
-
-    both = common("minx", "maxx") & common("miny", "maxy")  # else neither can be inside the other
-    each = found.select(
-        F.col("a.id").alias("src"), F.col("b.id").alias("dst"), F.col("a.crop_type").alias("src_crop"), F.col("b.crop_type").alias("dst_crop"),
-        F.when(both, holds("a", "b") | holds("b", "a")).otherwise(False).alias("inside"),
-        F.when(both, (F.col("a.polygons") == F.col("b.polygons")) | reaches_into("a", "b") | reaches_into("b", "a")).otherwise(False).alias("reaches"),
-        facing("b", "a").alias("eb"), F.explode_outer(facing("a", "b")).alias("s"),
-    )
     kept = ["src", "dst", "src_crop", "dst_crop"]
-    each = each.select(*kept, "inside", "reaches", "s", F.explode_outer("eb").alias("t"))
+    named = fence(found.select(F.col("a.id").alias("src"), F.col("b.id").alias("dst"), F.col("a.crop_type").alias("src_crop"), F.col("b.crop_type").alias("dst_crop"), "a", "b", _facing("a", "b", tolerance).alias("fa"), _facing("b", "a", tolerance).alias("fb")))
+    over = overlaid(named, [*kept, "fa", "fb"], common("minx", "maxx") & common("miny", "maxy"))
+    each = over.select(*kept, (F.coalesce(F.col("common.area"), F.lit(0.0)) > O.SMALL).alias("overlaps"), "fb", F.explode_outer("fa").alias("s"))
+    each = each.select(*kept, "overlaps", "s", F.explode_outer("fb").alias("t"))
     s, t = F.col("s"), F.col("t")
-    measured_ = each.select(*kept, "inside", "reaches", G.segment_distance(s, t).alias("d"), G.overlap_length(s, t, tolerance).alias("along"), G.segments_cross(s, t).alias("cross"))
-    edges = measured_.groupBy(*kept).agg(F.min("d").alias("d"), F.max("inside").alias("inside"), F.coalesce(F.sum("along"), F.lit(0.0)).alias("shared_length_m"), (F.max("reaches") | F.coalesce(F.max("cross"), F.lit(False))).alias("overlaps"))
-    return edges.where((F.col("d") <= tolerance) | F.col("inside")).select("src", "dst", "shared_length_m", "overlaps", "src_crop", "dst_crop")
+    measured_ = each.select(*kept, "overlaps", G.segment_distance(s, t).alias("d"), G.overlap_length(s, t, tolerance).alias("along"))
+    edges = measured_.groupBy(*kept).agg(F.min("d").alias("d"), F.coalesce(F.sum("along"), F.lit(0.0)).alias("shared_length_m"), F.max("overlaps").alias("overlaps"))
+    return edges.where((F.col("d") <= tolerance) | F.col("overlaps")).select("src", "dst", "shared_length_m", "overlaps", "src_crop", "dst_crop")
+
+
+def intersections(m: DataFrame, size: float = 1000.0) -> DataFrame:
+    """``src``, ``dst`` (``src < dst``), ``area_m2`` and ``perimeter_m`` of what two fields have in common, ``line_m`` along which they only touch, whether they ``meet`` at all, and one ``length_m`` by type."""
+    narrow, rows = m.select("id", "box"), with_edges(m.select("id", "box", "polygons"))
+    found = fetch(fetch(pairs(narrow, narrow, 0.0, size, half=True), rows, "a"), rows, "b")
+    named = fence(found.select(F.col("a.id").alias("src"), F.col("b.id").alias("dst"), "a", "b", _facing("a", "b", 1e-3).alias("fa"), _facing("b", "a", 1e-3).alias("fb")))
+    over = overlaid(named, ["src", "dst", "fa", "fb"])
+    c = F.col("common")
+    none = (c.area <= O.SMALL) & (c.line <= O.SMALL)
+    meet = F.when(none, F.exists("fa", lambda s: F.exists("fb", lambda t: G.segment_distance(s, t) <= O.SMALL))).otherwise(True)
+    met = fence(over.select("src", "dst", "common", meet.alias("meet")))
+    return met.where("meet").select("src", "dst", c.area.alias("area_m2"), c.perimeter.alias("perimeter_m"), c.line.alias("line_m"), "meet", O.by_type(c, F.col("meet")).alias("length_m"))
+
+
+def _grown(radius: float) -> Column:
+    return F.struct(*((F.col(f"box.{c}") + (radius if c[:3] == "max" else -radius)).alias(c) for c in ("minx", "miny", "maxx", "maxy")))
+
+
+def buffered(m: DataFrame, radius: float = TOLERANCE / 2) -> DataFrame:
+    """``measured`` rows with the edges of their discs' union in place of the polygons, and its box."""
+    rows = fence(m.select("id", "crop_type", _grown(radius).alias("box"), O.buffer(F.col("polygons"), radius).alias("rings")))
+    return fence(rows.select("id", "crop_type", "box", F.filter(F.flatten(F.transform(F.flatten("rings"), G.segments)), lambda s: s.a != s.b).alias("edges")))
+
+
+def buffered_adjacency(m: DataFrame, radius: float = TOLERANCE / 2, size: float = 1000.0) -> DataFrame:
+    """Adjacency by discs: pairs (``src < dst``) whose fields, grown by ``radius``, have area in common, with its perimeter as ``shared_length_m``.
+
+    For two fields along a straight edge the perimeter is about twice the edge.
+    """
+    grown, narrow = buffered(m, radius), m.select("id", _grown(radius).alias("box"))
+    found = fetch(fetch(pairs(narrow, narrow, 0.0, size, half=True), grown, "a"), grown, "b")
+    named = found.select(F.col("a.id").alias("src"), F.col("b.id").alias("dst"), F.col("a.crop_type").alias("src_crop"), F.col("b.crop_type").alias("dst_crop"), "a", "b")
+    over = overlaid(named, ["src", "dst", "src_crop", "dst_crop"])
+    return over.where(F.col("common.area") > O.SMALL).select("src", "dst", F.col("common.perimeter").alias("shared_length_m"), F.col("common.area").alias("overlap_m2"), "src_crop", "dst_crop")
 
 
 def symmetric(edges: DataFrame) -> DataFrame:

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parcelforge.functions import geometry as G
-from parcelforge.functions.fence import share
+from parcelforge.functions import overlay as O
+from parcelforge.functions.fence import fence, share
 from parcelforge.operators import spatial as S
 from parcelforge.operators import stats
 
@@ -34,7 +35,6 @@ _STATS = f"""{_NEAR}, cc AS (SELECT src, crop, count(*) AS n, sum(ha) AS ha FROM
  1.0::DOUBLE / (1 + coalesce(nb.n, 0)) AS fragmentation_index, coalesce(h, 0) AS "local_crop_diversity_H" FROM g LEFT JOIN nb ON nb.src = g.field_id LEFT JOIN en ON en.src = g.field_id)"""
 _DIST = DISTANCE.replace("pr.field_id, pr.other", "pr.src, pr.dst").replace("seg.field_id = pr.other", "seg.field_id = pr.dst").replace("FROM pr JOIN", "FROM cand pr JOIN")
 _NEAREST = f"{_CAND}, {views.V}, {views.SEG}, {_DIST}, nn AS (SELECT g.field_id AS id, coalesce(min(dist), 0) AS dist_to_nearest_m FROM g LEFT JOIN d ON d.src = g.field_id GROUP BY g.field_id)"
-_DIRECT = {"a": "s", "b": "t"}
 
 
 def _pd(px: str, py: str, s: str) -> str:
@@ -42,16 +42,30 @@ def _pd(px: str, py: str, s: str) -> str:
     return f"sqrt(({px} - {s}.ax - {t} * ({s}.bx - {s}.ax)) ** 2 + ({py} - {s}.ay - {t} * ({s}.by_ - {s}.ay)) ** 2)"
 
 
-_LEN = "sqrt((s.bx - s.ax) ** 2 + (s.by_ - s.ay) ** 2)"
-_ALONG = "((t.{e}x - s.ax) * (s.bx - s.ax) + (t.{f} - s.ay) * (s.by_ - s.ay)) / " + _LEN
-_ASIDE = "abs((t.{e}x - s.ax) * (s.by_ - s.ay) - (t.{f} - s.ay) * (s.bx - s.ax)) / " + _LEN
-_A1, _A2 = _ALONG.format(e="a", f="ay"), _ALONG.format(e="b", f="by_")
+
+
+def _run(s: str, t: str) -> str:
+    """How much of the edge ``t`` lies beside ``s``, within half a metre."""
+    size = f"sqrt(({s}.bx - {s}.ax) ** 2 + ({s}.by_ - {s}.ay) ** 2)"
+    ends = (f"{t}.ax", f"{t}.ay"), (f"{t}.bx", f"{t}.by_")
+    along = [f"((({x} - {s}.ax) * ({s}.bx - {s}.ax) + ({y} - {s}.ay) * ({s}.by_ - {s}.ay)) / {size})" for x, y in ends]
+    aside = [f"((({y} - {s}.ay) * ({s}.bx - {s}.ax) - ({x} - {s}.ax) * ({s}.by_ - {s}.ay)) / {size})" for x, y in ends]
+
+    def span(first: str, last: str, low: str, high: str) -> tuple[str, str]:
+        cuts = [f"({limit} - {first}) / nullif({last} - {first}, 0)" for limit in (low, high)]
+        return f"coalesce(least({', '.join(cuts)}), CASE WHEN {first} BETWEEN {low} AND {high} THEN 0 ELSE 2 END)", f"coalesce(greatest({', '.join(cuts)}), 1)"
+
+    (from_a, to_a), (from_b, to_b) = span(*along, "0", size), span(*aside, "-0.5", "0.5")
+    return f"greatest(0, least(1, {to_a}, {to_b}) - greatest(0, {from_a}, {from_b})) * sqrt(({t}.bx - {t}.ax) ** 2 + ({t}.by_ - {t}.ay) ** 2)"
+
+
+_LEVEL = "abs((s.bx - s.ax) * (t.by_ - t.ay) - (s.by_ - s.ay) * (t.bx - t.ax)) <= 0.1 * sqrt((s.bx - s.ax) ** 2 + (s.by_ - s.ay) ** 2) * sqrt((t.bx - t.ax) ** 2 + (t.by_ - t.ay) ** 2)"
 _TURN = "sign(({q}.bx - {q}.ax) * ({p} - {q}.ay) - ({q}.by_ - {q}.ay) * ({o} - {q}.ax))"
 _CROSS = "({}) * ({}) < 0 AND ({}) * ({}) < 0".format(*(_TURN.format(q=q, o=f"{o}.{e}x", p=f"{o}.{f}") for q, o in (("s", "t"), ("t", "s")) for e, f in (("a", "ay"), ("b", "by_"))))
 #: Pairs of fields (g) and what their edges (seg) have in common; ``{near}`` says which of them are adjacent.
 _PAIRS = """half AS (SELECT a.field_id AS src, b.field_id AS dst, a.crop_type AS src_crop, b.crop_type AS dst_crop FROM g a JOIN g b ON a.field_id < b.field_id AND """ + _MEET.format(r=0.5) + f"""),
  sp AS (SELECT src, dst, src_crop, dst_crop, {_CROSS} AS crosses, CASE WHEN {_CROSS} THEN 0 ELSE least({_pd('s.ax', 's.ay', 't')}, {_pd('s.bx', 's.by_', 't')}, {_pd('t.ax', 't.ay', 's')}, {_pd('t.bx', 't.by_', 's')}) END AS dist,
- CASE WHEN {_ASIDE.format(e='a', f='ay')} <= 0.5 AND {_ASIDE.format(e='b', f='by_')} <= 0.5 THEN greatest(0, least({_LEN}, greatest({_A1}, {_A2})) - greatest(0, least({_A1}, {_A2}))) ELSE 0 END AS shared
+ CASE WHEN {_LEVEL} THEN ({_run('s', 't')} + {_run('t', 's')}) / 2 ELSE 0 END AS shared
  FROM half JOIN seg s ON s.field_id = src JOIN seg t ON t.field_id = dst)"""
 _ADJ = f"""{_G}, {views.V}, {views.SEG}, {_PAIRS},
  ed AS (SELECT src, dst, src_crop, dst_crop, sum(shared) AS shared_length_m FROM sp GROUP BY ALL HAVING min(dist) <= 0.5),
@@ -166,6 +180,64 @@ def adjacency_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.adjacency(S.measured(views.mixed_parcels(spark, sf_dir), "field_id", ["crop_type"])).withColumnRenamed("overlaps", "overlap")
 
 
+def _irregular(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.measured(views.placed(spark, sf_dir, views.IRREGULAR), "field_id", ["crop_type"])
+
+
+_ODD = f"""{views.placed_sql(views.IRREGULAR)}, {_PAIRS}, ed AS (SELECT src, dst, src_crop, dst_crop, sum(shared) AS shared_length_m, min(dist) AS dist FROM sp GROUP BY src, dst, src_crop, dst_crop), ov_ AS (WITH """ + views.overlay_sql(views.IRREGULAR) + """ SELECT * FROM f2)"""
+
+
+@register("adjacency_irregular", "src:i dst:i shared_length_m:d overlap:i src_crop:s dst_crop:s", f"{_ODD} --SELECT ed.*, coalesce(area, 0) > 1e-6 AS overlap FROM ed LEFT JOIN ov_ USING (src, dst) WHERE dist <= 0.5 OR area > 1e-6")
+def adjacency_irregular(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tilted, crossing and touching fields, and such as have sides in common with what they overlap."""
+    return S.adjacency(_irregular(spark, sf_dir)).withColumnRenamed("overlaps", "overlap")
+
+
+@register("filter_isolated_irregular", "id:i", f"""{views.placed_sql(views.IRREGULAR)}, mo AS (SELECT field_id, sum((ax - o.x) * (by_ - o.y) - (bx - o.x) * (ay - o.y)) AS a2, sum((ax + bx - 2 * o.x) * ((ax - o.x) * (by_ - o.y) - (bx - o.x) * (ay - o.y))) AS mx,
+ sum((ay + by_ - 2 * o.y) * ((ax - o.x) * (by_ - o.y) - (bx - o.x) * (ay - o.y))) AS my, any_value(o.x) AS x, any_value(o.y) AS y FROM seg JOIN fc o USING (field_id) GROUP BY field_id), ce AS (SELECT field_id, x + mx / (3 * a2) AS cx, y + my / (3 * a2) AS cy FROM mo)
+--SELECT field_id AS id FROM ce a WHERE NOT EXISTS (SELECT 1 FROM ce b WHERE a.field_id <> b.field_id AND sqrt((a.cx - b.cx) ** 2 + (a.cy - b.cy) ** 2) <= 500)""")
+def filter_isolated_irregular(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields without a neighbour; one on each site has none."""
+    return S.neighbour_stats(_irregular(spark, sf_dir)).where("n_neighbors_500m = 0")
+
+
+_LENGTH = "CASE WHEN line > 1e-6 THEN line WHEN area > 1e-6 THEN perimeter ELSE 0.01 END"
+for _name, _shapes in {"intersection_measures": views.MIXED, "intersection_irregular": views.IRREGULAR}.items():
+    register(
+        _name, "src:i dst:i area_m2:d4 perimeter_m:d line_m:d length_m:d",
+        f"{views.overlay_sql(_shapes)} --SELECT src, dst, area AS area_m2, perimeter AS perimeter_m, line AS line_m, {_LENGTH} AS length_m FROM f2 WHERE area > 1e-6 OR line > 1e-6 OR gap <= 1e-6",
+    )(lambda spark, sf_dir, shapes=_shapes: S.intersections(S.measured(views.placed(spark, sf_dir, shapes), "field_id", ["crop_type"])))
+
+for _name, _shapes in {"adjacency_buffered": views.MIXED, "adjacency_buffered_irregular": views.IRREGULAR}.items():
+    register(
+        _name, "src:i dst:i shared_length_m:d overlap_m2:d4 src_crop:s dst_crop:s",
+        f"{views.overlay_sql(_shapes, 0.25)} --SELECT src, dst, perimeter AS shared_length_m, area AS overlap_m2, src_crop, dst_crop FROM f2 WHERE area > 1e-6",
+    )(lambda spark, sf_dir, shapes=_shapes: S.buffered_adjacency(S.measured(views.placed(spark, sf_dir, shapes), "field_id", ["crop_type"])))
+
+
+_PLAIN = [[[c]] for c in views.SHAPES]
+_WIDE = 25.0
+
+
+@register("buffer_polygons", "field_id:i area_m2:d4 perimeter_m:d n_points:i", f"{views.rings_sql(_PLAIN, _WIDE)}, bf AS (SELECT shape, sum(ax * by_ - bx * ay) / 2 AS area_m2, sum(sqrt((bx - ax) ** 2 + (by_ - ay) ** 2)) AS perimeter_m, count(*) AS n_points FROM rg GROUP BY shape) --SELECT p_partkey AS field_id, area_m2, perimeter_m, n_points FROM part JOIN bf ON shape = p_partkey % 4")
+def buffer_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parcels grown by a disc, as geometries, measured."""
+    grown = fence(views.parcels(spark, sf_dir).select("field_id", O.buffer(F.col("polygons"), _WIDE).alias("polygons")))
+    p = F.col("polygons")
+    return grown.select("field_id", G.area(p).alias("area_m2"), G.length(p).alias("perimeter_m"), G.vertex_count(p).alias("n_points"))
+
+
+_SIZED = f"""{views.placed_sql(views.SIZES)}, gb AS (SELECT field_id, CASE WHEN field_id % 997 = 0 THEN {views.EAST + views.GIANT[0][0][0][0]} ELSE minx END AS minx, CASE WHEN field_id % 997 = 0 THEN {views.EAST + views.GIANT[0][0][2][0]} ELSE maxx END AS maxx,
+ CASE WHEN field_id % 997 = 0 THEN {views.GIANT[0][0][0][1]} ELSE miny END AS miny, CASE WHEN field_id % 997 = 0 THEN {views.GIANT[0][0][2][1]} ELSE maxy END AS maxy FROM g)"""
+
+
+@register("candidate_pairs_sizes", "src:i dst:i", f"{_SIZED} --SELECT a.field_id AS src, b.field_id AS dst FROM gb a JOIN gb b ON a.field_id < b.field_id AND {_MEET.format(r=100)}")
+def candidate_pairs_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes from 10 m to 100 km, at most 100 m apart: by a grid of several levels."""
+    m = views.sized_parcels(spark, sf_dir).select(F.col("field_id").alias("id"), G.bbox(F.col("polygons")).alias("box"))
+    return S.pairs(m, m, 100.0, 100.0, half=True).select(F.col("a.id").alias("src"), F.col("b.id").alias("dst"))
+
+
 _CHOSEN = [1, 2, 3, 4, 5]
 _DM = f"{_G}, ch AS (SELECT * FROM g WHERE field_id BETWEEN 1 AND 5), pw AS (SELECT a.field_id AS src, b.field_id AS dst, sqrt((a.centroid_x - b.centroid_x) ** 2 + (a.centroid_y - b.centroid_y) ** 2) AS d FROM ch a CROSS JOIN ch b)"
 
