@@ -19,9 +19,9 @@ def share(df: DataFrame, key: str) -> DataFrame:
     """``df`` dealt by ``key``, for a plan that uses it in several places: all of them read the one exchange.
 
     The fence keeps each place from asking for columns of its own, which would make as many exchanges; so what is costly to compute
-    is computed once, for one shuffle.
+    is computed once, for one shuffle. Its partitions are not coalesced: few rows may be much work to what reads them.
     """
-    return fence(df.repartition(key))
+    return fence(df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key))
 
 
 def estimate(df: DataFrame) -> int:

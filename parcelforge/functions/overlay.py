@@ -15,6 +15,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import geometry as G
+from .geometry import let
 
 #: Metres: shorter pieces, and gaps between edges, are none.
 SMALL = 1e-6
@@ -22,11 +23,6 @@ SMALL = 1e-6
 ASIDE = 1e-5
 
 
-def let(value: Column, use) -> Column:
-    """``use(value)``, with the value computed once however often it is used: inside a higher-order function nothing else keeps it."""
-    return F.transform(F.array(value), use)[0]
-
-
 def oriented(polygons: Column) -> Column:
     """All rings, exteriors counterclockwise and holes clockwise."""
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from parcelforge.functions import geometry as G
 from parcelforge.functions import overlay as O
-from parcelforge.functions.fence import fence
+from parcelforge.functions.fence import fence, share
 
 RADIUS, TOLERANCE = 500.0, 0.5
 
@@ -47,10 +47,11 @@ def pairs(left: DataFrame, right: DataFrame, reach: float, size: float, half: bo
     A grid of several levels: a row's own level is the least whose cells are as large as its box, grown by half of ``reach`` (cells of the
     lowest level have side ``size``), so that it is in four cells at most, at its own level and at each larger one that there is. A pair meets at
     the larger of its rows' levels, in the cell that holds the lower corner of what both boxes cover: once, and small rows never meet each
-    other in a large cell. Rows are copied to cells, so give narrow ones, and ``fetch`` the rest. ``half`` keeps pairs with ``a.id < b.id`` only.
+    other in a large cell. ``half`` keeps pairs with ``a.id < b.id`` only.
     """
     level = _level(reach, size).alias("level")
-    levels = left.select(level).unionAll(right.select(level)).agg(F.collect_set("level")).scalar()  # a few numbers
+    sizes = left.select(level) if left is right else left.select(level).unionAll(right.select(level))
+    levels = sizes.agg(F.collect_set("level")).scalar()  # a few numbers
     meets = (
         (F.col("a.box.minx") - reach <= F.col("b.box.maxx")) & (F.col("a.box.maxx") + reach >= F.col("b.box.minx"))
         & (F.col("a.box.miny") - reach <= F.col("b.box.maxy")) & (F.col("a.box.maxy") + reach >= F.col("b.box.miny"))
@@ -63,13 +64,6 @@ def pairs(left: DataFrame, right: DataFrame, reach: float, size: float, half: bo
     return both.where(here & meets & order).select("a", "b")
 
 
-def fetch(found: DataFrame, rows: DataFrame, name: str) -> DataFrame:
-    """``found``, with the struct ``name`` replaced by the whole row of its id."""
-    whole = rows.select(F.col("id").alias("_id"), F.struct("*").alias("_row"))
-    kept = [c for c in found.columns if c != name]
-    return found.join(whole, F.col(f"{name}.id") == F.col("_id")).select(*kept, F.col("_row").alias(name))
-
-
 def neighbours(m: DataFrame, radius: float = RADIUS) -> DataFrame:
     """Ordered pairs whose centroids are at most ``radius`` apart: a grid join on the centroids' cells, three by three."""
     cx, cy = F.floor(F.col("center.x") / radius), F.floor(F.col("center.y") / radius)
@@ -92,7 +86,7 @@ def nearest(m: DataFrame, radius: float = RADIUS, size: float = 1000.0) -> DataF
     """
 
     def least(of: DataFrame, reach: float) -> DataFrame:
-        met = fetch(pairs(of, m.select("id", "box"), reach, size), m.select("id", "polygons"), "b")
+        met = pairs(of, m.select("id", "box", "polygons"), reach, size)
         found = met.select(F.col("a.id").alias("id"), G.point_polygon_distance(F.col("a.center"), F.col("b.polygons")).alias("d"))
         return found.groupBy("id").agg(F.min("d").alias("d"))
 
@@ -161,8 +155,8 @@ def adjacency(m: DataFrame, tolerance: float = TOLERANCE, size: float = 1000.0)
     ``shared_length_m`` is the overlap of edges that run along each other (0 for a corner contact, or none), whichever of the two comes
     first; ``overlaps`` says that the fields have area in common.
     """
-    narrow, rows = m.select("id", "box"), with_edges(m.select("id", "box", "crop_type", "polygons"))
-    found = fetch(fetch(pairs(narrow, narrow, tolerance, size, half=True), rows, "a"), rows, "b")
+    rows = with_edges(m.select("id", "box", "crop_type", "polygons"))
+    found = pairs(rows, rows, tolerance, size, half=True)
 
     def common(low: str, high: str) -> Column:
         return F.least(F.col("a.box")[high], F.col("b.box")[high]) - F.greatest(F.col("a.box")[low], F.col("b.box")[low]) > 0
@@ -173,15 +167,16 @@ def adjacency(m: DataFrame, tolerance: float = TOLERANCE, size: float = 1000.0)
     each = over.select(*kept, (F.coalesce(F.col("common.area"), F.lit(0.0)) > O.SMALL).alias("overlaps"), "fb", F.explode_outer("fa").alias("s"))
     each = each.select(*kept, "overlaps", "s", F.explode_outer("fb").alias("t"))
     s, t = F.col("s"), F.col("t")
-    measured_ = each.select(*kept, "overlaps", G.segment_distance(s, t).alias("d"), G.overlap_length(s, t, tolerance).alias("along"))
+    apart = fence(each.select(*kept, "overlaps", "s", "t", G.segment_distance(s, t).alias("d")))
+    measured_ = apart.select(*kept, "overlaps", "d", F.when(F.col("d") <= tolerance, G.overlap_length(s, t, tolerance)).alias("along"))
     edges = measured_.groupBy(*kept).agg(F.min("d").alias("d"), F.coalesce(F.sum("along"), F.lit(0.0)).alias("shared_length_m"), F.max("overlaps").alias("overlaps"))
     return edges.where((F.col("d") <= tolerance) | F.col("overlaps")).select("src", "dst", "shared_length_m", "overlaps", "src_crop", "dst_crop")
 
 
 def intersections(m: DataFrame, size: float = 1000.0) -> DataFrame:
     """``src``, ``dst`` (``src < dst``), ``area_m2`` and ``perimeter_m`` of what two fields have in common, ``line_m`` along which they only touch, whether they ``meet`` at all, and one ``length_m`` by type."""
-    narrow, rows = m.select("id", "box"), with_edges(m.select("id", "box", "polygons"))
-    found = fetch(fetch(pairs(narrow, narrow, 0.0, size, half=True), rows, "a"), rows, "b")
+    rows = with_edges(m.select("id", "box", "polygons"))
+    found = pairs(rows, rows, 0.0, size, half=True)
     named = fence(found.select(F.col("a.id").alias("src"), F.col("b.id").alias("dst"), "a", "b", _facing("a", "b", 1e-3).alias("fa"), _facing("b", "a", 1e-3).alias("fb")))
     over = overlaid(named, ["src", "dst", "fa", "fb"])
     c = F.col("common")
@@ -206,8 +201,8 @@ def buffered_adjacency(m: DataFrame, radius: float = TOLERANCE / 2, size: float
 
     For two fields along a straight edge the perimeter is about twice the edge.
     """
-    grown, narrow = buffered(m, radius), m.select("id", _grown(radius).alias("box"))
-    found = fetch(fetch(pairs(narrow, narrow, 0.0, size, half=True), grown, "a"), grown, "b")
+    grown = share(buffered(m, radius), "id")
+    found = pairs(grown, grown, 0.0, size, half=True)
     named = found.select(F.col("a.id").alias("src"), F.col("b.id").alias("dst"), F.col("a.crop_type").alias("src_crop"), F.col("b.crop_type").alias("dst_crop"), "a", "b")
     over = overlaid(named, ["src", "dst", "src_crop", "dst_crop"])
     return over.where(F.col("common.area") > O.SMALL).select("src", "dst", F.col("common.perimeter").alias("shared_length_m"), F.col("common.area").alias("overlap_m2"), "src_crop", "dst_crop")

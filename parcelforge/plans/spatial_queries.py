@@ -137,7 +137,7 @@ def adjacency_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.adjacency(measured(spark, sf_dir))
+    return S.adjacency(shared(spark, sf_dir))
 
 
 register("adjacency_edges", "src:i dst:i src_crop:s dst_crop:s", f"{_ADJ} --SELECT * FROM ed")(_edges)
