@@ -145,15 +145,16 @@ def overlaid(found: DataFrame, keep: list[str], needed: Column | None = None) ->
 
 
 def with_edges(m: DataFrame) -> DataFrame:
-    """``measured`` rows with their oriented edges in place of the polygons."""
-    return fence(m.select(*[c for c in m.columns if c != "polygons"], O.oriented_edges(F.col("polygons")).alias("edges")))
+    """``measured`` rows with their oriented edges, and a corner of each polygon (``starts``), in place of the polygons."""
+    starts = F.transform("polygons", lambda p: p[0][0])
+    return fence(m.select(*[c for c in m.columns if c != "polygons"], O.oriented_edges(F.col("polygons")).alias("edges"), starts.alias("starts")))
 
 
-def adjacency(m: DataFrame, tolerance: float = TOLERANCE, size: float = 1000.0) -> DataFrame:
+def adjacency(m: DataFrame, tolerance: float = TOLERANCE, size: float = 1000.0, overlaps: bool = False) -> DataFrame:
     """Each adjacent pair once (``src < dst``): at most ``tolerance`` apart, as one that lies inside the other is, too.
 
     ``shared_length_m`` is the overlap of edges that run along each other (0 for a corner contact, or none), whichever of the two comes
-    first; ``overlaps`` says that the fields have area in common.
+    first; with ``overlaps`` a column of that name says whether the fields have area in common.
     """
     rows = with_edges(m.select("id", "box", "crop_type", "polygons"))
     found = pairs(rows, rows, tolerance, size, half=True)
@@ -161,16 +162,24 @@ def adjacency(m: DataFrame, tolerance: float = TOLERANCE, size: float = 1000.0)
     def common(low: str, high: str) -> Column:
         return F.least(F.col("a.box")[high], F.col("b.box")[high]) - F.greatest(F.col("a.box")[low], F.col("b.box")[low]) > 0
 
-    kept = ["src", "dst", "src_crop", "dst_crop"]
-    named = fence(found.select(F.col("a.id").alias("src"), F.col("b.id").alias("dst"), F.col("a.crop_type").alias("src_crop"), F.col("b.crop_type").alias("dst_crop"), "a", "b", _facing("a", "b", tolerance).alias("fa"), _facing("b", "a", tolerance).alias("fb")))
-    over = overlaid(named, [*kept, "fa", "fb"], common("minx", "maxx") & common("miny", "maxy"))
-    each = over.select(*kept, (F.coalesce(F.col("common.area"), F.lit(0.0)) > O.SMALL).alias("overlaps"), "fb", F.explode_outer("fa").alias("s"))
-    each = each.select(*kept, "overlaps", "s", F.explode_outer("fb").alias("t"))
+    def holds(own: str, other: str) -> Column:
+        """Of a polygon whose edges are all farther off, any corner tells whether it lies inside."""
+        return F.exists(F.col(f"{other}.starts"), lambda c: O.winding(F.col(f"{own}.edges"), c.x, c.y) > 0)
+
+    kept = ["src", "dst", "src_crop", "dst_crop", "inside", "overlaps"] if overlaps else ["src", "dst", "src_crop", "dst_crop", "inside"]
+    both = common("minx", "maxx") & common("miny", "maxy")  # else neither can be inside the other
+    inside = F.when(both, holds("a", "b") | holds("b", "a")).otherwise(False)
+    ends = [F.col("a.id").alias("src"), F.col("b.id").alias("dst"), F.col("a.crop_type").alias("src_crop"), F.col("b.crop_type").alias("dst_crop"), inside.alias("inside")]
+    named = fence(found.select(*ends, *(["a", "b"] if overlaps else []), _facing("a", "b", tolerance).alias("fa"), _facing("b", "a", tolerance).alias("fb")))
+    if overlaps:
+        named = overlaid(named, [*kept[:5], "fa", "fb"], both).withColumn("overlaps", F.coalesce(F.col("common.area"), F.lit(0.0)) > O.SMALL)
+    each = named.select(*kept, "fb", F.explode_outer("fa").alias("s"))
+    each = each.select(*kept, "s", F.explode_outer("fb").alias("t"))
     s, t = F.col("s"), F.col("t")
-    apart = fence(each.select(*kept, "overlaps", "s", "t", G.segment_distance(s, t).alias("d")))
-    measured_ = apart.select(*kept, "overlaps", "d", F.when(F.col("d") <= tolerance, G.overlap_length(s, t, tolerance)).alias("along"))
-    edges = measured_.groupBy(*kept).agg(F.min("d").alias("d"), F.coalesce(F.sum("along"), F.lit(0.0)).alias("shared_length_m"), F.max("overlaps").alias("overlaps"))
-    return edges.where((F.col("d") <= tolerance) | F.col("overlaps")).select("src", "dst", "shared_length_m", "overlaps", "src_crop", "dst_crop")
+    apart = fence(each.select(*kept, "s", "t", G.segment_distance(s, t).alias("d")))
+    measured_ = apart.select(*kept, "d", F.when(F.col("d") <= tolerance, G.overlap_length(s, t, tolerance)).alias("along"))
+    edges = measured_.groupBy(*kept).agg(F.min("d").alias("d"), F.coalesce(F.sum("along"), F.lit(0.0)).alias("shared_length_m"))
+    return edges.where((F.col("d") <= tolerance) | F.col("inside")).select("src", "dst", "shared_length_m", *(["overlaps"] if overlaps else []), "src_crop", "dst_crop")
 
 
 def intersections(m: DataFrame, size: float = 1000.0) -> DataFrame:
@@ -210,9 +219,9 @@ def buffered_adjacency(m: DataFrame, radius: float = TOLERANCE / 2, size: float
 
 def symmetric(edges: DataFrame) -> DataFrame:
     """Both directions of each pair, in one pass."""
-    there = F.struct("src", "dst", "shared_length_m", "overlaps", "src_crop", "dst_crop")
-    back = F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"), "shared_length_m", "overlaps", F.col("dst_crop").alias("src_crop"), F.col("src_crop").alias("dst_crop"))
-    return edges.select(F.inline(F.array(there, back)))
+    turned = {"src": "dst", "dst": "src", "src_crop": "dst_crop", "dst_crop": "src_crop"}
+    back = F.struct(*(F.col(turned.get(c, c)).alias(c) for c in edges.columns))
+    return edges.select(F.inline(F.array(F.struct(*edges.columns), back)))
 
 
 def topology(m: DataFrame, both: DataFrame) -> DataFrame:

@@ -177,7 +177,7 @@ def most_connected(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("adjacency_mixed", "src:i dst:i shared_length_m:d overlap:i src_crop:s dst_crop:s", f"{_MIXED} --SELECT * FROM ed")
 def adjacency_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fields with holes, of several polygons, inside each other and overlapping."""
-    return S.adjacency(S.measured(views.mixed_parcels(spark, sf_dir), "field_id", ["crop_type"])).withColumnRenamed("overlaps", "overlap")
+    return S.adjacency(S.measured(views.mixed_parcels(spark, sf_dir), "field_id", ["crop_type"]), overlaps=True).withColumnRenamed("overlaps", "overlap")
 
 
 def _irregular(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -190,7 +190,7 @@ _ODD = f"""{views.placed_sql(views.IRREGULAR)}, {_PAIRS}, ed AS (SELECT src, dst
 @register("adjacency_irregular", "src:i dst:i shared_length_m:d overlap:i src_crop:s dst_crop:s", f"{_ODD} --SELECT ed.*, coalesce(area, 0) > 1e-6 AS overlap FROM ed LEFT JOIN ov_ USING (src, dst) WHERE dist <= 0.5 OR area > 1e-6")
 def adjacency_irregular(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tilted, crossing and touching fields, and such as have sides in common with what they overlap."""
-    return S.adjacency(_irregular(spark, sf_dir)).withColumnRenamed("overlaps", "overlap")
+    return S.adjacency(_irregular(spark, sf_dir), overlaps=True).withColumnRenamed("overlaps", "overlap")
 
 
 @register("filter_isolated_irregular", "id:i", f"""{views.placed_sql(views.IRREGULAR)}, mo AS (SELECT field_id, sum((ax - o.x) * (by_ - o.y) - (bx - o.x) * (ay - o.y)) AS a2, sum((ax + bx - 2 * o.x) * ((ax - o.x) * (by_ - o.y) - (bx - o.x) * (ay - o.y))) AS mx,

@@ -92,7 +92,7 @@ def test_adjacency_of_fields_inside_each_other(spark):
         (6, "a", [[inner(60, 60, 65, 65)]]), (7, "c", [[inner(300, 300, 310, 310)]]), (8, "c", [[inner(300, 300, 310, 310)]]), (9, "c", [[inner(310, 300, 320, 310)]]),
     ]
     m = S.measured(table(spark, shapes), "field_id", ["crop_type"])
-    found = {(r["src"], r["dst"]): (r["overlaps"], r["shared_length_m"]) for r in S.adjacency(m).collect()}
+    found = {(r["src"], r["dst"]): (r["overlaps"], r["shared_length_m"]) for r in S.adjacency(m, overlaps=True).collect()}
     length = pytest.approx
     assert found == {
         (1, 2): (True, 0), (1, 4): (True, length(20)), (1, 5): (True, 0), (1, 6): (False, length(10)),  # inside; overlapping, along the hole; one of two inside; in a corner of the hole

@@ -22,7 +22,7 @@ def box(a, b, c, d):
 
 
 def edges_of(spark, *shapes):
-    return {(r["src"], r["dst"]): (r["overlaps"], pytest.approx(r["shared_length_m"], abs=1e-6)) for r in S.adjacency(fields(spark, list(enumerate(shapes)))).collect()}
+    return {(r["src"], r["dst"]): (r["overlaps"], pytest.approx(r["shared_length_m"], abs=1e-6)) for r in S.adjacency(fields(spark, list(enumerate(shapes))), overlaps=True).collect()}
 
 
 def test_overlaps_with_sides_in_common(spark):
