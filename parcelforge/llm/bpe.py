@@ -82,10 +82,12 @@ def _by_shard(words: list[bytes], shards: int) -> tuple[np.ndarray, np.ndarray]:
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", block_bytes: int = BLOCK_BYTES, decoded: bool = False) -> DataFrame:
     """``docs`` without ``text``, plus ``ids``: the token ids as little-endian unsigned 32-bit integers.
 
-    With ``decoded`` the ids are decoded where they were put together, as ``decode`` does it, without a second worker.
+    With ``decoded`` the ids are decoded where they were put together, as ``decode`` does it, without a second worker. Columns that are
+    named as the made ones are, in any case, are replaced.
     """
-    kept = [c for c in docs.columns if c not in (text, "ids", "decoded")]
-    rows = docs.select(*kept, F.coalesce(F.col(text), F.lit("")).alias("ids"))
+    own, names = X.aside(docs, ("ids", "decoded"), ids=text)
+    kept = own.columns[1:]
+    rows = own.select(*kept, F.coalesce("ids", F.lit("")).alias("ids"))
     shards = X.shards(docs, block_bytes)
 
     def pack(table: pa.Table) -> dict:
@@ -149,7 +151,8 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", block_b
         return table.append_column("decoded", _decoded(each, path)) if decoded else table
 
     blocks = X.to_blocks(rows, "ids", pack, block_bytes)
-    return X.settle(blocks, X.answer(X.ask(blocks, questions), reply, shards), finish, schema)
+    done = X.settle(blocks, X.answer(X.ask(blocks, questions), reply, shards), finish, schema)
+    return done.toDF(*names, *done.columns[len(names) :])
 
 
 def _decoded(ids: list, path: str) -> pa.Array:
@@ -163,18 +166,17 @@ def _decoded(ids: list, path: str) -> pa.Array:
 
 def decode(df: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     """``df`` plus ``decoded``: the bytes of ``ids``, by the token-byte table. Null ids give null."""
-    kept = [c for c in df.columns if c != "decoded"]
-    rows = df.select(*kept)
+    rows, names = X.aside(df, ("decoded",), ids=ids)
     schema = to_arrow_schema(rows.schema).append(pa.field("decoded", pa.binary()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first in range(0, batch.num_rows, 256):
                 some = batch.slice(first, 256)
-                yield pa.RecordBatch.from_arrays([*some.columns, _decoded(some.column(ids).to_pylist(), path)], schema=schema)
+                yield pa.RecordBatch.from_arrays([*some.columns, _decoded(some.column("ids").to_pylist(), path)], schema=schema)
             X.let_go()
 
-    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("decoded", BinaryType())]))
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("decoded", BinaryType())])).toDF(ids, *names, "decoded")
 
 
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:

@@ -22,7 +22,7 @@ import functools
 import pickle
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -93,10 +93,20 @@ def pick(df: DataFrame, **names: str) -> DataFrame:
 
     Found by their exact names, or else in another case; other columns may have dots or backticks in their names, or differ in case only.
     """
-    folded = [c.lower() for c in df.columns]
-    place = lambda c: df.columns.index(c) if c in df.columns else folded.index(c.lower())
-    own = df.toDF(*(f"own_{i}" for i in range(len(df.columns))))
-    return own.select(*(F.col(f"own_{place(c)}").alias(new) for new, c in names.items()))
+    return aside(df, (), **names)[0].select(*names)
+
+
+def aside(df: DataFrame, made: Iterable[str], **needed: str) -> tuple[DataFrame, list[str]]:
+    """The columns ``needed`` under the names they are given by, then all others as ``own_0``, ``own_1`` and so on; and the names of the others.
+
+    Needed columns are found as by ``pick``. Others that are named as one of ``made`` is, in any case, are left out: the made ones replace them.
+    """
+    folded, made = [c.lower() for c in df.columns], {c.lower() for c in made}
+    at = {new: df.columns.index(c) if c in df.columns else folded.index(c.lower()) for new, c in needed.items()}
+    rest = [i for i, c in enumerate(folded) if i not in at.values() and c not in made]
+    raw = df.toDF(*(f"raw_{i}" for i in range(len(folded))))
+    own = raw.select(*(F.col(f"raw_{i}").alias(new) for new, i in at.items()), *(F.col(f"raw_{i}").alias(f"own_{k}") for k, i in enumerate(rest)))
+    return own, [df.columns[i] for i in rest]
 
 
 def partitions(spark: SparkSession) -> int:

@@ -36,7 +36,9 @@ def _near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     rows, key = own.where("doc_id IS NOT NULL"), "doc_id"
     if rows.groupBy("doc_id").count().where("count > 1").limit(1).count():
         key = "row"
-        rows = X.materialize(rows.dropDuplicates(["doc_id", "text"]).orderBy("doc_id", "text").withColumn(key, F.monotonically_increasing_id()))
+        whole = F.struct(*rows.columns)
+        one = rows.groupBy("doc_id", "text").agg(F.min_by(whole, F.to_json(whole)).alias("x")).select("x.*")  # the least of the others' values
+        rows = X.materialize(one.orderBy("doc_id", "text").withColumn(key, F.monotonically_increasing_id()))
     found = simhash.similar_documents(rows, similarity=0.8, shingle=5, id_col=key)
     gone = found.where("id <> component").select(F.col("id").alias(key))
     kept = rows.join(gone, key, "left_anti").select(*own.columns)
@@ -63,10 +65,12 @@ def _bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Columns of these two names, and one named ``decoded``, are replaced.
     """
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    both = bpe.encode(docs, path, public_tokenizers.PATTERN, decoded=True)
-    both = both.withColumn("text", F.col("decoded").cast("string"))
-    kept = [c for c in docs.columns if c not in ("n_tokens", "ids", "decoded")]
-    return both.select(*kept, (F.length("ids") / 4).cast("long").alias("n_tokens"), "ids")
+    own, names = X.aside(docs, ("n_tokens", "ids", "decoded"), text="text")
+    both = bpe.encode(own, path, public_tokenizers.PATTERN, decoded=True)
+    at = {c: f"own_{i}" for i, c in enumerate(names)} | {"text": "decoded"}
+    kept = [c for c in docs.columns if c in at]
+    found = both.withColumn("decoded", F.col("decoded").cast("string"))
+    return found.select(*(F.col(at[c]) for c in kept), (F.length("ids") / 4).cast("long"), "ids").toDF(*kept, "n_tokens", "ids")
 
 
 def _stage(make):

@@ -248,12 +248,13 @@ def _cells(block: int, parts: int) -> list[int]:
 def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES, whole_characters: bool = False) -> DataFrame:
     """``docs`` without ``text``, plus ``kept`` (the bytes left), ``n_bytes``, ``n_removed`` and ``spans``.
 
-    ``spans`` holds the removed runs as offsets, start and end in turn. With
+    ``spans`` holds the removed runs as offsets, start and end in turn. Columns that are named as the made ones are, in any case, are replaced. With
     ``whole_characters`` a character that is covered in part only is kept, so that ``kept`` is UTF-8 as the text was.
     """
     made = ("kept", "n_bytes", "n_removed", "spans")
-    rest = [c for c in docs.columns if c not in (text, id_col, *made)]
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"), F.struct(*rest).alias("rest") if rest else F.lit(None).cast("string").alias("rest"))
+    own, names = X.aside(docs, made, id=id_col, text=text)
+    rest = own.columns[2:]
+    rows = own.select(F.col("id").cast("long").alias("id"), F.coalesce("text", F.lit("")).cast("binary").alias("text"), F.struct(*rest).alias("rest") if rest else F.lit(None).cast("string").alias("rest"))
     shards = X.shards(docs, block_bytes)
 
     def questions(row: dict) -> Iterator[tuple[int, bytes]]:
@@ -334,4 +335,4 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     least = X.answer(X.settle(blocks, masks, stretches, X.PAYLOAD), classes, shards)
     schema = f"id long, rest {rows.schema['rest'].dataType.simpleString()}, kept binary, n_bytes long, n_removed long, spans array<bigint>"
     done = X.settle(blocks, masks.unionAll(least), finish, schema)
-    return done.select(F.col("id").alias(id_col), *(F.col("rest").getField(c).alias(c) for c in rest), *made)
+    return done.select("id", *(F.col("rest").getField(c).alias(c) for c in rest), *made).toDF(id_col, *names, *made)

@@ -77,7 +77,8 @@ def count_tokens(docs: DataFrame, path: str, cache: str, text: str = "text", lim
     """``docs`` without ``text``, plus ``n_bytes``, ``n_tokens`` and ``over_limit``; misses are appended to ``cache``."""
     spark, version = docs.sparkSession, tokenizer_version(path)
     made = ("n_bytes", "n_tokens", "over_limit")
-    content = F.coalesce(F.col(text), F.lit(""))
+    own, names = X.aside(docs, made, text=text)
+    content = F.coalesce("text", F.lit(""))
     digest = F.unhex(F.sha2(content.cast("binary"), 256))
 
     def pack_texts(table: pa.Table) -> dict:
@@ -93,13 +94,13 @@ def count_tokens(docs: DataFrame, path: str, cache: str, text: str = "text", lim
         n = [x for chunk in table["content"].chunks for x in _counter(path)(chunk.to_pylist())]
         return pa.table([table["digest"].to_pylist(), [version] * len(n), n], schema=counted)
 
-    blocks = X.to_blocks(docs.select(content.alias("content"), digest.alias("digest")), "content", pack_texts, block_bytes)
+    blocks = X.to_blocks(own.select(content.alias("content"), digest.alias("digest")), "content", pack_texts, block_bytes)
     hits = _cached(spark, cache).where(F.col("tokenizer") == version)
     misses = blocks.mapInArrow(_asked, _ASKED).join(hits, "digest", "left_anti").groupBy("digest").agg(F.min("block").alias("block"))
     X.meet(blocks, misses, encode, CACHE).write.mode("append").parquet(cache)
 
-    rest = [c for c in docs.columns if c not in (text, *made)]
-    rows = docs.select(F.struct(*rest).alias("rest") if rest else F.lit(None).cast("string").alias("rest"), F.octet_length(content).cast("long").alias("n_bytes"), digest.alias("digest"))
+    rest = own.columns[1:]
+    rows = own.select(F.struct(*rest).alias("rest") if rest else F.lit(None).cast("string").alias("rest"), F.octet_length(content).cast("long").alias("n_bytes"), digest.alias("digest"))
 
     def pack_rows(table: pa.Table) -> dict:
         digests = table["digest"].to_pylist()
@@ -115,4 +116,4 @@ def count_tokens(docs: DataFrame, path: str, cache: str, text: str = "text", lim
     light = X.to_blocks(rows, "digest", pack_rows, block_bytes)
     known = light.mapInArrow(_asked, _ASKED).join(counts, "digest")
     done = X.meet(light, known, fill, f"rest {rows.schema['rest'].dataType.simpleString()}, n_bytes long, n_tokens long")
-    return done.select(*(F.col("rest").getField(c).alias(c) for c in rest), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    return done.select(*(F.col("rest").getField(c).alias(c) for c in rest), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit")).toDF(*names, *made)

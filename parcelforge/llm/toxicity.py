@@ -1,13 +1,13 @@
 """Operator 9: toxicity by compression distance.
 
-Two zstandard dictionaries are trained with the library's trainer: one on windows of ordinary text, one on toxic windows. Labels are
-of documents, most of whose text is ordinary even where they are toxic, so the toxic windows are found first: those with a word that
-holds a string which is in many toxic documents and in hardly any ordinary one. A window is ``WINDOW`` words of running text, and
-the next begins at the next word. It is compressed twice: with the ordinary dictionary, and with the toxic one before it. (Two wholly
-different dictionaries would mostly differ in which ordinary strings either happens to hold.) The window is followed by a carrier that
-both hold, as the compressor never looks for matches in the last bytes. The difference of the two lengths is the window's gain. Only
-windows in which a string begins that the toxic dictionary has and the ordinary one lacks (``STRING_ONLY`` bytes) are compressed: in
-others the toxic dictionary has nothing to add, and their gain is zero.
+Two zstandard dictionaries are trained with the library's trainer, one on ordinary text and one on toxic text, and every window of a text
+(``WINDOW`` words of running text, one window after the other) is compressed with either. The difference of the two lengths is the
+window's gain. Labels are of documents, most of whose words are ordinary even where they are toxic: the toxic dictionary is trained on
+the words of toxic documents that hold a string which is in many of these and in hardly any ordinary one.
+
+A compressor with the toxic dictionary alone would mostly tell which ordinary strings it happens to lack, so both dictionaries have the same
+ordinary part; the toxic strings follow it in one, and as many bytes that no text has in the other, so that all offsets are alike. Matches have
+``STRING`` bytes at least. The window is followed by a carrier that both hold, as the compressor never looks for matches in the last bytes.
 
 Gains are compared with thresholds, ``1`` to ``LEVELS``: each has as its weight the logarithm of how much more often the gains of
 windows of toxic documents lie there than those of ordinary ones. A document's sum of weights, over the root of its number of
@@ -39,15 +39,14 @@ from .sampling import sample_by_class
 #: Labelled documents that are learned from, about, at most; their bytes in all, and those of one.
 SAMPLE_ROWS, SAMPLE_BYTES, LONGEST = 6000, 64 << 20, 1 << 20
 FOLDS = 4
-#: Words in a window, and the longest word; a longer one is several.
-WINDOW, WORD = 2, 48
-ORDINARY_BYTES, TOXIC_BYTES = 16 << 10, 2 << 10
+#: Words in a window, and in an ordinary sample that the trainer gets; and the longest word, a longer one is several.
+WINDOW, SAMPLED, WORD = 3, 2, 48
+ORDINARY_BYTES, TOXIC_BYTES = 96 << 10, 4 << 10
 #: The trainer's parameters: the length of the segments it picks, and of the strings it counts. And the bytes of windows it gets.
 SEGMENT, STRING, TRAINED_BYTES = 16, 6, 8 << 20
 #: Lengths of the strings that mark a word. Such a string is in so many toxic documents at least, and so many times as often as in ordinary ones.
-GRAMS, LEAST_DOCS, TIMES = (6, 9), 5, 15
+GRAMS, LEAST_DOCS, TIMES = (6, 9), 5, 25
 LEVELS = 8
-STRING_ONLY = 7
 #: Windows that a document counts as having besides its own.
 FEW = 20
 THRESHOLD = 0.3
@@ -61,10 +60,15 @@ def words(text: str | None) -> list[bytes]:
 
 
 def windows(text: str | None) -> list[bytes]:
+    """All words of the text, ``WINDOW`` at once; the last window may have fewer."""
+    found = words(text)
+    return [b" " + b" ".join(found[i : i + WINDOW]) + b" " for i in range(0, len(found), WINDOW)]
+
+
+def samples(text: str | None) -> list[bytes]:
+    """Each ``SAMPLED`` words that follow each other."""
     found = words(text)
-    if len(found) < WINDOW:
-        return [b" " + b" ".join(found) + b" "] if found else []
-    return [b" " + b" ".join(w) + b" " for w in zip(*(found[i:] for i in range(WINDOW)))]
+    return [b" " + b" ".join(w) + b" " for w in zip(*(found[i:] for i in range(min(SAMPLED, max(1, len(found))))))]
 
 
 def _grams(word: bytes) -> set[bytes]:
@@ -88,14 +92,13 @@ class Gains(dict):
     def __init__(self, ordinary: bytes, toxic: bytes):
         ordinary = ordinary.rjust(64)
         self.carrier = ordinary[-32:]
-        self.each = [self._compressor(first + ordinary + self.carrier) for first in (b"", toxic)]
-        have, lack = ({x[i : i + STRING_ONLY] for i in range(len(x) - STRING_ONLY + 1)} for x in (toxic, ordinary))
-        self.strings = np.array(sorted(int.from_bytes(x, "big") for x in have - lack), np.uint64)
+        filler = np.random.default_rng(9).integers(128, 192, len(toxic), dtype=np.uint8).tobytes()  # bytes that begin no character
+        self.each = [self._compressor(ordinary + last + self.carrier) for last in (filler, toxic)]
 
     @staticmethod
     def _compressor(content: bytes):
         known = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        how = zstandard.ZstdCompressionParameters.from_level(9, source_size=64, dict_size=len(content), window_log=16, hash_log=15, chain_log=16, search_log=5, min_match=4, write_content_size=0, write_checksum=0, write_dict_id=0)
+        how = zstandard.ZstdCompressionParameters.from_level(9, source_size=64, dict_size=len(content), window_log=18, hash_log=17, chain_log=18, search_log=5, min_match=STRING, write_content_size=0, write_checksum=0, write_dict_id=0)
         known.precompute_compress(compression_params=how)
         return zstandard.ZstdCompressor(dict_data=known, compression_params=how).compress
 
@@ -108,24 +111,11 @@ class Gains(dict):
 
     def levels(self, text: str | None) -> np.ndarray:
         """How many windows of the text have each gain."""
-        found = words(text)
-        n = len(found) - WINDOW + 1 if len(found) >= WINDOW else min(1, len(found))
-        out = np.zeros(LEVELS + 1, np.int64)
-        if n and len(self.strings):
-            data = b" " + b" ".join(found) + b" "
-            codes = np.ndarray(len(data) - 1, ">u8", data + bytes(7), strides=(1,)).astype(np.uint64) >> np.uint64(64 - 8 * STRING_ONLY)
-            hits = np.flatnonzero(self.strings[np.minimum(np.searchsorted(self.strings, codes), len(self.strings) - 1)] == codes)
-            starts = X.offsets(np.fromiter(map(len, found), np.int64, len(found)) + 1)[:-1]  # each word's space
-            last = np.searchsorted(starts, hits, side="right") - 1
-            some = np.unique((last[:, None] - np.arange(WINDOW)).ravel())
-            for i in some[(some >= 0) & (some < n)].tolist():
-                out[self[b" " + b" ".join(found[i : i + WINDOW]) + b" "]] += 1
-        out[0] += n - out.sum()
-        return out
-
-
-def _toxic_windows(toxic: list[tuple[int, str]], ordinary: list[str]) -> list[list[bytes]]:
-    """The different toxic windows without the documents of each fold, and of all; ``toxic`` has folds and texts."""
+        return np.bincount(np.fromiter((self[w] for w in windows(text)), np.int64), minlength=LEVELS + 1)
+
+
+def _toxic_words(toxic: list[tuple[int, str]], ordinary: list[str]) -> list[list[bytes]]:
+    """The toxic words of each document, without the documents of each fold, and of all; ``toxic`` has folds and texts."""
     total: Counter = Counter()
     for _, text in toxic:
         total.update(set().union(*map(_grams, set(words(text)))))
@@ -146,7 +136,7 @@ def _toxic_windows(toxic: list[tuple[int, str]], ordinary: list[str]) -> list[li
         n = {g: total[g] - (by_fold[left_out][g] if left_out < FOLDS else 0) for g in able}
         marked = {g for g, k in n.items() if k >= LEAST_DOCS and k / len(some) >= TIMES * (plain[g] + 0.5) / len(ordinary)}
         bad = {w for w, grams in known.items() if not marked.isdisjoint(grams)}
-        out.append(list(dict.fromkeys(w for t in some for w in windows(t) if not bad.isdisjoint(w.split()))))
+        out.append([b" " + w + b" " for t in some for w in sorted(bad.intersection(words(t)))])
     return out
 
 
@@ -156,10 +146,10 @@ def train(sample: list[tuple[int, str, int]]) -> dict:
     if not toxic or not ordinary:
         return {"prior": float(bool(toxic)) if sample else 0.0}
     plain = [t for _, t in ordinary]
-    *folds, whole = (_train(w, TOXIC_BYTES) if w else b"" for w in _toxic_windows(toxic, plain))
-    size = sum(len(t) for t in plain) * WINDOW  # of all windows, about
+    *folds, whole = (_train(w, TOXIC_BYTES) if w else b"" for w in _toxic_words(toxic, plain))
+    size = sum(len(t) for t in plain) * SAMPLED  # of all samples, about
     step = max(1, size // TRAINED_BYTES)
-    return {"ordinary": _train([w for i, t in enumerate(plain) for w in windows(t)[i % step :: step]], ORDINARY_BYTES), "toxic": whole, "folds": folds}
+    return {"ordinary": _train([w for i, t in enumerate(plain) for w in samples(t)[i % step :: step]], ORDINARY_BYTES), "toxic": whole, "folds": folds}
 
 
 def calibrate(levels: np.ndarray, y: np.ndarray, odds: float = 0.0) -> dict:

@@ -322,28 +322,33 @@ def test_toxicity_is_compressed_lengths(spark, texts):
     """The score from lengths that a fresh compressor gives, window by window."""
     docs = [(k % 4, t, int(i % 7 == 0)) for k, (i, t) in enumerate(sorted(texts.items()))]
     model = toxicity.train([(k, t + " zmorkle blixard" * (3 * y), y) for k, t, y in docs])
-    assert b"zmorkle" in model["toxic"] and b"zmorkle" not in model["ordinary"] and len(model["folds"]) == 4
+    assert b"blixard" in model["toxic"] and b"blixard" not in model["ordinary"] and len(model["folds"]) == 4
     own = model | {"weights": np.arange(9) / 4 - 0.5, "slope": 2.0, "offset": -1.0}
+    filler = bytes(np.random.default_rng(9).integers(128, 192, len(own["toxic"]), dtype=np.uint8))
 
     def length(content, data):
         d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        how = zstandard.ZstdCompressionParameters.from_level(9, source_size=64, dict_size=len(content), window_log=16, hash_log=15, chain_log=16, search_log=5, min_match=4, write_content_size=0, write_checksum=0, write_dict_id=0)
+        how = zstandard.ZstdCompressionParameters.from_level(9, source_size=64, dict_size=len(content), window_log=18, hash_log=17, chain_log=18, search_log=5, min_match=6, write_content_size=0, write_checksum=0, write_dict_id=0)
         return len(zstandard.ZstdCompressor(dict_data=d, compression_params=how).compress(data))
 
-    tail = own["ordinary"][-32:]
+    tail, scored = own["ordinary"][-32:], 0
     for text in [t for _, t, _ in docs[:5]] + ["you zmorkle and blixard", "One", "", None, "x" * 200]:
         w = [x[i : i + 48] for x in (text or "").lower().encode().split() for i in range(0, len(x), 48)]
-        pairs = [b" " + a + b" " + b + b" " for a, b in zip(w, w[1:])] or [b" " + x + b" " for x in w]
-        line = b" " + b" ".join(w) + b" "
-        only = lambda x: x in own["toxic"] and x not in own["ordinary"]
-        gains, at = [], 0
-        for k, p in enumerate(pairs):
-            begins = [line[i : i + 7] for i in range(at, at + len(p) - 1)]
-            gain = length(own["ordinary"] + tail, p + tail) - length(own["toxic"] + own["ordinary"] + tail, p + tail)
-            gains.append(min(8, max(0, gain)) if any(len(x) == 7 and only(x) for x in begins) else 0)
-            at += len(w[k]) + 1
-        s = sum(g / 4 - 0.5 for g in gains) / np.sqrt(len(pairs) + 20)
+        each = [b" " + b" ".join(w[i : i + 3]) + b" " for i in range(0, len(w), 3)]
+        gains = [min(8, max(0, length(own["ordinary"] + filler + tail, p + tail) - length(own["ordinary"] + own["toxic"] + tail, p + tail))) for p in each]
+        scored += sum(g > 0 for g in gains)
+        s = sum(g / 4 - 0.5 for g in gains) / np.sqrt(len(each) + 20)
         assert toxicity.scores(own, [text])[0] == pytest.approx(1 / (1 + np.exp(1 - 2 * s)))
+    assert scored
+
+
+def test_every_window_is_compressed():
+    """With the words of a text one after the other, each of them in one window."""
+    text = " ".join(f"w{i}" for i in range(1000)) + "  idiot\n" + "y" * 100
+    gains, met = toxicity.Gains(b"w1 w2 w3 w4" * 20, b" idiot "), []
+    gains.each = [lambda x, f=f: met.append(x) or f(x) for f in gains.each]
+    assert gains.levels(text).sum() == len(toxicity.windows(text)) and {x[: -len(gains.carrier)] for x in met} == set(toxicity.windows(text))
+    assert b"".join(toxicity.windows(text)).split() == toxicity.words(text)
 
 
 def test_toxicity(spark, awkward):
