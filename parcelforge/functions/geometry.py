@@ -106,32 +106,43 @@ def centroid(polygons: Column) -> Column:
     return F.struct((o.x + F.try_divide(moment("x"), whole)).alias("x"), (o.y + F.try_divide(moment("y"), whole)).alias("y"))
 
 
-def hull_edges(points: Column) -> Column:
-    """Edges of the convex hull, with every other point on their left, or between their ends.
+def _turn(p: Column, q: Column, c: Column) -> Column:
+    """Positive for a point to the left of p-q, 0 for one that is on its line but for rounding."""
+    cross = (q.x - p.x) * (c.y - p.y) - (q.y - p.y) * (c.x - p.x)
+    slack = 1e-9 * (F.abs(q.x - p.x) + F.abs(q.y - p.y)) * (F.abs(c.x - p.x) + F.abs(c.y - p.y))
+    return F.when(F.abs(cross) > slack, cross).otherwise(0.0)
+
+
+def _chain(points: Column) -> Column:
+    """The hull's lower side, from left to right, of points in that order: a stack that every point is put on once.
 
-    Of each point the edge that would follow it is found in one pass over the others, and kept if it is one: quadratic in the number
-    of corners of one geometry.
+    The stack's turns towards a point are to the left first and then not any more, so that what it covers is found by halving.
     """
-    distinct = F.array_distinct(points)
 
-    def turn(p: Column, q: Column, c: Column) -> Column:
-        """Positive for a point to the left of p-q, 0 for one that is on its line but for rounding."""
-        cross = (q.x - p.x) * (c.y - p.y) - (q.y - p.y) * (c.x - p.x)
-        slack = 1e-9 * (F.abs(q.x - p.x) + F.abs(q.y - p.y)) * (F.abs(c.x - p.x) + F.abs(c.y - p.y))
-        return F.when(F.abs(cross) > slack, cross).otherwise(0.0)
+    def push(stack: Column, p: Column) -> Column:
+        def halve(at: Column, _: Column) -> Column:
+            mid = F.shiftright(at.low + at.high + 1, 1)
+            left = _turn(F.element_at(stack, mid), F.element_at(stack, mid + 1), p) > 0
+            return F.when(at.low >= at.high, at).when(left, F.struct(mid.alias("low"), at.high.alias("high"))).otherwise(F.struct(at.low.alias("low"), (mid - 1).alias("high")))
+
+        steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size(stack) + 1)).cast("int"))
+        kept = F.aggregate(steps, F.struct(F.lit(0).alias("low"), (F.size(stack) - 1).alias("high")), halve, lambda at: at.low + 1)
+        return F.when(F.size(stack) == 0, F.array(p)).otherwise(F.concat(F.slice(stack, 1, kept), F.array(p)))
 
-    def farther(p: Column, q: Column, c: Column) -> Column:
-        return F.abs(c.x - p.x) + F.abs(c.y - p.y) > F.abs(q.x - p.x) + F.abs(q.y - p.y)
+    return F.aggregate(points, F.array().cast("array<struct<x:double,y:double>>"), push)
 
-    def following(p: Column) -> Column:
-        others = F.filter(distinct, lambda c: c != p)
-        return F.aggregate(others, F.try_element_at(others, F.lit(1)), lambda q, c: F.when((turn(p, q, c) < 0) | ((turn(p, q, c) == 0) & farther(p, q, c)), c).otherwise(q))
 
-    def is_edge(s: Column) -> Column:
-        between = lambda c: (c.x - s.a.x) * (c.x - s.b.x) + (c.y - s.a.y) * (c.y - s.b.y) <= 0
-        return s.b.isNotNull() & F.forall(distinct, lambda c: (turn(s.a, s.b, c) > 0) | ((turn(s.a, s.b, c) == 0) & between(c)))
+def hull_edges(points: Column) -> Column:
+    """Edges of the convex hull, counterclockwise, by a monotone chain: n log n in the number of corners.
+
+    Points on a line give an edge there and one back; a single point none.
+    """
+    lower = lambda sorted_: F.concat(_chain(sorted_), _drop_first(_chain(F.reverse(sorted_))))
+    return let(let(F.array_sort(F.array_distinct(points)), lower), lambda r: F.zip_with(F.slice(r, 1, F.greatest(F.size(r) - 1, F.lit(0))), _drop_first(r), lambda a, b: F.struct(a.alias("a"), b.alias("b"))))
+
 
-    return F.filter(F.transform(distinct, lambda p: F.named_struct(F.lit("a"), p, F.lit("b"), following(p))), is_edge)
+def _drop_first(a: Column) -> Column:
+    return F.slice(a, 2, F.greatest(F.size(a) - 1, F.lit(0)))
 
 
 def edges_area(edges_: Column) -> Column:

@@ -7,6 +7,8 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import collection
+
 _POINTS = "ARRAY<ARRAY<ARRAY<DOUBLE>>>"
 #: The schema is declared: inference would read the file twice and sort the names.
 PROPERTIES = (
@@ -19,15 +21,16 @@ SRID = 4326
 def read_geojson(spark: SparkSession, path: str, properties: str = PROPERTIES, srid: int = SRID, lines: bool = False) -> DataFrame:
     """One row a feature: the properties in the order of their schema, ``geometry_type`` and ``polygons``.
 
-    Polygon and MultiPolygon are both read as arrays of polygons. The column's metadata holds the coordinate system. A feature
-    collection is one document, which one task reads; ``lines`` reads a feature a line, which are split like any text.
+    Polygon and MultiPolygon are both read as arrays of polygons. The column's metadata holds the coordinate system, ``srid``, which is
+    assigned as the files name none. Feature collections are split anywhere (see ``collection``); ``lines`` reads a feature a line.
     """
     feature = f"STRUCT<properties: STRUCT<{_colons(properties)}>, geometry: STRUCT<type: STRING, coordinates: STRING>>"
     if lines:
         rows = spark.read.schema(feature.removeprefix("STRUCT<").removesuffix(">").replace("properties: ", "properties ", 1).replace(", geometry: ", ", geometry ", 1)).json(path)
         rows = rows.select(F.struct("properties", "geometry").alias("f"))
     else:
-        rows = spark.read.option("multiLine", True).schema(f"features ARRAY<{feature}>").json(path).select(F.explode("features").alias("f"))
+        typed = feature.replace("STRUCT<properties", "STRUCT<type: STRING, properties", 1)
+        rows = collection.features(spark, path).select(F.from_json("feature", typed).alias("f")).where("f.type = 'Feature'")
     text, kind = F.col("f.geometry.coordinates"), F.col("f.geometry.type")
     one, many = F.from_json(text, _POINTS), F.from_json(text, f"ARRAY<{_POINTS}>")
     points = F.when(kind == "MultiPolygon", many).when(kind == "Polygon", F.array(one))

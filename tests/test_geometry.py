@@ -55,6 +55,23 @@ def test_area_does_not_depend_on_start_direction_place(spark, start, back, dx, d
     assert r["area_ha"] * 1e4 == pytest.approx(7, abs=1e-5) and 0 < r["compactness"] <= 1 and r["convex_hull_area_ha"] >= r["area_ha"]
 
 
+def test_hull_of_many_corners(spark):
+    """Ten thousand corners on a circle, and as many inside; points on lines, and few points."""
+    import random
+
+    rng = random.Random(6)
+    circle = [(math.cos(2 * math.pi * i / 10_000) * 1000 + 5e5, math.sin(2 * math.pi * i / 10_000) * 1000 + 4e6) for i in range(10_000)]
+    inside = [(5e5 + rng.uniform(-600, 600), 4e6 + rng.uniform(-600, 600)) for _ in range(10_000)]
+    mixed = circle + inside
+    rng.shuffle(mixed)
+    line, dot = [(float(i), 2.0 * i) for i in range(50)], [(1.0, 2.0)] * 5
+    rows = spark.createDataFrame([(0, mixed), (1, line), (2, dot), (3, [])], "k int, p array<struct<x:double,y:double>>").select("k", G.hull_edges(F.col("p")).alias("h"))
+    found = {r["k"]: r for r in rows.select("k", F.size("h").alias("n"), F.when(F.size("h") > 0, G.edges_area(F.col("h"))).alias("a"), G.edges_length(F.col("h")).alias("l")).collect()}
+    assert found[0]["n"] == 10_000 and found[0]["a"] == pytest.approx(10_000 / 2 * math.sin(2 * math.pi / 10_000) * 1e6, rel=1e-9)
+    assert (found[1]["n"], found[1]["a"]) == (2, pytest.approx(0)) and found[1]["l"] == pytest.approx(2 * 49 * 5**0.5)
+    assert found[2]["n"] == found[3]["n"] == 0
+
+
 def test_utm(spark):
     x, y = crs.to_utm(F.lit(-115.52), F.lit(33.05))
     r = spark.range(1).select(x.alias("x"), y.alias("y")).first()
