@@ -475,39 +475,45 @@ def _alike_in_cells(similarity: float, shingle: int):
     return run
 
 
-#: Ids that are broadcast to pick the texts of candidates; more are joined by a shuffle.
+#: Ids that are broadcast to pick the texts of candidates, and groups of documents; more are joined by a shuffle.
 _BROADCAST = 4_000_000
 
 
+def _side(table: DataFrame) -> DataFrame:
+    """A table of ids or groups as a side of a join: broadcast if it has few rows."""
+    return F.broadcast(table) if table.count() <= _BROADCAST else table
+
+
 def _verified(rows: DataFrame, loose: DataFrame, similarity: float, shingle: int) -> DataFrame:
     """``(id, other)``: links of the wanted similarity that make up the groups within each component of ``loose``.
 
     A component of over ``CELL`` documents is cut into cells that all get its first document. If that leaves several groups, each
-    document outside the largest one meets all documents in cells of a second round.
+    document outside the largest one meets all documents in cells of a second round: in a component of n documents without a large
+    group these are about n * n / ``CELL`` texts. Links of candidates reach down to a similarity of about 0.5.
     """
     n = X.partitions(rows.sparkSession)
 
     def check(dealt: DataFrame) -> DataFrame:
         dealt = X.materialize(dealt)
-        picked = rows.join(F.broadcast(dealt) if dealt.count() <= _BROADCAST else dealt, "id").select("cell", "id", "label", "text")
+        picked = rows.join(_side(dealt), "id").select("cell", "id", "label", "text")
         ordered = picked.repartition(n, "cell").sortWithinPartitions("cell", "id")
         return X.materialize(ordered.mapInArrow(_alike_in_cells(similarity, shingle), "id long, other long").distinct())
 
     members = X.materialize(loose.unionAll(loose.select(F.col("component").alias("id"), "component").distinct()))
     large = X.materialize(members.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") > CELL))
-    part = members.join(F.broadcast(large), "component", "left").withColumn("cells", F.ceil(F.coalesce("n", F.lit(1)) / CELL))
+    part = members.join(_side(large), "component", "left").withColumn("cells", F.ceil(F.coalesce("n", F.lit(1)) / CELL))
     own = F.array(F.pmod(F.xxhash64("id"), "cells"))
     first = check(part.select("id", F.col("id").alias("label"), "component", F.explode(F.when(F.col("id") == F.col("component"), F.sequence(F.lit(0).cast("long"), F.col("cells") - 1)).otherwise(own)).alias("x")).select("id", "label", F.xxhash64("component", "x").alias("cell")))
     if not large.limit(1).count():
         return first
     found = components(first).withColumnRenamed("component", "label")
-    named = X.materialize(members.join(F.broadcast(large), "component").join(found, "id", "left").select("id", "component", F.coalesce("label", "id").alias("label")))
+    named = X.materialize(members.join(_side(large), "component").join(found, "id", "left").select("id", "component", F.coalesce("label", "id").alias("label")))
     groups = named.groupBy("component", "label").agg(F.count("*").alias("n")).groupBy("component").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("n"))
     several = X.materialize(groups.where("n > most").select("component", "main", F.ceil(F.col("most") / CELL).alias("k"), F.ceil((F.col("n") - F.col("most")) / CELL).alias("m")))
     if not several.limit(1).count():
         return first
     # Blocks: k of the main group, then m of the others. A cell is two blocks, the second one of others.
-    meet = named.join(F.broadcast(several), "component").withColumn("h", F.xxhash64("id"))
+    meet = named.join(_side(several), "component").withColumn("h", F.xxhash64("id"))
     cells = F.expr("""CASE WHEN label = main THEN transform(sequence(0L, m - 1), y -> struct(pmod(h, k) AS x, y AS y))
         ELSE concat(transform(sequence(0L, k + pmod(h, m)), x -> struct(x AS x, pmod(h, m) AS y)), transform(sequence(0L, m - 1), y -> struct(k + pmod(h, m) AS x, y AS y))) END""")
     again = meet.select("id", "label", "component", F.explode(F.array_distinct(cells)).alias("c")).select("id", "label", "component", "c.*")
