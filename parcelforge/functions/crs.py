@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: WGS 84 and UTM.
@@ -66,6 +66,38 @@ def from_utm(x: Column, y: Column, zone: int = 11) -> tuple[Column, Column]:
     return F.degrees(F.atan2(F.sinh(b), F.cos(a))) + central_meridian(zone), F.degrees(F.atan(tau))
 
 
+GEOGRAPHIC = 4326
+#: The codes of the northern zones are these plus the zone.
+NORTH = 32600
+
+
+def planar(fields: DataFrame, zone: int = 11, geometry: str = "polygons") -> DataFrame:
+    """``fields`` with their geometry in metres of the zone, and the column's metadata saying so.
+
+    The geometry is in the system that the column's metadata names as ``srid``; without one it is taken to be in longitude and latitude. What
+    is in the zone already stays as it is, what is in another northern zone is brought over by longitude and latitude; other systems are refused.
+    """
+    srid = fields.schema[geometry].metadata.get("srid", GEOGRAPHIC)
+    points = F.col(geometry)
+    if srid == GEOGRAPHIC:
+        points = project(points, zone)
+    elif srid in range(NORTH + 1, NORTH + 61):
+        points = points if srid == NORTH + zone else project(unproject(points, srid - NORTH), zone)
+    else:
+        raise ValueError(f"{geometry} is in the system {srid}, which is neither {GEOGRAPHIC} nor a northern UTM zone")
+    return fields.select(*(points.alias(c, metadata={"srid": NORTH + zone}) if c == geometry else F.col(f"`{c}`") for c in fields.columns))
+
+
+def unproject(polygons: Column, zone: int) -> Column:
+    """All points of a geometry from metres to longitude and latitude."""
+
+    def point(p: Column) -> Column:
+        lon, lat = from_utm(p.x, p.y, zone)
+        return F.struct(lon.alias("x"), lat.alias("y"))
+
+    return F.transform(polygons, lambda p: F.transform(p, lambda r: F.transform(r, point)))
+
+
 def project(polygons: Column, zone: int = 11) -> Column:
     """All points of a geometry from longitude and latitude to metres."""
 

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcelforge.functions import crs
+from parcelforge.functions import crs, rounding
 from parcelforge.functions import geometry as G
 from parcelforge.functions.fence import fence
+from parcelforge.sources import collection
+from parcelforge.sources import fields as source
 
 from . import views
 from .registry import register
@@ -140,3 +142,47 @@ def utm_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
     box = G.ring([(lon + dx, lat + dy) for dx, dy in ((0.0, 0.0), (0.004, 0.0), (0.004, 0.003), (0.0, 0.003))])
     planar = fence(views.read(spark, sf_dir, "part").select(k.alias("field_id"), crs.project(F.array(F.array(box))).alias("polygons")))
     return geometry_features(planar, ["field_id"], hull=False)
+
+
+@register("crs_two_systems", "field_id:i area_ha:d4 perimeter_km:d", _BOXES)
+def crs_two_systems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The boxes of ``utm_polygons``, of which every other one comes in metres of the zone to the east; both are brought to one zone."""
+    k = F.col("p_partkey")
+    lon, lat = _point(k)
+    corners = [(lon + dx, lat + dy) for dx, dy in ((0.0, 0.0), (0.004, 0.0), (0.004, 0.003), (0.0, 0.003))]
+    part = views.read(spark, sf_dir, "part")
+    degrees = part.where(k % 2 == 0).select(k.alias("field_id"), F.array(F.array(G.ring(corners))).alias("polygons"))  # without a system: assigned
+    metres = part.where(k % 2 == 1).select(k.alias("field_id"), F.array(F.array(G.ring([crs.to_utm(*c, 12) for c in corners]))).alias("polygons", metadata={"srid": crs.NORTH + 12}))
+    both = fence(crs.planar(fence(degrees)).unionByName(crs.planar(metres)))
+    return geometry_features(both, ["field_id"], hull=False)
+
+
+def _exact_sql(x: str, digits: int) -> str:
+    """By the digits of the double's whole decimal expansion."""
+    return f"""(SELECT (c::BIGINT + CASE WHEN rest > five OR (rest = five AND c::BIGINT % 2 = 1) THEN 1 ELSE 0 END) / 1e{digits} FROM
+ (SELECT regexp_replace(s, '^(.*)[.](.{{{digits}}}).*$', '\\1\\2') AS c, regexp_replace(s, '^.*[.].{{{digits}}}', '') AS rest, rpad('5', {40 - digits}, '0') AS five FROM (SELECT printf('%.40f', {x}) AS s)))"""
+
+
+_NUMBERS = "n AS (SELECT p_partkey AS field_id, (p_partkey % 4000) / 8.0::DOUBLE AS tie, (p_partkey % 100000 * 10 + 5) / 1000.0::DOUBLE AS near FROM part)"
+
+
+@register(
+    "rounded_features", "field_id:i exact_tie:d exact_near:d scaled_tie:d scaled_near:d",
+    f"{_NUMBERS} --SELECT field_id, {_exact_sql('tie', 2)} AS exact_tie, {_exact_sql('near', 2)} AS exact_near, round_even(tie * 100, 0) / 100 AS scaled_tie, round_even(near * 100, 0) / 100 AS scaled_near FROM n",
+)
+def rounded_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers in the middle between two of two digits, exactly or nearly so, rounded by either rule."""
+    k = F.col("p_partkey")
+    tie, near = (k % 4000) / F.lit(8.0), (k % 100000 * 10 + 5) / F.lit(1000.0)
+    return views.read(spark, sf_dir, "part").select(
+        k.alias("field_id"), rounding.exact(tie, 2).alias("exact_tie"), rounding.exact(near, 2).alias("exact_near"), rounding.scaled(tie, 2).alias("scaled_tie"), rounding.scaled(near, 2).alias("scaled_near"),
+    )
+
+
+@register("geojson_scan", "field_id:i crop_type:s area_ha:d n_vertices:i", f"{views.G_SQL} --SELECT field_id, crop_type, area_ha, n_vertices FROM g")
+def geojson_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parcels written as feature collections, which are then read in splits and measured."""
+    folder = f"{views.scratch(spark)}/parcels"
+    collection.write(views.parcels(spark, sf_dir).select("field_id", "crop_type", "polygons"), folder)
+    found = source.read_geojson(spark, folder, "field_id LONG, crop_type STRING")
+    return geometry_features(found, ["field_id", "crop_type"], hull=False)

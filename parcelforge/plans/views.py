@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +29,14 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder that the driver and all executors share: below ``spark.checkpoint.dir``, or, in local mode only, a temporary one."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return f"{root.rstrip('/')}/plans-{uuid.uuid4().hex}" if root else "file://" + tempfile.mkdtemp(prefix="plans-")
+
+
 def parcels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Attributes and polygons of every part, without yields."""
     k = F.col("p_partkey")

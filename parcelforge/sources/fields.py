@@ -76,3 +76,12 @@ def write_csv(df: DataFrame, path: str, single_file: bool = False) -> None:
     """With a header; nulls are empty, lists are written as ``[a, b]``."""
     flat = df.select(*(F.concat(F.lit("["), F.array_join(c, ", "), F.lit("]")).alias(c) if t.startswith("array") else F.col(c) for c, t in df.dtypes))
     (flat.coalesce(1) if single_file else flat).write.mode("overwrite").option("header", True).csv(path)
+
+
+def write_table(df: DataFrame, path: str, by: str) -> None:
+    """A Parquet table with a folder for each value of ``by``: the values that ``df`` has are replaced, all others stay.
+
+    Spark stages the new folders and moves them into place when all tasks are done: a write that fails leaves the table as it was, and one
+    that is repeated changes nothing.
+    """
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
