@@ -484,12 +484,32 @@ def _side(table: DataFrame) -> DataFrame:
     return F.broadcast(table) if table.count() <= _BROADCAST else table
 
 
-def _verified(rows: DataFrame, loose: DataFrame, similarity: float, shingle: int) -> DataFrame:
+#: Blocks that a document may meet in a component's second round; where it were more, its buckets take the component's place.
+MEETINGS = 128
+
+
+def _meetings(named: DataFrame) -> DataFrame:
+    """``(id, label, cell)`` in which each two documents of a ``group`` and of different labels meet, of groups that have several labels.
+
+    The group's largest label is cut into k blocks of ``CELL`` documents, the others together into m. A cell is two blocks, the second one of others.
+    """
+    labels = named.groupBy("group", "label").agg(F.count("*").alias("n")).groupBy("group").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("n"))
+    several = X.materialize(labels.where("n > most").select("group", "main", F.ceil(F.col("most") / CELL).alias("k"), F.ceil((F.col("n") - F.col("most")) / CELL).alias("m")))
+    meet = named.join(_side(several), "group").withColumn("h", F.xxhash64("id"))
+    cells = F.expr("""CASE WHEN label = main THEN transform(sequence(0L, m - 1), y -> struct(pmod(h, k) AS x, y AS y))
+        ELSE concat(transform(sequence(0L, k + pmod(h, m)), x -> struct(x AS x, pmod(h, m) AS y)), transform(sequence(0L, m - 1), y -> struct(k + pmod(h, m) AS x, y AS y))) END""")
+    again = meet.select("id", "label", "group", F.explode(F.array_distinct(cells)).alias("c")).select("id", "label", "group", "c.*")
+    return again.select("id", "label", F.xxhash64("group", "x", "y").alias("cell"))
+
+
+def _verified(rows: DataFrame, loose: DataFrame, buckets: DataFrame, similarity: float, shingle: int) -> DataFrame:
     """``(id, other)``: links of the wanted similarity that make up the groups within each component of ``loose``.
 
     A component of over ``CELL`` documents is cut into cells that all get its first document. If that leaves several groups, each
-    document outside the largest one meets all documents in cells of a second round: in a component of n documents without a large
-    group these are about n * n / ``CELL`` texts. Links of candidates reach down to a similarity of about 0.5.
+    document outside the largest one meets all others in cells of a second round. Candidates' links reach down to a similarity of about 0.5, so
+    that pages of one template may hang together in one component without being alike. Where a component is so large that its documents
+    would have over ``MEETINGS`` blocks to meet, they meet in their ``buckets`` instead, in which all candidates are found: a document has as many
+    of these as its fingerprint has segments, however large the component.
     """
     n = X.partitions(rows.sparkSession)
 
@@ -507,17 +527,17 @@ def _verified(rows: DataFrame, loose: DataFrame, similarity: float, shingle: int
     if not large.limit(1).count():
         return first
     found = components(first).withColumnRenamed("component", "label")
-    named = X.materialize(members.join(_side(large), "component").join(found, "id", "left").select("id", "component", F.coalesce("label", "id").alias("label")))
-    groups = named.groupBy("component", "label").agg(F.count("*").alias("n")).groupBy("component").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("n"))
-    several = X.materialize(groups.where("n > most").select("component", "main", F.ceil(F.col("most") / CELL).alias("k"), F.ceil((F.col("n") - F.col("most")) / CELL).alias("m")))
-    if not several.limit(1).count():
+    named = X.materialize(members.join(_side(large), "component").join(found, "id", "left").select("id", F.col("component").alias("group"), F.coalesce("label", "id").alias("label")))
+    apart = named.groupBy("group", "label").agg(F.count("*").alias("n")).groupBy("group").agg((F.sum("n") - F.max("n")).alias("others"), F.sum("n").alias("n")).where("others > 0")
+    apart = X.materialize(apart.select("group", (F.col("n") > MEETINGS * CELL).alias("wide")))
+    if not apart.limit(1).count():
         return first
-    # Blocks: k of the main group, then m of the others. A cell is two blocks, the second one of others.
-    meet = named.join(_side(several), "component").withColumn("h", F.xxhash64("id"))
-    cells = F.expr("""CASE WHEN label = main THEN transform(sequence(0L, m - 1), y -> struct(pmod(h, k) AS x, y AS y))
-        ELSE concat(transform(sequence(0L, k + pmod(h, m)), x -> struct(x AS x, pmod(h, m) AS y)), transform(sequence(0L, m - 1), y -> struct(k + pmod(h, m) AS x, y AS y))) END""")
-    again = meet.select("id", "label", "component", F.explode(F.array_distinct(cells)).alias("c")).select("id", "label", "component", "c.*")
-    return first.unionAll(check(again.select("id", "label", F.xxhash64("component", "x", "y").alias("cell"))))
+    left = X.materialize(named.join(_side(apart), "group"))
+    links = first.unionAll(check(_meetings(left.where("NOT wide").drop("wide"))))
+    wide = left.where("wide").select("id", "label")
+    if not wide.limit(1).count():
+        return links
+    return links.unionAll(check(_meetings(X.materialize(buckets.select("id", F.col("bucket").alias("group")).join(_side(wide), "id")))))
 
 
 def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -532,9 +552,9 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5
     copies = prints.join(classes, ["key", "fp"]).where("id <> first").select("id", F.col("first").alias("other"))
     schema = "bucket long, id long, " + ", ".join(f"{w} long" for w in _CHECK)
     dealt = classes.select(F.col("first").alias("id"), "fp").mapInArrow(_bands, schema)
-    # by id, too: a group's links lead to its smallest id, which in all buckets of a large group is one of few
-    dealt = dealt.repartition(X.partitions(docs.sparkSession), "bucket").sortWithinPartitions("bucket", "id")
-    loose = components(dealt.mapInArrow(_near_in_buckets(bits_apart(similarity)), "id long, other long").distinct())
-    named = X.materialize(components(_verified(rows, loose, similarity, shingle)))  # of first copies only: others follow theirs
+    # candidates by bucket; by id, too: a group's links lead to its smallest id, which in all buckets of a large group is one of few
+    ordered = dealt.repartition(X.partitions(docs.sparkSession), "bucket").sortWithinPartitions("bucket", "id")
+    loose = components(ordered.mapInArrow(_near_in_buckets(bits_apart(similarity)), "id long, other long").distinct())
+    named = X.materialize(components(_verified(rows, loose, dealt.select("bucket", "id"), similarity, shingle)))  # of first copies only: others follow theirs
     follow = copies.join(named.withColumnRenamed("id", "first"), copies["other"] == F.col("first"), "left")
     return named.unionAll(follow.select("id", F.coalesce("component", "other").alias("component")))

@@ -632,10 +632,26 @@ def brute_links(n, links):
     return label
 
 
-@pytest.mark.parametrize("cell", [512, 4])
-def test_similar_documents_are_verified_in_cells(spark, cell, monkeypatch):
+def test_chained_documents_meet_in_few_cells(spark, monkeypatch):
+    """A component of documents that are alike in a chain only: no document is copied more often than it has buckets, and none is linked."""
+    monkeypatch.setattr(simhash, "CELL", 8)
+    monkeypatch.setattr(simhash, "MEETINGS", 4)
+    rng, made = random.Random(15), []
+    monkeypatch.setattr(simhash, "_meetings", lambda named, f=simhash._meetings: made.append(f(named)) or made[-1])
+    words, rows = [f"w{rng.getrandbits(40)}" for _ in range(60)], []
+    for i in range(1000):
+        words = words[8:] + [f"w{rng.getrandbits(40)}" for _ in range(8)]
+        rows.append((i, " ".join(words)))
+    assert simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).count() == 0
+    copies = [df.groupBy("id").count().agg(F.max("count"), F.sum("count")).first() for df in made]
+    assert len(made) == 2 and copies[1][0] <= simhash.DEALS * simhash.BANDS and copies[1][1] > 1000  # each document met others in its buckets
+
+
+@pytest.mark.parametrize("cell, meetings", [(512, 128), (4, 128), (4, 1)])
+def test_similar_documents_are_verified_in_cells(spark, cell, meetings, monkeypatch):
     """Groups that hang together by chains only, of more documents than a cell holds."""
     monkeypatch.setattr(simhash, "CELL", cell, raising=False)
+    monkeypatch.setattr(simhash, "MEETINGS", meetings)
     rng = random.Random(14)
     words, rows = [f"w{rng.getrandbits(40)}" for _ in range(400)], []
     for i in range(40):
