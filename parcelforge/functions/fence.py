@@ -24,10 +24,10 @@ def share(df: DataFrame, key: str) -> DataFrame:
     return fence(df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key))
 
 
-def estimate(df: DataFrame) -> int:
-    """Spark's own estimate of the size in bytes, which runs no job; 0 where it has none (rows that came from an RDD count as exabytes)."""
+def estimate(df: DataFrame, unknown: int = 0) -> int:
+    """Spark's own estimate of the size in bytes, which runs no job; ``unknown`` where it has none (rows that came from an RDD count as exabytes)."""
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return size if size < 1 << 60 else 0
+    return size if size < 1 << 60 else unknown
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:

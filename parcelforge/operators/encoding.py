@@ -5,6 +5,7 @@ from __future__ import annotations
 import itertools
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import stats
@@ -57,11 +58,13 @@ def categories(df: DataFrame, column: str) -> list[str]:
 
 
 def label_codes(df: DataFrame, column: str, unknown: str | None = "unknown") -> DataFrame:
-    """``label`` and ``code``: lower-cased values by rank, nulls as ``unknown`` (rejected where that is None)."""
+    """``label`` and ``code``: lower-cased values by rank, nulls as ``unknown`` (rejected where that is None).
+
+    The different values only are sorted in one task, which spills; none is held in a buffer.
+    """
     value = F.lower(column)
     values = df.select((F.coalesce(value, F.lit(unknown)) if unknown else F.coalesce(value, F.raise_error(F.lit("null label")))).alias("label"))
-    listed = values.groupBy().agg(F.array_sort(F.collect_set("label")).alias("all"))  # one entry a category
-    return listed.select(F.posexplode("all").alias("code", "label")).select("label", F.col("code").cast("long").alias("code"))
+    return values.distinct().select("label", (F.row_number().over(W.orderBy("label")) - 1).cast("long").alias("code"))
 
 
 def one_hot(df: DataFrame, column: str, prefix: str, values: list[str]) -> DataFrame:

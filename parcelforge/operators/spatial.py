@@ -49,6 +49,7 @@ def pairs(left: DataFrame, right: DataFrame, reach: float, size: float, half: bo
     the larger of its rows' levels, in the cell that holds the lower corner of what both boxes cover: once, and small rows never meet each
     other in a large cell. ``half`` keeps pairs with ``a.id < b.id`` only.
     """
+    size = max(size, 2 * reach)  # else what is small would be on several levels
     level = _level(reach, size).alias("level")
     sizes = left.select(level) if left is right else left.select(level).unionAll(right.select(level))
     levels = sizes.agg(F.collect_set("level")).scalar()  # a few numbers

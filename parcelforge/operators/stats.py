@@ -35,7 +35,7 @@ def percentiles(df: DataFrame, columns: list[str], shares: list[float]) -> dict[
     each distinct value in one task: there the percentiles are worked out beforehand, and the expressions are literals. Each is
     bracketed by a mergeable sketch, and the values in its bracket are bracketed again, until they are few enough for the exact one.
     """
-    if estimate(df) <= IN_ONE_BUFFER:
+    if estimate(df, unknown=IN_ONE_BUFFER + 1) <= IN_ONE_BUFFER:
         return {c: F.percentile(c, F.array(*map(F.lit, shares))) for c in columns}
     counts = df.agg(*(F.count(c).alias(c) for c in columns)).first()
     wanted = [(c, q) for c in columns if counts[c] for q in shares]

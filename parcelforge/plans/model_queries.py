@@ -108,7 +108,19 @@ def normalize_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.normalise_sum(views.parcels(spark, sf_dir).select("field_id", "area_ha"), "area_ha")
 
 
-def _fitted(spark: SparkSession, sf_dir: str):
+_FITS: dict[tuple[str, str], tuple] = {}
+
+
+def _fitted(spark: SparkSession, sf_dir: str) -> tuple:
+    """The forest of a folder's tables, fitted once in an application: the queries that want it read one fit. The last folder's is kept."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _FITS:
+        _FITS.clear()
+        _FITS[key] = _fit(spark, sf_dir)
+    return _FITS[key]
+
+
+def _fit(spark: SparkSession, sf_dir: str) -> tuple:
     return forest.fit(full_matrix(spark, sf_dir).where("crop_type IS NOT NULL"), FEATURES, "crop_type")
 
 
