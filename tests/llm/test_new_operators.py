@@ -246,3 +246,38 @@ def test_trees_prune(spark):
     exact = (q @ x.T).astype(np.int64)
     exact[np.arange(64), np.arange(64)] = balltree.NONE
     assert (np.sort(exact, 1)[:, ::-1][:, :5] == score[:, 0]).all() and sum(met) < 0.35 * exact.size
+
+
+# the registered queries
+
+
+def test_contracts(spark):
+    from parcelforge.llm import queries
+
+    wanted = {
+        "op11_cube_mix": "doc_id bigint, size bigint, source_size bigint, target double, taken bigint",
+        "op12_filter_audit": "part string, filter_order string, step int, kept bigint, removed bigint, redundant bigint, unique_fails bigint, good_lost bigint, toxic_lost bigint, shapley bigint",
+        "op13_hard_negatives": "anchor_id bigint, positive_id bigint, rank int, negative_id bigint, positive_score bigint, negative_score bigint",
+    }
+    for name, columns in wanted.items():
+        df = queries.queries()[name](spark, "/root/testdata/sf0.001")
+        assert ", ".join(f"{c} {t}" for c, t in df.dtypes) == columns and df.count(), name
+
+
+def test_index_at_size(spark):
+    """Recall and share walked on 2,000 vectors without any structure, for which the walk is long."""
+    from parcelforge.llm import multiindex
+
+    vectors = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = {r["vec_id"]: np.array(r["embedding"], float) for r in vectors.collect()}
+    ids, x = np.array(list(rows)), np.array(list(rows.values()))
+    found = defaultdict(set)
+    for r in multiindex.neighbours(vectors).collect():
+        found[r["query_id"]].add(r["vec_id"])
+    recall = []
+    for q in ids[ids % 20 == 0]:
+        near = x @ rows[q]
+        near[ids == q] = -np.inf
+        recall.append(len(found[q] & set(ids[np.argsort(-near)[:20]].tolist())) / 20)
+    book = multiindex.Codebook(x, len(x), 20)
+    assert np.mean(recall) >= 0.95 and min(recall) >= 0.7 and 0.5 < book.share < 1
