@@ -22,37 +22,46 @@ def measured(fields: DataFrame, key: str, carry: list[str]) -> DataFrame:
     return fence(fields.select(F.col(key).alias("id"), *carry, p, G.centroid(p).alias("center"), G.bbox(p).alias("box"), (G.area(p) / 10000).alias("geometry_ha")))
 
 
-def _level(reach: float, size: float) -> Column:
-    """Of the cells that are as large as the row's box, grown by half of ``reach``."""
-    extent = F.greatest(F.col("box.maxx") - F.col("box.minx"), F.col("box.maxy") - F.col("box.miny")) + reach
-    return F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(extent, F.lit(size)) / size))).cast("int")
+def _extent() -> Column:
+    """The power of two that no side of the row's box is longer than."""
+    return F.ceil(F.log2(F.greatest(F.col("box.maxx") - F.col("box.minx"), F.col("box.maxy") - F.col("box.miny"), F.lit(1.0)))).cast("int")
 
 
-def celled(rows: DataFrame, name: str, levels: Column, reach: float, size: float) -> DataFrame:
+def extents(rows: DataFrame) -> Column:
+    """The different powers of two by which the boxes are classed: a few numbers, found once in a plan however often it asks for them."""
+    return rows.select(_extent().alias("extent")).agg(F.collect_set("extent")).scalar()
+
+
+def _level(extent: Column, reach: float, size: float) -> Column:
+    """Of the cells that are as large as such a box, grown by half of ``reach``."""
+    return F.greatest(F.lit(0), F.ceil(F.log2((F.pow(F.lit(2.0), extent) + reach) / size))).cast("int")
+
+
+def celled(rows: DataFrame, name: str, sizes: Column, reach: float, size: float) -> DataFrame:
     """The rows as structs ``name`` in each cell ``(level, cx, cy)``, once for either role of the left side, ``left``: that the pair's level is its own, or a smaller row's that is copied up."""
-    lower = F.exists("levels", lambda x: x < F.col("own"))
+    levels = F.array_distinct(F.transform("sizes", lambda e: _level(e, reach, size)))
+    lower = F.exists(levels, lambda x: x < F.col("own"))
     role = lambda level, left: F.struct(level.alias("level"), F.lit(left).alias("left"))
-    above = F.transform(F.filter("levels", lambda x: x > F.col("own")), lambda x: role(x, name == "b"))
+    above = F.transform(F.filter(levels, lambda x: x > F.col("own")), lambda x: role(x, name == "b"))
     own = F.array(role(F.col("own"), True)) if name == "a" else F.when(lower, F.array(role(F.col("own"), True), role(F.col("own"), False))).otherwise(F.array(role(F.col("own"), True)))
-    rows = rows.select(F.struct("*").alias(name), "box", _level(reach, size).alias("own"), levels.alias("levels")).select(name, "box", F.inline(F.concat(own, above)))
+    rows = rows.select(F.struct("*").alias(name), "box", _level(_extent(), reach, size).alias("own"), sizes.alias("sizes")).select(name, "box", F.inline(F.concat(own, above)))
     side, grow = size * F.pow(F.lit(2.0), F.col("level")), reach / 2
     cells = lambda low, high: F.sequence(F.floor((F.col(f"box.{low}") - grow) / side), F.floor((F.col(f"box.{high}") + grow) / side))
     wide = rows.select("level", "left", F.explode(cells("minx", "maxx")).alias("cx"), cells("miny", "maxy").alias("rows"), name)
     return wide.select("level", "left", "cx", F.explode("rows").alias("cy"), name)
 
 
-def pairs(left: DataFrame, right: DataFrame, reach: float, size: float, half: bool = False) -> DataFrame:
+def pairs(left: DataFrame, right: DataFrame, reach: float, size: float, half: bool = False, sizes: Column | None = None) -> DataFrame:
     """Pairs whose boxes are at most ``reach`` apart in either axis: structs ``a`` and ``b`` of the columns of ``left`` and ``right``.
 
-    A grid of several levels: a row's own level is the least whose cells are as large as its box, grown by half of ``reach`` (cells of the
+    A grid of several levels: a row's own level has cells as large as its box (up to a power of two), grown by half of ``reach`` (cells of the
     lowest level have side ``size``), so that it is in four cells at most, at its own level and at each larger one that there is. A pair meets at
     the larger of its rows' levels, in the cell that holds the lower corner of what both boxes cover: once, and small rows never meet each
-    other in a large cell. ``half`` keeps pairs with ``a.id < b.id`` only.
+    other in a large cell. ``half`` keeps pairs with ``a.id < b.id`` only; ``sizes`` are the ``extents`` of both sides, if they are known.
     """
     size = max(size, 2 * reach)  # else what is small would be on several levels
-    level = _level(reach, size).alias("level")
-    sizes = left.select(level) if left is right else left.select(level).unionAll(right.select(level))
-    levels = sizes.agg(F.collect_set("level")).scalar()  # a few numbers
+    if sizes is None:
+        sizes = extents(left if left is right else left.select("box").unionAll(right.select("box")))
     meets = (
         (F.col("a.box.minx") - reach <= F.col("b.box.maxx")) & (F.col("a.box.maxx") + reach >= F.col("b.box.minx"))
         & (F.col("a.box.miny") - reach <= F.col("b.box.maxy")) & (F.col("a.box.maxy") + reach >= F.col("b.box.miny"))
@@ -61,7 +70,7 @@ def pairs(left: DataFrame, right: DataFrame, reach: float, size: float, half: bo
     lower = lambda axis: F.floor((F.greatest(F.col(f"a.box.{axis}"), F.col(f"b.box.{axis}")) - reach / 2) / side)
     here = (F.col("cx") == lower("minx")) & (F.col("cy") == lower("miny"))
     order = F.col("a.id") < F.col("b.id") if half else F.col("a.id") != F.col("b.id")
-    both = celled(left, "a", levels, reach, size).join(celled(right, "b", levels, reach, size), ["level", "left", "cx", "cy"])
+    both = celled(left, "a", sizes, reach, size).join(celled(right, "b", sizes, reach, size), ["level", "left", "cx", "cy"])
     return both.where(here & meets & order).select("a", "b")
 
 
@@ -87,11 +96,11 @@ def nearest(m: DataFrame, radius: float = RADIUS, size: float = 1000.0) -> DataF
     """
 
     def least(of: DataFrame, reach: float) -> DataFrame:
-        met = pairs(of, m.select("id", "box", "polygons"), reach, size)
+        met = pairs(of, m.select("id", "box", "polygons"), reach, size, sizes=known)
         found = met.select(F.col("a.id").alias("id"), G.point_polygon_distance(F.col("a.center"), F.col("b.polygons")).alias("d"))
         return found.groupBy("id").agg(F.min("d").alias("d"))
 
-    at = F.col("center")
+    at, known = F.col("center"), F.array_append(extents(m), F.lit(0))  # points have no extent
     point = m.select("id", "center", F.struct(at.x.alias("minx"), at.y.alias("miny"), at.x.alias("maxx"), at.y.alias("maxy")).alias("box"))
     near = least(point, CLOSE).where(F.col("d") <= CLOSE)
     rest = m.select("id", "center", "box").join(near.select("id"), "id", "left_anti")

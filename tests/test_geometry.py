@@ -92,6 +92,13 @@ def test_neighbourhood(spark):
     assert near[1] == pytest.approx(99) and near[5] == 0.0
 
 
+def test_nearest_among_large_fields(spark):
+    """Fields of several kilometres, beside each other, in each other's reach, and far off."""
+    side = [(0, 0), (4000, 0), (4000, 4000), (0, 4000)]
+    m = S.measured(table(spark, [(1, "a", [[side]]), (2, "a", [[shift(side, 4000)]]), (3, "a", [[shift(side, 0, 4900)]]), (4, "a", [[shift(BOX, 2100, 2000)]]), (5, "a", [[shift(side, 90000)]])]), "field_id", ["crop_type"])
+    assert {r["id"]: r["dist_to_nearest_m"] for r in S.nearest(m).collect()} == {1: pytest.approx(100), 2: pytest.approx(2000), 3: pytest.approx(2900), 4: 0.0, 5: 0.0}
+
+
 def test_adjacency(spark):
     shapes = [(1, "a", [[BIG]]), (2, "a", [[shift(BIG, 10)]]), (3, "b", [[shift(BIG, 20, 10)]]), (4, "b", [[shift(BIG, -10.4)]]), (5, "b", [[shift(BIG, 0, -10.6)]])]
     m = S.measured(table(spark, shapes), "field_id", ["crop_type"])

@@ -128,7 +128,7 @@ def test_fields_of_any_size_are_in_few_cells(spark):
     want = {(i, j) for i, a in at.items() for j, b in at.items() if i != j and a.minx - reach <= b.maxx and a.maxx + reach >= b.minx and a.miny - reach <= b.maxy and a.maxy + reach >= b.miny}
     got = [tuple(r) for r in S.pairs(m, m, reach, size).select("a.id", "b.id").collect()]
     assert len(got) == len(set(got)) and set(got) == want
-    levels = m.agg(F.collect_set(S._level(reach, size))).first()[0]
+    levels = m.agg(F.collect_set(S._level(S._extent(), reach, size))).first()[0]
     for name in "ab":
         most = S.celled(m, name, F.array(*map(F.lit, levels)), reach, size).groupBy(f"{name}.id", "level", "left").count().agg(F.max("count")).first()[0]
         assert most <= 4
