@@ -70,7 +70,8 @@ def pairs(left: DataFrame, right: DataFrame, reach: float, size: float, half: bo
     lower = lambda axis: F.floor((F.greatest(F.col(f"a.box.{axis}"), F.col(f"b.box.{axis}")) - reach / 2) / side)
     here = (F.col("cx") == lower("minx")) & (F.col("cy") == lower("miny"))
     order = F.col("a.id") < F.col("b.id") if half else F.col("a.id") != F.col("b.id")
-    both = celled(left, "a", sizes, reach, size).join(celled(right, "b", sizes, reach, size), ["level", "left", "cx", "cy"])
+    # Spark's estimate knows neither the edges that were made of a row nor its copies: by it, a large side would be broadcast
+    both = celled(left, "a", sizes, reach, size).hint("merge").join(celled(right, "b", sizes, reach, size), ["level", "left", "cx", "cy"])
     return both.where(here & meets & order).select("a", "b")
 
 
