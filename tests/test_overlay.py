@@ -132,3 +132,10 @@ def test_fields_of_any_size_are_in_few_cells(spark):
     for name in "ab":
         most = S.celled(m, name, F.array(*map(F.lit, levels)), reach, size).groupBy(f"{name}.id", "level", "left").count().agg(F.max("count")).first()[0]
         assert most <= 4
+
+
+def test_neighbours_send_no_side_to_the_driver(spark):
+    """A side of copies is larger than its estimate: it is never broadcast."""
+    found = S.neighbours(fields(spark, [(k, [[box(k * 100, 0, k * 100 + 90, 90)]]) for k in range(9)]))
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert found.count() == sum(1 for a in range(9) for b in range(9) if a != b and abs(a - b) <= 5)
