@@ -139,3 +139,19 @@ def test_neighbours_send_no_side_to_the_driver(spark):
     found = S.neighbours(fields(spark, [(k, [[box(k * 100, 0, k * 100 + 90, 90)]]) for k in range(9)]))
     assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
     assert found.count() == sum(1 for a in range(9) for b in range(9) if a != b and abs(a - b) <= 5)
+
+
+def test_edges_meet_few_others_however_many_there_are(spark):
+    """Two discs of many corners: as many pairs of edges as there are edges, and the lens that they have in common."""
+    import numpy as np
+
+    from parcelforge.functions import between as B
+
+    n, apart = 2000, 1.0
+    disc = lambda x: [(x + math.cos(2 * math.pi * k / n), math.sin(2 * math.pi * k / n)) for k in range(n)]
+    lens = 2 * math.acos(apart / 2) - apart / 2 * math.sqrt(4 - apart * apart)
+    (row,) = S.intersections(fields(spark, [(0, [[disc(0.0)]]), (1, [[disc(apart)]])])).collect()
+    assert row["area_m2"] == pytest.approx(lens, rel=1e-4) and row["perimeter_m"] == pytest.approx(4 * math.acos(apart / 2), rel=1e-4)
+    ring = np.array([(*p, *q) for p, q in zip(disc(0.0), [*disc(0.0)[1:], disc(0.0)[0]])]).T
+    s, t = B._meeting(np.zeros(n, int), ring, 1e-6)
+    assert n <= len(s) <= 8 * n and {(0, 0), (0, 1), (1, 0)} <= set(zip(s.tolist(), t.tolist()))
