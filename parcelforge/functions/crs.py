@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .geometry import let
+
 #: WGS 84 and UTM.
 SEMI_MAJOR, FLATTENING, SCALE, FALSE_EASTING = 6378137.0, 1 / 298.257223563, 0.9996, 500000.0
 _N = FLATTENING / (2 - FLATTENING)
@@ -33,37 +35,70 @@ def central_meridian(zone: int) -> float:
     return zone * 6 - 183.0
 
 
-def to_utm(lon: Column, lat: Column, zone: int = 11) -> tuple[Column, Column]:
-    """Easting and northing (northern hemisphere) in metres."""
-    phi, lam = F.radians(lat), F.radians(lon - central_meridian(zone))
-    t = F.sinh(F.atanh(F.sin(phi)) - ECCENTRICITY * F.atanh(ECCENTRICITY * F.sin(phi)))
-    xi, eta = F.atan2(t, F.cos(lam)), F.atanh(F.sin(lam) / F.sqrt(1 + t * t))
-    x, y = eta, xi
-    for j, a in enumerate(ALPHA, 1):
-        x = x + a * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
-        y = y + a * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
-    return FALSE_EASTING + SCALE * RADIUS * x, SCALE * RADIUS * y
+def _forward(zone: int) -> list:
+    """The steps from longitude and latitude to metres: each takes two numbers, that it uses many times, and gives two."""
 
+    def conformal(lon: Column, lat: Column) -> tuple[Column, Column]:
+        phi = F.radians(lat)
+        return F.radians(lon - central_meridian(zone)), F.sinh(F.atanh(F.sin(phi)) - ECCENTRICITY * F.atanh(ECCENTRICITY * F.sin(phi)))
 
-def from_utm(x: Column, y: Column, zone: int = 11) -> tuple[Column, Column]:
-    """Longitude and latitude in degrees; four Newton steps for the latitude."""
-    xi, eta = y / (SCALE * RADIUS), (x - FALSE_EASTING) / (SCALE * RADIUS)
-    a, b = xi, eta
-    for j, k in enumerate(BETA, 1):
-        a = a - k * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
-        b = b - k * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
-    want = F.sin(a) / F.sqrt(F.sinh(b) * F.sinh(b) + F.cos(a) * F.cos(a))
+    def sphere(lam: Column, t: Column) -> tuple[Column, Column]:
+        return F.atan2(t, F.cos(lam)), F.atanh(F.sin(lam) / F.sqrt(1 + t * t))
+
+    def metres(xi: Column, eta: Column) -> tuple[Column, Column]:
+        x, y = eta, xi
+        for j, a in enumerate(ALPHA, 1):
+            x = x + a * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
+            y = y + a * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
+        return FALSE_EASTING + SCALE * RADIUS * x, SCALE * RADIUS * y
+
+    return [conformal, sphere, metres]
+
+
+def _inverse(zone: int) -> list:
+    """The steps from metres to longitude and latitude; four Newton steps for the latitude."""
     e2 = ECCENTRICITY**2
 
+    def angles(x: Column, y: Column) -> tuple[Column, Column]:
+        return y / (SCALE * RADIUS), (x - FALSE_EASTING) / (SCALE * RADIUS)
+
+    def sphere(xi: Column, eta: Column) -> tuple[Column, Column]:
+        a, b = xi, eta
+        for j, k in enumerate(BETA, 1):
+            a = a - k * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
+            b = b - k * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
+        return a, b
+
     def newton(acc: Column, _: Column) -> Column:
-        tau, root = acc.tau, F.sqrt(1 + acc.tau * acc.tau)
-        sigma = F.sinh(ECCENTRICITY * F.atanh(ECCENTRICITY * tau / root))
-        have = tau * F.sqrt(1 + sigma * sigma) - sigma * root
-        step = (acc.want - have) / F.sqrt(1 + have * have) * (1 + (1 - e2) * tau * tau) / ((1 - e2) * root)
-        return F.struct(acc.want.alias("want"), (tau + step).alias("tau"))
+        def step(root: Column, have: Column) -> Column:
+            tau = acc.tau + (acc.want - have) / F.sqrt(1 + have * have) * (1 + (1 - e2) * acc.tau * acc.tau) / ((1 - e2) * root)
+            return F.struct(acc.want.alias("want"), tau.alias("tau"))
+
+        sigma = lambda root: F.sinh(ECCENTRICITY * F.atanh(ECCENTRICITY * acc.tau / root))
+        return let(F.sqrt(1 + acc.tau * acc.tau), lambda root: let(sigma(root), lambda s: let(acc.tau * F.sqrt(1 + s * s) - s * root, lambda have: step(root, have))))
+
+    def degrees(a: Column, b: Column) -> tuple[Column, Column]:
+        want = F.sin(a) / F.sqrt(F.sinh(b) * F.sinh(b) + F.cos(a) * F.cos(a))
+        tau = F.aggregate(F.sequence(F.lit(1), F.lit(4)), F.struct(want.alias("want"), want.alias("tau")), newton, lambda acc: acc.tau)
+        return F.degrees(F.atan2(F.sinh(b), F.cos(a))) + central_meridian(zone), F.degrees(F.atan(tau))
+
+    return [angles, sphere, degrees]
 
-    tau = F.aggregate(F.sequence(F.lit(1), F.lit(4)), F.struct(want.alias("want"), want.alias("tau")), newton, lambda acc: acc.tau)
-    return F.degrees(F.atan2(F.sinh(b), F.cos(a))) + central_meridian(zone), F.degrees(F.atan(tau))
+
+def _all(steps: list, x: Column, y: Column) -> tuple[Column, Column]:
+    for step in steps:
+        x, y = step(x, y)
+    return x, y
+
+
+def to_utm(lon: Column, lat: Column, zone: int = 11) -> tuple[Column, Column]:
+    """Easting and northing (northern hemisphere) in metres."""
+    return _all(_forward(zone), lon, lat)
+
+
+def from_utm(x: Column, y: Column, zone: int = 11) -> tuple[Column, Column]:
+    """Longitude and latitude in degrees."""
+    return _all(_inverse(zone), x, y)
 
 
 GEOGRAPHIC = 4326
@@ -90,19 +125,20 @@ def planar(fields: DataFrame, zone: int = 11, geometry: str = "polygons") -> Dat
 
 def unproject(polygons: Column, zone: int) -> Column:
     """All points of a geometry from metres to longitude and latitude."""
-
-    def point(p: Column) -> Column:
-        lon, lat = from_utm(p.x, p.y, zone)
-        return F.struct(lon.alias("x"), lat.alias("y"))
-
-    return F.transform(polygons, lambda p: F.transform(p, lambda r: F.transform(r, point)))
+    return _each(polygons, _inverse(zone))
 
 
 def project(polygons: Column, zone: int = 11) -> Column:
     """All points of a geometry from longitude and latitude to metres."""
+    return _each(polygons, _forward(zone))
+
+
+def _each(polygons: Column, steps: list) -> Column:
+    """Each point moved by the steps, each of whose numbers is computed once: generated code, which finds what is repeated, has no part in a higher-order function."""
 
-    def point(p: Column) -> Column:
-        x, y = to_utm(p.x, p.y, zone)
-        return F.struct(x.alias("x"), y.alias("y"))
+    def moved(p: Column, step, *rest) -> Column:
+        x, y = step(p.x, p.y)
+        to = F.struct(x.alias("x"), y.alias("y"))
+        return let(to, lambda v: moved(v, *rest)) if rest else to
 
-    return F.transform(polygons, lambda p: F.transform(p, lambda r: F.transform(r, point)))
+    return F.transform(polygons, lambda p: F.transform(p, lambda r: F.transform(r, lambda q: moved(q, *steps))))

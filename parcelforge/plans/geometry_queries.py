@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from parcelforge.functions import crs, rounding
 from parcelforge.functions import geometry as G
-from parcelforge.functions.fence import fence
+from parcelforge.functions.fence import fence, spread
 from parcelforge.sources import collection
 from parcelforge.sources import fields as source
 
@@ -140,7 +140,7 @@ def utm_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")
     lon, lat = _point(k)
     box = G.ring([(lon + dx, lat + dy) for dx, dy in ((0.0, 0.0), (0.004, 0.0), (0.004, 0.003), (0.0, 0.003))])
-    planar = fence(views.read(spark, sf_dir, "part").select(k.alias("field_id"), crs.project(F.array(F.array(box))).alias("polygons")))
+    planar = fence(spread(views.read(spark, sf_dir, "part"), "p_partkey").select(k.alias("field_id"), crs.project(F.array(F.array(box))).alias("polygons")))
     return geometry_features(planar, ["field_id"], hull=False)
 
 
@@ -150,9 +150,9 @@ def crs_two_systems(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")
     lon, lat = _point(k)
     corners = [(lon + dx, lat + dy) for dx, dy in ((0.0, 0.0), (0.004, 0.0), (0.004, 0.003), (0.0, 0.003))]
-    part = views.read(spark, sf_dir, "part")
+    part = spread(views.read(spark, sf_dir, "part"), "p_partkey")
     degrees = part.where(k % 2 == 0).select(k.alias("field_id"), F.array(F.array(G.ring(corners))).alias("polygons"))  # without a system: assigned
-    metres = part.where(k % 2 == 1).select(k.alias("field_id"), F.array(F.array(G.ring([crs.to_utm(*c, 12) for c in corners]))).alias("polygons", metadata={"srid": crs.NORTH + 12}))
+    metres = part.where(k % 2 == 1).select(k.alias("field_id"), crs.project(F.array(F.array(G.ring(corners))), 12).alias("polygons", metadata={"srid": crs.NORTH + 12}))
     both = fence(crs.planar(fence(degrees)).unionByName(crs.planar(metres)))
     return geometry_features(both, ["field_id"], hull=False)
 

@@ -155,3 +155,12 @@ def test_edges_meet_few_others_however_many_there_are(spark):
     ring = np.array([(*p, *q) for p, q in zip(disc(0.0), [*disc(0.0)[1:], disc(0.0)[0]])]).T
     s, t = B._meeting(np.zeros(n, int), ring, 1e-6)
     assert n <= len(s) <= 8 * n and {(0, 0), (0, 1), (1, 0)} <= set(zip(s.tolist(), t.tolist()))
+
+
+def test_projection_computes_each_point_once(spark):
+    """The size of the expression: what is used many times is named, as nothing else keeps it in a higher-order function."""
+    from parcelforge.functions import crs
+
+    one = spark.createDataFrame([([[[(500000.0, 4e6)]]],)], f"p {G.POLYGONS}").select(crs.project(crs.unproject(F.col("p"), 12), 11).alias("p"))
+    assert len(one._jdf.queryExecution().optimizedPlan().toString()) < 20_000
+    assert one.select(crs.unproject(F.col("p"), 11)[0][0][0].alias("p")).first()["p"]["x"] == pytest.approx(-111, abs=1e-9)
