@@ -19,8 +19,9 @@ def prepare(df: DataFrame, features: list[str]) -> DataFrame:
 def labelled(df: DataFrame, features: list[str], label: str) -> tuple[DataFrame, list[str]]:
     """The rows with their label's ``code``, the class's ``weight`` and the prepared features as a ``vector``; and the label of each code."""
     codes = encoding.label_codes(df, label, None)
-    rows = df.withColumn("_label", F.lower(label)).join(codes.withColumnRenamed("label", "_label"), "_label")
-    rows = rows.join(stats.class_weights(rows, "code").select("code", "weight"), "code").withColumn("code", F.col("code").cast("double"))
+    # the classes are few; without the hint Spark may take the rows, by too small an estimate, for what is broadcast
+    rows = df.withColumn("_label", F.lower(label)).join(F.broadcast(codes.withColumnRenamed("label", "_label")), "_label")
+    rows = rows.join(F.broadcast(stats.class_weights(rows, "code").select("code", "weight")), "code").withColumn("code", F.col("code").cast("double"))
     names = [r["label"] for r in codes.orderBy("code").collect()]
     return VectorAssembler(inputCols=features, outputCol="vector").transform(prepare(rows, features)), names
 
@@ -29,13 +30,14 @@ def _classifier(trees: int, depth: int, seed: int) -> RandomForestClassifier:
     return RandomForestClassifier(featuresCol="vector", labelCol="code", weightCol="weight", numTrees=trees, maxDepth=depth, minInstancesPerNode=1, featureSubsetStrategy="sqrt", seed=seed)
 
 
-def fit(df: DataFrame, features: list[str], label: str, trees: int = 100, depth: int = 5, seed: int = 42):
-    """The model, the rows it was fitted on, and the label of each code."""
+def fit(df: DataFrame, features: list[str], label: str, trees: int = 100, depth: int = 5, seed: int = 42, keep=lambda rows: rows):
+    """The model, the rows it was fitted on, and the label of each code. A fit reads its rows several times: ``keep`` may write them and give the table."""
     rows, names = labelled(df, features, label)
+    rows = keep(rows.drop(*features))
     return _classifier(trees, depth, seed).fit(rows), rows, names
 
 
-def cross_validate(df: DataFrame, features: list[str], label: str, key: str, most: int = 5, trees: int = 100, depth: int = 5, seed: int = 42) -> DataFrame:
+def cross_validate(df: DataFrame, features: list[str], label: str, key: str, most: int = 5, trees: int = 100, depth: int = 5, seed: int = 42, keep=lambda rows: rows) -> DataFrame:
     """``fold``, ``support`` and ``accuracy`` of a forest fitted on the other folds, and over all folds their ``mean`` and population ``deviation``.
 
     Features are prepared once, on all rows, and so are the classes' weights. With fewer than two folds (see ``stats.fold_count``) there is nothing to
@@ -45,7 +47,7 @@ def cross_validate(df: DataFrame, features: list[str], label: str, key: str, mos
     folds = stats.fold_count(df.withColumn("_label", F.lower(label)), "_label", most)
     if folds < 2:
         return df.sparkSession.createDataFrame([(None, 0, 0.0, 0.0, 0.0, True)], schema)
-    rows = stats.stratified_folds(labelled(df, features, label)[0].select(key, "code", "weight", "vector"), "code", key, most, seed).persist()
+    rows = stats.stratified_folds(keep(labelled(df, features, label)[0].select(key, "code", "weight", "vector")), "code", key, most, seed).persist()
     try:
         scores = []
         for fold in range(folds):

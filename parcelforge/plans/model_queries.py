@@ -110,9 +110,13 @@ def normalize_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _known(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The features of fields with a crop, as a table in the shared folder: a fit reads them many times."""
-    path = views.scratch(spark)
-    full_matrix(spark, sf_dir).where("crop_type IS NOT NULL").write.parquet(path)
-    return spark.read.parquet(path)
+    return _written(full_matrix(spark, sf_dir).where("crop_type IS NOT NULL"))
+
+
+def _written(rows: DataFrame) -> DataFrame:
+    path = views.scratch(rows.sparkSession)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.parquet(path)
 
 
 _FITS: dict[tuple[str, str], tuple] = {}
@@ -128,12 +132,12 @@ def _fitted(spark: SparkSession, sf_dir: str) -> tuple:
 
 
 def _fit(spark: SparkSession, sf_dir: str) -> tuple:
-    return forest.fit(_known(spark, sf_dir), FEATURES, "crop_type")
+    return forest.fit(_known(spark, sf_dir), FEATURES, "crop_type", keep=_written)
 
 
 @register("cv_scores", "fold:i support:i accuracy:d mean:d deviation:d skipped:i")
 def cv_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return forest.cross_validate(_known(spark, sf_dir), FEATURES, "crop_type", "field_id")
+    return forest.cross_validate(_known(spark, sf_dir), FEATURES, "crop_type", "field_id", keep=_written)
 
 
 def _predicted(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -220,3 +220,14 @@ def test_adjacency_matrix_has_all_fields(spark):
     found = registry.queries()["adjacency_matrix"](spark, SF).collect()
     edges = [r for r in registry.queries()["adjacency_symmetric"](spark, SF).collect() if r["shared_length_m"] > 0]
     assert {(r["src"], r["dst"]) for r in found} == {(r["src"], r["dst"]) for r in edges} and len({r["src"] for r in found}) > 8
+
+
+def test_rows_of_a_fit_are_not_broadcast_and_are_kept_once(spark):
+    df = spark.range(60).selectExpr("id AS k", "CAST(id % 3 AS string) AS c", "double(id) AS x")
+    joins = lambda rows: [x for x in rows._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join " in x]
+    found = joins(forest.labelled(df, ["x"], "c")[0])
+    assert found and all("rightHint=(strategy=broadcast)" in x for x in found)
+    assert any("leftHint=(strategy=merge)" in x for x in joins(stats.stratified_folds(df, "c", "k")))
+    kept = []
+    _, rows, _ = forest.fit(df, ["x"], "c", trees=2, keep=lambda r: kept.append(r.localCheckpoint()) or kept[0])
+    assert len(kept) == 1 and rows is kept[0]
