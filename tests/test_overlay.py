@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_geometry import close, shift
 
+from parcelforge.functions import between as B
 from parcelforge.functions import geometry as G
 from parcelforge.functions import overlay as O
 from parcelforge.operators import spatial as S
@@ -117,6 +118,34 @@ def test_buffered_adjacency(spark):
     assert set(rows) == {(1, 2), (2, 3), (1, 4)} and 20 < rows[1, 2] < 22 and 19.9 < rows[1, 4] < 21 and 0 < rows[2, 3] < 3
 
 
+def test_buffers_are_not_shuffled(spark):
+    """A buffer has many times the corners of its field: the grid join carries the field."""
+    shapes = [(1, [[box(0, 0, 10, 10)]]), (2, [[box(10, 0, 20, 10)]])]
+    plan = S.buffered_adjacency(fields(spark, shapes))._jdf.queryExecution().optimizedPlan().toString()
+    assert "polygons" in plan and "edges" not in plan and "atan2" not in plan.lower()
+
+
+def test_discs_of_a_batch_are_buffers(spark):
+    """What a batch of pairs makes of polygons is what the expression makes: corners inwards, holes wide and narrow, lines, repeated corners, spikes, several polygons, none."""
+    r, ell, rng = 2.0, [(0, 0), (40, 0), (40, 10), (10, 10), (10, 40), (0, 40)], random.Random(5)
+    shapes = [
+        [[box(0, 0, 40, 30)]], [[ell]], [[ell[::-1]]], [[box(0, 0, 40, 40), box(10, 10, 30, 30)]], [[box(0, 0, 40, 40)[::-1], box(10, 10, 13, 30), box(20, 10, 30, 30)]], [[[(0, 0), (40, 0), (40, 0), (0, 0)]]],
+        [[box(0, 0, 9, 9)], [box(20, 0, 40, 40), box(25, 5, 35, 35)]], [], [[[(0, 0), (20, 0), (40, 0), (40, 30), (39.5, 0.1), (0, 30)]]], [[[(3, 3)]]],
+        *([[[(30 * math.cos(t) * rng.uniform(0.2, 1), 30 * math.sin(t)) for t in sorted(rng.uniform(0, 6.28) for _ in range(9))]]] for _ in range(20)),
+    ]
+    rows = [(k, [[close(c) for c in p] for p in s]) for k, s in enumerate(shapes)]
+    table = spark.createDataFrame(rows, f"k int, p {G.POLYGONS}").orderBy("k")
+    rings = F.flatten(O.buffer(F.col("p"), r))
+    segments = F.filter(F.flatten(F.transform(rings, G.segments)), lambda s: s.a != s.b)
+    want = [[(s.a.x, s.a.y, s.b.x, s.b.y) for s in x["e"]] for x in table.select("k", segments.alias("e")).orderBy("k").collect()]
+    column = table.toArrow().column("p").combine_chunks()
+    many, edges = B._Discs(r, 16).take(column)
+    assert many.tolist() == [len(w) for w in want] and len(want[0]) == 4 * 17 and not want[7] and not want[9]
+    assert edges.T.ravel().tolist() == pytest.approx([v for w in want for e in w for v in e], abs=1e-9)
+    part, _ = B._Discs(r, 16).take(column.slice(3, 4))
+    assert part.tolist() == many.tolist()[3:7] and (B._Discs(r, 16).weigh(column) >= many).all()
+
+
 def test_fields_of_any_size_are_in_few_cells(spark):
     """From 10 m to 100 km: four cells a level at most, and the pairs of a plain comparison."""
     rng = random.Random(2)
