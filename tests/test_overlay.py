@@ -11,6 +11,7 @@ from parcelforge.functions import between as B
 from parcelforge.functions import geometry as G
 from parcelforge.functions import overlay as O
 from parcelforge.operators import spatial as S
+from parcelforge.plans import registry
 
 
 def fields(spark, shapes):
@@ -125,6 +126,12 @@ def test_buffers_are_not_shuffled(spark):
     assert "polygons" in plan and "edges" not in plan and "atan2" not in plan.lower()
 
 
+@pytest.mark.parametrize("name", ["adjacency_buffered", "adjacency_buffered_irregular"])
+def test_buffered_queries_make_only_what_they_need(spark, name):
+    plan = registry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "polygons" in plan and not any(c in plan for c in ("edges", "rings", "center", "geometry_ha"))
+
+
 def test_discs_of_a_batch_are_buffers(spark):
     """What a batch of pairs makes of polygons is what the expression makes: corners inwards, holes wide and narrow, lines, repeated corners, spikes, several polygons, none."""
     r, ell, rng = 2.0, [(0, 0), (40, 0), (40, 10), (10, 10), (10, 40), (0, 40)], random.Random(5)
