@@ -29,6 +29,18 @@ def _mean(a: Column) -> Column:
     return F.try_divide(_sum(a), F.size(a))
 
 
+def _slope(points: Column) -> Column:
+    """Of the values by the years, by the recurrence of ``regr_slope`` in the order of the years: where the exact slope is 0, the sign is that of its rounding, too."""
+
+    def add(acc: Column, p: Column) -> Column:
+        n, dx, dy = acc.n + 1, p.year - acc.x, p.value - acc.y
+        x, y = acc.x + dx / n, acc.y + dy / n
+        return F.struct(n.alias("n"), x.alias("x"), y.alias("y"), (acc.xx + dx * (p.year - x)).alias("xx"), (acc.xy + dx * (p.value - y)).alias("xy"))
+
+    start = F.struct(*(F.lit(0.0).alias(c) for c in ("n", "x", "y", "xx", "xy")))
+    return F.aggregate(points, start, add, lambda acc: F.try_divide(acc.xy, acc.xx))
+
+
 def two_sided_p(r2: Column, df: Column) -> Column:
     """Of the t-test of a correlation with whole degrees of freedom: the closed form for Student's distribution."""
     theta = F.atan(F.sqrt(F.try_divide(r2, 1 - r2)))
@@ -73,7 +85,7 @@ def features(df: DataFrame, columns: list[str], keep: list[str]) -> DataFrame:
         "mean_yield": m, "std_yield": std, "cv_yield": F.when(m != 0, F.try_divide(std, m)).otherwise(0.0),
         "min_yield": F.array_min(v), "max_yield": F.array_max(v), "yield_range": F.array_max(v) - F.array_min(v),
         "best_year": F.try_element_at(y, F.array_position(v, F.array_max(v)).cast("int")), "worst_year": F.try_element_at(y, F.array_position(v, F.array_min(v)).cast("int")),
-        "trend_slope": F.try_divide(sxy, sxx), "trend_r2": r2, "trend_p_value": p, "trend_significant": (p < SIGNIFICANT).cast("int"),
+        "trend_slope": _slope(F.col("_s")), "trend_r2": r2, "trend_p_value": p, "trend_significant": (p < SIGNIFICANT).cast("int"),
         "max_abs_z": worst, "n_anomaly_years": F.size(anomalies), "anomaly_flag": (F.size(anomalies) > 0).cast("int"), "anomaly_years": anomalies,
         "recent_vs_historical": F.when(n >= 3, _mean(F.slice(v, -2, 2)) - _mean(F.slice(v, 1, F.greatest(n - 2, F.lit(1))))).otherwise(0.0),
         "last_year_trend": F.element_at(v, -1) - F.element_at(v, 1),

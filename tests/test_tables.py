@@ -45,6 +45,16 @@ def one(spark, values):
     return T.features(src.nan_to_null(df), Y, ["k"]).first(), df
 
 
+def test_slopes_of_nothing_are_rounded_as_in_sql(spark, oracle):
+    """The exact slope is 0: what is left is the rounding of the recurrence, in the order of the years; equal values leave none."""
+    rows = [[30.2, 20.5, 62 / 3, 21.0, 77 / 3, 21.0, 28.2], [23.0, 26.0, 16.5, 14.5, 31.0, 19.0, 137 / 6], [24.0, 20.0, 33.5, 68 / 3, 28.0, 24.75, 68 / 3], [21.2] * 7]
+    years = range(1995, 2002)
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "k int, " + ", ".join(f"yield_{y} double" for y in years))
+    got = [r["trend_slope"] for r in T.features(df, [f"yield_{y}" for y in years], ["k"]).orderBy("k").collect()]
+    want = [oracle.execute(f"SELECT regr_slope(v, y) FROM (VALUES {', '.join(f'({v!r}::DOUBLE, {y})' for v, y in zip(r, years))}) t(v, y)").fetchone()[0] for r in rows]
+    assert [(x > 0) - (x < 0) for x in got] == [(x > 0) - (x < 0) for x in want] == [-1, 1, 1, 0]
+
+
 def test_series(spark):
     r, _ = one(spark, [5])
     assert r["insufficient_data"] and r["mean_yield"] is None and r["trend_significant"] is None
